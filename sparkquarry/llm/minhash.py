@@ -4,15 +4,18 @@ Documents with equal shingle sets form one class first. Each class then enters t
 independent trees, where its minwise token under the tree's own hash function selects a child. A
 node with at most SMALL classes is compared exhaustively. A larger one branches again: two further
 minwise tokens, under hash functions that the path so far picks, select two children for each
-class. Nodes whose classes already belong to one component are done. Nodes that stay large down to
-LEVELS are compared in blocks, so nothing is capped. Comparisons in a node use the 48 minwise
-tokens of each class and let all pairs through that have a Jaccard coefficient of 0.75 with a
-chance over 1 - 1e-7; every pair let through is confirmed on the full sets. A pair at exactly 0.75
-is missed by all trees with a chance under 1e-5 (0.75 * 0.9375 ** (level - 1) for each tree).
-
-Before the trees are searched, each class is compared with the one class that shares most of its
-level-1 nodes as their smallest member. That settles large groups of near copies with one comparison
-for each member; the search then only looks at pairs of different components.
+class. Nodes whose classes already belong to one component are done. Where the classes of a node
+are so alike that branching would not part them (the children's sizes tell their mean similarity:
+DENSE or more), and at LEVELS, the node is compared in blocks that carry the full sets, so nothing
+is capped. Comparisons use EQUALS minwise tokens of each class and let all pairs through that have a
+Jaccard coefficient of 0.75 with a chance over 1 - 1e-6; every pair let through is confirmed on the
+full sets. A pair at exactly 0.75 is missed by all trees with a chance of about 1e-5 (a tree finds
+it with 0.75 * 0.9375 ** (level - 1)); at 0.8 it is 1e-6.
+
+Before the trees are searched, each class is compared with the class that most of its level-1 nodes
+have as their centre: the member whose tokens are the most common ones. That settles large groups of
+near copies with one comparison for each member; the search then only looks at pairs of different
+components.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from sparkquarry.operators.graph import connected_components
 from sparkquarry.store import Shelf
 
 WORDS, PERCENT = 5, 75
-TREES, HASHES, LEVELS, SMALL = 16, 48, 4, 32
-#: Of HASHES tokens, as many are equal at least: 6 standard deviations below the mean at 0.75.
-LEAST_EQUAL = 18
+TREES, HASHES, LEVELS, SMALL = 12, 44, 5, 32
+#: Tokens for comparisons, a byte each; as many are equal at least: 5 standard deviations below the mean at 0.75.
+EQUALS, LEAST_EQUAL = 240, 146
+#: Mean similarity from which a node is compared in blocks; classes and shingles of a block.
+DENSE, BLOCK, BLOCK_SHINGLES = 0.3, 1024, 1 << 20
 #: Pairs joined with one copy of a hot set.
 HOT = 256
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = _rng.integers(1, 1 << 63, EQUALS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,15 +69,18 @@ def _sketch():
         n = np.diff(first)
         some = np.flatnonzero(n)
         d1, d2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        sig = np.zeros((len(n), HASHES), np.uint32)
+        sig, low = np.zeros((len(n), HASHES), np.uint32), np.zeros((len(n), EQUALS), np.uint8)
         if len(some):
             at = first[some]
             d1[some] = np.add.reduceat(K.mix(u), at).view(np.int64)
             d2[some] = np.bitwise_xor.reduceat(K.mix(u ^ np.uint64(0xA5A5F00DBEEF1234)), at).view(np.int64)
-            for k in range(HASHES):
-                sig[some, k] = np.minimum.reduceat(((u * _A[k]) >> np.uint64(32)).astype(np.uint32), at)
-        flat = sig.tobytes()
-        step = 4 * HASHES
+            for k in range(EQUALS):
+                least = np.minimum.reduceat(((u * _A[k]) >> np.uint64(32)).astype(np.uint32), at)
+                low[some, k] = least & 255
+                if k < HASHES:
+                    sig[some, k] = least
+        flat = np.hstack([sig.view(np.uint8).reshape(len(n), -1), low]).tobytes()
+        step = 4 * HASHES + EQUALS
         return {"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_shingles": n, "d1": d1, "d2": d2, "sig": pa.array([flat[i : i + step] for i in range(0, len(flat), step)], pa.binary())}
 
     return kernel
@@ -91,6 +99,11 @@ def _sets():
     return kernel
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("cls"), "text").join(ids, "cls", "left_semi")
+    return shelf.put(f"{name}_sets", K.map_text(texts, _sets, "cls long, shingle_set array<long>"))
+
+
 def _attach(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     """pairs with the set of column key. A set that many pairs need is copied for each HOT of them, and the pairs are dealt over the copies."""
     other = "b" if key == "a" else "a"
@@ -102,9 +115,7 @@ def _attach(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
 
 def _confirm(pairs: DataFrame, docs: DataFrame, shelf: Shelf, name: str) -> DataFrame:
     """Of the pairs (a, b) those that are similar on their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("cls"), "text").join(ids, "cls", "left_semi")
-    sets = shelf.put(f"{name}_sets", K.map_text(texts, _sets, "cls long, shingle_set array<long>"))
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, shelf, name)
     both = _attach(_attach(pairs, sets, "a"), sets, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     links = both.withColumn("shared", shared).filter(100 * F.col("shared") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -117,6 +128,54 @@ def _token(position) -> F.Column:
     return F.substring("sig", position * 4 + 1, 4)
 
 
+def _equals(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * HASHES + EQUALS)[:, 4 * HASHES :]
+
+
+def _blocks(batches):
+    """Links in each block: pairs of different components, most alike first, confirmed on the full sets unless their components are linked by then."""
+    for batch in batches:
+        group = batch.column("members")
+        out: list[tuple[int, int]] = []
+        for g in range(len(group)):
+            rows = group.slice(g, 1).flatten()
+            cls, label, n, side = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("cls", "label", "n", "side"))
+            sig = _equals(rows.field("sig"))
+            sets = rows.field("shingle_set")
+            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+            above: dict[int, int] = {}
+
+            def top(x):
+                while (y := above.get(x, x)) != x:
+                    above[x] = above.get(y, y)
+                    x = y
+                return x
+
+            found = []
+            step = max(1, (1 << 18) // max(1, len(cls)))
+            for a in range(0, len(cls), step):
+                i = np.arange(a, min(a + step, len(cls)))[:, None]
+                j = np.arange(len(cls))[None]
+                ok = (i < j) & (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2))
+                x, y = np.nonzero(ok)
+                for b in range(0, len(x), 1 << 16):
+                    p, q = x[b : b + (1 << 16)] + a, y[b : b + (1 << 16)]
+                    equal = (sig[p] == sig[q]).sum(1)
+                    on = equal >= LEAST_EQUAL
+                    found.append(np.column_stack([equal[on], p[on], q[on]]))
+            found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            for _, p, q in found[np.argsort(-found[:, 0], kind="stable")].tolist():
+                a, b = top(int(label[p])), top(int(label[q]))
+                if a == b:
+                    continue
+                shared = len(np.intersect1d(values[ends[p] : ends[p + 1]], values[ends[q] : ends[q + 1]], assume_unique=True))
+                if 100 * shared >= PERCENT * (int(n[p]) + int(n[q]) - shared):
+                    above[max(a, b)] = min(a, b)
+                    out.append((int(cls[p]), int(cls[q])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+
 def _compare(batches):
     """Pairs of different components in each group that the minwise tokens and the set sizes let through."""
     upper: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -124,7 +183,7 @@ def _compare(batches):
         group = batch.column("members")
         flat = group.flatten()
         cls, label, n, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("cls", "label", "n", "side"))
-        sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        sig = _equals(flat.field("sig"))
         lengths = group.value_lengths().to_numpy()
         a_out, b_out, start = [], [], 0
         for size in lengths.tolist():
@@ -146,32 +205,52 @@ def _grouped(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_list(F.struct("cls", "label", "n", "sig", "side")).alias("members")).select("members").mapInArrow(_compare, "a long, b long")
 
 
-def _search(members: DataFrame, labels: DataFrame, reps: DataFrame, shelf: Shelf) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from all nodes of all trees."""
+def _search(members: DataFrame, labels: DataFrame, reps: DataFrame, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of different components from the small nodes of all trees; rows of the nodes to be compared in blocks."""
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of nodes that hold more than one component, with the node's size."""
-        size = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node", "size")
+        """Rows of nodes that hold more than one component, with the node's size and shingles."""
+        size = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").drop("lo", "hi")
         return rows.join(size, "node")
 
     rows = members.join(labels.withColumnRenamed("node", "cls").withColumnRenamed("component", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rows = mixed(rows).join(reps.select("cls", F.col("n_shingles").alias("n"), "sig"), "cls").withColumn("side", F.lit(2))
-    found = None
+    rows = mixed(rows.join(reps.select("cls", F.col("n_shingles").alias("n")), "cls")).join(reps.select("cls", "sig"), "cls").withColumn("side", F.lit(2))
+    small, dense = [], []
     for level in range(1, LEVELS + 1):
         rows = shelf.put(f"level_{level}", rows)
-        small = _grouped(rows.filter(F.col("size") <= SMALL), "node")
-        found = small if found is None else found.unionByName(small)
+        small.append(rows.filter(F.col("size") <= SMALL))
         rows = rows.filter(F.col("size") > SMALL)
         if rows.isEmpty():
-            return found.distinct()
-        if level < LEVELS:
-            pick = TREES + 2 * F.pmod(F.xxhash64("node", F.lit(level)), F.lit((HASHES - TREES) // 2)).cast("int")
-            child = F.explode(F.array(*(F.xxhash64("node", F.lit(j), _token(pick + j)) for j in (0, 1))))
-            rows = mixed(rows.withColumn("node", child).drop("size"))
-    blocks = rows.withColumn("blocks", F.ceil(F.col("size") / SMALL)).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+            break
+        if level == LEVELS:
+            dense.append(rows)
+            break
+        pick = TREES + 2 * F.pmod(F.xxhash64("node", F.lit(level)), F.lit((HASHES - TREES) // 2)).cast("int")
+        children = rows.withColumn("child", F.explode(F.array(*(F.xxhash64("node", F.lit(j), _token(pick + j)) for j in (0, 1)))))
+        alike = children.groupBy("node", "child").agg(F.count("*").alias("c"), F.first("size").alias("size")).groupBy("node").agg((F.sum(F.col("c") * F.col("c")) / (2.0 * F.first("size") * F.first("size"))).alias("alike"))
+        alike = shelf.put(f"alike_{level}", alike.filter(F.col("alike") >= DENSE).select("node"))
+        dense.append(rows.join(alike, "node", "left_semi"))
+        rows = mixed(children.join(alike, "node", "left_anti").withColumn("node", F.col("child")).drop("child", "size", "shingles"))
+    pairs = None
+    for part in small:
+        found = _grouped(part, "node")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    blocks = None
+    for part in dense:
+        blocks = part if blocks is None else blocks.unionByName(part)
+    return pairs.distinct(), blocks
+
+
+def _in_blocks(rows: DataFrame | None, docs: DataFrame, shelf: Shelf) -> DataFrame | None:
+    """Links (src, dst) among the classes of each large node. A block holds BLOCK classes or BLOCK_SHINGLES shingles; every two blocks of a node meet."""
+    if rows is None or rows.isEmpty():
+        return None
+    sets = _sets_of(rows.select("cls").distinct(), docs, shelf, "dense")
+    blocks = rows.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = blocks.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("own", "to")).withColumn("hi", F.greatest("own", "to")).withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("own") == F.col("lo"), 0).otherwise(1))
-    return found.unionByName(_grouped(dealt, "node", "lo", "hi")).distinct()
+    groups = dealt.join(sets, "cls").groupBy("node", "lo", "hi").agg(F.collect_list(F.struct("cls", "label", "n", "sig", "side", "shingle_set")).alias("members"))
+    return shelf.put("dense_links", groups.select("members").mapInArrow(_blocks, "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
@@ -187,13 +266,20 @@ def near_duplicates(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     some = sk.filter("n_shingles > 0 and doc_id is not null")
     reps = shelf.put("reps", some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("cls"), F.first("sig").alias("sig")))
     tokens = reps.select("cls", F.posexplode(F.array(*(_token(F.lit(t)) for t in range(TREES)))).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cls")
-    sizes = tokens.groupBy("node").agg(F.count("*").alias("size"), F.min("cls").alias("pivot")).filter("size > 1")
-    members = shelf.put("members", tokens.join(sizes, "node").select("node", "cls", "pivot"))
-    star = members.filter("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("hits")).groupBy("cls").agg(F.max(F.struct("hits", F.col("pivot"))).alias("best")).filter(f"best.hits >= {TREES // 3}")
+    sizes = tokens.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    members = shelf.put("members", tokens.join(sizes, "node"))
+    common = members.groupBy("cls").agg(F.sum("size").alias("common"))
+    ranked = shelf.put("ranked", members.join(common, "cls").withColumn("rank", F.struct("common", (-F.col("cls")).alias("cls"))).select("node", "cls", "rank"))
+    centre = ranked.groupBy("node").agg((-F.max("rank")["cls"]).alias("pivot"))
+    star = ranked.join(centre, "node").filter("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("hits")).groupBy("cls").agg(F.max(F.struct("hits", "pivot")).alias("best")).filter(f"best.hits >= {TREES // 3}")
     star = shelf.put("star", star.select(F.col("best.pivot").alias("a"), F.col("cls").alias("b")))
     labels = connected_components(_confirm(star, docs, shelf, "star"), shelf, "cc_star")
-    pairs = shelf.put("pairs", _search(members.select("node", "cls"), labels, reps, shelf))
+    pairs, blocks = _search(members.select("node", "cls"), labels, reps, shelf)
+    pairs = shelf.put("pairs", pairs)
+    dense = _in_blocks(blocks, docs, shelf)
+    shelf.drop("ranked", "dense_sets", *(f"level_{k}" for k in range(1, LEVELS + 1)))
     links = _confirm(pairs, docs, shelf, "search")
+    links = links if dense is None else links.unionByName(dense)
     if not links.isEmpty():
         at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"l_{side}"))
         lifted = links.join(at("src"), "src", "left").join(at("dst"), "dst", "left").select(F.coalesce("l_src", "src").alias("src"), F.coalesce("l_dst", "dst").alias("dst"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquarry.store import Shelf
@@ -32,3 +32,72 @@ def connected_components(edges: DataFrame, shelf: Shelf, name: str = "cc") -> Da
         if written.filter("moved").isEmpty():
             shelf.drop(f"{name}_edges")
             return labels
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """node, in_degree, out_degree, centrality, weight (half the centrality, 1 at least)."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    out = ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    return out.withColumn("centrality", F.col("in_degree") + F.col("out_degree")).withColumn("weight", F.greatest(F.col("centrality") / 2, F.lit(1.0)))
+
+
+def density(edges: DataFrame) -> DataFrame:
+    n = degrees(edges).agg(F.count("*").alias("n_nodes"), F.max("centrality").alias("max_centrality"))
+    e = edges.agg(F.count("*").alias("n_edges"))
+    return n.join(F.broadcast(e)).withColumn("density", F.round(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 6))  # one row each
+
+
+def bfs_depth(edges: DataFrame, shelf: Shelf, limit: int = 64, name: str = "bfs") -> DataFrame:
+    """node, depth: fewest steps from a node without incoming edges; nodes that none reaches stay at 0."""
+    e = shelf.put(f"{name}_edges", edges.select("src", "dst").distinct())
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    seen = shelf.put(f"{name}_0", nodes.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0).cast("long")))
+    front = seen
+    for k in range(1, limit + 1):
+        step = front.join(e, front.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        front = shelf.put(f"{name}_{k}", step.withColumn("depth", F.lit(k).cast("long")))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return nodes.join(seen, "node", "left").select("node", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+
+
+def critical_nodes(edges: DataFrame, depths: DataFrame) -> DataFrame:
+    """Score of each node, and the top tenth (5 at least). The ranking runs over node rows."""
+    d = degrees(edges).join(depths, "node")
+    most = depths.agg(F.max("depth").alias("most"))
+    score = F.least(F.col("in_degree"), F.lit(5)) + F.least(0.1 * F.col("out_degree"), F.lit(3.0)) + F.when(F.col("most") > 0, 2.0 * (F.col("most") - F.col("depth")) / F.col("most")).otherwise(0.0)
+    out = d.join(F.broadcast(most)).withColumn("score", F.round(score.cast("double"), 6))
+    keep = out.agg(F.greatest(F.floor(F.count("*") * 0.1), F.lit(5)).alias("keep"))
+    ranked = out.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "node")))
+    return ranked.join(F.broadcast(keep)).filter("position <= keep").select("node", "score", F.col("position").cast("long").alias("position"))
+
+
+def target_clusters(edges: DataFrame) -> DataFrame:
+    """Nodes with the same set of targets: cluster, size, main, cohesion (inner edges of the possible ones), coupling (outer edges of all)."""
+    key = edges.groupBy("src").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("dst").cast("string"))), ","), 256).alias("cluster"), F.count("*").alias("out_degree"))
+    size = key.groupBy("cluster").agg(F.count("*").alias("size"), F.min("src").alias("main"), F.sum("out_degree").alias("edges")).filter("size > 1")
+    member = key.select("src", "cluster")
+    inner = edges.join(member, "src").join(member.select(F.col("src").alias("dst"), F.col("cluster").alias("to")), "dst").filter("cluster = to").groupBy("cluster").agg(F.count("*").alias("inner"))
+    out = size.join(inner, "cluster", "left").fillna(0, ["inner"])
+    return out.select("main", "size", F.round(F.col("inner") / (F.col("size") * (F.col("size") - 1)), 6).alias("cohesion"), F.round((F.col("edges") - F.col("inner")) / F.col("edges"), 6).alias("coupling"))
+
+
+def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
+    """All simple cycles of 2 to longest nodes, once each, from their smallest node: path array, length, severity."""
+    e = edges.select("src", "dst").filter("src <> dst").distinct()
+    paths = e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    found = None
+    for length in range(2, longest + 1):
+        closed = paths.join(e, (paths.last == e.src) & (paths.start == e.dst), "left_semi").select("path", F.lit(length).cast("long").alias("length"))
+        found = closed if found is None else found.unionByName(closed)
+        if length < longest:
+            step = paths.join(e, paths.last == e.src)
+            paths = step.filter((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path"))
+    return found.withColumn("severity", F.when(F.col("length") >= 5, "critical").when(F.col("length") >= 3, "high").otherwise("medium"))
+
+
+def cycle_stats(found: DataFrame) -> DataFrame:
+    """Counts by severity, mean length and the score (25, 15, 8, 3 for each cycle; 100 at most)."""
+    weight = F.when(F.col("severity") == "critical", 25).when(F.col("severity") == "high", 15).when(F.col("severity") == "medium", 8).otherwise(3)
+    return found.agg(F.count("*").alias("n_cycles"), *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "high", "medium")), F.round(F.avg("length"), 6).alias("mean_length"), F.least(F.sum(weight), F.lit(100)).cast("long").alias("score"))

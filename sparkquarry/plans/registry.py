@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from sparkquarry.plans import analytics, quality
+
+QUERIES = quality.Q | analytics.Q
+SQL = quality.SQL | analytics.SQL
 FLAGSHIP = "dup_exact_clusters"

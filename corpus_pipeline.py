@@ -31,9 +31,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, piece_ids, mark_positions, round_trip."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    out = pieces.decode(pieces.encode(rows, keep=["doc_id", "text_hash"]))
-    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "mark_positions", F.xxhash64("decoded").eqNullSafe(F.col("text_hash")).alias("round_trip"))
+    out = pieces.encode(docs, check="round_trip")
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "mark_positions", "round_trip")
 
 
 STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("decontamination", decontamination), ("personal data", personal_data), ("sentencepiece", encoding)]

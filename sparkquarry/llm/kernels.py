@@ -180,6 +180,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[np.ndarray, np.ndarray,
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(fields)
+    bound_batches(df.sparkSession)
 
     def run(batches):
         kernel = make()
@@ -192,6 +193,19 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[np.ndarray, np.ndarray,
     return df.mapInArrow(run, fields)
 
 
+def bound_batches(spark) -> None:
+    """Rows that go to Python at once: few, as texts may be long."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE))):
+        spark.conf.set(key, value)
+
+
+def sliced(table: pa.Table, text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of a table's texts, a slice at a time."""
+    for batch in table.to_batches():
+        for part in slices(batch, text):
+            yield flat(part.column(text))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

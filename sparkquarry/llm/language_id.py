@@ -18,7 +18,7 @@ from sparkquarry.llm import kernels as K
 from sparkquarry.llm.labelled import bucket, sample
 
 #: Labelled texts to learn from, windows of each, bytes of a window.
-LABELLED, EACH, WINDOW = 2_400, 3, 128
+LABELLED, EACH, WINDOW = 2_000, 3, 128
 WIDTHS, FILTERS, EMBED, EPOCHS, BATCH, RATE = (2, 3, 4), 8, 8, 6, 64, 0.01
 FOLDS, HELD = 5, 0
 PART = 1 << 16
@@ -134,15 +134,17 @@ def fit(docs: DataFrame, limit: int = LABELLED, folds: bool = True) -> Net:
     """From text and non-null lang of the documents outside the held-out fold."""
     t = sample(docs, docs, "lang", limit, bucket("doc_id", FOLDS) != HELD)
     names = sorted(set(t.column("label").to_pylist()))
-    buf, offs = K.flat(t.column("text")) if t.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    ok = has_letter(buf, offs)
-    x, first = windows_of(buf, offs)
     y = np.array([names.index(v) for v in t.column("label").to_pylist()], np.int64)
     rng = np.random.default_rng(3)
-    pick = [rng.choice(np.arange(first[d], first[d + 1]), min(EACH, first[d + 1] - first[d]), replace=False) for d in np.flatnonzero(ok)]
-    at = np.concatenate(pick) if pick else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    return Net(x[at], y[doc[at]], names)
+    xs, ys, done = [np.zeros((0, WINDOW), np.uint8)], [np.zeros(0, np.int64)], 0
+    for buf, offs in K.sliced(t):
+        x, first = windows_of(buf, offs)
+        for d in np.flatnonzero(has_letter(buf, offs)).tolist():
+            at = rng.choice(np.arange(first[d], first[d + 1]), min(EACH, first[d + 1] - first[d]), replace=False)
+            xs.append(x[at])
+            ys.append(np.full(len(at), y[done + d]))
+        done += len(offs) - 1
+    return Net(np.concatenate(xs), np.concatenate(ys), names)
 
 
 def identified(docs: DataFrame, limit: int = LABELLED) -> DataFrame:

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.llm.kernels import free_name, map_text
+from sparkquarry.llm.kernels import bound_batches, free_name, map_text
 from sparkquarry.store import Shelf
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, SNAP, MEMO, LONG_WORD = 32_768, 512, 300_000, 48
+CHUNK, SNAP, MEMO, LONG_WORD = 32_768, 512, 150_000, 48
 MARK = "▁"
 
 
@@ -260,11 +260,12 @@ def split(text: str, lattice: Lattice, chunk: int, snap: int) -> list[tuple[int,
     return out
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, snap: int = SNAP, keep: list[str] | None = None, shelf: Shelf | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, snap: int = SNAP, keep: list[str] | None = None, check: str | None = None, shelf: Shelf | None = None) -> DataFrame:
     """The columns keep of docs (default: doc_id), piece_ids array<int>, mark_positions array<int>, equal to the model's own encoding.
 
     Null texts give null arrays, empty ones empty arrays. mark_positions says where the text itself
-    has U+2581, which the model can't tell from a space. Rows are encoded each, repeated or not.
+    has U+2581, which the model can't tell from a space. With check, a column of that name says
+    whether decoding the ids gives the text back; null texts do. Rows are encoded each, repeated or not.
     """
     keep = ["doc_id"] if keep is None else keep
     shared = _share(docs.sparkSession, model)
@@ -286,10 +287,15 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, snap: int =
                 import pyarrow.compute as pc
 
                 arrays = [pc.if_else(null, pa.scalar(None, pa.list_(pa.int32())), a) for a in arrays]
-            return {c: part.column(c) for c in keep} | {ids: arrays[0], marks: arrays[1]}
+            out = {c: part.column(c) for c in keep} | {ids: arrays[0], marks: arrays[1]}
+            if check:
+                out[check] = [restored(lattice.decode(np.frombuffer(p, np.int32)), marks_of(t or "")) == (t or "") for t, p in zip(texts, parts)]
+            return out
 
         return kernel
 
+    if check:
+        fields = rows.drop(text).withColumn(ids, F.lit(None).cast("array<int>")).withColumn(marks, F.lit(None).cast("array<int>")).withColumn(check, F.lit(None).cast("boolean")).schema
     short = map_text(rows.filter(~F.coalesce(giant, F.lit(False))), whole, fields, text=text)
     long = rows.filter(giant)
     shelf = shelf or Shelf(docs.sparkSession, "pieces")
@@ -362,7 +368,11 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, snap: int =
         return kernel
 
     with_marks = map_text(long, mark, long.drop(text).withColumn(marks, F.lit(None).cast("array<int>")).schema, text=text)
-    return short.unionByName(with_marks.join(joined, row).select(*keep, ids, marks))
+    done = with_marks.join(joined, row)
+    if check:
+        again = decode(done.select(row, ids, marks), model, ids, marks, "again").select(row, F.xxhash64("again").alias("h"))
+        done = done.join(again, row).join(long.select(row, F.xxhash64(text).alias("own")), row).withColumn(check, F.col("h") == F.col("own"))
+    return short.unionByName(done.select(*short.columns))
 
 
 def _multiply(batches):
@@ -395,6 +405,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "piece_ids", marks: s
     """rows with the texts of their piece ids in column into; null ids give null."""
     shared = _share(rows.sparkSession, model)
     schema = rows.withColumn(into, F.lit(None).cast("string")).schema
+    bound_batches(rows.sparkSession)
 
     def run(batches):
         lattice = _lattice(shared)
@@ -413,6 +424,5 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "piece_ids", marks: s
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the comma-joined ids), round_trip for each document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    out = decode(encode(docs, keep=["doc_id", "text_hash"]))
-    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"), F.xxhash64("decoded").eqNullSafe(F.col("text_hash")).alias("round_trip"))
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), check="round_trip")
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"), "round_trip")

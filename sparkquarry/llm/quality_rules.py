@@ -20,7 +20,7 @@ from sparkquarry.llm import kernels as K
 from sparkquarry.llm.labelled import sample
 
 #: Labelled texts to learn from, at most (those of the smallest hashes of doc_id).
-LABELLED = 6_000
+LABELLED = 4_000
 MAX_RULES, MAX_CONDITIONS, THRESHOLDS, PRECISION = 12, 4, 24, 0.97
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_bytes", "n_letters")
@@ -72,6 +72,11 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def sample_statistics(t) -> dict[str, np.ndarray]:
+    parts = [statistics(*x) for x in K.sliced(t)]
+    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in COUNTS}
+
+
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
     ratio = lambda a, b: stats[a] / np.maximum(stats[b], 1)
     return np.column_stack([stats["n_words"], *(ratio(a, b) for _, a, b in RATIOS)]).astype(float)
@@ -181,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[Rule]
     t = sample(docs, labels, "quality", limit)
     if not t.num_rows:
         return []
-    stats = statistics(*K.flat(t.column("text")))
+    stats = sample_statistics(t)
     use = ~base_failed(stats["n_words"], stats["n_repeat_words"])
     return learn(features(stats)[use], (t.column("label").to_numpy() == 0)[use])
 

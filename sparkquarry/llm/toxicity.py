@@ -19,7 +19,7 @@ from sparkquarry.llm import kernels as K
 from sparkquarry.llm.labelled import bucket, sample
 
 #: Labelled texts to learn from; words in the table at most.
-LABELLED, VOCABULARY = 8_000, 50_000
+LABELLED, VOCABULARY = 6_000, 50_000
 FOLDS, HELD = 5, 0
 PRIOR, PRIOR_TOTAL, Z, DRIFT, LEAST = 0.5, 500.0, 3.5, 0.1, 1.0
 #: A segment counts as a passage at this chance in a random text, at most.
@@ -129,7 +129,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     """From labels.toxic of the rows outside the held-out fold."""
     t = sample(docs, labels, "toxic", limit, bucket("doc_id", FOLDS) != HELD)
-    return Model(K.tokenize(*K.flat(t.column("text")), K.ALNUM_WORDS), t.column("label").to_numpy() == 1)
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for buf, offs in K.sliced(t):
+        w = K.tokenize(buf, offs, K.ALNUM_WORDS)
+        hashes.append(w.h)
+        counts.append(w.counts)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    return Model(K.Words(np.concatenate(hashes), None, None, first), t.column("label").to_numpy() == 1)
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:

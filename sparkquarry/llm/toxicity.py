@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segment search.
 
-A word's score is its log-odds between toxic and other labelled texts under a Dirichlet prior, where
+A word's score is its log-odds between toxic and other labelled texts (those that hold it) under a Dirichlet prior, where
 that is significant, less a small constant, so that scores drift down in ordinary text. One linear
 scan finds all maximal scoring segments of a text. The distribution of the best segment of a random
 text of n words is an extreme-value one, 1 - exp(-K n exp(-lambda S)); lambda solves
@@ -21,7 +21,7 @@ from sparkquarry.llm.labelled import bucket, sample
 #: Labelled texts to learn from; words in the table at most.
 LABELLED, VOCABULARY = 6_000, 50_000
 FOLDS, HELD = 5, 0
-PRIOR, PRIOR_TOTAL, Z, DRIFT, LEAST = 0.5, 500.0, 3.5, 0.1, 1.0
+PRIOR, PRIOR_TOTAL, Z, DRIFT, LEAST = 0.5, 500.0, 2.6, 0.1, 1.0
 #: A segment counts as a passage at this chance in a random text, at most.
 SIGNIFICANT = 0.01
 
@@ -47,10 +47,11 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 class Model:
     def __init__(self, w: K.Words, toxic: np.ndarray):
-        label = np.repeat(toxic, w.counts)
         keys, inverse = np.unique(w.h, return_inverse=True)
-        y1 = np.bincount(inverse, label, len(keys))
-        y0 = np.bincount(inverse, ~label, len(keys))
+        once = np.unique(w.doc * max(1, len(keys)) + inverse)  # a word counts once for each text
+        label, word = toxic[once // max(1, len(keys))], once % max(1, len(keys))
+        y1 = np.bincount(word, label, len(keys))
+        y0 = np.bincount(word, ~label, len(keys))
         self.background = -DRIFT
         if not y1.sum() or not y0.sum():
             self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)

@@ -18,8 +18,8 @@ from sparkquarry.llm import kernels as K
 from sparkquarry.llm.spans import detect, digest
 
 KINDS = ("assign", "access", "hex")
-#: Log10 of the guesses that make a value a secret; longest value that is judged whole (longer ones cost more anyway).
-THRESHOLD, LONGEST = 8.0, 128
+#: Log10 of the guesses that make a value a secret.
+THRESHOLD = 8.0
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
@@ -45,7 +45,8 @@ def segmentation(value: str) -> tuple[float, list[tuple[str, int, int]]]:
 
     brute costs each character's alphabet; a word its rank, doubled for capitals or look-alike
     digits; a date 365 days in 100 years; a repeat its unit times its count; a walk its start, row
-    and length. Each segment after the first doubles the guesses.
+    and length. Each segment after the first doubles the guesses. Time and memory are linear in the
+    length of the value.
     """
     n = len(value)
     low = value.lower()
@@ -66,19 +67,22 @@ def segmentation(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             if at >= 0 and j - i >= 3:
                 for e in range(i + 3, j + 1):
                     ways[e].append((i, log10(47 * len(ROWS) * (e - i)), "walk"))
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            j = i + unit
-            while j + unit <= n and value[j : j + unit] == value[i : i + unit]:
-                j += unit
+    for unit in range(1, min(8, n // 2) + 1):
+        more = [0] * (n + 1)  # further copies of the unit at i that follow it
+        for i in range(n - 2 * unit, -1, -1):
+            if value[i : i + unit] == value[i + unit : i + 2 * unit]:
+                more[i] = more[i + unit] + 1
+        for i in range(n - 2 * unit + 1):
+            j = i + unit * (more[i] + 1)
             if j - i >= max(3, 2 * unit):
-                ways[j].append((i, sum(map(_alphabet, value[i : i + unit])) + log10((j - i) // unit), "repeat"))
+                ways[j].append((i, sum(map(_alphabet, value[i : i + unit])) + log10(more[i] + 1), "repeat"))
     cost, back = [0.0] + [float("inf")] * n, [(0, "")] * (n + 1)
+    run, begin = float("inf"), 0  # the cheapest cut that ends with a brute-force stretch, and where that begins
     for j in range(1, n + 1):
-        i, total = 0, 0.0
-        for i in range(j - 1, -1, -1):  # brute-force stretches of any length
-            total += _alphabet(value[i])
-            if (c := cost[i] + total + (log10(2) if i else 0.0)) < cost[j]:
-                cost[j], back[j] = c, (i, "brute")
+        if (fresh := cost[j - 1] + (log10(2) if j > 1 else 0.0)) < run:
+            run, begin = fresh, j - 1
+        run += _alphabet(value[j - 1])
+        cost[j], back[j] = run, (begin, "brute")
         for i, c, kind in ways[j]:
             if (c := cost[i] + c + (log10(2) if i else 0.0)) < cost[j]:
                 cost[j], back[j] = c, (i, kind)
@@ -91,7 +95,7 @@ def segmentation(value: str) -> tuple[float, list[tuple[str, int, int]]]:
 
 
 def guess_cost(value: str) -> float:
-    return segmentation(value[:LONGEST])[0]
+    return segmentation(value)[0]
 
 
 def looks_coded(value: str) -> bool:

@@ -238,3 +238,46 @@ def test_pipeline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, d, SF).columns == d.columns, name
+
+
+def test_guess_cost_equals_all_cuts():
+    """Every cut of the value in pieces, each piece at its cheapest kind."""
+    from math import log10
+
+    def piece(v):
+        out = [sum(map(secrets._alphabet, v))]
+        for form, extra in ((v.lower(), 0.0), (v.lower().translate(secrets._LEET), 0.6)):
+            if len(v) >= 3 and form in secrets._RANK:
+                out.append(log10(secrets._RANK[form] + 1) + extra + (0.3 if v != v.lower() else 0.0))
+        if (m := secrets._DATE.match(v)) and m.end() == len(v):
+            out.append(log10(36500) if len(v) > 4 else 2.0)
+        if len(v) >= 3 and any(v.lower() in row for row in secrets.ROWS):
+            out.append(log10(47 * len(secrets.ROWS) * len(v)))
+        for unit in range(1, 9):
+            if len(v) % unit == 0 and len(v) >= max(3, 2 * unit) and v == v[:unit] * (len(v) // unit):
+                out.append(sum(map(secrets._alphabet, v[:unit])) + log10(len(v) // unit))
+        return min(out)
+
+    rng = random.Random(8)
+    for _ in range(60):
+        v = "".join(rng.choice(["pass", "word", "the", "1", "2", "aa", "qwe", "2019", "abab", "x!", "Love"]) for _ in range(rng.randint(1, 4)))[:11]
+        cuts = min(sum(map(piece, parts)) + log10(2) * (len(parts) - 1) for mask in range(1 << (len(v) - 1)) for parts in [_cut(v, mask)])
+        assert abs(secrets.guess_cost(v) - cuts) < 1e-9, v
+    assert secrets.guess_cost("ab" * 50_000) < secrets.THRESHOLD < secrets.guess_cost("ab" * 50_000 + "x9$Kq2!mZp7v")
+
+
+def _cut(v, mask):
+    out, a = [], 0
+    for i in range(1, len(v) + 1):
+        if i == len(v) or mask >> (i - 1) & 1:
+            out.append(v[a:i])
+            a = i
+    return out
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    from sparkquarry.llm.labelled import sample
+
+    d = spark.createDataFrame([(1, "b"), (1, "a")] * 50 + [(2, None), (None, "x"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None), (4, 1)], "doc_id long, quality int")
+    assert sample(d, labels, "quality", 10).to_pylist() == [{"doc_id": 1, "text": "a", "label": 1}, {"doc_id": 2, "text": "", "label": 0}]

@@ -14,7 +14,7 @@ document, which fixes the state at each boundary, and each chunk is then traced
 a boundary falls before a space (no piece holds a space after another character) the matrix is 1 x 1.
 
 Within a chunk, spaces and line ends split the lattice in the same way, so words are solved once
-for each Python worker and remembered (MEMO words at most).
+(depth first, as there is only one path) for each Python worker and remembered (MEMO words at most).
 """
 
 from __future__ import annotations
@@ -56,11 +56,12 @@ class Lattice:
         self.longest = max(map(len, self.id), default=1)
         self.space_safe = not any(MARK in p.lstrip(MARK) for p in self.id)
         self.line_safe = not any("\n" in p for p in self.id)
-        self.starts: dict[str, bool] = {}  # every beginning of a piece: whether it is one
+        self.trie: dict = {}  # by character: [deeper level, the piece that ends here or None]
         for p in self.id:
-            for k in range(1, len(p) + 1):
-                self.starts.setdefault(p[:k], False)
-            self.starts[p] = True
+            node = [self.trie, None]
+            for c in p:
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = p
         self.fits: dict[str | None, dict[str, bool]] = {}
         self.known = 0
         self.with_mark: dict[str, bytes] = _Memo(lambda w: self._solve(MARK + w))
@@ -96,26 +97,64 @@ class Lattice:
             known = after[b] = self.merged(b) == [b] if a is None else self.merged(a + b) == [a, b]
         return known
 
+    def pieces_at(self, s: str, i: int) -> list[str]:
+        """The pieces that begin at i, shortest first; the character itself always counts."""
+        level, out = self.trie, []
+        for c in s[i : i + self.longest]:
+            node = level.get(c)
+            if node is None:
+                break
+            level, piece = node
+            if piece is not None:
+                out.append(piece)
+        if not out or len(out[0]) > 1:
+            out.insert(0, s[i])
+        return out
+
     def forward(self, s: str, begin: int, last: str | None, end: int) -> list[str | None]:
         """For each position after begin, the piece that ends there on the path of weight 0; None: no path. Pieces begin before end and may end after it."""
-        get, compatible, fits, n = self.starts.get, self.compatible, self.fits, len(s)
+        compatible, fits, n = self.compatible, self.fits, len(s)
         ending: list[str | None] = [None] * (n + 1)
         for i in range(begin, end):
             before = last if i == begin else ending[i]
             if before is None and i != begin:
                 continue
             after = fits.get(before) or {}
-            for j in range(i + 1, n + 1):
-                t = s[i:j]
-                is_piece = get(t)
-                if (is_piece or j == i + 1) and ending[j] is None:
+            for t in self.pieces_at(s, i):
+                j = i + len(t)
+                if ending[j] is None:
                     ok = after.get(t)
                     if compatible(before, t) if ok is None else ok:
                         ending[j] = t
-                if is_piece is None:
-                    break
         return ending
 
+    def path(self, s: str) -> list[str]:
+        """The path of weight 0 through all of s, searched depth first, longest pieces first. One such path at most leads to a position, so a position that failed is not tried again."""
+        compatible, fits, n = self.compatible, self.fits, len(s)
+        out: list[str] = []
+        at, left, dead = [0], [self.pieces_at(s, 0)], set()
+        while True:
+            before, i, more = out[-1] if out else None, at[-1], left[-1]
+            after = fits.get(before) or {}
+            while more:
+                t = more.pop()
+                j = i + len(t)
+                if j not in dead:
+                    ok = after.get(t)
+                    if compatible(before, t) if ok is None else ok:
+                        break
+            else:
+                dead.add(i)
+                at.pop()
+                left.pop()
+                out.pop()
+                continue
+            out.append(t)
+            if j == n:
+                return out
+            at.append(j)
+            left.append(self.pieces_at(s, j))
+
     def _coded(self, piece: str) -> bytes:
         known = self._ids.get(piece)
         if known is None:
@@ -134,7 +173,7 @@ class Lattice:
         return b"".join(out)
 
     def _solve(self, s: str) -> bytes:
-        return self.trace(self.forward(s, 0, None, len(s)), 0, len(s))
+        return b"".join(map(self._coded, self.path(s))) if s else b""
 
     def encode(self, text: str, first: bool = True) -> bytes:
         """Ids (int32) of a text, or of a chunk of one between two safe cuts."""

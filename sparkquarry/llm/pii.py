@@ -4,9 +4,10 @@ The network reads windows of WINDOW characters and tags each character as outsid
 inside of a span; transition scores between tags are learned with it, and the Viterbi path is taken.
 Windows overlap by half; where two disagree, the tag counts that is further from its window's edge,
 and spans are read from the reconciled tags of the whole text. Windows are laid over all stretches
-within REACH characters of a digit or an `@`: a span of any kind has one, so no window elsewhere
-could hold one. Spans that the patterns miss (written-out mail addresses, phone numbers without
-`+`) are added if their form is sound; pattern spans always stay.
+within REACH characters of a digit, an `@` or a passage with the form of a written-out address
+(written()): a sound span has a digit or an `@`, or lies within such a passage, so no window
+elsewhere could add one. Spans that the patterns miss (written-out mail addresses, with or without
+digits, phone numbers without `+`) are added if their form is sound; pattern spans always stay.
 
 Training is plain numpy, from labelled spans: sentences made up by labelled_text(), or any given
 list of (text, spans). It is done once for each driver process and model parameters.
@@ -34,7 +35,15 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_AT = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+\Z")
+_SIGN = r"(?: {0,2}(?:@|\(at\)|\[at\]) {0,2}| {1,2}at {1,2})"
+_DOT = r"(?: {0,2}(?:\.|\(dot\)|\[dot\]) {0,2}| {1,2}dot {1,2})"
+_NAME_DOT = r"(?: {0,2}(?:\(dot\)|\[dot\]) {0,2}| {1,2}dot {1,2})"
+_HOST = rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
+_AT = re.compile(rf"[A-Za-z0-9._%+-]++(?:{_NAME_DOT}[A-Za-z0-9._%+-]++)*+{_SIGN}{_HOST}\Z", re.I | re.A)
+_WRITTEN = re.compile(rf"{_SIGN}(?={_HOST})", re.I | re.A)
+_WRITTEN_HOST = re.compile(_HOST, re.I | re.A)
+_BEFORE = re.compile(rf"{_NAME_DOT}\Z", re.I | re.A)
+_SENTENCE = re.compile(r"\. ")
 _GROUPED = re.compile(r"\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}\Z")
 
 
@@ -71,7 +80,8 @@ def sound(kind: str, s: str) -> bool:
     """The check of an added span."""
     d = _digits(s)
     if kind == "email":
-        return bool(_AT.match(s)) and bool(d or "@" in s)
+        # Without digit or @, a full stop and a blank end a sentence: "look at home. Then" is no address.
+        return bool(_AT.match(s)) and bool(d or "@" in s or not _SENTENCE.search(s))
     if kind == "ip":
         return (m := _IP.fullmatch(s)) is not None and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())
     if kind == "card":
@@ -79,6 +89,25 @@ def sound(kind: str, s: str) -> bool:
     return 9 <= len(d) <= 15 and bool(_GROUPED.match(s))
 
 
+def written(text: str) -> list[tuple[int, int]]:
+    """Passages with the form of an address, as long as they can be: all that sound() could take for a written-out one lies in them."""
+    out = []
+    for m in _WRITTEN.finditer(text):
+        i = start = m.start()
+        while True:
+            while i > 0 and text[i - 1] in _LOCAL:
+                i -= 1
+            if i == start:
+                break  # nothing before the sign or the dot
+            start = i
+            if not (dot := _BEFORE.search(text, max(0, i - 9), i)):
+                break
+            i = start = dot.start()
+        if i < m.start():
+            out.append((i, _WRITTEN_HOST.match(text, m.end()).end()))
+    return out
+
+
 def labelled_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
     """A made-up sentence and its spans (kind, start, end)."""
     pick = lambda *a: a[rng.integers(len(a))]
@@ -90,9 +119,11 @@ def labelled_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, i
         if r < 0.16:
             kind = int(rng.integers(len(KINDS)))
             if kind == 0:
-                name = word() + pick("", ".", "_") + pick("", num(2), word())
-                host = [pick("mail", "web", "box") + num(1), word(), pick("com", "org", "net", "example")][rng.integers(2) :]
-                s = name + "@" + ".".join(host) if rng.random() < 0.7 else name + num(2) + pick(" at ", " (at) ", "[at]") + pick(".", " dot ", " (dot) ").join(host)
+                plain = lambda: word().encode("ascii", "ignore").decode() or "a"
+                digits, dot = rng.random() < 0.5, pick(".", " dot ", " dot ", " (dot) ", "(dot)", " [dot] ", "[dot]")
+                name = plain() + pick("", ".", "_", dot) + plain() + (pick("", num(2)) if digits else "")
+                host = [pick("mail", "web", "box", "post") + (num(1) if digits else ""), plain(), pick("com", "org", "net", "example", "edu", "de", "io", "fr")][rng.integers(2) :]
+                s = name.replace(dot, ".") + "@" + ".".join(host) if rng.random() < 0.5 else name + pick(" at ", " at ", " (at) ", "(at)", "[at]", " [at] ") + dot.join(host)
                 s = s.encode("ascii", "ignore").decode()
             elif kind == 1:
                 s = ".".join(str(x) for x in rng.integers(0, 256, 4))
@@ -108,6 +139,8 @@ def labelled_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, i
             out += s
         elif r < 0.24:
             out += pick(num(1), num(2), str(1900 + rng.integers(130)), "$" + num(3), num(2) + "." + num(1), "version " + num(1) + "." + num(1), num(6), "AKIA" + num(6), "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 30))), num(2) + ":" + num(2), num(20))
+        elif r < 0.32:
+            out += pick("at", "dot", "at " + word() + ". " + word(), word() + " at " + word() + ".", "at the " + word(), "a " + word() + " dot on")
         else:
             out += word()
         out += pick(" ", " ", " ", ", ", ". ", "\n")
@@ -255,9 +288,12 @@ def trained(seed: int = 11, steps: int = STEPS) -> Tagger:
     return Tagger(seed).train(lambda: labelled_text(rng), steps)
 
 
-def stretches(code: np.ndarray) -> list[tuple[int, int]]:
-    """Where windows are laid: within REACH characters of a digit or an @."""
-    near = np.flatnonzero((code >= CHARS["0"]) & (code <= CHARS["9"]) | (code == CHARS["@"]))
+def stretches(code: np.ndarray, passages: list[tuple[int, int]] = []) -> list[tuple[int, int]]:
+    """Where windows are laid: within REACH characters of a digit, an @ or one of the passages."""
+    on = (code >= CHARS["0"]) & (code <= CHARS["9"]) | (code == CHARS["@"])
+    for a, b in passages:
+        on[a:b] = True
+    near = np.flatnonzero(on)
     if not len(near):
         return []
     cut = np.flatnonzero(np.diff(near) > 2 * REACH)
@@ -271,7 +307,7 @@ def find(texts: list[str], tagger: Tagger, batch: int = 512):
     codes = [coded(t) for t in texts]
     for d, code in enumerate(codes):
         tags[d] = np.zeros(len(code), np.int8)
-        for a, b in stretches(code):
+        for a, b in stretches(code, written(texts[d])):
             where += [(d, s) for s in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2)]
     edge = [np.full(len(c), -1, np.int8) for c in codes]
     centre = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.int8)
@@ -301,12 +337,30 @@ def find(texts: list[str], tagger: Tagger, batch: int = 512):
         yield [(KINDS[k], s, e) for k, s, e in out]
 
 
+def fitted(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """A tagged address begins where the passage of its form does and ends in it at a whole word; the tagger's own bounds may take in words before and after."""
+    passages, out = written(text), []
+    for kind, s, e in found:
+        near = [x for x in passages if x[0] < e and s < x[1]] if kind == "email" else []
+        for a, b in near:
+            end = min(e, b)
+            while end < b and text[end].isalnum():
+                end += 1
+            part = text[a:end]
+            if not _digits(part) and "@" not in part and (stop := _SENTENCE.search(part)):
+                end = a + stop.start()
+            out.append((kind, a, end))
+        if not near:
+            out.append((kind, s, e))
+    return out
+
+
 def spans(texts: list[str], tagger: Tagger):
     """All spans (kind, start, end, from the patterns) of each text, by kind as listed, then start. An added span touches no other."""
     for text, found in zip(texts, find(texts, tagger)):
         base = base_spans(text)
         out = [(*s, True) for s in base]
-        for kind, s, e in found:
+        for kind, s, e in fitted(text, found):
             while s < e and text[s] in " .,;:\n":
                 s += 1
             while s < e and text[e - 1] in " .,;:\n":
@@ -318,10 +372,14 @@ def spans(texts: list[str], tagger: Tagger):
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Texts with a digit or an @; no others can hold a span."""
-    from sparkquarry.llm.kernels import sums
-
-    return sums((buf >= 48) & (buf <= 57) | (buf == 64), offs) > 0
+    """Texts with a digit, an @, or an `at` on its own or in brackets; no others can hold a span."""
+    from sparkquarry.llm.kernels import LOWER, sums
+
+    on, low = (buf >= 48) & (buf <= 57) | (buf == 64), LOWER[buf]
+    if len(buf) >= 4:
+        before, after = low[:-3], low[3:]
+        on[1:-2] |= (low[1:-2] == 97) & (low[2:-1] == 116) & ((before == 32) | (before == 40) | (before == 91)) & ((after == 32) | (after == 41) | (after == 93))
+    return sums(on, offs) > 0
 
 
 def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:

@@ -203,6 +203,18 @@ def test_personal_data(spark):
     assert masked[1].startswith("é [EMAIL] or") and masked[2] is None and masked[4] == "plain prose"
 
 
+def test_written_out_addresses_without_digits(spark):
+    rows = [(1, "Please write to jane.doe (at) example (dot) org for more."), (2, "reach me: john dot smith at mail dot com, thanks"), (3, "We met at the station. Then we left."), (4, "no address " * 40 + "but maria [at] shop [dot] de")]
+    masked = {r.doc_id: r.text for r in pii.masked(docs(spark, rows)).collect()}
+    assert masked[1] == "Please write to [EMAIL] for more." and masked[2] == "reach me: [EMAIL], thanks"
+    assert masked[3] == rows[2][1] and masked[4].endswith("but [EMAIL]")
+    found = {r.doc_id: r.spans for r in spans.digest(pii.personal_data(docs(spark, rows)), pii.KINDS).collect()}
+    assert found[1] == "email:16:47" and found[3] == ""
+    long = "x" * 90 + " at example dot org"
+    assert pii.written("say " + long + " now") == [(4, 4 + len(long))]
+    assert pii.stretches(pii.coded("say " + long), pii.written("say " + long)) == [(0, 4 + len(long))]
+
+
 def test_tagger_gradient():
     t = pii.Tagger(0)
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}

@@ -3,7 +3,8 @@
 A value that follows a credential word is cut into words, dates, repeats, keyboard walks and
 brute-force stretches so that an attacker's guesses for all of them are fewest (dynamic programming
 over the value's positions, costs in decimal logarithms). A value that still costs THRESHOLD or more
-is a secret; weak ones, such as a plain word, are not.
+is a secret; weak ones, such as a plain word, are not. After a mere blank or `is`, where prose goes on as
+often as a value follows, a single word in ordinary spelling is taken for prose, whatever its cost.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from sparkquarry.llm import kernels as K
 from sparkquarry.llm.spans import detect, digest
+from sparkquarry.llm.words import WORDS
 
 KINDS = ("assign", "access", "hex")
 #: Log10 of the guesses that make a value a secret.
@@ -24,7 +26,7 @@ THRESHOLD = 8.0
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-_CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|(?:access|auth|bearer|api|session)?[_\x20-]?token|(?:api|access|private|secret|signing)[_\x20-]?key|credentials?|authorization|bearer)["']?\x20{0,3}(?:[:=]{1,2}>?|\bis\b|\x20)\x20{0,3}["'`]?([^\x00-\x20"'`<>,;]{6,})""", re.I | re.A)
+_CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|(?:access|auth|bearer|api|session)?[_\x20-]?token|(?:api|access|private|secret|signing)[_\x20-]?key|credentials?|authorization|bearer)["']?(?:[\x20\t]*+([:=]{1,2}>?)[\x20\t]*+|[\x20\t]*+\bis\b[\x20\t]*+|[\x20\t]++)["'`]?([^\x00-\x20"'`<>,;]{6,})""", re.I | re.A)
 _WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"authorization", b"bearer")
 
 # Frequent words in passwords, most frequent first, and keyboard rows.
@@ -32,8 +34,8 @@ COMMON = "password the and for you love admin welcome login master dragon monkey
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "0987654321", "poiuytrewq", "lkjhgfdsa", "mnbvcxz", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
 _LEET = str.maketrans("@4310$5!7", "aaeiossit")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-_RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-_LONGEST_WORD = max(map(len, COMMON))
+_RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys([*COMMON, *WORDS]))}
+_LONGEST_WORD = max(map(len, _RANK))
 
 
 def _alphabet(c: str) -> float:
@@ -98,9 +100,13 @@ def guess_cost(value: str) -> float:
     return segmentation(value)[0]
 
 
-def looks_coded(value: str) -> bool:
-    """Mixed characters: plain words of prose are no secrets, however long."""
-    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or (not value.isalpha() and sum(not c.isalnum() for c in value[:-1]) >= 2)
+_JOINT = re.compile(r"[-'’/.]")
+
+
+def looks_plain(value: str) -> bool:
+    """A word in ordinary spelling (lower case, capitalised or all capitals), or two of them joined."""
+    parts = _JOINT.split(value)
+    return len(parts) <= 2 and all(not p or p.isalpha() and (p[1:].islower() or len(p) == 1 or p.isupper()) for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -113,11 +119,15 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans (kind, start, end, from the base patterns) by start, then kind as listed. A value that a base span touches is not added."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
-    for m in _CONTEXT.finditer(text):
-        value, start = m[1].rstrip(".:!?)]}"), m.start(1)
+    at = 0
+    while m := _CONTEXT.search(text, at):
+        value, start = m[2].rstrip(".:!?)]}"), m.start(2)
         end = start + len(value)
-        if len(value) >= 6 and looks_coded(value) and not any(s < end and start < e for _, s, e in base) and guess_cost(value) >= THRESHOLD:
+        at = m.end()
+        if len(value) >= 6 and (m[1] or not looks_plain(value)) and not any(s < end and start < e for _, s, e in base) and guess_cost(value) >= THRESHOLD:
             out.append(("credential", start, end, False))
+        elif len(m[2]) <= _LONGEST_WORD:
+            at = start  # the value may itself be a credential word: "authorization: bearer ..."
     order = {k: i for i, k in enumerate((*KINDS, "credential"))}
     return sorted(out, key=lambda s: (s[1], order[s[0]]))
 

@@ -1,0 +1,946 @@
+"""Frequent English words, most frequent first (by the number of texts they occur in, over the documentation texts of open-source Python packages)."""
+
+WORDS = """
+the for and this with not that see are from use all one can when should only file may copyright will license but used more which type return have check test version you value
+object returns has https python same set copy default work data class name under string either values function using also specific list get any information other first case like
+into none code here make required error does need was given except some must because licensed additional these true http then method unless each number than new there github module
+language note its without where example import raise create result obtain after tests software writing empty before instead distributed input different types call since both
+support add index otherwise they names just two present whether applicable single false functions parameters would apache output implied permissions details always order express
+compliance out limitations time objects argument contributor foundation law them agreed avoid governing regarding source specified ownership raises int passed licenses instance
+path agreements sure ensure tuple array str called based following optional end match multiple valid exception cannot strings already arguments methods format returned pass want
+found line now such dtype defined convert try even uses original been expected between contains cases implementation run back current integer noqa possible through part length
+change level provided attribute could available handle float remove still dict being user ignore start invalid supported works above directly numpy about self their over last size
+examples column series issue bool point files needed raised args created key while our base way containing generated parameter allow special what behavior columns how another
+attributes added below most once results means find standard text via read too might right currently sequence include errors keep reserved keyword missing form setting dictionary
+second team defaults calls fail those classes pygments correct warning message during rights common bytes contain reference testing explicitly calling block skip compatibility
+equal actually removed write equivalent element else were well elements take within many style mapping simple allowed pandas process keys encoding fails generate variable
+deprecated character checks boolean scalar needs necessary corresponding done never least memory converted characters mode build cast per useful existing full running extra zero
+including options next itself parse numbers matches takes until state actual range correctly internal directory long binary local allows left passing every arrays automatically
+versions provide item custom model package tuples bit notes def update windows root public due unique later instances context supports replace param checking matching large against
+specify ignored field shape requires sets however rather subclass inside changed representation provides similar exists gets nothing place determine option cover versionadded
+interface func usage unicode integers logic makes exist operation something lines cache apply system dtypes table handling etc written operations around lists times datetime old
+anything inputs nested included items stored related underlying map buffer documentation future very own cause exceptions fields override maximum modify conversion access less
+compare constructor load entry various returning library explicit negative numeric changes named exactly compute assume row resulting sys callable fixed better small yet your
+require variables pragma look verify microsoft bug normal comparison basic includes define give helper know ndarray environment rows made compatible applied metadata extension
+corporation show regular creating split store considered construct relative again count implemented longer position preserve complex previous protocol sort appropriate assert
+creates indices subclasses handled parent parsing date open treated individual real loop adding safe log modules users save known terms validate random target generic attempt info
+wrong subject group please lexer performance print keywords expression byte perform though implement header namespace depending spark syntax main axis location global frame
+starting represents precision close kwargs initial three mixed prefix offset properly produce whose whole particular iterable alias limit according enough flag separate
+representing wrapper wrap reading entries content node arbitrary issues side paths prevent shared space control probably listed installed docs happen expect contents off reset
+enable trailing null happens final associated having points property pattern complete failed things across gives much really able put therefore signature behaviour handles filter
+duplicate along display label ones encoded break top sorted replaced fix comment iterator definition taken everything exact collection closed general references runtime whitespace
+effect thus outside parsed making configuration stream intended properties doing search max appear mask consistent modified command accept difference floats specifying checked raw
+identifier double indicates operator represent pyspark extract incompatible previously trying consider entire generator timestamp leading clear enabled simply width fall slice
+warnings lower view lexers stop decimal scalars ints mean select filename detect operators labels addition traceback preserved project few absolute certain minimum infer schema
+accepted private mypy starts larger fill regression fallback accepts down comments categorical manager structure validation let algorithm converts force desired working adds bugs
+together nan append section builtin runs fast distribution assignment best positional imported messages parts help pairs request further likely good indexing rest failure did
+condition usually reason ref possibly bad converting processing copies positive wrapped server relevant total backwards follows others going faster initialize constant rules kind
+depends internally ensures requested overflow manually dataframe arg doctest several ordered unit exclude cached functionality move obj pair indicating bound disable fit
+implementations catch features plain report git inference yield applies hash tested connection blocks unknown execution hold raising remaining had treat updated step calculate
+nodes pytest caller release iteration supplied sequences bounds casting copied greater trigger thread specifies backward platform seconds contained docstring drop problem indicate
+levels contributors core beginning proper compiler authors literal typing meth temporary fully generally hypothesis stack legacy register looks parser identical important follow
+config mark normally leave insert timedelta free immediately regex loaded short external ordering formatting creation deprecation implements occur setup built pip conditions switch
+sum decorator script higher inferred status disabled query handler thing alternative description represented child turn recent install resolution pyarrow dimension flags delete
+neither normalized unlike timezone connect period subset expressions occurs assumed packages words lookup deal token resolve guaranteed escape earlier merge native defines maps
+engine categories indexes tree followed event causes outputs refer requests overridden smaller groups summary graph seems aliases ops optionally versionchanged formats unchanged
+formatted codes separated determined spaces record repr compiled ends combination session reduce floating older normalize track assumes incorrect typically semantics dataset union
+constants feature direct come mozilla derived attr arrow systems assigned computed purpose slow holds got send sample bits twice meaning purposes forward developers produced
+changing aware doc crash skipped notice iterate getting decoding fixture platforms statement specification interval restore execute console described reads branch window foo bar
+repeated prior encodings color account address abstract stable freq document fine descriptor why encode body problems become headers registered nor produces strip batch equality
+exit pickle comparing transform compared sometimes tokens reverse response duplicates specifically separator selected choose collect models socket extensions comparisons share
+evaluate permission executed dimensions implicit performed dimensional counts imports inner axes newline regardless finally optimization spec arithmetic generates taking
+unsupported looking care printed kept word offsets client clean compat utility libraries warn easy buffers tag limited comes tries digits assign interpreted expects linux readable
+non sizes retain broken maybe tools construction keeps hook dependent product components importing char overrides static directories min matrix reuse codec potentially naive
+updates wise silently recursively yields zeros timeout inspect link recursive depend threads goes speed replacement dropped join sorting passes hence json wait affect lambda amount
+padding convenience saved loading separately interpreter settings dates constructed selection appended hit optimized initialized continue struct scheme sent scope sense machine
+inplace wrapping collections subsequent combinations failing category partial throw annotations params deleted high third often decode filled extended suitable dynamic received
+moved combine recommended ways callback past matter computing application minimal responsible early strict designed vector edge fact suite rule embedded building avoids breaks
+chunk definitions reasons rely plus appears becomes anyway overwrite respectively upon tell caused builds processed necessarily applying storage generation ever increasing chosen
+sign host matched identity requirements distinct author positions requirement round records behave propagate terminal program unsigned independent invoked math container preferred
+shows serialized seen mod workaround component debug day signed determines although easier successfully dependency unused closing domain recursion languages frequency marked coding
+improve outer tags unexpected broadcast coerce url writes contiguous implementing programming accessing suffix defining inherit collected chunks dicts weights power dependencies
+reached ignoring allowing shown origin retrieve accessed identifiers literals resolved wraps assuming repeat quite hashable almost member printing mapped linear respect generating
+started patterns evaluated dummy places tensor efficient slightly align children far excluded groupby omitted reported differ ambiguous export major hack signal disk debugging
+attempts calculated evaluation page google dictionaries behaves typed pretty smallest formatter aligned arr replaces supporting low locations inc quoted boundary extend weight
+development expensive away upper cycle coverage port blank operating forms whenever lengths preserves infinite structured opened chain approach proxy storing precedence inserted
+removing database distribute java presence configured receive dot adjust utilities recognized email escaped annotation unix initialization corresponds strategy guess letter
+providing corner duplicated incorrectly prefer variant quotes guarantee differently opening overhead active consistency stuff mechanism title timestamps priority combined transpose
+members copying alignment marks computes among mostly reshape removes truncated replacing vary choice logical immutable streaming training rename indexed cleanup network slicing
+largest entirely inf render encountered filesystem keeping marker big introduced identify themselves factory dynamically overlap stores backed whereas frames latter year days
+caching say pointer garbage especially prepare merged computation scale numerical processes completely highlight meant little term datetimes ascii units inherited giving remain
+eventually whatever undefined middle calculation shall strictly additionally expand pick helpers reader enum rank lost performs differences lead detected steps division pool pylint
+ideally insensitive reasonable sources obtained sanity limitation failures serialization remains four statements satisfy supposed elsewhere indexer chars hard stdout maintain depth
+square filling statistics suppress invoke attempting newlines mismatch highest layout wheel enforced emit installation background truncate booleans consume thrown dir differs
+equals inverse partition circular safely unnecessary cls pickling logging parametrized figure constructing nans excluding shapes occurred discard originally potential capture box
+conversions direction decide reversed party resource commands documented routines visible refers decorated decoded factor comma lazy virtual filters compression compile col zone
+std limits quote action idea nearest deep careful pad combining device operate submit parses hand released hex held turns attach placed controls punctuation implicitly located
+cython ndarrays prints succeed nice rounding constraints mainly overriding attention displayed average stdlib serialize alive bare patch reduction relies governed slices
+interchange masked builtins month extracted modifying shift constructors threshold practice weird vectors plugin ufunc configure breaking modification seem inline symbol granted
+distinguish intermediate caught variance sparse sensitive colors casts kwarg correspond links subprocess interpret releases resources acceptable think monotonic verbose discussion
+partitions nullable referenced events ending begin wide consecutive prevents usual overlapping falls pypi transformed alone similarly instantiate boundaries epoch experimental
+assertion onnx pydantic ignores optimize adapted duration seed helps latest init instantiated alternatively conflict repository automatic tables executing pure partially
+distributions mutate protobuf segfault modes finished descriptors magic successful states lowercase temporarily writer causing expose restriction increase template trip mix hooks
+hide unfortunately dispatch odd effectively throws backend symbols applications consists pyright registry evaluates globals kernel covered significant beyond concrete stderr
+determining who threading clause parsers idx styles symbolic trace newly appropriately describing exposed transformation periods loss digit triggers var dealing preserving lock
+cost finds reports leaves locale stripped easily algorithms views turned flexible ask minor sentinel attached indicated sized backslash retained mock filtering says triggered
+ranges terminate enables bias filenames detailed showing draw affected structures iterating validated height dim emitted interactive handlers flattened covers normalization
+skipping agreement convention solution redundant lowest splitting occurrence dataclass holding singleton worker executable remote grouping pop exc shell addresses allocated fewer
+fetch ids meta grouped rich lot conditional usable notation reproduce shutdown microseconds coercion finite filtered insertion cols parquet packaging inserting onto newer consumed
+hereby integration coerced operand dont technically perhaps markers hidden updating indent impossible alternate prompt qualified finding fraction slower shallow exercise somewhat
+leak performing upcast ufuncs writable front unpack streams shorter wants parallel soon bind half aggregation swap reporting describe finish lets approximate belongs concatenate
+saving enforce task probability roundtrip subtype initializer ascending highlighting broadcasting fbs canonical ready segment representations explanation scan sending accuracy
+initially populate accurate aggregate pipeline tab act forces loops wish docstrings mutable simplify meaningful products flatten descending ser timezones respective incomplete
+detection exclusive disallow alter divide portions appending mixin omit deterministic image classifier nulls concat prefixes msg reach val indentation queue kinds len implies
+counting permitted layer advanced multiplication cleared abc flat indicator effects alpha binding matplotlib brackets accessible convenient dev translate html promote constructs
+coordinates sub likes reject retry lib rendering predicate expanded guide attrs exported scripts inclusive leads observed torch typical effective closest retrieved specifier
+generators diff analysis detail pickled compliant linked nanoseconds security choices destination service routine defer moment policy falling separators rewrite letters loads
+sufficient caches completed batches tensors astype dump renamed portion archive tool terminated basis anymore connections encoder lose decoder infinity bottom actions tracking
+variants tricky annotated symmetric guard zip flush bin particularly hours family intentionally unset propagated importlib scipy expressed reductions dateutil validator someone
+locals candidate authentication producing colon samples remainder transition rare ensuring situation reduced obtaining success transforms drops subclassing unittest defs bsd
+succeeds hello nesting instantiation simpler declaration leaving legal blocking mimic wrappers delay hashes mutated api lazily recommend train decreasing loc compressed mac
+overwritten worth reconstruct pipe schemes inherits span documents interpolation integral person splits frozen continuation tasks conflicts unlikely metrics quickly unsafe race
+calculating continuous tells effort shortcut classmethod constraint essentially waiting modifications populated hints plugins fuse prepend cell fresh exceed tried accessor reflect
+subtract escapes multiply metaclass recognize minutes imaginary progress dist intersection milliseconds worked declared locally downstream trivial intervals permit primarily moving
+estimate encodes design deviation occurrences internals complicated met verification cells white selecting affects randomly highlighted describes history cross despite illegal
+compares knows multiline sync hour interesting machinery controlled huge cat measure nonzero manage auto dropping web mappings risk delimiter quick involved inspired env ahead
+reused possibility manual sections median stay sharing matrices pathlib multi datetimelike forced quantized xref allocate belong signatures underscore area disallowed scaling plot
+formed increment rejected transfer chance degrees mismatched closes hint identifying misc delta accordingly chained functional ourselves sends redirect uppercase managed download
+strategies completion introspection manner password sep inconsistent valued fits counter dataclasses datatype merging primary provider tolerance bins iterations ndim relatively
+disables invocation searching skips week commonly pointing pieces basically endian unconditionally reliable sampling rounded stopped learn loader attempted near exponent treats
+weighted setuptools datasets transposed dense coefficients assigning rolling analogous setitem temp stops tempfile primitive async del fractional opposed people quantile guarantees
+baz engines yes drawn understand fortran warns towards confusing interaction conform yielding unspecified simulate helpful came naming tzinfo unary pos segments ability publish
+converter modifies proxies stackoverflow confirm upstream chunked onnxruntime subgraph void recurse specialized deleting queries evaluating delimited age uniform solely natural
+allocation human audience post validates sliced contact mess years iterables callbacks atomic joined selects remember bases markup prefixed answer functools pull framework theory
+behind dual receives flow categoricals smoke quantization fusion itemsize disabling head lookups decimals callers requiring frequencies topic beta center calculations fused
+overflows bools num assignments dots checkers threaded respected tick connected signals discarded push substitute registration pending satisfied horizontal physical calculates
+discovered sides initializes builder plan scala squared validators site interfaces unpacked eval captured expansion assumption proto specifications substantial matters obvious
+overload unwrap phase certificate channel adjacent projects gencodec unable slash registers issued concurrent rid invariant accepting payload commit coefficient grammar verifies
+callables couple sorts verifying backport vectorized nanosecond masks singular observations dropna reindex multiindex shrink polynomial numba rtype thanks deprecate maintained
+efficiency distance looked installing vars goal buffered piece iterators folder roughly floor precise excludes bindings vertical classification driver logger reorder theme entered
+hexadecimal simplified indented trim mutating submodule situations anywhere achieve charge sell candidates spurious catching asked convertible plotting transformations
+independently predictions transformers indexers skipna timedeltas wheels initializers widget renderable minus trick counted deferred resolving subtraction cycles excel parents
+recorded decorators verified increases stats decision cursor containers improved rendered specially packed environments exits removal region okay cut hostname concatenation extras
+comparable powers operands fixing representable whom optimizer bother responses modern directives friendly edit getitem retrieves cartesian grid deliberately robust strides iff
+padded nature concatenated architecture repeatedly zones efficiently job inserts translated classic identified auth specifiers cleaned casted supply management fairly contexts
+universal tokenizer live abort expanding fold arbitrarily clock blocked gone malformed editor searches selector score afterwards sublicense edges interpretation fancy doctests
+fragment bypass derivative correctness choosing fastpath enabling xml black altered jump anchor parentheses dotted fixes stdin thought relationship buffering enter csv treatment
+squeeze ideal simplest acts persons folding fake complexity impact unordered elementwise relying converters resolver ticket ctypes preference unpacking red compress ordinary bunch
+customize collector minute inheritance adjusted exhausted percent gmail world profile font facing partitioning downloaded schemas carry hierarchical res circuit individually urls
+multidimensional supertype iterated startup distutils delegate exceeds fitting exposes suppressed unmodified destroyed happened gap sockets pickles mail slot escaping kernels
+extends compound play conflicting printable historically ellipsis transformer strange considering displays fixtures scenario renders accidentally promotion super former spacing
+drive tail standalone consisting namedtuple puts dead microsecond magnitude advance urllib unpickling div reduces furnished safety shrinking collecting presented exponential
+restored observation putting treating assertions gzip home clone decodes january digest preceding tabs extracting quoting wrote discrete percentile prepended reflected extracts
+serializable unhashable validating maintains developer resolves claim instantiating partitioned serializer inferring crashes retries labeled asyncio editable shifting extending
+unavailable calendar feed official existent weak repeats placeholder fee truncating freedom swapped consist stage recreate dedicated forwarded coming anyone underscores stateful
+markdown datatypes dataframes configurations absence clip masking consumers cumulative renaming operates tracebacks emits declare mixing clears delimiters exited yielded
+correlation spaced overwriting happy favor localhost slots business clearly everywhere profiling capturing coordinate unnamed cased org transforming upgrade rebuild nano archives
+weekday worry hierarchy varies lack elif weakref solve codecs heuristic protocols servers machines surrogate conventions coerces absent derive commas invalidate benefit buggy
+screen optimizations branches pre consistently pytz offers varying quality fillna unequal scenarios mul opset iloc suggested registering invoking clients emulate charset bracket
+satisfies walk backslashes subsequently seek difficult ratio purely truncation refactor resets meet contributions exports extremely miscellaneous overloaded sleep existence runner
+initializing hang unions referred shuffle diagonal protect symlink english sunday unrelated saves accesses bitwise installs ordinal writeable course translation undo superclass
+substring master principle avoided scaled nth signs consumes trimmed mirrors fashion performant redirects drawing consumer avoiding bucket fmt forcing mapper needing approximately
+fitted footer resultant sequential orders suffixes introduce declarations undocumented ast approximation rate programs wanted getattr persistent ssl cleaning evenly historical
+whitespaces unbounded involving restrictions quantize measured overview prepared midnight expecting appearance predicates homepage receiving shares identically stacked prediction
+equation optimal ruff agree opens symlinks minimize fork prune exiting opposite stub targets listing triple cancel accumulate domains stripping username analyze endianness
+submodules additions idempotent shifted pow executes invokes merges irrelevant redistribution simultaneously proceed distinction overall triggering claims definitely directive
+question complain macro somehow repeating teardown inject scales dims reindexing bold flaky defensive leaks conftest owner thousands appends readonly apple localized strong
+endpoints coroutine timing equally van replacements apparently gracefully inheriting normalizes ugly cluster processor discover disclaimer instructions conjunction logged
+namespaces trust compact unsorted sufficiently monotonically collects homogeneous img serializing com divisor demonstrating formatters unclear benchmark templates mentioned five
+sessions monday hashing validity compilation exceeded shorthand responsibility hosts somewhere isinstance unbound encounter forever memoryview reaches offer miss sees internet leaf
+john versa rarely simplicity generics termination vendored multipart chaining setter expr combines histogram estimator buf resample mutation restricted uint ravel reso listlike
+suppose straight hopefully localize lots bail carefully const bounded deletion subclassed eric percentage octal duplication manages folded button resize app conf sampled truth
+stays subtypes iterates inclusion importable cwd pack strips bytearray keyed propagation reliably face incoming enclosed lies quantiles formula central multiples deeply apart
+respects modulo nonexistent serves border checker regexes backing joining bytestring protected reasonably mutually referencing catches gather indirect rightmost problematic
+executor residual zoneinfo infers ddof grouper downcast wikipedia tzdata prompts silence lineno lacks bogus managing posix unnecessarily hope mimics wider narrow timeouts explained
+intercept rejects transport consumption checkpoint overwrites begins chunksize confusion interrupt existed worse statistical braces launch decorate tied fetched summed alongside
+providers menu draws coercing peterson isolated emscripten searched readline redirected informative src hits traditional six globally wall assumptions displaying merely sensible
+translates circumstances march adapt believe indirectly wildcard multiplied roots confused examine finder tagged stray invocations ran outcome visual closure communication refs
+workers eagerly rdd comprehension agg reducing dog backends alphanumeric equivalence ubuntu parametrization parametrize late pages leap peps throughout identifies differing rewind
+err enclosing said contribute logs uniformly whichever pseudo rounds stricter seq detects embedding ended factors caution connecting demand heap tracker highly losslessly developed
+endpoint waits gaussian activate latency logically widths room utils predict interest lexicographically reordered cancelled discarding stride conforms trees decides stopping great
+longest manipulation invert reachable entering guido michael natively frozenset reload accumulated separating zipfile cert terminates positives recently parity projection fault
+aggregations idle aggregating membership achieved fed dimensionality timeseries subarray aka dirty pyproject spans bundle reshaping weighting spam entity blue diagnostic immediate
+tokenize lifetime life ambiguity refuse preceded subtracting predefined rng integrated estimated surprising covariance inexact satisfying fills prog materials redistributions
+trusted primitives customized certificates regexp learning parenthesis unlimited parameterized denote soft shim agent structs aligns joins eps trained discovery light transitions
+rhs htest restrict defaulting pathname unaffected bigger deletes marking composite captures understood managers patched collisions explain abs improvements recover asking
+frequently occurring population estimation degree maintaining dividing timer endorse retains encapsulates exposing finishes heavily integrate trouble refactoring commercial moves
+significantly rewritten approved httplib sphinx zstandard deserialized pinned propagates broadcasted plots picked differentiate requesting reshaped usecols emitting verbatim
+exporting macros searchsorted roll upcasting opaque browsers traverse forbidden fourth bytecode norm increased surrounding patching truncates grab advantage subtle wins scanning
+catalog solaris perfect ranks squares contract substitution besides scientific closer baseline abbreviation told boxes inspection exec leftmost dunder unified unusual tkinter
+scoped changelog persist online concatenating stacklevel clearing solved stale criteria utc preparation analogue stat alphabetically bootstrap dst referring walking tracing
+borrowed mistake coded months triples essential finalization desirable collapse await interested jan ditto intent corrupt succeeded eliminate standards warsaw contributed numbered
+scores procedure touch annoying opt consuming unambiguous forget uniqueness freed handshake yourself denotes interrupted resetting indeed unhandled ftp patches contrary medium
+oriented dialog picklable pid annotate tip cpython doubles css sql pin eager variation barthelemy paste animal discards cleanly wire keepdims capable happening sourcecode man pearu
+polynomials tzaware subdirectory instruction conservative interfere complement considers kwds sane blow algebra errno conn david established restores scanned cookies texts
+namedtuples glob equivalents interpolate predicted dash paragraph exp conforming silent staticmethod mechanisms heads dest supplying pretend unpickle arise mirror obviously
+iteratively transaction counterpart surrounded aliased lives highlights verbosity arising configurable vertically pairwise cond comprehensive expired costly cpu virtualenv decided
+deserialize destroy notebook perf req epsilon production loses asserts reconstructed cap browser debugger manipulate fastest andre quiet ext filepath asynchronous cookie rewriting
+recompute casing intact closely cheap shortest adapter tracks owns notable scheduled promoted computer android titles continued publicly fly paper contrast bash sdist persistence
+replicate carries util paired deserialization factorization gradient holes nrows cats boxed stick secondary fragments graphs consolidated logits diffusion tracked superset
+longdouble swapping argsort refcount dup numexpr arraylike devices suggest hardcoded cyclic spelling furthermore december strftime omitting lone nicer ticks transparent commented
+descriptions flexibility locate aspects mathematical numerically introduces mailing establish unregister unrecognized lambdas multiprocessing denominator schedule alt extent
+completes descriptive hardware turning demo liable plane interact overloads frequent divided university intel ported executors explode concern introspect assigns pivot unpickled
+chunking bars sqrt vals byteorder codepoint uninitialized overlaps dups friends normalizing lemburg expands enters channels divisible informational possibilities daylight tmp
+incremental replay rossum practical barry likewise ties estimates infinities deepcopy incremented classmethods unaligned powerful involve shadow ing externally honored auxiliary
+versus segmentation freely throwing warranty revised restoring tiny improvement xdist monkey contributing metric semantic summation submitted namely subplots mixture psdf uniques
+cumsum correspondence easiest truthy downloads conv straightforward enumerate pycon pointers redirection fsspec strided pertaining extraction went uncompressed net contextmanager
+spawn unwrapped fractions critical preventing reraise stacking lookahead revision deemed logistic density linearly curve survive scopes statically reaching prod mind involves
+databases statistic certainly thereof vice viewing behaviors shebang mouse circle warm composed structural designated dirs accounts unstable gateway deduplicate cancellation
+reflection dispatches thinks conceptually quarter missed credentials ultimately surrogates pypy linking forwards editing entities benchmarking preprocessor subroutine visibility
+django margin segfaults shaped fri preservation myself speedup popular pointed gain basics handy mtime flushes zlib modifier precisely slashes harmless computations dec publicity
+outermost delayed variations refresh greedy adjustment unreachable subsets strongly infs poor ought targeted seeing ctx substituted greatest sin concept grow literally exhaustive
+dance confuse deadlock divmod heterogeneous notify substrings became images larson underline proc compose denoted stated relation mismatches unbiased mat styler daily feel holder
+bundled comply useless versioning retrieving exercising peak leaked propagating delegation linalg recarray subarrays intp lbnd deg controlling pdb shot glibc tweaks compiling
+knowledge popped argparse offered imply enums capabilities locks maximal paul serve noise sums maintenance deeper hardcode retrieval losing continues backtracking mandatory
+recognised traversing millisecond sole typ elapsed guessed savings aggregated erroneously redistribute grant toplevel contribution kill sun dashes injected community serializes
+separates textual cores improving decomposition thresholds bring innermost organized dark poorly refactored anchored reprs vim consolidate subdirectories querying queried february
+green portable repetitions summarize finalizers directions uniquely listening dialect truly published sentence allowable limiting extreme subnormal underflow switched disallows die
+complains flavor fair visit identification barrier wild resume insensitively moreover jython alternately variety interacting alternatives research trade layers monkeypatch badge
+rst udf commutative clustering pdf pearson nanos jupyter saturday freqs midx ffill resampling bfill ewm skew cov latex justify delegates strs rtol chang peer mutations finalize
+shrinks cuda pierre matmul deque pointwise architectures angle weeks resort incorporated modifiers latin dedent harder colons book advertising alphabetical quit gaps sajip vinay
+sheet enhanced reproducible continuations hyphens capability engineering affecting indication nonnegative star timed terminating quadratic obsolete oct abstraction fetching
+anonymous protection country giampaolo hiding defaulted click collision recording recipes prepares boilerplate flushing absolutely prohibited wherever egg jobs guards pasted
+configuring iterative inlined ceil appearing denoting unicodedata asserting mismatching coroutines unreliable foreign aid tripping brace freeze caption inequality travis perfectly
+flip regrtest viewed inspected uid substitutions shutil encrypted opcode endings european flushed aliasing detecting idlelib inspecting accurately opcodes meets dispatched
+authorization shortcuts lexical regenerate specs descendant interpolated quantity reusable unwanted multiplying technique introduction gotten selectors chains welcome alert
+readability untouched recipients getter declaring gamma libc abbreviations generalized press damages services symmetry restart materialize popen capitalized pruned traversal
+indirection proposed behalf httpbin integrating retaining grained duplicating buckets orc analyzed upload labeling incrementally activated vocabulary infrastructure ret isin
+reindexed isna instant recognizes broadcastable todo quant lex repetition terminals mocks hood discriminator behaved shik filesystems sysconfig win basename encounters decompress
+compressor april anchors linecache uuid permutations consequence accessors outfile destructor violation revert lhs acquire grows doi reciprocal arrange minimizes neg unaltered
+honor fatal snippet stands untrusted accidental unfortunate wake sake gcc reordering letting intuitive clusters thru grants companion qualname flattens injection serial exceeding
+recursing secret dumps downloading aggregates stages pipelines batched unescaped parallelism ipython positionally belonging clipboard activation testcase impl leaking isolation
+inconsistency stuck notices pruning extraneous accumulation foreground mon overly accounting transmission xfail discussed encodable rationale issuing zeroes finalized stating
+associate finalizer jumps dictates consideration blanks pep correction bootstrapping uncomment quotient ten agrees badly nonempty looping switches gathered cheaper inefficient
+growing certs intention theoretically dealt subinterpreters incrementing toward successor syntactically secure august agnostic suites toolkit october beware hacky launched
+signifies pickleable expectation chooses questions facilitate identities concurrently concise demonstrates seealso listener advised rec interoperability concatenates durations
+ternary parametric scatter evaluator gpu reality estimators reusing amounts tabular squeezed hot atol stability residuals stubs answers discouraged lowercased budget deliver
+distinguishing unsqueeze subgraphs unify argmax indicators perl tox italic unquoted meson initialise corrupted occasionally altering fastparquet boxing noted duckdb deficient
+roundoff lexsort friday denied lexsorted datetimetz lossy groupers enforcement gave dangling fredrik locales tim thin oldest darwin echo arch seekable owned atexit substituting
+locked readers clocks worst topics onwards feedback lie geometric everyone rectangular spread checksum inverted prime rotated exclusively leftover marginally took permanently
+overflowing defaultdict parens daemon sender shipped julian regard pointless modeled focus approximated geometry herein pipes hanging interpreters semantically aims covariant
+manifest clash acceptance degenerate accommodate presents arguably editors blob deduplication probabilities unmatched binds invariants micro recommendation degradation meaningless
+orient squeezing intentional preferences edition mocked predictable troubleshooting clipping pascal singletons fonts autogenerated concerns hangs conditionally equiv unstructured
+zeroth checkout uninstall uncommon synonym fallbacks hides till cmd hitting centered digests suppressing eastern clamp bump stateless his rfc midpoint proportional adopted
+selections rational semicolon ease dangerous equivalently maxsize cleans reproducing interprets offending substantially exclusion authenticate mention apr hostnames setattr
+ephemeral releasing similarity lang shorten deltas cutoff traced alphabet horizontally introducing turtle principal material trademark deduced negatives globalns subscript
+permutation rejection exchange curly linker maximize disjoint qualifier solutions safer backtick asof evolving windowing attaches typecode noop hourly tuesday subplot plotted
+boxplot role international growth eigenvalues lesser isnan worldwide dagenais chris migrate nones cow unstack falcon unstacked disambiguate feather bird transposing parrot kurt
+sheets ant skiprows sharex typevars excessive prereleases solid spellings contributes hugging embeddings codebase gelu conda psutil packing forbid highlighter capital branching
+decisions carriage temporal parametrizing enforcing meantime beforehand ness der plt rcond derivatives vandermonde printer disposition widgets snapshot venv visited unconditional
+abbreviated hashlib forwarding slowest edited msdn lundh intermediary collapsed summarized sortable presentation asynchronously makefile stronger relied hyphen consult outcomes
+media decoders translating connects extensive placeholders blindly presumably sec wildcards scanner plural notion simplifies revisit percentiles investigate triangular smoothing
+alters swaps becoming backported divides decompression reentrant isolate brief frozensets expires poll unwrapping warranties june criterion penalty nearly inform determination
+scheduling deals disks demonstrate today spent insufficient pythons pads invalidated shut enhance viewer trademarks notwithstanding reflects floordiv feeding localns mangled
+encryption artifact sink exponentially bob misleading pathological artifacts synchronize confidence orthogonal forming defects scratch encoders successive folds unmapped styled
+shrunk solving algo specialization nocover usages fire artificial consensus codepoints brought resized mid cmdline flagged exhaust refuses taneli hukkinen inversion weekly behaving
+differentiation emoji qux interpreting chrome defers decompressed unpredictable eight indents shortened deduplicated redirecting east placing strictness seeking nasty understands
+pushed adhere mocking quartiles measures violate manipulating mantissa ceiling price placement rotation executions improves pops embed realize warned cope varargs arrive
+metaclasses subtracted revealed mar acquired asserted driven tends vendor heading pulls keyboard explore nobody ring acknowledgment plainly consequently appreciated organization
+hasattr adjustments reassign subprocesses malloc omits transparently killed planned encouraged untested workflow maintainers addressing untyped anaconda clauses sorter hive showed
+accumulator reloading sdf insertions relational materializing factories configs swallow suffixed ranking regarded tue prepending wed wishes softmax standardized parallelized
+ancestors flows infringement patent appeared netcat grep led approx cummax upsample backfill clarify backticks caveats workbook visualization covering assembled nogil boost
+counters rebuilding orderings costs rust actively attribution yanked obligations crashing unsatisfiable paren enforces alex deliberate beneficial constitutes unneeded guidance
+guessing majority loose styling syntactic disallowing javascript aimed debian stylesheet ansi deprecations tunnel declares stress conveniently quirk adapters notably gotchas
+lossless autosummary toctree npt inaccurate multiplicity asarray holidays argmin maxpower spline integrations marchant netloc nodeid annual tzs renderables futures risks delegated
+redefine opensource cocoa cygwin addressed prove compilers customization weakrefs intend precede probe eggs terminator counterparts advancing respond shadowed ranked speeds opts
+lenient pyc deciding preferably deny blockwise superclasses bodies alternating bitmap saying violates notified interactions serious jim initialised topological tolist refused sites
+allocations earliest volume augmented junk regions assemble fun imagine graphics invisible incorporate separable california paragraphs distributing route completions familiar
+mimicking narrowed preprocess bigint eat heavy entropy arrives periodic kenneth ancestor completeness retrying shuffled stacktrace asks persists lifecycle multiplier policies
+upfront retried unparsable visually encourage utilize objective bee preamble smarter sensitivity fig importance solver tol standardize biased legitimate availability ensured toggle
+suppresses encountering synthetic labs incidental submission desktop exporter tokenized promotes rearrange producer dispatcher allocator frameworks templating endif uri speaking
+phrase pools fragile clashes fedora aborted preferable adoption spin dispatching trimming iter defect labelled zope reraised breakpoint excess eliminating pydoc faithfully ordinals
+opener distinguishes kills fds facilities memoize transient pickler tty writers likelihood numbering raymond nicely mro interactively unbuffered monitor prevented funcs spawned
+proceeding numerator relations cosine bandwidth sigma someday textwrap payloads negated staticmethods nick flattening formerly parties documenting seven login matcher dumped
+greatly forked technology conjugate cloned simulated sans theoretical parseable maintainer originating fundamental tend misrepresented rotate delegating sophisticated hypothetical
+optimisation mutates multithreading randomness compromise distributors observability health hole tokenizers brings pooling benefits tidelift serializers batching hadoop jar
+reloaded firstly nullability checkpointing unpivot lit checkpoints collectors periodically unparsed incur leverage outstanding parallelize kurtosis outliers correlations ind
+regularization multiclass recall forest bypassing computational contextlib irrevocable slowdown messing cummin pct spearman animals aggfunc generalization stata bear customary
+alphabetic groupings dayfirst legend figsize classname minimizing electronic permits optimum pytorch initiated mangle historic regressions bert pretrained licensing sugar gen
+intersect vcs reproduces appendix authorized filed liability reproduction alleging prominent acting construed infringed litigation beam einsum unmasked upcasts varied
+differentiating repo bypassed pygmentize trac improperly nest orig tcl monospace silly snake sat sibling worthwhile precisions castable disappear blog pluggy permissive ini
+accumulations isinf mmap influence chebyshev unsquared coef differentiated albeit oneof hashtable tznaive factorize tzawareness aligning dti nopython jitted dtyped attachment
+shrinker pyshell settable launching vulnerable recreated tarball detached fileobj randomized unresolved fundamentally fname binaries perspective installer redefinition attaching
+carrying cancelling unusable memo desc doctype tolerate emulates james proportion medians demonstration cuts meanings unambiguously compensate crude carried descendants unreadable
+tarfile stmt integrity traversed duck cipher workarounds feb armin redo capacity profiler predecessor verb disconnected unexpectedly luck unfinished separation decreases paging
+abuse courier cardinality goto clicking animation intellectual national obey annotating exotic impose sadly inappropriate faulthandler increments deps review serving outputting
+restarting numerics doubled cloud nondeterministic packaged urlparse ary characteristics circuiting vanilla polar classified solves conduct intuitively transferred decrease
+quantities specialised colormap officially tolerant prioritize sits tripped clipped concepts surface feeds personal evil pixel tuned parameterization augment totally restrictive
+colored icon amongst infix nix notification decent installations shifts malicious deprecating altogether respecting ports funding rebuilt corruption coercible unregistered certifi
+diagonals conditioned crashed knowing contiguity nonsense widest duplex retention upgrading permanent kludge buildbots gui doyle sticky precedes attacks bufsize rmtree breakage
+facility gdb populates breakpoints andrew compiles undone suggestions ipaddress scripting funny unterminated reasoning clearer indefinitely simultaneous ago tricks loadable draft
+gregory irregular nonlocal dirname peter exponents rescale dubious zipimport tie summing snippets interspersed delivered enhancements flavors rough classify mobile comprehensions
+pythonic obscure signify waste decrement communicate heuristics recipient acquiring dollar queues xyz contextual materialized difflib blah saw unorderable pictures logo pixels
+modular enumeration expectations polling narrower bookkeeping unsound analyzing prohibits regularly vulnerability projected catalyst profiles planning exploded datasource committed
+checkpointed alice manipulated continuously backs frees uploaded sequentially corrected sensors skewness pie receiver latent multinomial descent migration boosted decay forgotten
+euclidean empirical creative rabbit mammal consecutively kendall downsample resampled york bottomrule sparsify toprule midrule frac currentmodule cumprod mass tiger picks
+sortedness sharey huggingface optimizes normalizer configures setters dask chardet multibyte argv ships processors shims inability isort upgraded prerelease card testsetup musl
+pragmas anyways hurt possessive tighter negation polymorphic localtime atom conspicuously daniel flatbuffers counterclaim matthew flux flipped cos whisper contrib activations
+quantizes enumerates bundles owning assembly buttons maxima changeset bitbucket music atoms reitz multithreaded rotating unquote monkeypatching suspend dies parametrizations
+spelled unscaled accounted unobserved fourier unittests subpackage determinism ish amax reversing equations broadcasts supplies entrypoint memmap tips subok tolerances deallocated
+putmask lexicographic arange holiday apparent relaxed safest calculus laguerre vander scl monic hist bottleneck idiom phases explanations boot ghostwriter appname itertools reopen
+yellow algos mgr indexable openpyxl scroll buildbot oudkerk mentions expat grey blocksize gzipped deflate fileno forth proof traces subscripts lightweight addr audio tokenization
+violated insist selectively families memoized suffer quotechar wind delivery resp willing efforts smooth measurement logarithm behaviours areas elegant provision subsystem awaiting
+november anthony balance mimetypes deadline initiate drives thomas pprint prohibit poly orientation observe logos intelligent calibration busy umask pulling speedups exprs exploit
+longs stand inactive advice attributed stash replicated decremented company enterprise resilient opportunity commits collation granularity backoff illustrates golden coercions
+recurses erroneous univariate holger affinity jason concerning permissible nicholas scott berkeley distro grayscale lag tau lion lxml alignments article reducer unintended bitmask
+asian negligible develop repair broader exploring prerequisite began awkward influences inherently spanning caps snap revisions addendum claimed sound reuses siblings blk capsule
+resides allocating emacs lax tooltip continuing lookbehind packet decodable outgoing subparts messes secondly guarded supersedes chances constrained inverts unpacks parameterize
+resulted cancels semicolons imag infinitely valgrind neglected derivation unmask erase fuzzy functioning resolvers dom provoke launcher races syscall quitting combo complies unlink
+pythonware fullname considerably freeing optimizing partly transferring environ enc thursday plausible reconstructing inheritable transmit reveal band shorthands klass served
+invalidates pager fixup nbsp importer creator chapter office interpretations traffic ratios tweak prototype figures negate threadsafe misses explaining extensible expense ideas
+clever examining overridable strptime walks synchronization waited backtrack toss getters intrinsic movement entirety messy diffs joe quotation synchronously zombie upwards
+completing evaluations imposed zstd uploads cloudpickle lateral columnar tooling jvm dumping deterministically pushdown recovery laid widely sliding fifth subquery repartition
+plans correlated watermark autoattribute deregister ground grpc allocates relates comprises ensemble corpus subcommand individuals redistributing laws authorship trainer neural zoo
+nunique psser ivar pser illustrate sale variadic nat aim panel tutorial xlrd ham binning yearfirst xlim hexbin builders vstack tensorflow allclose empirically assembler setups
+developing monitoring timely structurally fingerprint provisionally nose wrt circuits numeral qualifiers studio tiktoken cpp sudo goodwill indemnity indemnify malfunction
+licensable stoppage consequential alexander tort fifty packard incurred offline evidence lora interleave cleaner gemm ctor opsets divergence rmax layouts targeting removable
+folders mirroring torn analyse preprocessing ttype bright procedures distinguished toml clarity stefan twisted confident typedef wrongly definite linefeed menus triplet borders
+tunneling establishes fragmentation urlopen pulled nonstandard passwords shuts chat forge logfire rebuilds needlessly referenceable discriminated hinting youtrack discuss kick
+incompatibility composition exercised roundtripping fulfill guides licence monthly locs suppression amin hermitian freshly tight tensordot factorized eigenvalue illustration gufunc
+thorough umath september spend convolution reprlib nditer unraisable noting legendre buyer unmanageable instability ydeg zdeg clenshaw filler ours exe battery fuzzing
+sortedcontainers extant pytables upsampling nanops spring unboxed npdev nlevels consolidation datelike pytimedelta concatting idxmin unbox ylabel xlsxwriter listlikes ruled pinning
+normalised spinner jaraco videos userid curses popup directed filetype doubling conditionals simulates tmpdir turkish currency emulation france constructions mount pushing
+concerned collapsing quad prebuilt archs uname website listen tok derives pasting programmatically telling kqueue disappeared topmost comp aug escapechar skewed richard examined
+fnmatch internationalized localization averaged interior jointly suit greg caveat inequalities boring usability exceptional lzma spell purge complaining promise octets suggests
+validations scheduler expire securely simulation watch mangling jeff incorporates hundreds occasional unintuitive craft independence ellipses tup pressing centers fontsize
+accelerate routed mistakenly preload subscripted narrowing subscription hoc seeds binomial cambridge misaligned downside ins postfix apps preexisting regards automated spawning
+allowlist importantly marshal zipped peek estimating motivated restarts persisted cube tom avg evolve intends statuses arity mitigate deployment decryption reflecting orderable
+recovered phrases robert distances unzip triangle fish shield splice xor objs focused streamed notebooks capitalization curl adheres classical resolutions ups touching lowers
+canonicalized restricts canonicalize orange experience hosted bidirectional notifies offering relating pertain discussing oracle benchmarks emptively experiment deduce accelerator
+cli experiments tune symmetrically effectiveness azure lexing palette transparency mistaken exitcode ptr radix stringified wiki instrumentation smart posting cloning legitimately
+exhaustion authority backports provisional subcommands sorry constrain hacks relationships imprecision deallocating defacto easter glossary song kim permute looser environmental
+corners conserve resizing descr exercises interp ifdef violations killing totals subtest pkg subtree shadowing atomically tzinfos rdivmod picking consolidating awareness margins
+empties xmlns lst dumb rollback loaders flakiness overrun waiter subinterpreter dialogs locking pathnames executables renames tar stepping tempdir fear french von kinda networks
+loopback proceeds clang immortal convoluted prone whence avail terminators dis smith july lacking plaintext pkgutil enumerated deviations assure publication locator eligible
+signaling outlined adjusting hettinger needless interfering finders recast nov visitor uncaught reals challenge gerhard accelerated restarted terrible decoration progressively
+kevin eliminates infos mounted adaptive purposefully enormous thank abcd protecting subdirs handing modeling canvas canceled radians vertex kids federal digital divisions
+significand aside rep containment simplifications inconsistencies registrations forking datagram cool undetermined customizing autouse annotationlib seamlessly readthedocs grown
+interleaved finalizes tobytes cffi interacts prop jars associative hyukjin udtf replayed money coalesce massage unioned transposes deletions geospatial integrates plotly
+regenerated evict expiration aborting uploading confirmation leg sentences passphrase adopts locates shuffling fliers quantitative whiskers quartile chart rating characteristic
+mathematics piecewise multivariate decomposed dataflow discoverable commons regents tutorials trains bat temperatures downgrade longtable multirow multicolumn rectangle dta melt
+compressors appendable pig halflife rsplit pat george understanding resampler widen rot xticks corr proportions expresses est distributor circumvent interned art coalescing scoring
+detector provably definitive dominate education impacted reinstated undesired settled induce capped mypyc discretion customise astropy precomputed representative compactness
+autodetect manylinux massive surrogateescape hereunder widens prefers exhausts exclusions sentencepiece practices analytics paying idna institute negligent perpetual elaborations
+responsibilities contributory receipt representatives albert licensor appropriateness verbal supersede defend editorial mechanical matt granting grossly categorize packs qkv
+layernorm fusions sometime longformer diffusers timesteps runtimes tile weaker pins opinion linewise installable prettify colorama typeshed themes colour colours academic
+considerable thrift moments spot cdef percents dereference intrinsics dereferencing foobar extern bytestrings sampler adam stolen quantifier botocore preloaded signing typechecking
+refusing dotless differentiates talking donald stufft samuel codecov implications undesirable falsy startswith fixme approaches liberal plays deferring reconstruction approximates
+sanitize aggressively relativedelta xfailed tofile fmin ctype numarray justified multiarray asanyarray denormal thu copyto weekmask whilst argname inds oliphant stringify
+printoptions ndmin loadtxt linspace ndtype troubles oddly kleene activating misalignment isfinite trivially hermite splines reconsider newton pol quadrature overdetermined
+orthogonality downcasting fiddly fftshift nevertheless capi preliminary overlapped grapheme readily distros teardowns fspath conftests excinfo forcefully severe unblock fortunately
+varint spirit typo gettz plenty iat sqlite unsuccessful flex datetimeindex unhappy ditch orients dupes asfreq libgroupby idxmax falsey scrolling sem unpinned editables suggestion
+sock platformdirs crop hypofuzz optimise rerun polars pause refleaks delegator scrollbar rewrites noticeable firefox funcname trap trailer weekdays saturation prepends searchable
+endless hebrew martin chinese arabic vista peters newest stacks normalizations octet bypasses uninstalled dists idiomatic wednesday formal dbm eof questionable mutual unpickler
+brown unlock dialects subdir intensive unencoded rescan syntaxes modname chop basenames encourages rankings graphical strength fan tendency binned stamp convergence underflows
+dividend resumed removals somebody recalculate finishing recommends timeit doubly halves prefetch onward genuine redefined disappears suspended died authenticated binascii
+subscribe capath peers technical mutability semaphores semaphore activity reply mime tuning slows logarithmic algorithmic simplifying minimized ambiguities reparse deactivate
+sublists indice accident interrupts intervening courtesy night mainloop pressed instantly sided bounding licensee govern provisions distinguishable reassigned signalling deadlocks
+stdio communicating capitalize braced adrian mkdir induced suspicious educational balanced introspected lint originates throughput city ages beside protos customizable instruct
+accompanied sine scans theta acc gender secs inevitable terminology safari summer populating misuse prescribed suffices systematically closures sig chaos preparing probing
+complementary magically portability accent delays hundred cascade relax krekel autodetected complementing abstracts recomputed slip abi trips roundtrips cheat computers mutator
+judgment christopher causal slight warmup considerations identifiable abstractions yeah yaml presently stupid elem suffice temporaries commandline xpath forcibly board backgrounds
+heights brand flooding pooled flight eviction tickets aforementioned hell preconditions optimised freezes origins generous postpone risky lowering nbytes underneath postponed dll
+passthrough abusing inst forks benjamin contention memoryviews lowered preferring rolled alleviate rint reverses flipping bugfix refcounts unpickleable quirks resemble disagree
+lexicographical reverted broke uneven refcounting undoes subpattern privileges justification descended rpc pertinent arrangement tzname reg mult prompted parsable cfg sticking
+recipe intelligently locators unhelpful hashed fullmatch shareable recode sublist cookiejar silenced simplejson unquoting uninstallation platlib ssh invalidation normalise
+multipath backspace novel awaited wakeup pysqlite ghaering turtledemo rigo gid pyvenv konqueror chdir spectrum seeks cease cmp japanese united secrets caret functionally resumes
+discussions pushes weakrefable ignorable mailbox peephole probable doublequote sensibly amp qualify overflowed mathematically joint variability promised halfway difficulty modulus
+thereby gnu framing adequate supplement inode million emulated underlined optparse disassembly demands tracemalloc emulating andreas jul ciphers unencrypted cadata tedious drains
+recycled successors prematurely upcoming shutting injects constrains century noon ben confirmed manipulations fstat tack cubic subsequence noticed beautiful accumulates syscalls
+adapts upward scrolled clicked tangent footnotes timings encapsulate firstlineno minded holders mike posixpath packets synchronous instantiates selectable flist runpy importers
+subnormals entrypoints meanwhile honour brotli tee cogrouped classpath randomize itr maven aborts exploding spatial geographic contingency refreshes uncached geography
+precalculated consortium trait functionalities timers expiry pluggable analyzes reattachable sooner abandoned avro customarily computationally tslib decrypt histograms maximized
+asc ord rsd overlay micros signum graphically flatmap invertible recommendations intercepts stochastic proceedings papers hadamard standardizes isotonic ryan cohen bisecting
+dirichlet kumar william interestingly jurisdictions disclaimers twitter conventional neighbor justin regressor bag love creativecommons cropped psidx dogs prices london legs europe
+koala batman born clines alfred sidewinder reproducibility replicating batmobile horse cobra viper dispersion zebra toy rkey complib startrow complevel startcol elk accommodates
+repl fillchar dummies skipfooter alignable comprise designating sortorder yerr inches colorbar populations losses outputted distributes hasher unitary scaler survey sparsity
+advisable arxiv ship reducers collide kth factoring vocab influenced recognizing measurements inspectable ronny pfannschmidt flips musllinux manpage accumulating withdrawn
+canonicalizes yearly arm widening sitting survives wholesale mature punycode felix clark courts conveyed originals copyrights cpuinfo selling chen numerous exhibit reproduced
+affero tennessee pyyaml gitlab rotary skiplayernorm bart dynamo transcribed ancillary llama turbo arena sympy quantizing adaptor asymmetric rmin symmetrize ice dequantize
+irrespective npz reside unclosed modeline hierarchies lexed destruction colorful igor ruby grammars priorities algebraic heredoc tan vararg lua punctuations smalltalk colorizing
+lexemes recognise react lifted crate seemingly explorer hyperlinks foofile bazfile filetuple barfile nonamefile swallowing defensively unverified handed evicted wipe cryptography
+pyodide reopened observer staying dave hewitt pretending mistakes datamodel thinking motivation trickier meaningfully horrible shadows implementer traversable nullary subfield
+filterwarnings deallocation inaccessible interruption transports rejecting sniff uncomparable watchdog finer xavier brian jarondl ganssle combinatorial redis standing fft polyfit
+swapaxes recfunctions byteswap getfield uints steal svd permuting norms conjugates teukolsky conjugated flannery lapack smoketest cares dependence finfo occupied hstack hsplit
+vsplit meshgrid contraction mgrid convolve gradually gufuncs adversely footprint enlarge diag ptp deviate reclaimed fromfile flatiter weekend reduceat segfaulted simd equivalency
+contig factored modf unprivileged honoured gcd fuzz unrolled ragged clobber interpolating nomask hardmask vectorization bell prototyping alarm crazy ifftshift expressing crosshair
+unboxing subtests runtest reporter pytester resurrect funcargs rootdir slack presumption starred convey aggressive crap pydebug proactively systematic assures faced stdtypes
+referential dayofweek utcoffset quinlan tseries xarray localizing setops facto jedi droplevel consequences holdable shifter obs quarterly idempotency libjoin intersections
+weekofyear suggesting plausibly suffers xaxis xlabel ticklabels cmap tbody responded hover rgb tooltips stock notna titlecase realignment cythonized sourced incompatibilities
+reinstall vendoring spit proxied abbreviating msgpack slowing conjecture awaitable randomization libcst probes watcher testcases harness refleak lovers cravindogs dingus
+keybindings keybinding registries bdb cryptographic mkdtemp italy portuguese italian setlocale intimate she suspected emojis linenumber colno summaries glue popping pwd compresses
+subnet handful dedup manipulates shells positioned bytecodes weakly bizarre contrarily mailto temptation infile conversely wonder gist presumed physically mtimes mojibake frontend
+analyzer gustavo niemeyer exploited conformed rand nominal denominators sketch vertices sigmoid publishing iki zips zipimporter punct reformat clamped traps abstractmethod preset
+encapsulated biggest stabilize expert insists subpackages originated friendlier reveals quota inter talk judged txt drain acquires ident evans dragon advertise accompanying
+mimetype runnable organizations jack discriminate goodbye reimplementation pay balancing intelligence diagram reformatted largely helped royalty php gained lexically varname gains
+steven pstats naturally figuring burden him locality globs games acceleration grade pet turtles bgcolor outline angles scenes preston breach amsterdam santa decompressor associates
+exclamation rev preloading clobbered zombies unqualified returncode totality suboptimal wolfgang miller rescaled seeding setstate pareto ntpath minimally privacy netstat cards
+guarding reverts reallocate routing materialization socketserver informs insensitivity customer overloading reintroduced reattach aspect hoping factorial circles boosting chi
+disrupt ineffective fictional penguin analogy erased primes bottommost fox recomputing explains workloads interrupting interning marginal assess nicolas audit lands famous
+backporting insignificant brute noisy dlopen exactness friend tokenizing countries olson unconsumed remap defective openssl houston engineer cure adjusts refreshed erf
+prerequisites flash precompute formulas allocators coloring boldface emphasis scoping reserve notations parenthesized rel horribly diagnostics lyrics overline greedily wasting
+authoritative xterm bulletin ian tunnelling doable amt destinations getaddrinfo firing resend quietly generalize translator slotted conformance suspect american viable chokes
+cryptic sneak pacific errored middleware delaying undecodable undeprecated clashing hashability yen stephen abramowitz antonio florian maker sam redistributed hung spelt
+clarification generality decorating buffersize confirms unrepresentable seg nontrivial toggling constructable traditionally repeatable inadequate extremes sandbox neighbours
+monotonicity surprise correspondingly advertised coords sleeping redefining dep recursed surprisingly freezing peel cumbersome loggers endlessly kwonly listens kicks improper
+truediv honors edits iso invalidating blows prob revisited proves etree hashables pane picklability jit notifications touched cautious outdated insecure clones beneath erroring
+queued obsoletes nightmare resistance enqueued uninformative bpo tradeoff sre binder proactor gif mailer checkbutton ttk colorizer textview calltip linesep backup fileinput
+controller synthesize junctions unread resembles originate overkill abruptly thai gettext cyrillic netherlands descend seeded tabsize complication decreased recreation issubclass
+daemonic insane centrum disturb stichting mathematisch modulename readahead writelines closefd graceful remembers greeting termios msvcrt formally delim assist baseclass inclusions
+browse decl exhausting emphasize partials associating arc presenting spite capitals multiplies hardlink regexps nargs continually incorporating negotiation elaborate vital verifier
+akin unprintable heart rooted unacceptable pythonw unsubscribe bracketed envelope bill transmitted leveraging sourceware danger reentrancy refcycle reinitialize decrementing
+disconnect mutex phil expansions configparser nowadays bubble cutting magical muck coffee patchlevel unescape usernames bulk administrative intraline bumped fancier ndiff
+restricting hyperbolic tester fooled edward casefold acm fred lastly dragging coord perpendicular increasingly summarizes unnormalized debuggers shlex clutter subtracts dig
+checkable subtyping subscripting decompose harm successes urandom cooperation fromlist oparg opname rebinding defeats bridge unixes universally transitively exploratory alarms
+intrinsically quo terminalreporter stapleton pradet ecosystem discord andrey quentin therein szorc deserializes accumulators visualize aggregator corrects profilers acknowledgement
+microbatch tens jsonlines jdbc unpivoted flowing thresh substr datum varchar strlen mydf modifiable slen foldable listeners enriched reallocates crucial networking jitter
+multiplicative penalties temperature deploy comparator argnames neutral redundancy competition eliminated intersected deducted billion probabilistic latitude whisker depicting
+longitude prettier ratings dstream corrections bayes mining jian itemsets sup formulation vec violators tibshirani monotone predicting centroid tall inout smirnov brett hunter
+voluntary ltd waiver obligation affirms her treaty statutory acknowledges stuart visualized windowed significance association silhouette discrepancy replicates noinspection
+cristian scol autocorrelation diffed sfun comodo iceweasel alligator pivoting lkey pivoted encompasses panda spider spreadsheet multicolumns ostrich windspeed predictor keras
+pyfunc sklearn arbitary tabulate quetzal blosc abcde swapcase chameleon dfs synonymous assembling numpydoc con postgresql ticker intercalary subframe endowed truthful columnwise
+advisory deviates precip sym props xerr yticks lifespan outlier autoclass evaluators mse leo generalizes lift imputed cdot centering cooper eva lor gpus severity seamless
+provenance intern ray inherent operated katakana accents isalpha coherence unload classifies assistant cargo weakening disregard observable compressing camel copyrightable suited
+gibberish relicensing overcome assets rewrote erasing pepy implementers hatch wasted recomputes reimplementing tightened pairings ironpython abis governs cheapest outright spells
+lev apt glance humans demonstrated advantages bidi porting testability obligated jurisdiction technologies tensorrt companies regulations brands imaging centre outlook brook
+reassurances profits dedication adler infringe tobias pillow patents validly submits disclaim roman federico hereafter amazon ongoing perpetuity unresolvable multimodal
+unidirectional mixes optimizers consequent tranpose transcription ampere timestep refiner postprocessing allowlists calibrate inferencing gathers biases dequantized qmax qlinear
+onnxrt producers recoverable uncertain unsetting doco addressable outlive reinterpret forum wikis paid blinking gallery gobble isabelle pro zap algol fruit hate heredocs gas
+factorizing painful elseif heroku bitstring prolog competes industrial printf game proving bonus ada uniq elided nestable tilde svn buck ffi postgres subclassable proprietary exam
+sed rtf designate nil unsized laurent trampoline fingerprints unsure upshot alist concretely voice redefines instr stringification linter superscript groff inspiration designing
+scene alternation apostrophe invariance urlencoded serif typeset repositories revise rewinds redundantly yahoo subitem denials negotiate verbs superfluous pyopenssl frustrating
+callbackserver gabriel victorien badaracco colvin garcia vctrn scm nightly muelcolvin resistant discriminators revalidate discourage adapting typehints refined stayed mishandled
+unwraps rebinds aiming traverses sidestep initialisation brittle spaghetti analytic retrievable stars chunker zoned frombuffer workload minio aws promotable giant unaware
+byteswapped strangely rigorous sit bloat subdivide adhering composes superior reversible taskmgr lsof administrators twine drawback secondarily sequencing valuable rez robin
+jenkins kluyver ross christian hynek bailey murray continuum foundry replication court hookspec collective badges hookimpl gitter cacert blazing apis pytests prominently rem
+semidefinite nulps ngood fpu nbad burn probs mpmath inv eig inverting vetterling uncertainty chose frobenius vecdot lite loan broad setfield rfind rstrip asfortranarray
+ascontiguousarray iinfo generalised dstack dsplit einstein ndims polymul moveaxis exploits ogrid slowly fromfunction subdtypes intc deletechars stringdtype permuted decorates
+argpartition negating nanstd fmax anne trunc nanmax minima nanvar diagflat nanmin nin frompyfunc fromiter vectorize nout logarithms progression exponentiation fmod binops rollover
+faulty honestly weirder continuity switchover trusts discovering fromstring trippable promoter faults qualnames nums minuscule smoothness polydiv ldots gauss moduleauthor oddity
+thankfully temps food domained sizing iadd isub bincount ravelled histogramdd reorders spare tukey degrades narrows grids hall minimises bells decaying autostrip deprecates qth
+confuses ndindex subdtype converges nyquist rfft irfftn hfft irfft fortranobject auxfuncs ifndef cens denom pyf reproducer detach lookaround subpatterns practically ctime htop
+pollute dramatically querable codemods shortletter xpass progresses liskov posted metafunc fixturedef trio chmod premature monkeypatched nowhere trylast materialising spuriously
+depended nextgen obtains mydescriptor submessage flake sizer foot cmds compatibly activities subsection expressly copyrighted compilations convinced unfold arises ttinfo isdst
+leeuw yaron inen tomi subtrees tslibs downsampling intraday land comps intervalindex opportunities commutatively upcasted tst preserver buglet unconsolidated sparsified cacher asv
+rethink debiasing minutely biz orderedness multilevel astyping specialize incompat hasnans sliceable slider nuisance corrwith relabelling xrot xlabelsize yaxis iris barh sqlalchemy
+strl xport vmax vmin thead siunitx xls surfaced debt mpl designates sniffed terribly sniffer stylers trims wheat interrogating interrogate realizing slicer slicers intuition
+analogues preempt hotfix unstacker dull dayofyear trickery morsel investigation misspelling netrc unreserved miscellany sdists preparer purelib nudge cachecontrol xmlrpclib
+subversion whitelist facade ensurepip distlib resolvelib debundled pain indenting nonsensical redirections attack optimising trail appauthor opinionated roaming fira slips consolas
+rect guided swallowed shortlex forkserver overruns fuzzer saturate codemod principled blacklist testable coarser instants afoul downwards explored parenthesised renderings
+hookwrapper waiters fut unlinked hunting symtable untracked toggles zoom searchengine messagebox listbox clicks keyset calltips icons fifo door chromium connector island remotely
+directs debugged calendars lightness hue compresslevel fiddled spanish jordan greek maldives germany brunei argentina tabnanny undergo theorem quicker colorize subexpressions
+consulted quadruple disregarding story worrying clips rearranging tracer unreleased suck loosely folks lineterminator subpath honoring inapplicable modulefinder argspec quot
+renderer excellent leader speeding bruno averaging slope precondition ulp goals commutativity conventionally hyndman devoted funky ward winner fallthrough broadly trapped effected
+specials nearby compensated adequately iexp feasible taylor happily checksums msec ukasz langa cumulatively metavar optik luckily unchecked exhaustively invented unpickles damage
+bracketing monkeypatches baxter administrator decrypted injective presume cafile tightly ronacher introspectable asdict awk topologically unblocks encrypt challenges refusal
+datastore whatsoever heapq steve acknowledged whereby speedy surprises accord books extensively discovers colin hopper slackware ver obstacles hammond volumes realpath percentages
+volatile utilizes predates legends thumb backslashreplace blink summarization assorted stepwise fetches purposely sacrifice condensed translations counterclockwise rotates seth
+radius recurring ultimate scrollable analogously reston lawyer virginia sponsoring partnership venture volunteers hdl agency foregoing creations saratoga clara lieu profit stallman
+avenue nonexclusive commonwealth initiatives convince approximations rationals resuming tallied calibrated neginf tacked setdefault waitpid uncontrolled briefly employee
+distinctions typechecker counterintuitive ponies unsubscripted munging indiscriminately unconstrained contravariant school maintainability driving hexdigits weibull jain casual
+concentration dominated trials vol entails visiting thousand reaped evaluable completer predicts installers pyconfig undetected complements decrements piped shuffles techniques
+cosmetic coordinating programmers touches incredibly arriving fired committing controversial bus swallows blobs equipped compacting mine synonyms scalable dry revocation duty
+owners andy transfers hamming survival movie illustrated crunch shark limbs reorganized purple whale house xdc joker mydict canonically gleaned suffered unloading recomputation
+keyfunc piping approval glyph witch fires unoptimized inferior extractor symptom implying uncollected restype serialised bumps recovering subtrahend morning coordinated mimalloc
+death forgot enjoy tanh perm seprated unprocessed automagically preformatted underlining proposal carbon ping hotkeys acos asin traits unbalanced modelled diamond spacer nim nit
+mirrored ligature stem delims sieve docutils bulleted catastrophic hardly arrows pitch paint salvage erickt keyfile goofy harmful uppercased putrequest enqueue simplification
+codebases introspecting unfolded discriminating anticipate emails dare resolvable inlining flawed simplistic typevar fragmenting colliding scattered deserializing arrived imposes
+segfaulting differed pristine ipsum crypto disadvantage yuan keith guilherme barney jeremy bastian deselected synced designer inverses argtypes endswith splitlines fieldname
+longlong maxsplit jumped succinct linewidth cutoffs achieves quicksort signedness followup binop twist eating absorbed tidy sparc striding unwise anomalies conserved fillvalue
+misspelled tailored stringent achieving repeatability stegun retval brevity unevenly discontinuous openers filelist alike reliance uninteresting remainders survived cvar permitting
+relate recycling pids realistic mem reboot sysctl colorized farther impls testdir hackish imprecise rarer mini gymnastics vanishingly submessages opted denominated contradict
+knowingly civil declining dozen reverting tzstr inconvenient war arranged designations chronologically adopt solar sweigart accordance drew bruce normalising regenerating versioned
+destructive roundtripped extractall behavioral arith confirming nsmallest poison combos thoroughly fns purposeful alas tax reclaim synchronized rvalue curves digging deriving
+webserver alphanumerics quarters stipulated sel href reinsert myfile lvalues cur correcting canned paradigm grabbing spawns tunneled reapplies unsets cid cookielib wink impression
+consulting unlinking upgrades ncurses distinfo configurator addinfourl shortening expiring seriously sur truecolor filesize runners partway ignorecase fell switching abandon
+rerunning unencodable anew unformatted provoking overrode tracers paused schedules unblocked sendfile signalled woken minidom pyexpat unrecoverable asyncore evt sanitizer afterward
+pyclbr testsuite readlines listdir roger maxlinelen cte subpart specialist aqua unbind untabify autoindent toggled editwin modal configdialog percolator macosx cuni customizations
+georg freedesktop brandl macintosh circumstance unpacker emulators plist mkstemp irish euro tamil loewis russian morocco korean vietnamese cfile compileall sharp subexpression
+unofficial abbreviate netmask subsumed ourself blown fat usr bothering isocalendar gregorian radd picture hudson memoizing refill tempting seeked synch positioning eventual rebind
+hardwired jansen unpicklable copyreg diverged reconstituted charmap clobbering methodname getset slave stevens pty metacharacters study adaptation differential recalculating
+variances nine bisection bradley deciles cdf intermixed mktime munge imperfect adj prec irrational indistinguishable occupies inodes alterations pairing measuring reindent trial
+cookbook coghlan inadvertently epilog getopt disassembled ordinarily complaint subtleties epoll getargvalues rick untagged conversation jun examines posixmodule unlocked draining
+arranges smtp bigfoot shelf vast cacheable postel sectioned eol simulating percolate knuth linkage ivan varnames nul deactivated sjoerd mullender calc claiming divider mortem
+proved slate framed mercurial inspects salt controllable stamps stretched redraw playing player wastes negations tbreak examination libedit prompting banner trans mises lognormal
+reap successively buy actionable junit parameterise sentinels unionobject convinces leniency assurances professional sponsors illia teams volochii bestpractices petrov purchasing
+socks welcomes experts robots hoops vtable sacrificing interfacing leverages annotates violently technet linger combiner acknowledge cpus eprogress pyfiles douban planner
+collations explodes posexplode bucketed xinrong takuya haejoon ruifeng graphviz drastic employees anti intersecting salary stratified semi department young recovers portal surname
+srid typecodes wkb sqm connectivity comprising bearer retryable budgets tolerated funs readings sensor cogroup evolved chr rased lid logariphm ignorenulls levenshtein specifiying
+cotangent farthest kde coordination ssc partitioner characterized discretized supposedly rdds slide regularized latents multilabel relevance svm regularizer lrm classifiers priors
+bernoulli conference pei impurity benjamini hochberg gram idf standardization parallelization verlag irm karypis maximization bisects steinbach sigmas gaussians mach lin blei
+converged similarities poisson comprised arithmetics seventeen incurs eigenvectors pca goodness callee imperative nvidia enjoyment detriment neighboring reputation heirs disclaims
+waives amended legally likeness waived promotional fitness vis polyfill jehl pettitt als neighbors transitive jorge sentiment collaborative imputer unlabeled cold summarizer ionel
+richer screwed ccsearch lon lat frep understandable psmidx almond hippo permissively delight puff puppy calories beetle lags flakes kitten bait cinnamon lama corn helsinki toast
+cereal rsuffix portland marsupial catwoman thor wings hawk franc deutsche lake pounds lsuffix flies america lira locomotion raphael bullwhip arthropod genus species pymysql
+uncounted myla broadest lewis classed elephant nwrapped abdc kaa rab caribou superscripted insecable bao xcde fuz zab hameleon caeen oala oof nto trades plurals bid polly pidx pobj
+unparseable notnull soup unserialized drill aggspec unaccepted tinyint logx pylab loglog ylim logy flier boxplots lineage instantized adele gini hastie gbt cutler friedman
+importances breiman ming imputation jaccard journal alan fpr converge hyperparameters epm momentum excepting authenticates misconfigured lightning favors memoization depickled
+codeblock lived coincide mapreduce sacrifices relaunch overestimate mapred hdfs analysed ahmed detectors isprintable prioritized preemptive submatch bpe yours vocabularies enrich
+reliability semver performances whl rush propose spoken assistance workflows featured earth linguistic discontinued consumable freethreaded reviewed pint admitted revive refspecs
+admission finals slated handwritten revamp crammed holdovers faintest clue mojibacked massaging pypug graalpy pymalloc abiflags pyston midyear converse beat admits tightening
+printout admit charging widened qualifies pays surviving ofek unigram subword wound zurich auckland stuartbishop bishop chatham educated astimezone unallocated normalisation
+wording remapped directional joiner milo appreciate judicial los enforceable microsystems daan yip steward alamos safronov apparatus believes pleased naoki loup zhou substance
+yusuke informed reformed hotmail stony martinez unenforceable infringements hereof stenberg bull livermore mongodb dlpack cognitive leon sasha affiliates remedy mellanox argonne
+servicing steinar infringes kai inaccuracies eugene msinttypes skill katz illinois chemeris injury zbigniew stripe gettimeofday dominic infringing tencent regulation defendant
+battelle malinen construe jouni negligence statute factual glog dominik sourceforge oak drafter jussi lawrence huang triton rapidjson merchantable maxim lengthy gunderson facebook
+declaratory wil doctrines alumni huawei gailly contracts redaction ort torchscript dyanmic conformer intermediates encapsulating matrics symmetrical beamsearch flowers swin atleast
+upto dropout unfiltered untar hardlinks gpt megatron intializer roi trange transcribe olive speech pvalue impacting controlnet torchvision torchaudio denoising qdq quantizers
+packer quantizer affine hessian dampening actorder percdamp perchannel relu unquantized qunatize qmin asymmetrically submodel zeropoint subgraphes tqdm rdelta clamps nullptr qnn
+sess resident capsules readback participating dmlc unpin coo listitems dictitems emitter scanners metachars unidata modelines yourstyle yourfilter yourlexer yourmodule
+yourformatter sublexers specifiable tokentype premodified tokendef realpos enumerable lexername analyser startsomethingwith simplefilter oneletter greyed styleguide arduino darker
+gruvbox sott kempson tango shades borland owl javadoc lookbehinds hardest nasm unassigned commenting troublesome asm limbo tera recognizable isarray atan bitshift cheating
+mousewheel beep yday wday hwnd hotkey guile cran prover pastebin lisp shen tcsh terminfo tomllib docker csound sprintf ramirez players luau lasso tokenised matlab scilab octave
+winter matthias elision substates pathing ons asymptote starlark tuplet sage bazel pyrex pyos stan nonterminals designs timescale blueprint qlik guy unicon raku indentations
+douglas hashbang drafts sas funclist typenames und datatracker zig sizeof writeonly demote typename shading typeof julia undeclared virtually emphasized declarative clay unlexed
+captions strikethrough underlines excerpt tea jinja cheetah kid velocity templated scalate angular apologies ride escapses hashmarks eats linden findings unification alnum libre
+vera bitstream existings lexeme fancyvrb commandprefix plusses classnames keyval toks viewers pixmap drawables drawable lookuperror italicized pango oencoding ottype ansicolor
+frisch frexx colornames boards classprefix fmter tokensource ctags misalign cascading lspan nate cordasco kennethreitz prewitt nodelay crazily dandy living codings mimetools
+poolmanager httpclient ticketing fifteen reapplying userinfo inputted greenlet routes daemonized daemonize raddr assing laddr unregisters nholm sotimeout trackers rooms licences
+rohan runkle samuelcolvin sydney montague davidhewitt linting yann xxhash yum synthesized prohibitively headaches sport teach nuances classvar celsius confloat sames frozendict
+coupled parameterised colorsys devtools reevaluate coalesced circ arcane challenging synthesizing reminder typeddict enlarging road zac negates munged libarrow ncols messaging
+postscript jpype disjunctive maximizes stitching workspace naively substrait destroying mechanics multilingual scaffolding occupation arn projecting trailers leapdays attosecond
+compressible rechunking overallocation bytearrays interns consectetur quis dolor elit amet nulla adipiscing nisi commodo snappy lzo impacts recreating rewrapped maximally furthest
+seemed injecting unannotated everyday immutability blobfile tokeniser shantanu visualise iostat ahocorasick philippe danny ombredanne millions sylvain testimonials pretokenization
+dufresne yaari pavel dorsey harris brandon jon nagy adrien oliveira aquilina sottile segev victor williams sergey liam coombs jones ville erik schlawack grainger samra kiss jay
+laszlo dmitry hugo rene reiter joshua gates jakub arias roy petr hughes carl lee carlos valentin patrick kemenade edgar ski kollar markus jean juan claudio dunham emil rathgeber
+arnon heimes maxime jonas sebastian abou julien chainz kudu cloudera terry ibis libdynd deployments tomasz competent bla complying homebrew felker mentioning communities
+opencollective finances donations exceptiongroup madvise tidier matlib randn plate downright subtractions setflags randint eigh eigvalsh tensorinv det eigvals tensorsolve cholesky
+threadpoolctl slogdet nuclear johns determinant cormen deficiency mandelbrot ordinate resids possessing hopkins strang multiplications golub sought illustrating conditioning
+baltimore exposure ndpointer trimcoef vague isdecimal displacement isnumeric chararrays islower ljust chararray isupper rjust rpartition isspace isdigit istitle lstrip isalnum
+titlecased sctype sctypes maxexp machep negep epsneg minexp expressible deficiencies busdaycalendar undoing packbits digitize vdot doubt unpackbits busdaycal demoted depths isclose
+magnitudes contracted unsignedinteger complexfloating clongdouble cdouble signedinteger typechar mintypecode csingle typestring reinterpreted explores blas transpositions
+contractions summations ijk kji contracting combinatorially scalartypes arrayprint hinsen konrad trapezoid nanj timsort mergesort squaring extrapolation kahan newshape flatnonzero
+peaks recalculation nanmean bisect trapezoidal errstate unpleasant interchanged reorderable fid omission itershape nop reinterpretation iterindex busday iters rawdata spirals
+spiral copyswap denormals genfromtxt subfields envs promotions writebackifcopy dealloc discontiguous quadrants trig epsilons signbit atanh lanes writeability subspace attoseconds
+diophantine qsort argsorts den killer promoting saturated misplaced vstring unsafely decref shapely clunky arctan choke arcsin arctanh arccos aranges chebfit navigate polyval
+polysub polyadd polyint polyder polyutils ill deriv npts trigonometry cheb mrecarray mvoid laboratory indx extrema precedent dubois maskedarray dugard influencing differenced
+getmaskarray forgiving threw mdtype reggie realized culprit wgt rowvar corrcoef maskedarrays yay weighing origination histogrammed unity literature visualisation binwidth
+ignoremask usemask npy neps filelike persisting yarr nanquantile flipud discont handbook fulfills nanpercentile geq unweighted vectorizing geophysical wich statistician fliplr leq
+qquad metacpan employed dynamics hat kaiser datafile destpath tril triu ironically defaultfmt excludelist nanmedian nanargmax gonna savez errmsg getitems maliciously communicated
+ramp arrayterator subarr isposinf isneginf posinf iscomplex nulp retesting usecol interferes coeffs moduledef abide jiffies amplitude afresh usefully ihfft fftn fftfreq rfftn
+cooley ifft decreasingly comput ifftn nofoptargs maxnofargs elsize skeleton nofargs fcompiler noopt noarch subroutines additive prev callstatement usercode callprotoargument
+barnett splititer loves occasions juxtaposition hosting iowait hyper ppid ntuple fans utilization softirq messed racy inet udp irq tcp wired cable cext zabbix kern watches
+dpcontracts lark pytestmark reprcrash sessionfinish subscriptable capfd capsys confcutdir bestrelpath argcomplete legacypath diagnosed argvalues fixturedefs parameterset
+parametrizes ampersand unconfigured imperatively cleanups descends nextitem postmortem configfile declaratively usefixtures sanctioned rootpath thereafter skipif pluginmanager
+syspath caplog capturemanager memorized complications weirdness terminalwriter deletable unadorned reparsing wary reconcile beats autoload citizens hooking optname overshoot
+saferepr truncator walrus marshaled spending abspath unfilled navigating feels lockfile gencode diffing compactly nnorwitz nonrepeated unpopulated editions confusingly myproto
+intersects investigated wasteful preempted cheaply inits shooting tempita conveys colorado doubtful excuse materially pursuant attributions authorizing accompanies sue denver
+commitment embodied preprocessors constantly sublicenses licensees indemnification durable manufacturer fulfilling sublicensing obligate surrender misrepresentation libgfortran
+coudert covenant semiconductor lgpl refrain prohibiting numfocus denying procuring conveying reviewing discriminatory libdivide defenses copyleft possesses bears authorizes
+affirmed subdividing payment fsf cessation interfered contractual freedoms incorporation employer speak circumvention disclaiming tangible dwelling conveyance noncommercially
+technological waive deprive possession gratis subprograms mere googlegroups sold household libquadmath threatened skills licensors attest jenks quickstart gathering rework pgo
+recurrence ignoretz inconsistently tzwin orthodox western arts tzoffset timestr lifting isoparser dstoffset tzfile tzlocal dateline crafted knock expressive government lagging
+acquisition jared ultrafast mysql luca schultz hobbs davies berg adams allison subsetting versioneer branchless manageable roperator colorization reroute getlocale ndframe
+densifying labor observance unalignable unintentionally renamer defaultdicts unconvertible caselist screw concated reallocations nats pydatetime dupe whatsnew nlargest backfilling
+datapoints pydate chicago flesh blocs aggs amazing collinearity isnans conducting baked mappable addend battle libindex stylized motivating paris misbehaving uncategorized ohlc
+retest downcasted cumcount moderately rpow xfailing ndarary lightly centric binner resamples atm ylabelsize yrot radviz errorbar twinx twin yticklabels xtick gridspec faces artists
+smiley iset reread strls tfoot poi uyt colspec bye xsl station dock strike endfoot textasciitilde textbackslash endfirsthead endlastfoot textasciicircum endhead ttips hline itshape
+multindex gmap hdf unstyled dictate xlsx sectional overwrote elementwisely underling geopandas lvalue idiosyncrasies figs tsplot sigh pyplot subtitle expandable queryables
+subgroups assured gbq reauth oauthlib discern disposal connectable refine drivers xclip xsel rowspan colspan redesign flatter iterparse palm headerless ugh pyperclip nomenclature
+printers gobbles rgba prioritised sparsifying tuplize multicol highlighters centrally pyxlsb xlsb odf panes relabeling interpolator bernstein groupwise ngroups lab lvals discretize
+hashmap rvals malta iceland coursework nauru tuvalu takeable anguilla benefiting referent eagle captive hashtag homogeneity enhancing natsort enhancingperf myriad proofing
+realigned localizes multiindexes qtconsole peculiarities beef pork exposition jpg dtl wondering qcut quacks kwd blockmanager blkno swaplevel tabulation vastly freqstr fastpaths
+incomparable categorizing interchangeable inclusively disambiguated resorted subsetted leopard realization tipo bijection rechunk dctx cctx constitute credential clues reexposed
+advantageous lukasa nonce beings granular disposes tunnelled allotted underspecified contentype authenticators werkzeug cidr unquotes hackiness played sponsor keynames reqs ton
+disaster pydistutils normpath ireq bzr stashed autocompletion rejections risking privileged arcname pydist pyver urlretrieve reporthook misspelt lying etag pressure unloaded
+rethrow appengine incantation bastardised oscrypto bond gross wbond owed annoys bubbles pulsing cropping menlo splitter janky unauthorized demanded concurrency subfolder hands
+truststore replays sensitively artificially replaying naked recommending refactors shenanigans sublinearly polluting footguns footgun symposium unprefixed millennium concretize
+yates juggling parametrised threadlocal overzealous reify virtue unwritable diligence iid consts getsource breadcrumb unreasonable upweight breathing unlucky conclusion niche
+optimisations optimiser nondeterminism jumping stalls adaptively chooser resizes prunes mrab popitem subf findall xmllib backreference jkl iniconfig visualising mergeable
+firstresult tryfirst reschedule water hackery libssl acme ronald bootstrapped realm fibonacci ulps defeat grandchild sleeps pythonrun timeval copyable unconnected referencable
+marshalling zipfiles ceval bomb readinto trashcan remembered uncollectable hmm mbcs marshalled clinic crasher emptied wsgi whitebox settle quopri digicool spinbox pyrepl multicall
+hyperparser iomenu runscript keysets menubutton codecontext outwin drag squeezer autocomplete stackviewer sidebar tabwidth radiobutton motion gertzfield charsets surrogateescaped
+webbrowser objc autostart onerror hardening unarchiving stopline subiterator vulnerabilities luminance discernible unseekable punch beaten southern danish norwegian zealand persian
+egypt german rico macedonian galician catalan yuck hungarian nynorsk dutch azeri canada hong spain south finnish kazakh republic swedish vincent carets dedented pubs multicast
+nibbles entrant impedance finalizing libs xcode barf wave toknum tokval simulator multiarch breath replies west plugging hybrid drift longobject ahem usefulness pylifecycle
+socketpair authenticating hostile lauder piers getpass skipinitialspace typecast mbox toc mailboxes chamberlain maxlen starttime programmer prelude basedir segregated globbing
+msgids cultural henry inferences travels reciprocals harmonic mathworld exploration acute rates midpoints rescaling strand lars dos filesizes hyphenated unpadded speleotrove
+elimination rcn contaminate stabilizing dice privilege comfort filemode normcase singledispatch recency metavars largs gory pylist alternates bytestream mild remind walker
+monitored regexs kwonlyargs varkw dramatic partialmethod ninth getfullargspec contingent enclose mandates tomas mandated janssen timestring anytime proven steady facilitates
+administration unlocks trauring itamar awoken joinable drained predecessors resent smtplib fqdn responds pub dialogue schwartz passwd guest valueless dlls schedulers connor
+bubbling melting loser quantified heaps pegen darnell dower randall typos terse genericpath roskind junction newfile meeting multisets breakable wholly eye transitional fiddling
+elide alphanum wished repaired promises drake overlooked halving spammish datas distorted lingl semicircle scrollbars hexagon remark gregor explanatory polygon mouseclick landscape
+navigation stretch seymour colormode pen headed movements clockwise versatile jeffrey knew inversed coprime nonlocals displayhook rlcompleter programmable replaceable freevars
+cmdqueue unrecorded financial cbreak fget possibles worried rapidly leakage gids exchanged legible relay parameterizing asymptotically manifested dominates fisher lean grand arms
+triplets disassemble grabs polls luke wfile ifconfig urn imposing locating thoughts srcdir flavours pybuilddir pylib culting disclosure gigabytes bytesize collate san constituent
+silences reprocessing reattached reattaching detailing bitmaps esp updatable serializations tinyurl frank sims moral unfair everybody lagged uncache statistically finitely zhang
+han dct sendall launches notions stemming kanji genuinely moi flaw ideographs remained carve enumerating emptiness shed forgets neighbour condense mit allowance winget xbe
+reconstructs greenwich stroke lowercasing nameprep science neal disclose prohibition johnny deutsch laboratories pthread nations ascertain unverifiable inflation recognition eta
+alphas elems randomizing interop iobinding dit threadpool composing steam msgs objdump sad boo byref automation headache neatly bang crystal singularity nginx ken catchall dollars
+unfolding esoteric awful cypher headings slurp averts dart defn destructors pound dispose sslobj transmits woefully deques dequeue inexistent hops hop intro mitchell disrupting
+hairy weirdly clarified prescriptive nonetheless meters shipping selective unconverted nonconforming planes destructed canceling echoes getrefcount emulator assoc stresses lorem
+deindent precompiled heuristically ulimit pyperf behnel viruses tokio news dirk krishna josh tony monty dan shaw gaynor foster randel bicking cody loren herbert yee tse hansen cho
+jeeves jemalloc poking shields disruptive prevails variates awaits expandtabs negatively forbids incl todd judicious demanding heapsort suitably iternext exhibiting cabs subtly
+exceedingly viewable anticipated decrefed inappropriately libm frexp strikes detectable recycle alloc miscalculation sprinkled fieldnames zeroing absurdly refcounted realloc
+complexes isbuiltin honours hypot sinh cosh ldexp wasm guesses superficial seldom conserving blame clumps conservation immune rice wolfram lanczos correlate zeroed johnson minuend
+inadvertent tiled penultimate reopening confronted outputfile collectable warranted fleshed collapses sid ideographic outmost bones treturn externals deliminator siz crack
+quantifiers cvs realtime mountpoint reserves stupidly pagefile statm bio reclaimable faking indeterminate concisely unexpanded desugared instantiable tearing tear descendents
+excepthook lovely metacharacter juggle misspellings pythonpath fullwidth tolerates pycs expanduser meg predetermined unescaping textually unpaired pragmatic talks brain moon
+posixrules winreg tti stdoff boils timecnt abbr unsplit denys timo boom tarballs plug rejoin christmas explosion redundancies coexist reconvert difficulties picoseconds floored
+hastings crosses reflexive reversion indicative shaky tzpath credit unpatched reallocation andrea gary intermittent rolls xef storable surround dbapi screws clickable displayable
+focusing decorative collectively rightwards leftwards searchpath dat unsort moose delimiting prefixing emptive cup zen squeezable imbalance organizing inorder contrasts colnames
+outward punting wanting scrambled coincidental masquerade figured subgroup inevitably constituting reassemble asynctest disassembling fromisoformat dodge suspicion opting judge
+resorting uncommitted breaker pkgs breadth squash symlinked favorite recompiling contrived cater zinfo necessitating venvs relpath resurrecting bom fudge bangs lsb coarse raster
+cyan currentframe qui neat sloppy manifests oops unsuitable overdue werror myscript shame demos imitating selftests rollovers weaken opinions sounds fixpoint standin minimise knot
+fib hey readme callability dedenting getstate immortalized nonspacing sneaky borrow imitate conformant factorials reimplement afraid straddles compacted loud recursionlimit
+slipping recalculated exhibits vilnius paranoid era enddate prods formfeed finditer subn xyzabc abnormal backref edifact disagreement backreferences unreported barfs
+experimentation idempotently fledged coro curious multiplexer believed mixins charref asterisk vulgar sax tagname pulldom specializations qname attrib accelerators whichdb codepath
+failfast autospec foord netscape specifics showrefcount libasan gentoo recv ridiculously freebsd dinsdale induction subthread symlinking libregrtest intranet quickening thou steel
+oft ear father structseq ancient vanished trash destroys wouters winds tweaked auditing johab autotest untrack geturl memuse dodgy cooked reconfiguration firewall resurrected bmp
+masse peeking targetlist classdef arglist fodder sweetapp feedparser dingusfish lucid dns transactions showwarning libpthread autocommit radiobuttons paned postcommand stubbed
+reinserted credits getinfo thereto presses keycode tabify scherer idb polo tal einat zzdummy menudefs autosave dismiss mainmenu htests macs parenmatch pathbrowser scrolls keysym
+tabbed structuring indentwidth accomplished colorchooser dialogues relief openhook archived sitecustomize lynx onexc dirfd chown copytree bplist plutil plistlib hmac digestmod
+denial mktemp bulgarian georgian hindi czech envvars india northern kong thunk prefixlen hostmask netmasks router unwind isysroot gestalt aifc perverse calendrical coverdir
+imminent untranslated exclusiveaddruse pickletools markobject grew classobject argtuple stealing ascher unmark echoing insofar tenth maildir syncing babyl undecoded backslashed
+denylist sizehint interruptible realname pump cute hog selfdot subs steen lumholt deployed msgid initializations skeletal numerators averages stdev premise prize irritating lysator
+unmarshal signifying dirpath crc ball wrappable evolves liberty localeconv facundo zeropad emin eprice aahz emax batista taniquetil tjhsst pobox ustar tape linkname pax errorlevel
+targetpath tars gname longname longlink usec liblzma linearization lru ncoghlan promptly rargs reformats subobjects interchangeability catering disassembler subtlety warrants
+kwonlydefaults getmembers abstractmethods unimplemented imaplib authobject ala unparse surely acted wakes synchronizing awakened builddate interoperate ndigits parseaddr bcc rcpt
+disconnects picky mediatype urlchar knownfiles dataurl getlines passive acct ftplib imp blksize cleverly heappush heappops startpos participate heapify mick tutt bauer
+misidentified charles optionals positionals bethard subparser disney hacked profiled enterprises callees splitext autojunk lined synched differencing numlines testmod extraglobs
+quantum adobe zipapp dircmp shake canvwidth titlebar resizemode thickness pencolor shear polygons universe canvheight turtlegraphics diameter fillcolor turtleshape disp
+subgenerator debuggee adaptability begidx recursions bpnumber warrant mnemonic subfunctions stopwatch protects classdict enumerations execv unwrappable flexibly creationflags vfork
+execve startupinfo listings vanish subscribed weed alphabetized refinements asymptotic worm twister mersenne accommodation kappa getrandbits argrepr mnemonics opargs dereferenced
+dirnames nagle wakeups defunct conceivable rfile macdef logcat testbed ddir maxlevels getpath grequests moyix gevent sessionstart mititgate misconfigurations fullfilled stringifies
+assignable genericaliasobject collaborating filepost disclosures shazow slsa sponsorship packers compatability encodung pytypes flexbuffers bytewidth flatbuffer compability vtables
+endcond addtogroup byteslice prep hijack corerion repartitions udfs missings contending spill spilled combiners spilling merger corral fdopen taskaid taskcontext anum stageid
+partid thirdparty sockfile expovariate workdir belows worries ilike buckted bucketing prefetched prefetching prefetches digraph evolution stratum watermarked rollup explicited
+stddev reconciled karp repartitioned greenwald honda nonnullable customers hinted unpersisted hashjoin schenker khanna tolerating strata partitioners aged refreshing catalogs ddl
+geographies iceberg geometries tvf renew classproperty pyfile metastore derby jobj earnings pivots sales junior jtype intensively transactionally serde terminations ttl protoc
+shaded subqueries isoformat sightly logics tenancy communicates preempts retriable retun pseudocode safecheck persistently cogroups relocate localtimestamp portioned sketches
+bucketize secant inva mins explictly tumbling angled shanghai zipping ntile rnlt converion cosecant datasketches aad hypotenuse listagg continaing geo multiplicand kinesis
+deserializers unifying monitors pickable nonnegativity testset factorisation unpersists discounted ndcg mcm updater heidelberg minimization tfidf discretizer compositionality
+learns htf eprod standardizer syms parallelizing trosset kearsley technometrics lrmb softlib tapia hoefling neariso antitonic bskm glaros mixtures weightage bags covertible mus
+workshop centroids forgetfulness stkm dstreams excepted nonpositive saveable decomp skinny gramian knob arnoldi assists factorizations netflix ritz ensuing gleich constantine
+distributively kstest ksmodel rises sdp intercepting confs kubernetes requasts mohsen azimi parliament affirmer overtly compensation abandons contravention depicted vii elects
+ineffectiveness rescission merchantability confer council territories invalidity motivations relinquish irrevocably surrenders equitable voluntarily surrendered dissemination
+sublicensable contemplated culture intending transferable consents phillips almende visjs timeline zakas wanstrath mustache lehnardt langridge bostock graphx pagerank wordcount
+kafka neuro localdir spanned nonzeros wget mattmahoney unzipped subsample consequents aft movies ipykernel tblib cashing barack obama anonsys zaharia odersky bieber jeresig
+ladygaga justinbieber matei resig goddess psseries pred ingest booleanize itmes winspeed groupkey rescue hulk smash mjolnir preformed anchoring hawkeye sai staff ironman weapon
+bricks donatello stormbuster captain myser mlflow organize firsts travel lenght relabling stevenloria extention psidxs bxp plottable bxpstats flierprops linestyle tpe kolmogorov
+rmse mae preds jagged basestring scored mlp bdf hinge blor nlp mlor ensembles ovr multilayer mdf perceptron inventors recommender pfp fpm yin dong haoyuan wang yiwen jiawei itemset
+brp frieze itd remover binarizer austin bohman unseen fdr fwe grams combinatorics inverter svec bucketizer binarize ngram ohe huber glr deviance aftsr tweedie spectral pic lda
+kmeans inertia bahmani perplexity bkm offloaded tvs broadast confidences nnodes deepspeed transit sbt pandasutils customizes savers slotstate slotname decorrelate memoizer newargs
+depickling saver clsdict tornado attrname lineages irrecoverable pipelined writables downscaling unpersisting qualifiedname reserialized jsc sequencefile hiragana popularity
+crossed halfwidth chaotic implausible unrepresentative pronounce classifying cleanest cjkcodecs cuter maturin trainers dive hub protonmail patry versatility orphaned attentive
+amend accountability tenor noxfile remnant serbocroatian simia prettytable typehint vainly participated larges uncap extinguishes proton accountable showcased loguru ethical
+bottlenecks ftfy tahri unforeseen upperbound iana regulatory unlisted esperanto steer feedbacks social assisted competitors attestation bundler inception misdetected dragonmapper
+apy cchardet keepachangelog cibuildwheel instantaneous baque incentives uncapped unintentional mislead uchardet moderating expressable outranks cmpkey unsatisfiability rangelike
+pylock canonicalizing arcs preferential involutive involution keying pathologically terser sweep recoveries admitting rode sweeps disjointness undecomposable snapped inert snapping
+inclusivity unobservable budgeted fewest straddle unsnapped uppers agreeing rides refolds congruence oslo characterizes unsupervised parallelizes decompiling spm cmake pwsh taku
+vocabs kudo migrated detokenizer detokenization powershell snip botchan decompile mllib relicense babel cldr meetings announcements deserving regulating appart wallclock launchpad
+roam pythonhosted rejoins indic cudnn msvc thiagofc curand cufft melvin unlicense disputes efcs fiselier clarifies czarnota dedicates eigen millikin kleidiai firesafe iarocci faith
+idiap relinquishment smhasher arne guo twobeer clarkson fujitsu marat champaign principles carto showlabor joao bottou hwaci deniz billy zhuk skowron paulo raul overt hamon epfl
+leroy dresden vested mbed yixuan bengio deliverable deepmind shigeo certifies coeurjolly goods delaware unencumbered lawsuit oleksandr halide wei corporate voltaire myricom cartodb
+nicola sinks jakob yovchev dedicate wenzel dedicator lohmann jimenez emsdk uncontaminated trustees cite udagawa ckennelly coremltools ficarelli leong liris phaneuf dalcin
+stripysock dedications certified leijen cisco qiu xbyak shuo lebedev affidavits hutchinson forschungszentrum kishan cerberus ridge decompilation marin crosse evgeny sandia radoslav
+dnnl ismael dirac tfjs dedicators glover evrenci tensorboard sochka madams offices llvm tint cutlass assessing objections indiana conceived pretorius certification juelich caffe
+venue stuttgart lei chelsio redmond georgia broadcom iain dukhan niels certifier googletest magalhaes evergrid ucx samy collobert utatane supercomputing kaito beer brick haxx
+suzuki dedicating mbedtls recherche knuuttila wolf vafin lisandro kennelly homann jia triad yangqing chenshuo institut informatique suppliers dealings dawn kuan anonymity telemetry
+consent uploader vcpkg retracing fastmath formulate unkonw usesful enumlate hugginface unfused transducer unreferenced synthesised nvml vae nods calm park wildlife multihead subg
+flaubert xlnet postprocess squeezebert layoutlm bugbug unrolls inlcude attentions somce reciprocol byproduct patial emb paddings cumulated vllm unitl swish blocklists finiteness
+enconder roberta lengthen sdpa anomaly attn bitsandbytes overflood tesla warping speaker spectrogram mel projections mannwhitneyu whitney runtimne topkens returnas concate
+tollerance paged thresholded sprinkles contours squad answering ninja libtcmalloc xformers denoiser sdxl portrait canny setable denoise betas karras glide ddim scalings multistep
+ckpt tactic xxl ouf orignal dequantization qtype simplifeied incidates calibrator inferencer rebias pybind unflattened prepacking prepack pybinds gated prepacked backprop proximal
+corresdponging continguous wised pathof calib therefor sapphire silicon maxpool rapids laptop quantizelinear boundless ununsed dequantizes quanitzed behavier snaps absmax
+symmetrized vectorised quanitize broadcase qlinearsoft qlinearconv externa quants asym paded nstep nearst dataloader maxq minq rrmin rowi dequant perfoms quantizable fixer netron
+declassify generative positivity prerequesite keepdim interger accrued aten shapesof templatized tflite optype mobilenet preprocessed onn idfferent tranch outweigh webgpu
+sessionless nummpy nnz cxx cupy cann onnxrunitme ortvalue unpinning suppored jax ortdevice cudart cudatoolkit duplications ortmodule virtualized redist blacklisted representer
+dumper analyzers indention obeying fetchers chomp loosed perldoc lightbulb dracula bracco luminosity arctic pyte zoghaib sanssecours kippura zenburn inkpot camil solarized staps
+signatres colouring beginners chocolate sky scarlet aluminium crunchy butter strived guidelines plum gloss pastie manni minimalistic maroon colorscheme workbench cozy monokai
+lovelace angry miikka subdued salminen desaturated sarah owls drasner blindness backslashing prelims antlr ragel treetop concatention irssi xchat autodetecting notmuch weechat
+rubinius qsw startings mismarking tasm subreg asterisks bank immediates relocation cpuid handlng caml opa mlton wordsets obsolescent wordset amforth keyfiles inferno mkfiles
+nemerle ntbr fsharp quasiquotation elpi fift gleam seterror processwaitclose trayitemsettext filegetlongname tcpnametoip osservicepack iniread scriptfullpath guictrlsetonevent
+guictrlsetgraphic processlist computername winwait guiseticon wingettext timerdiff pixelchecksum desktopdepth dllstructsetdata stringtobinary udpopen controlhide stringlower
+controldisable objevent progresson stringformat guictrlcreategroup dirmove ishwnd stringisxdigit controlsettext stringinstr drivegettype stdioclose autoitsetoption
+dllcallbackgetptr inetclose guictrlsetfont regenumval desktopcommondir winlist winactive drivegetdrive vargettype drivespacefree dllcalladdress osarch ubound setextended
+winsetstate isbinary envset sendkeepactive drivesetlabel oslang processgetstats guictrlsetresizing autoitexe stringstripws iskeyword guictrlsetdata controlgettext guictrlcreateobj
+cpuarch guictrlcreatedate drivegetserial stringcompare endselect trayitemdelete mouseclickdrag stdoutread guictrlsettip guictrlcreateradio guictrlsendmsg scriptdir autohotkey
+regwrite osversion desktopwidth trayseticon guictrlsetdefcolor wingethandle scriptname traysetclick shellexecutewait stringisascii isdeclared stringtrimright guisetstyle exitmethod
+controlcommand autoitpid tcplisten guigetstyle runaswait stringreplace filegetpos guiregistermsg endregion guisetfont autoitversion windowsdir adlibunregister processexists
+filerecycle autoitwinsettitle filefindnextfile filechangedir winactivate comspec blockinput filegetshortcut guictrlcreateinput tcpstartup udprecv guictrlcreatelist
+guictrlsetbkcolor stringisfloat objname mouseup isbool wingetcaretpos programscommondir stringisint traysetpauseicon guictrlcreatedummy udpsend isadmin muilang endfunc bitor
+guisethelp splashtexton bitrotate guictrlread winminimizeall tcpshutdown filedelete clipput stringmid regdelete sendkeys filegetattrib guictrlcreatecombo envupdate stringtrimleft
+stringregexp controlgethandle traysetstate startupdir drivemapdel drivegetlabel dircopy guictrlrecvmsg dircreate udpclosesocket trayiconvisible guictrlsendtodummy filesavedialog
+traygetmsg inirenamesection guictrlcreatelabel guictrlsetpos stringleft filemove mday dllclose fileselectfolder shellexecute fileopen fileread trayiconflashing pluginclose
+wingetpos guictrlsetstyle controltreeview controlmove guictrlgethandle winmove winsettrans homeshare desktopheight logondnsdomain guisetonevent filegetencoding iniwrite progressoff
+ostype filesetpos mousedown controlshow guisetcoord guigetcursorinfo winwaitclose stdinwrite stringstripcr appdatacommondir mydocumentsdir isstring bitnot favoritescommondir
+winexists stringaddcr tcprecv cdtray winsettitle hotkeyset userprofiledir objcreateinterface processclose drivemapadd controlgetpos mousegetpos pixelsearch logondomain dllcall
+scriptlinenumber msgbox drivegetfilesystem winwaitactive inidelete timerinit filereadline fileclose commonfilesdir dllstructcreate winminimizeallundo winclose guictrlcreatetab
+runas guisetaccelerators documentscommondir trayitemgetstate wingetclasslist stringisalnum isfloat winmenuselectitem controlsend stringright isnumber filecopy pluginopen
+soundsetwavevolume winsetontop dirremove filesettime filerecycleempty bitand fileopendialog binarymid filegettime filecreatentfslink isdllstruct stringupper tcpsend udpbind
+favoritesdir controllistview mousegetcursor isobj workingdir consolewrite guictrldelete iniwritesection traysetonevent continueloop binarylen memgetstats stringislower drivemapget
+hotkeypressed automating traycreatemenu tcpclosesocket filewriteline trayitemsetonevent guictrlsetstate regenumkey homedrive traytip stringisupper inetgetsize freeware
+guictrlcreateavi stringsplit startmenucommondir winkill objcreate guisetstate soundplay drivespacetotal autoitwingettitle controlgetfocus programfilesdir exitloop wend
+desktoprefresh filesetattrib fileexists controlclick controlfocus wingettitle wingetstate tcpaccept filegetshortname traysettooltip trayitemgettext filegetsize winwaitnotactive
+guictrlcreateedit winflash kblayout adlibregister dllstructgetsize binarytostring fileflush guictrlcreatepic objget forcedef udpstartup trayitemsetstate wingetclientsize
+wingetprocess systemdir stringtoasciiarray mousemove consoleread guiswitch desktopdir programsdir ftpsetproxy drivestatus guictrlsetlimit appdatadir isint stringisspace
+dllstructgetptr guictrlsetcursor traycreateitem guicreate pixelgetcolor srandom statusbargettext filefindfirstfile dirgetsize consolewriteerror stringisalpha guictrlcreatemenu
+guigetmsg splashimageon guisetcursor numparams forceref filecreateshortcut filewrite stringisdigit logonserver httpsetproxy guidelete guisetbkcolor inetget isptr guistartgroup
+inireadsection ascw inetgetinfo regread fileinstall crlf udpshutdown osbuild startupcommondir stringlen trayitemgethandle bitxor controlenable guictrlcreateicon guictrlsetcolor
+inetread homepath chrw dllopen dllcallbackfree dllstructgetdata splashoff guictrlgetstate startmenudir guictrlsetimage processwait clipget inputbox envget filegetversion tcpconnect
+httpsetuseragent runwait hare copula exts transcripts weave vcl varnish procfile foreman honcho armored extempore racket sharpsign fennel xtlang engineered janet uninterned
+extflonums pastes sexpr iinf hyperspec elisp lispy tact alloy pacemaker snowball crmsh zeek copypasta pan flatline mscgen puppet nokia siemens oyj tokenizes robot roboconf
+terraform egress terraformi squid lighttpd pacman caddyfile termcap augeas kconfig dockerfile systemd regedit baretime gobbled caddy fprintks fprints orchestras printks sprintfk
+addon warcraft wont compete abitrary izes addons rell eiffel roblox gallina vernacular rocq tactics endelse endswitch reswords csail referencelist mathworks subnodes schutte darcs
+wdiff graphql devicetree psysh zephir charclass maple aust newspeak squeak nils fileout smithy arturo typst unnumbered compounds scoreboards denotate unfortuntely scoreboard
+mcfunction snbt deliminated minecraft mods entangle bibliography croc spanners phix kusto acorn execubot shex productions beast statalist synlightlist savi vscode censoring
+functionals modelica jacobian dyadic monadic xsd fantom subst podname fandocs fandoc accommodating disappointed kicking shortcoming plpgsql psql significands silver boogie freezeif
+waituntil boa futhark makefiles automake ooc mmjobs mosel mmsystem mmxprs portugol ootherwise delphi mesonbuild spice gcode offload isms repetitious packager cryptol dependently
+hspec agda koka literate haskell idris verilog disinguish sophia uxntal sublabel ezhil xorg hexdump hexcat xxd recognising bazbam blueprints aglet chevron initialiser verifpal wren
+oberon chomping mathematica creutzig shortage elementcontentchar ncnamestartchar marklogic duel slim xquery ncnamechar referral typographic subformulae escher fantasy hofstadter
+bach sass stylesheets cssvalues styleshets syndata prometheus covance kidd datalines uni vyper groupnames notational barewords ctlops hexfloat rangeop pawn ziglang mojo
+noperspective alignas enumerants unorm depedendent priv wgsl coherent noexcept workgroup decltype instanceof blankspace typeid consteval pixelfragment lowp highp noinline fxgroup
+alignof premerge predeclared mediump constexpr mut snorm groupshared constinit nointerpolation packoffset slurm execline gherkin soong archetypes beale guids shaders elm rego
+imperatives blinkinsop alphabets brainfuck befunge aheui redcode typealiases baselexer doxygen swift miscounted cautionary longa slurs augmentation chord octavation pond breve
+fingering beams grob typesetter articulation tremolos pitches splicing subproperties famously postprocessed abbre webassembly solidity rigoto kgoto timout cigoto rireturn igoto
+reinit endop cngoto cggoto endin tigoto ckgoto competditors lisps vala spinroot declarators pike charm promela pony multipurpose bodypart recurrsion stingray riverbed kuin dylan
+wikilinks roff typesetting octodex hyperlink yaktocat slashed italics execmd wikitext markups transclusion drawers subheading citation wikilink footnote subheadings fenced cplint
+distributional disjunctions lowlight veneer foreach fiction inweb operational stereotypes metamodel factorised borrowings golo kotlin ceylon xtend cellnames jasmin ioke groovy
+clojure gosu insturctions hlissner coproc whiley liquid variabletext smarty genshi mason evidently coldfusion saltstack meal spitfire myghty evoque cfoutput handlebars twig mako
+ucode endsuspend endrepeat smali dalvik quasiliterals monte berry preproc idtype fps haxe reification compilerswitches praat nodejsrepl kal juttle slashstartsregex mishighlighting
+yocto fakeroot rexx easytrieve blowup amann mainframe hybris indicatins gnuplot samplers vision raytracer camera trawling lightsource webpage logtalk existential functors chapel
+faux haml xpl vue pug scaml figurative opencobol methodnames bolds kombinations jsonnet scdoc triquotes elixir sigil lterm erlang anon rterm erl measurably psf establishing
+schemeless unfeasible brotlipy evicting webworker preflight fetcher opaqueredirect atomics jspi corp inputstream arraybuffer httpwg unicodes javaopts shutted blokincg closable
+unecessary withing gatway jarpath anwser resquests receivers gradlew stringbuffer ccanot gradle echange gateways clientserver dear lockfiles outlines shankar carlini mistral
+farhadi hannaneh ludwig ali achal namkoong taori ilharco wortsman vaishaal schmidt hongseok hajishirzi rustup flamegraph testcov muslinux yue devel oneshot libxxhash dpl ifduyue
+predictably freeform deceiving configurability abcdef empower carryover athlete revalidated hedwig unsolved scanerios comfortable varkwargs chemistry student courses nxt mbit
+nuance tbit dessert eibit pibit condecimal tibit gibit droids mibit kibit gbit constr ebit conint kbit pbit dislike remapping dft dateparse laborious tomli visa mastercard hsl luhn
+rethinking ujson striped replica sharded doe initvars basemodel dated sublevel unwillingly contype flakey sare smell upsets juste unevaluatable nascent genercis lighter disguised
+complicating executionmodel subjective uvicorn abused wrongfully leaky mocker datastructure nervous metadatas implementors recongize sprints dodds zhd myschema relatives ntypes
+cudf turbodbc larrow subprojects interprocess boundscheck referrers nthreads execplan stripes bloom sidecar flamingo disjunction centipede varbinary recompiled reconciling dangles
+clss categorized developercommunity wrinkles ceiled graphemica transcoding indifferent algs supplementary subseconds recordbatch liborc eos testa localfs reintroduce nonexisting
+contradicts transcode proxyhandler backpressure numpyconfig cythonize conveniences ipc nonequivalent wreck incase uwsgi picosecond structtype femtosecond boundschecking gandiva
+projector azurite pydicts uinderlying destructing overrules conubia pretium porta aenean dignissim justo massa iaculis pellentesque mollis posuere efficitur sociosqu varius diam
+faucibus himenaeos quisque feugiat litora vehicula donec scelerisque praesent quam accumsan inceptos vestibulum aptent ligula tortor eget vel arcu fermentum tellus blandit volutpat
+vitae erat tincidunt lectus sapien mauris orci nostra proin aliquam taciti sagittis urna torquent turpis facilisis libero unopened keword kms localfilesystem carat obliterate
+premium hardcodes slovenia refguide autodata attribs intercepted releaselevel bake slotting unscore freshest uncalculated alteration unequivocal relegate reassignments upsides
+openai generalise subwords gmpy glances grodola psdash wmi ionice portings alg clickpy cpslib prlimit rodola repology kthreadd xdg pmap monit smem pidof bpytop vulture gopsutil
+pstree psleak uptime rstcheck iotop stargazers ajenti grr pypinfo instafail taskset acora xiaopeng spdx frederik fantastic hkn renat corasick finest installe pyahocorasick donner
+ahocorapy automatons frankie hers yoo genomics wojciech trie miika unmaintained noaho abusix shortcutting sidekick ayan aho automaton intrusion poczta spitting nmt sennrich
+prettified visualizer charchter transitioned discourse kiwiirc pypa ircs irc anubhav popravka oliver hrnciar kaihola michaelpacer nathaniel meowmeowcat wim balen molloy jacob
+kurnikov poznik mannion johansson vitaly zhenyu botelho stepshal runge pichugin deng dav singh rny carvalho edwards haldar paulus gessler ashley gutsytechster sait tinruufu akash
+gladkov everdimension layday bae judah olivier avner rck banafato anrs wilfred gillingham christophe ingram rittner bunin moonen godefroid berker emmanuel aniruddha sumana stavros
+rutherfurd marcus barneygale dairiki benita goyal elainechan benoit domen burzo inada luo rofes schneier simeon sydorenko konstin tuval merejkowsky shahar sander woodworth snyder
+xtreak lees stephan nikhil hari schirone loosley finnagin benesch vidyarthi sirois montesano yan noah neil oswald epstein damian nikolay endoh hartzer stonebig fenzl niyas lawson
+sagar xoviat cimon wentz toonarmycaptain hanchrow ogryczak jakirkham luis kuntal shireenrao chandrasekhar finn zhaocheng rinchiera nicolodi russell sachi filip schoentgen fokow
+strite babu nicole alberto gilliard dimitri stasiak morison zafran gavin niedbalski atsushi ddelange woodruff klaas rouyrre preet oza prabakaran guettler godase laurie coraor
+degroote ahayrapetyan ralf burke holly rose ellen elson genstedt eitan watson agrawal oudard cleveland papadopoulos anudit myint doty prashant gorny hedges macedo wright odagiri
+thiago ekristina chiruvella bucher kniewallner maries bacchi nathan waller takayuki jiashuo jannis brunet omry mbaluna sheng fernandez techtonik womack remi kumaresshan king eli
+rajaiah lopes narlock joost chung calvin gale oscar luk perthuis efflamlemaillet mathieu bernhard hillard jaime michelini nagar freeland anuj hayashi takanao burrows caro ashwin
+philippon aguilar mallya phane shaulov alethea marques phaneendra wienand pekka maity rdb desetude yang christoph hendricks peksag montefra simon kitterman qiming stuchlik paton
+sadhwani erjavec arenasys wolfe scherfke orsava bulgakov brannon willson gasc nikita dubroy patrushev charlie kohler philip lucas gaul awit kuzmitshov marsh mattip visser bidoul
+salvatore alli harutaka memoselyk delfino patel wodder studioj petkovic robenolt sorinel francesco rishi socketubs garrison kehrer brandt jiun bhavam cousineau atse toxinu stenning
+mutlu bstrdsmkr chrysle nasrat poggi rory shlomi georgy nyayapati amara barber sasson zearin matej rodrigues arun lemaillet yves prabhjyotsing viktorin mayeut pollak sbarnea ilan
+sodhi zhiping beswick schnell orderud savilonis datta sean mohammed mispelon hollander razzi espada mueller quiroga girardot ludovic briantracy musso romuald baluna ricky chase
+delport vikram curio rampin harsh surbhi giftlin trumbell pfennig benfield adolfo baryshev jiebin jost carter daniele parise kluger kpinc geoffrey bernard viktor erdinc morley
+jarek tugushev hahler jivan lakshmanaram maurits gousaiyang cannon eswaramoorthy ashimine seanj venthur masaki freund grisel mihir doron pieter sinscary jing takashi demoor yoval
+davidovich pursehouse stolle schmitt volodin yeray baptiste yadan collin kaustav ami surjit marappan pulkit bronson stotelmyer macken bylund wrzos diaz felipe andrei jomton gkdoc
+caraballo williamson winson bray mintz georgi pennock korokithakis amurrio swicegood hugues rosner wiedemann flavio opperman rosser jinzhe gdanielson fleischman wooden kelsey
+mustafa shovan gia darren kowalik ziebam neelicattu kukkonen nvdv mathew schlamar lukas kyle babiy anatoly abrahams einhorn timkovich deepak ambrosini zvezdan ayers devesh hsuan
+vipul phong ofrinevo ronaudinho kavanagh stinner dustin sobreira miguel cytolentino maiti pozdeev pchelkin schoutsen polley reiss tucker konovalenko charan marc sharma wilson pryer
+luojiebin thakkar xianpeng hsiaoming widman ananya aguiar jesse walls rosen ghost craig potiuk bridon pachwenko dwayne honnix anton luz johnthagen maier choudhury linke bertil
+dongweiming oren dale szramowski ryneeverett anders brinker michalik hayato moore erickson martey meyer patterson berman bogorodskiy lutro tik bruant dodoo patrik lipis nehal
+alexey curtis holmes freudenheim styrke iar shepherd opanchuk belitzky mares bristiel guez juanjo partanen jelmer savio stachowiak gerity cory donchenko durbin filipe hauntsaninja
+majumder przemek haenel morotti leidel marie bartek nitesh cristina guan curtin guliaev albertg srivastava harihareswara prabhu thayer houghton kerstiens ollie pawel bernardo hunt
+derwolfe arindam enenkel forbes chachamu wani riccardo hermes ruairidh bordeynik gpiks schreiner manton nahuel shixian kit brattain keanemind stefano tyers roey araujo cass kenji
+brad pratik wozniski jerdonek kuczys ajjan ramaswami robinson morega clauss kasium enoch soyland klein roodt joseph rmorotti tonnhofer silvester leslie hoyt iversen holth
+ovchinnikov pulliainen karpeles hatt fischer antony nockert schaetz pradyun bwoodsend devsagul muha hernandez erwin magee antoine ani koston gedam alvarado lincoln tiram perez
+vinicyus vereshchagin ales bence zarhi mdebi nadav tushar treinish gethmann kuratomi ghirmai cano ilya hermann briand henrich wilk molenaar abuissa pavithra sousa markiewicz serra
+sully rafael reece sviatoslav anish tommi kawamura guillaume geiger koorapati jyrki tavares bienkowski juhrich bogdan elisha kamal maxwell hametner valkov gopinath glenn wexler
+tbeswick rutsky cker erb chepanov sinoroc wellington monica klich dane pawley shymanel dudfield sneddon hightower denise givon lowe atlakson feickert osborn hanjun nowell daniil
+shtyrov jolowicz artem vardhan rivera antti alexandre garry vysoky joonatan wales atina caricio collins aakanksha geacar basak jennings korolev bussonnier sanz ladha avinash admin
+triemstra miro pavlasek masklinn abhinav sorin graves freo golemon carol firth jonathan fischman kopkan srinivas mariatta patricktokeeffe diego rees kaseorg boylan nipunn toshio
+procida caleb medel esposti efflam zeng magliocchetti tambe karhana bodenmiller blazej harupy victorvpaulo stanley jasinski tamlyn bock persohn barnes anderson thijs vasilyev
+shenxianpeng agus frost trevor hayrapetyan kexuan cristante schelven rozendorn conrad frommelt qiangning kuehl vladimir aleks ahilya ikko deepyaman tomer seguin whelan chapelle
+subproject redistributable kitware oss carnegie mellon guava dremio multibuild jekyll dato thompson gflags lemire impala hocevar vive ooms fireworks suitability conan netty
+massachusetts trifunovic uriparser weijia cryptsoft gaviota pakosz dang lhash omer folly legalcode tablebase nyffenegger archery chess camembert melissa asylo chromatin
+multiarraymodule ares quantitatively hinnant pcg howard zut asyoulik hester donated bpacking pipping rouines ozarslan whereami paro kppkn publically nemanja aheared netscapes
+incubator prospectively colomitchi comoglio aurora docscrape jeroen gmbh retroactively bjoern deem montesqieu neill piper renato tally ifnormation wiebe canonware cymove ursabot
+hoehrmann gutenberg ios collet imoprted tread minimalist curated trustworthiness programmatic violating excs lightmode darkmode analytical hugepages channeling boiler clumsy
+acrobatics getargspec stringifying automodule remedying exclusivity broadening invariably ldict gdict rayleigh gumbel vonmises zipf philox ranf hypergeometric laplace wald
+logseries chisquare lorentz sheppard economics libdistributions nsample bitgen lstsq pinv svdvals decompositions normed quaternion dgeev zungqr zgeev theor zheevd orlando ainv
+orthonormal householder dgeqrf dgelsd dorgqr superdiagonal zgeqrf squarings sing dsyevd determinants zgesdd schur banded zgesv parenthesization dgetrf uncertainties diagonalized
+zgelsd reflectors zpotrf subproblems dpotrf zgetrf dgesv dgesdd logabsdet eigenvector smat parenthesizations subdiagonal xerbla matrixlib lwork deserve geqrf rubrics communal
+pyinstaller forgetting undue unproactive restypes argtype clib libname strasheim lazyload reexports ctypeslib emath delegations tostring charar rindex zfill uppered datastring
+occupy bitsize arraymean rcount arrmean importerror unclutter misleadingly xmax xmin ibeta ngrd irnd mantissas diagnosing retired strtold nmant nexp nextafter stold ftype
+masquerading galilei saturdays begindates minlength unraveling surnames bitorder hertz enddates nonscalar conjugating bottomed motivate usecase ram thefinal wisdom axisc ith axisa
+conjugation isfortran rollaxis axisb otimes numerictypes ushort uintp ulonglong issubsctype uintc issubdtype ubyte issctype keepends nsecond unstripped thwas monkeys dwash dish
+crystallized dlrow sped astr bufferable oldtype basetype newtype outputless efgh flop einops cubically oset nlk prioritizing ilm bcde njm isets superlative sieves defg teoliphant
+backcompatibility ere nbr greenfield hugunin floatmode getindex infstr edgeitems nanstr friendliness summarised perry archibald quickest transposition raveling misinterpretation
+raveled introsort nominally cycling lecture placements acronym listsort seterr geterrcall olderr errobj seterrcall getbufsize geterr oldsettings newfp fpc fpo iterationneedsapi
+possessed sever writeback automethod bdd introductory pyscalars nditers mulop nonneg opn noindex gentype uic addop auxdata itviews refcheck defmatrix fromnumeric borrows itersize
+errs multiplicant retstep geomspace logspace fillwithscalar denormalized infi conj nani ipi pauli voids fromrecords unaccessible mytype buildins tupled scalarmath deferral
+castingimpl bytedwaps rnding reentering unravel arraymask readwrite iterrange adopting deallocate bufalloc ptrs seberg overran reenter writemasked contigouos memmapped maxprec outs
+ninf blocklisted ncontig quaternary leeway divisors gfortran cinf lcm reshapes dividebyzero dlpacks mimicked newaxis weekends nonlinear mondays detections mounting feat wheremask
+nelems mib neighborhood anyorder weirdnesses rsorted keeporder tgt nbo wchar untypical stranger bumping neigh crept nontrivially uncontiguous arraytypes tere quickselect seqfault
+gemv iops degraded maxdims ravels binsearch syrk fallocate cblasfuncs npymath suffixing illogical sfx andc xnor lane ridiculous copyflag fastclip formalized conflated nanable
+arches testers fpe typekind ncap lld graciously ctors nomemoverlap calloc actors relaxing cared backcompat userloop flts subspaces mimicker fabs supremum arcsinh innerwt cmplx
+reduceats ufuncobject arccosh fuss identityless castles bouncy liberally einssum offs noncontig machar ufuncname transcendental ulperror ridiculousfish walisch xdata ydata polyx
+polyzero polypow polyvalfromroots polyline polymulx polyfromroots polyone polyvander polycompanion polyroots polydomain polytrim mapparms mapdomain trimseq abscissae getdomain
+runaway resid superscripts linebreaking unshifted hermadd hermmul hermmulx hermcompanion hermint hermval hermzero hermdiv hermgauss hermvander hermsub hermpow hermfromroots hermfit
+hermx hermroots hermone hermweight hermder hermline hermtrim hermdomain leggauss legdiv legtrim legweight legadd legroots legint legone legzero legpow legfromroots legx legvander
+legsub legfit legdomain legmul legcompanion legline legmulx legval legder lagmul lagpow lagsub lagdomain lagadd lagfit lagvander lagline lagcompanion laggauss lagx lagfromroots
+lagtrim lagone lagval lagroots lagweight lagder lagdiv lagmulx lagint lagzero hehe hermeadd hermefit hermezero hermedomain hermesub hermeint hermecompanion hermemul hermex hermediv
+hermegauss hermeweight hermeder hermeroots hermefromroots hermevander hermetrim hermepow hermeval hermemulx hermeone hermeline chebweight chebdomain chebsub chebval chebzero
+chebder chebx chebfromroots minmax chebline chebtrim pts chebmul chebdiv apriori chebcompanion indefinite chebint chebroots chebadd chebgauss interpolates chebinterpolate zseries
+chebvander chebmulx chebone chebpow surplus commutation herme polyendre herm commentchar vartypes missingchar arraylist wreaks ultra reclist millman jarrod marr maskedconstant
+getdata getmask dout notoriously conserves guesswork prefilled softmask les effecting spoiled onmask undecidable youngest whiny scalarscalar bas mbfunc whine instancemethod marrays
+masques equalities fillx unmasks mufunc overlaid endwith unmasking filly fxarray dmmit sharedmask hardened underway prefilling matplotlibrc frustrated argued scikit odecimals
+sumweights aux mxsub deferrals xsub msubarray concatenations dty allequal anom ipow idiv ina ravelling imul extremum misaligning mrecords recordmask addfield tailed overestimates
+inversely founded robustness digitalassets normality histmat lowerbound stone diaconis underestimates interquartile sturges namemapper repacked rfn seqarrays dts nameless
+superposes repacking lastname repack jointype adtype asrecarray autoconvert authentic loadedarray marray mmapable saddle otypes nonparametric yinterp sons durran stationery
+discontinuity spike filt kuo bandlimited xvals spectra aweights discontinuities fluid differentiable springer julius spheroidal sacco autocovariance sim fweights publications
+pearsonr vfunc condlist scitools periodogram bartlett ripple lobe schafer cosines stepsize dover quarteroni choicelist argwhere neighbouring mesg prolate interpolant fornberg
+blackman mag hanning river tapering austrian dimensonal wiley energy cephes kanasewich alberta hann unsortable meteorologist radian weisstein sinus slepian oppenheim taper
+apodization bessel sinc biometrika rms xarr vpolyval saleri urlname researcher repos upath gfile sanitised baseurl xcenters ycenters tri pcolormesh correspdonding abscissa trili
+imshow xedges theophile mathcal triui yedges stepped slides userfriendly liner dof antiderivative oscillate approximating reinhold coeff nostrand wildly satisfactory graphing
+hirsch horn fac bayesian semendyayev bronshtein sullivan equalise kronecker buff reps dateparser boolval validationargs validatednames delimit defaultdate nbfields maxwidth cflags
+olduint precaution nanargmin nancumprod serendipity nanprod nancumsum benchmarked esque nansum rowmasks fld delineated skiplines filehandle bagobj savetxt npzfile fromregex nieche
+inputfile nbrows nbcols concatenator orleans maketuple ndenumerate ixgrid mesh pended arraypad ramps iaxis pynetcdf isrealobj isreal iscomplexobj typechars convertcode cimrman
+representant clipmodes unexplored equivariance otype stems enhancement zerod incr gest koenker uniformized basestr umlaute gft commentstr fromhex multiformat brokenness misformat
+mdata longdoubles unitless untransformed invertibility uniqueinputs oldstyle becker binedge doane autoconversion flexndarray strg outputfilename prologue builddir maxulp retrigger
+memusage unsuppressed specificity suppressions mishandle isscalar vagaries arounds etime testmatch slippery disturbing randomascii wrongness vetterline rfftfreq mainstay univ
+convolutions symmetries fftpack tif rformat vardebugshowvalue pytype endtitle varrformat vardebuginfo returncptr routdebugshowvalue varshowvalue begintitle rctype atype rname
+mymodmodule mymod hasinitvalue callfortran buildapi isoptional pyobj stringarray buildvalue scalararray complexarray noinitvalue rightarrow fshape tcheck tot compaq inistr typenum
+flen fflags scalapack documentclass scaninputline literalinclude tableofcontents redefinitions mytab pymethoddef entryname dimrange dsize moduleprocedures groupcache cracked
+argslist functionpattern crackfortran definiteness interfaced typespec xset pythonmodule fortrantypes namepattern analyzeline skipemptyends userisdefined cont tricked skipfuncs
+attrspec undef jmpbuf adversary markinnerspaces quotations endfunction endsubroutine typeinfo foosub sfoosub dfoosub stretches genp mname untitled rebase xdigit anacondfuuoo
+endeavour pqr fuzziness matchobject jane ntwo endpos mrabarnett nthree fuuoo tarzan derek forums chajdas sunos kstat goo psinfo damn cputime univocally mega explicative uids
+involuntary dropin lucky niceness errout procs sout fstype egible suspending secsleft errin mtu diskperf isup mhz hblkhd uordblks transitory hacker pyxr wset hybernate dpc validy
+fluctuation sectors linuxdevcenter lkml procps sysinfo booted lrs vmstat pgouts serverfault prio vms nodev bootlin hda sda slab meminfo smaps trs askubuntu plugged tgid kilo
+tempted symptomatic drs iostats diskstats rss coretemp stinky hwmon cputopology reimplements sched viewtopic arstechnica unvoluntary manpages memleak intrs smp ttydev rdev truss
+procfiles drmaciver rainbow terminalprogress logfinish plurality logreport fspaths ellipsizing testid garbles pluralize fslocation isatty conemu circuited wasxfail pyargs subsumes
+subsumption pyenv shouldfail reconciliation filescompleter optparser completers centralizing plumbing entangled tbstyle creational detangling mans bpaste callspec argvalue getattrs
+kingdread callobj decorations unparametrized parametersets fixtureinfo glued originalname unsurprisingly directness xmllog reporters interlaced xunit lawley testreport configargs
+modcol recorders nouns tmpfiles pexpect nickname capman colitems cmdargs laying noun cmdlineargs withinit minversion syntaxerrors pytrace unraisablehook experimentally setuponly
+rerunfailures envvar pathlist fixturemanger baseid nofuncargs pytestconfig funcfixtureinfo baseids initialnames fixturenames fixturemarker usecases nonviable deprecationwarning
+cheats fixturename confval excrepr pyfuncitem expl exitstatus adjoined memorizing sparingly boisgerault nltk improbable sebastien longrepr otheruser temproot pile prankster
+basetemp scolding capteesys wrench capfdbinary tmpfile capsysbinary targetfd unittesting pytestfunct pdbcls testfunction getfuncargnames mounts scandir inaccuracy msecs levelname
+colorizes bford nodeids failedfirst cachedir eek advances typechecks harmonize scrap kwparam myexc elect colitem matchers practicality purity modularity helpconfig sigpipe devnull
+unsatisfied importmode importhook confcut unmarked blowing storm cacheprovider autoloading typeguard importspec coinciding preparsed addopts inifile bugged reflowed addini sepchar
+misconfiguration sanify neutralize terminalrepoterer materialises materialise rewriter pybites snapshotted pycache visitors subdict blockfinder deindented orelse helping exprinfo
+metaprogramming psyco nitty showlocals titled asttrees astcache disguise tbfilter gritty reprtraceback tryshort tempfiles pkgpath breadthfirst purebasename ignoredwhen icky
+hexdigest hashvalue ensuresyspath depthfirst strpath fil gencodes protobufs conjection buffs oneofs camelcase srvc microbenchmarks oldrefcount anded fineto packable henceforth
+observing sizers genericized truthiness kenton interplay reflectively noises wiretype typecheckers simonov kirill resolvent outreach announced thrive leadership diverse
+coordinators onboard graphic proposals expertise numpylogo biweekly fundraising securityscorecards presentations worn bintrees pysorted amazed grantjenks blist gigabyte quantopian
+zipline fellow treap sortedlist plea trading angr barbara sorteddict sortedset batteries jeffknupp matveenko sinces memray jolibois zizmor dsn countzero hasan polymorphism ramezani
+inventory pandera concistently jiter serge trylesinski terrence pdm mkdocstrings unsubstituted llms beanie speedate marcelo overshot nlyearday yearday byweekday forceset byminute
+bysecond tzids byeaster bymonthday rrule byhour byweekno wkst dayset bymonth rruleset byday dtstart numweeks recurrences bysetpos rdate byyearday rrulestr firstwkst bynweekday
+claus astronomical tondering paschal seidelmann ouding dstridx rings ystridx stridx charstack mstridx parserinfo datetimestamp demarcated anno customizability paased adherence
+datestr vtimezone stdoffset ical dstabbr tzutc onset tzid tzrange stdabbr overpopulated whichweek tzr tzres zic azores rarotonga tehran eras kyiv montevideo taps curtailed
+zoneinfofile favoring inadvisable zonefile cleanliness neukirchen powerpc kylie gianluca perkov hadley bodapati imagination fairfax bingham spss spiegel fangrui spencer rear haddon
+cuoq ellcc wilcox zenodo vlasenko ment barbato dsintro belsito cook luka disclaimed bionic boris copa moshier reini fietkau arvid jens raj pennington mehrtens brent hauke vasseur
+dowad ramseier brezillon crypt wickham dlstart triaging stringencoders obstacle trutz belief jaydeep kaarle aric carlier kargl mahesh cormack burren natanael triage blowfish
+supplemented philipp shiz modp sindholt holland kremnyov defense attractive worcester gustedt bobby renner skocik ivanov suykov anzolin memset ochs micay posthuma contibutors
+oppenlander sabogal basile goodman forney microblaze berthing memcpy hiltjo kelley patil crt monakov janda levin scriptics behn ritvanen pitcock bartosz interests smoothsort kain
+mips carrier ogino galbreath fss edelsohn brightgreen leah hosek hedge wichmann laurikari picciani joakim dietz brachaczek daurnimator mikhail szabolcs urban gcp nickg khem isaac
+masanori dyck evan huntwork kristiansson industry gumleaf strive phased coincidence relicensed pgp kirit gilbert achtemichuk bieringer ryanss sherry lupo alexei netrakar unrud
+bachmann ferocino jitesh nurlu gabor jordi lauren szmek aritro purviance alistair joukl rowan bjv ponomarev nguyen thierry lapointe gfyoung corchero chorley pranskevichus dickson
+friskysaga cossa brock jake corley shenfield girard canepa oldja iress cha kozaczko jairo elliot elvis weisskopf maister lehrian orson labrys meng savraj ufl bennett bonchev alec
+schinckel grossman ridhi kluczkowski dean corey alexandr mario neubert mahajan strizhak anthrotype yoney varun brugh arclight allsopp vishnikin cosimo cordero kooten satyabrat
+kocak comrad mateusz jayschwa bhol vrard ting verdyan moreati speice aleksei lepage rlan lemm poesia fanhuang cheukting koskela bradlee caswell aarni bernat masip lorant mendel
+walsh henriksson rustem siping llopis shadchin saiargaliev thadaka nikolas nandi jacqueline willmer kubilay dziedzic gergondet bianconi cheuk bloomberg nsmalles applymap githubs
+refnames datestamp nselect illusive outplot moduled appender worktree defval rerouted doctsrings verboten configurables reroutes unopinionated defencoding redhat comparators
+savefig observances workday memorial codabase timedeltaindex jolie exceptionn floatiness overestimated underestimated somecall jeopardize rizer mangel dateimelike rankdata
+replacers sth lvls slinear periodindex cumavg cherry depr ismethods strimg unindexed predefining rerouting appveyor inty returningfloat pydatetimes booly rol echelon unstacking
+reversibility composability restacked increaes implementederror recordlike upconverts interwined dype disambiguates bys datafame dframe rearrangement lexsortedness multiindexed lcd
+shiftable duped tdnat fragmented numbagg superseded tokyo kolkata katmandu utsc pytimedeltas abbrevs annually scikits femtoseconds impute melbourne densifies blengths rmod
+structarray recoding bogusly indxed ambitious liboffsets nothings tock releasedetail micron fiscal tstart ctypedef guessable unseparated dtindex noops taked consolidates typestr
+agged kwoa relabelled reshapel stubname multikey interops fixturesult centralize rentention berlin enforrced luc birthday revolving generateable neq nobox pare sixth stepof
+nonoverlapping stationary reprable ofm looses floatlike sniffs reproductions weirdo tinkering timegrouper relabels ngroup coincidentally vbench evade cae timestamptz halve
+perfunctory empts misnomers timetimedelta setop wisedoes inseat buts zerodim hows assignees typecasting artist linecolors errorbars cycler facecolors mediumaquamarine lebel idxl
+explicing histtype twinned xlmits stater xticklabels lim lauout lbls greys colobar linestyles colormapping parametrise samoa optics deviating interim mingus carney dbs adbc
+sometest gcsfs ethnicsn nwolof pyarrows deserializer haven foobr modindex genindex importorskip wipes bzip salaries moto flask deserialisation datedate requireds butler ccdd keanu
+reeves tdd jada gerard publib rfixwidth bab jennifer bba possitibilities broccoli vegetable tomato pear tline kjsdkj asdfkj ified prn rxstatus xfails headless pls harry giada otis
+tina tupelo unchain rod pavarotti grammy percy bonnie luciano stax eros mucik gala midt elementnames laraway virgin willie dolly sylvias kenny savage palos jorn empire textinfo
+maggie xpt cpt cars poses hod sadness showindex datapath ashby teacher stickys endblock mystyle otherline reactive comprehensively elmts vales maxes revrse mizxed uncondiationally
+softlink rereads propindixes storers nonexistence defusedxml comprehensiveness oob fallsback fallbacking timepoint multiplpy misnomer categoricalness unexisting caegories
+multiindexer hai departure utcnow recognied judgement hinges gridsize symlog planar hexagonal hexagons charts hvplot breakdown andrews bands axvline cdots samplings visualizing
+axvlines dashed harmonics amplitudes tank placerholder deceptive wedges hexbinplots leglabels asymmetrical stacker nulled scatterplots plotf multiplot subselection naxes lazify
+isurl appease autonumeric pyreadstat storer alphanumerical indexables generified fsync optlevel propindexes permutated cname pathnm recarry expectedrows ndarraylike complaints
+bigquery billing bigquerystorage appreciably concerted textlen typlist seabold skipper fmtlist labname statsmodels presbrey varlist gso fmts nvar lbllist sidecast unlabelled
+srtlist nobs catarray nvars blurred tablename paramstyle conducted economical subd goop iterparsing xpah jsonfile volk ohio coleen summit inflate enhances regner beach raker dade
+hackjob shortname broward jsons disastrously faye cole cuyahoga florida kasich dictated miscellanea colspecs extents uncommented grabbed workhorse misreads floatify sketchy
+issubset loudly inventwithpython pbpaste klipper qdbus tricking qtpy pbcopy pyobjc ored cushman ibm collaboration pprinter pprinting tableschema justfunc glues zmq sparsed ttip dxs
+cellstyle relabel markupsafe simultaneouly inherrently customisable cellstyles sparsification xlstyle swiss instancemethods openxml chaff justifying underlies adjoin thirdly iidx
+bolder rwrap unilever dwrap cidx textbf hrules widtn constructured preselect concats preselecting customised preselection bfseries pink rotatebox cellcolor textit rain immutables
+lwrap slshape concatanated oblique cline psased xlsbpackage worksheets ods odswriter sheetname calamine epochs outval dictlikes dtyps aggfuncs numbas uniquify aab uniquified
+aggregators wikiversity equaling extrapolate tvalues boor yvalues akima nanargminmax complexities xnull deconstructed imum lays apparitions heaviside reoriented deer logaddexp
+behaviorof softened tiebreaks sorters htable nargsort cities hackaround montserrat birds clocked piggyback tzser cartopy demeaned rewrap homogenize aritra ingress prescribing
+newcol cousins carnivore indomie diet kona hypothetically pysupported mammals beth icol omnivore wld reptiles stopgap numpysupported hierarchically dictlike snakes seattle louise
+rowwise irow ramen income grammatical serialisable definitional blooded realigning dfn inferable chainable kward reorganize icond afternoon datastores nbconvert unknowns signaure
+dissolve enlargement thenew aligners isetitem extensionarrays keyarr dfmi devoid crossref fperr incapable interpretable frontends multirows mathjax dateoffset subperiods upsampled
+equidistant gcs compilable filtrations categorization tupleobject jitable rtruediv pentagon revenue xint ybool xbool yint pollution foojpgbar nino pitt rivers linda patterned
+mytable francoise casemethod stringr avoidable weightings decays emw hfunc ewma timelike nargminmax reflectd explicily directlys linspaced mysite brazilian vzone tzconversion
+tstamp isnull fudging duplicative timedeltalike rxor jlabels ilabels csc clumped disentangle recalc wraparound setto depromote resos uss unicodecharseq arrty decrefs discrepancies
+looper hre jammed segregate determinint blklocs outperforms mgrs blknos unfit consolidatable augments nlocs rblks slocs rblk lblk rframe behavivor ignorant unstacks nordered
+dataobj discretization retbins quantilization clocs mappers shiny corresponded rownames densify factorizer datetimelikes lindexer rearranged rindexer orchestrates concatentation
+walkthrough yankees birth famid stubnames wieldy sox slc qyear daysinmonth peril elisabeth pessimization validty compensates unanimous leveled punt responsibelf retake exploiting
+goat sortlevel founds getsizeof levshape insertable beijing timetz superdumb subbed ncolumns gpr male kiwi beagle female cockatoo chihuahua breed precludes binlabels sdata catfish
+enumerative rise gorilla picker instituted toucan goldfish salmon tuna unrepresented overcomes distant preparser assigner unaccelerated docstr shortcutable preemptively ymd
+specalized safeguard klasses accientally mst misbehaves phofl unioning winnings bytemask demarcating resoulution roles accel thte kibibytes zctx ofh fulltext introducd copier dmer
+delivers ifh decompressing adverse dobj cobj sizein facilitating nchunk liao moffat engage decompressors petri ziv temporally tha computable billions skl siv skv initailized svv
+bruynooghe goodpractices xmlschema thriving brianna laugher freya libera floris bruhin wherein optionx ergononmic dnf bubbled gots fretting provoked proposes getsitepackages dozens
+ephem orchestrator atplotlib accorss sasitfies prefx coninutes usersite devs buildout steppable understandability comparer tentatively stashes markings hurts isabs uninstalling
+creds keyring rustc inconclusive fastly hammering shippable codeship unexpecting strictest anyplace elaborated devendored sister redact mvarfmt optsep backspacing cwords cword
+redownload gmane confusable pinnable dictating pycompile altinstall bombs ireqs centralized constraining spits reinstalled reinstalls undeterministic idiosyncratically foremost vnd
+urljoin suspiciously cone nbaz diversity appdirs workalike directing isolating virtualenvs recalled surpassed redacted unredacted urlsplit obeys flit ldd linehaul spilt compadd
+compdef fpath loadautofunc bowels debundling redistributors propery launchers normcased shebangs harald fsencode ulm nordgren parallelise downloadable slist scraping reqt bails
+distpath favours scraped scrapes reinstate mountable conflictual filesafe looped reqts succs tbz subscriber normcasing diversion subscribers tgz younger adjacency pyversion signer
+destfile gpg outbuf keystore imitates standardise maketrans puncts allfiles thedir sourcedist prospective interoptability potentional keyboards candidaites backjump backjumping
+guarenteed disconnecting nir exherbo pidora rocky raspbian buildroot mageia codename guix parallels ubuntus mandriva mint workstation oslevel longrightarrow attrbutes problmatic
+freshness busting vaguaries thigns lxr etags filelock insecurely reinvent multiheaders secrecy drastically handshaked seoncds impending securetransport biggie smuggle urgh authing
+tire retire cult freaking shove erikcederstran secures authurl megabytes keychain fab nastiness knownfolderid pyjnius brew appdata intensity showtraceback commonmark crops
+reconfigures minimums maximums magenta wintypes wincon consoles renderhook animations laboris chopping exercitation cillum cupidatat fugiat esse eiusmod pariatur dolore consequat
+labore tempor excepteur velit culpa officia mollit sint nostrud minim proident occaecat incididunt deserunt aute enim anim laborum magna sunt ullamco irure veniam aliquip
+reprehenderit voluptate aliqua duis prettifies subtrace burritos designator arial svg cdnjs stylize dedents sindre sorhus spinners wrapable textualize concealed encircle overlined
+conceal encircled blend colorless sgr pulse autoreset sloppily astream unixtime getpwuid racing attacker designation sanitized getcwd extractions activatable unixy workingset
+unloadable vrp sandboxing admonition commonprefix alpine verifications trustme missions kraken filepreviews tier tin drudgery crimes relieving variomedia generously brokering
+resided infobart rewound indeterministic suffering gitignores sideeffect productive grounds drawbacks throwaway pathway pose reexpress buildkite tractable freak proactive churn
+shines adamj cirrus bamboo selfy hinder nondeterminisim surfaces unimported testcounter disregarded misunderstanding reassignable reassignment canonicalised treading fuzzers
+stoptests subdomain subdomains facts metakey metakeys keypath rethrown novice autowrap strat complicate vecmat unrestricted matvec possess coin matmat pubsub hillelwayne
+commensurate unequally worlds hilarious autofunction posargs associativity napoleon ghostwriters ghostwrite postfixes dtp idempotence reminiscent reimplemented synthesis bugbear
+ghostwritten shp tedium ghostwriting lexes unanchored nearley fullmatches migrations olsen xps namespaced insufficiently pyupgrade corrupts potato qntm greenery nocontrib debris
+shop decomposing zealous anyio sniffio routable groce swarm smears crossing equalled straddling concretizing daylights invasive centuries probed vacuous featuring unacceptably
+twoints oversampling undershoot ings mishandling contextvar nonlazy sufficed incurring reified laziness speculatively reifies aesthetic subvalue hollenbeck fallible unabashed
+interactivity speculative outweighs celeste excerpted foundational schemathesis jsonschema wrinkle narrowly isistance whethere forwardref ambient supertypes flatmaps violator
+notionally mantle atomique mesures bizouard atmospheric observatory obspm poids bulletinc oceanic lunisolar torques des interferometry fluctuations hpiers perturbations undergoes
+bureau tanaka reinstantiate prettyprint pprinters prettyprints geattr reproducibly underapproximation cauchy stdtrit stdtr hindrance guardrails intractable specialise constructive
+neatest greentreesnakes enqueues contended syrupy conclude scrutineer summarising affininty competitive evicts preferentially anecdotally unbalance uninspectable aclosing bounce
+shamelessly codegen introspectors impersonate rearranges rejig muddying pleasing aesthetically splices nonsignaling zigzag semibounded instantiations concluding concluded clamper
+intervalset wishing satisfiable normals ligatures stably scunthorpe charaacters intersperse zalgo consonant skin primorial vowel tone uncover faultlore emoticons ogham upsidown
+antithesis datatree conclusions recalculates diagrams lopped detrimental choce guaranteeing underestimate inefficiency belabor bodge falsifying slippage dominance fronts weish
+dominators monkeypatchable fruitless hamper guideline interestingness symbolics conservatively corpora wcventure healthcheck nautilus restriscting afaik stackframe stackframes
+bitpattern bobs coincidentaly limiter prioritises hill scher climbing bailing konstantinos sagonas overcounting outlived swathes formalizes complicates unwinds subsystems
+inversions reportable overruning misalignments reversal oring stall rerandomising illustrative bouncing timid stalling safeguards accented antipattern downs boosts spillover
+nastily prioritise persevere idempontent zag flakily rerandomise realigns opposition refines obscured winding wierd possiblilities conjuncts panics panicking conjunct
+materializable lowerable rowid isoyear winkler dayofmonth yearweek minified decade jaro needle isodow nocase spliced unwritten unnest deduplicates answered nextval theirs rescanned
+judges initialises typography roboto shade segoe nowrap fafafa pyducdkb gratest bigints splited intolerant smallint setseed interrogation sparkbyexamples translators speaks equates
+penalize precheck linters firstset subfn prefixmatch substitutes lookarounds scx confusions misbehavior casefolding abca contradictory graphemes whistles ronnypfannschmidt jukka
+lehtosalo typehinting splinter tokenisation sneaked rightfully historizing hookimpls inhertits nonwrapper nonwrappers hookable hookcaller specname optionalhook halt specializing
+banned contextvars cancellations reacquire sslproto uncatchable watchers putters putter setuid backlog nonblocking disappearing awaitables vee bullet cent wedge grave localname rip
+conceivably qnames encapsulation expatreader xmlreader saxutils xinclude subelements dublin underscored ndbm dumbdbm rebound initargs waking sysconf repackaged stdcall shr libxyz
+unversioned dyld dylib entrancy erich stomping synchronisation httponly errata hypertext pot morsels dissect fielding grok bundling decouple nlocals lnotab generalizations
+sourceless orphan traversables dix aenter quicken aexit visits dtoa strtod tails fsum torture sucks arenas iterability lockstep lifetimes authkey handshakes fstring blech testzip
+inhibited fcntl tid unblocking specializer smtpd olo lrange listcomps ambv contest platlibdir deadlocked combs comb incompletely bite flood overread dragged bltinmodule subkeys
+subkey unmarshaller octals unicodeobject ioctl pipesize duping invites season sail thine grace censure comrade entertainment humbly occasion unfledged borrowing dulls
+unproportioned thee canst gaudy ophelia blessing tis shoulder borrower entrance husbandry lender purse aboard hast farewell habit ownself servants quarrel soul grapple smiles
+tongue thy proclaims lord deflated chief apparel precepts tiniest puzzle lgamma arose erfc lambert regress errnos largefile stanza profilee complained argue grp atime serviced lno
+enb runeval bigmemtest bitness randrange blurb sanitizers blew pretends resurrection iteritems undisplay myvar whatis backtrace endcases zdump ttis dancing excruciating fromutc
+legit exempt testdata genexp mildly reentrantly endorsed marshaller sendmsg pycacert mathewson randseed huntrleaks uops stty maxdata gimmick sleeper disposed coincides tagging
+codepage xdf cmath genexps squashed regeneration freelist ndef textbox peculiar goodger instrumented peace charrefs lasti syslog multiplicities deepcopyable multiset rpipe
+multiprocess utterly minsize bigmem vous pouf sente maintenant gue baddie bre blackhole competing richcompare pygettext xgettext gravitational basket yesterday interdependent quasi
+setxattr dirsymlink recreates son stmts testfile provokes recursivity fool watched deadlocking mailfrom datefmt rcpttos syslogd refcnts unpackings damaged winsock socktype
+bluetooth declines abcdefg misbehave rshift patchcheck hassle funcdef bugzilla snow overrule coredump reconnect httpresponse triangles marshaling odict sch nops printables
+reinitialized submitting japan raves babylon oxy unixfrom esmtp cougar cfws depart pgm pbm jpeg tailing zinfandel refold dude announce magazine replying submissions anthem
+childhood asinh annex unladen sanitizing interpid uniformness pauses uncancelled overfill accelerations insertwidth insertborderwidth wantobjects kippes cursors statespec combobox
+treeview immortalize runtests shortly releveant interference gil reimport relocated strchr reinitialization emission restoration wasi exising asynchat rushing redesigned wow hunger
+namelist sanitization avoidance unmarshalled reassigning succeeding isfile fuzzyman voidspace showwarnings tons accomplish cgi xmlrpc unlinks subitems panels keydefs kamp gava cmu
+riley goodlines vwait debugobj recheck searchphrase loadfile eols noam jewett cheryl shute heblikar sherwood serhiy reedy wis roseman storchaka saimadhav louie nigel rowe christos
+sabella georgiou weeble oussoren unhide tjr highlightthickness millisec maxlines tabbedpages tabbing pathways maximizing tearoff clover unsaved screens browsing pyparse
+messageboxes findfiles sidebars closers generically redisplay delegators keypress statusbar autoexpand submenu inoperative rpm reformatting menubar executive usetabs motif
+insertofftime dropdown hovering iomark builtinlist encloses fortuitous yview showerror sashes yscrollcommand sash selectmode takefocus offvalue wraplength inhibit onvalue
+xscrollcommand validatecommand panedwindow labelframe labelwidget cavity borderwidth exportselection invalidcommand textvariable labelanchor strengthen rectangles bud ctext
+maintype fws uuencoders maxheaderlen headersonly idealized keymap oldline sequene gbk unnatural
+""".split()

@@ -242,6 +242,13 @@ def test_secrets(spark):
     assert sorted(r.n_assign for r in got) == [0, 0, 1, 1]
 
 
+def test_guess_cost_decides_on_values_of_any_characters():
+    for text, value in (("pwd: XkqLwzRtPbvN", "XkqLwzRtPbvN"), ("the passcode is 839274651038.", "839274651038"), ("Authorization: Bearer qWzLpTkVxNbM", "qWzLpTkVxNbM"), ("passphrase=kWq!ZpLmNxRt", "kWq!ZpLmNxRt"), ("pwd \t     :\t\tx9$Kq2!mZp7v", "x9$Kq2!mZp7v"), ("credentials: qwzlptkvxnbm", "qwzlptkvxnbm")):
+        assert [(k, text[s:e]) for k, s, e, _ in secrets.spans(text)] == [("credential", value)], text
+    for text in ("authorization: required", "Credentials: administration", "the private key is generated", "bearer responsibilities", "pwd: 123456", "passphrase is well-known."):
+        assert secrets.spans(text) == [], text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -31,6 +31,42 @@ def structural_clusters(blocks: DataFrame) -> DataFrame:
     return blocks.filter("content is not null").groupBy(key.alias("skeleton")).agg(F.count("*").alias("n"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block")).filter("n > 1")
 
 
+def _dealt_pairs(rows: DataFrame, order: str, block: int = 64) -> DataFrame:
+    """All pairs (a, b: structs of the row) of the rows of one skeleton, a before b by order, unique in it; large skeletons are dealt in blocks, every two of which meet in a group of their own."""
+    size = rows.groupBy("skeleton").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    part = rows.join(size, "skeleton").withColumn("at", F.pmod(F.xxhash64(order), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = part.select("skeleton", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", F.struct(*rows.columns).alias("row"))
+    a, b = part.withColumnsRenamed({"row": "a", "at": "at_a"}), part.withColumnsRenamed({"row": "b", "at": "at_b"})
+    both = a.join(b, ["skeleton", "i", "j"]).filter((F.col(f"a.{order}") < F.col(f"b.{order}")) & ((F.col("i") == F.col("j")) | (F.col("at_a") != F.col("at_b"))))
+    return both.select("skeleton", "a", "b")
+
+
+def similar_clusters(blocks: DataFrame, least: float = 0.85) -> DataFrame:
+    """Structural clusters whose mean pairwise similarity (1 - Levenshtein distance / longer length, in bytes) is at least `least`.
+
+    Equal contents are compared once and count as often as they occur. A pair is at most as similar
+    as its lengths allow; clusters that these bounds rule out are not compared.
+    """
+    key = F.md5(F.array_join(F.regexp_extract_all("content", F.lit(f"({SKELETON})"), 1), ""))
+    rows = blocks.filter("content is not null").select(key.alias("skeleton"), F.sha2("content", 256).alias("digest"), "block_id", F.octet_length("content").alias("size"), F.decode(F.encode("content", "UTF-8"), "ISO-8859-1").alias("bytes"))
+    kinds = rows.groupBy("skeleton", "digest").agg(F.count("*").alias("copies"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"), F.first("size").alias("size"))
+    half = lambda n: n * (n - 1) / 2
+    found = kinds.groupBy("skeleton").agg(F.sum("copies").alias("n"), F.count("*").alias("kinds"), F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"), F.sum(half(F.col("copies"))).alias("same")).filter("n > 1")
+    pairs_of = half(F.col("n"))
+    weight = F.col("a.copies") * F.col("b.copies")
+    # Bounds by lengths: contents of one length count as alike.
+    lengths = kinds.join(found.filter("kinds > 1"), "skeleton", "left_semi").groupBy("skeleton", "size").agg(F.sum("copies").alias("copies"))
+    alike = lengths.groupBy("skeleton").agg(F.sum(half(F.col("copies"))).alias("alike"))
+    apart = _dealt_pairs(lengths, "size", 1024).groupBy("skeleton").agg(F.sum(weight * F.least("a.size", "b.size") / F.greatest("a.size", "b.size")).alias("apart"))
+    open_ = found.filter("kinds > 1").join(alike, "skeleton").join(apart, "skeleton", "left").fillna(0.0, ["apart"]).filter((F.col("alike") + F.col("apart")) / pairs_of >= least - 1e-9).select("skeleton")
+    texts = rows.join(open_, "skeleton", "left_semi").groupBy("skeleton", "digest").agg(F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bytes").alias("bytes"))
+    similarity = 1 - F.levenshtein("a.bytes", "b.bytes") / F.greatest("a.size", "b.size")
+    sums = _dealt_pairs(texts, "digest").groupBy("skeleton").agg(F.sum(weight * similarity).alias("unlike"))
+    out = found.filter("kinds = 1").withColumn("unlike", F.lit(0.0)).unionByName(found.filter("kinds > 1").join(sums, "skeleton"))
+    mean = (F.col("same") + F.col("unlike")) / pairs_of
+    return out.filter(mean >= least).select("skeleton", "n", "first_block", "last_block", six(mean).alias("similarity"))
+
+
 def cross_file_pairs(found: DataFrame) -> DataFrame:
     """File pairs by shared clusters; a cluster has as many rows here as files, which are few."""
     per = found.groupBy("cluster", "file_path").agg(F.count("*").alias("own"), F.first("lines").alias("lines"))

@@ -146,6 +146,14 @@ def dup_structural_hash(spark, d):
     return duplication.structural_clusters(blocks(spark, d))
 
 
+@query("""WITH s AS (SELECT md5(array_to_string(regexp_extract_all(text, '[,.;()!?|]'), '')) AS skeleton, doc_id, text FROM documents WHERE text IS NOT NULL),
+k AS (SELECT skeleton, text, count(*) AS c, min(doc_id) AS lo, max(doc_id) AS hi FROM s GROUP BY 1, 2), g AS (SELECT skeleton, sum(c)::BIGINT AS n, min(lo) AS first_block, max(hi) AS last_block, sum(c * (c - 1) / 2) AS same FROM k GROUP BY 1 HAVING sum(c) > 1),
+p AS (SELECT a.skeleton, sum(a.c * b.c * (1 - levenshtein(a.text, b.text) / greatest(strlen(a.text), strlen(b.text)))) AS unlike FROM k a JOIN k b ON a.skeleton = b.skeleton AND a.text < b.text GROUP BY 1)
+SELECT skeleton, n, first_block, last_block, round((same + coalesce(unlike, 0)) / (n * (n - 1) / 2), 6)::DOUBLE AS similarity FROM g LEFT JOIN p USING (skeleton) WHERE (same + coalesce(unlike, 0)) / (n * (n - 1) / 2) >= 0.85""")
+def dup_structural_clusters(spark, d):
+    return duplication.similar_clusters(blocks(spark, d))
+
+
 @query(EXACT + ", p AS (SELECT DISTINCT cluster, source, lines FROM m) SELECT a.source AS file_a, b.source AS file_b, count(*) AS n_clusters, sum(a.lines)::BIGINT AS shared_lines FROM p a JOIN p b ON a.cluster = b.cluster AND a.source < b.source GROUP BY 1, 2")
 def dup_cross_source_pairs(spark, d):
     b = blocks(spark, d)

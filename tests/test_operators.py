@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import semver
-from sparkquarry.operators import complexity, enrich, graph, scan
+from sparkquarry.operators import complexity, duplication, enrich, graph, scan
 from sparkquarry.sources import manifests
 from sparkquarry.store import Shelf
 
@@ -55,3 +55,29 @@ def test_manifest(spark):
     assert sorted((r.package, r["range"], r.kind, r.weight) for r in rows.collect()) == [("a", "^1.0.0", "dependencies", 1.0), ("b", "2", "devDependencies", 0.5)]
     lock = '{"packages": {"": {"version": "0"}, "node_modules/jest": {"version": "28.1.3", "dev": true}}}'
     assert [(r.package, r.version, r.dev) for r in manifests.lock_v2(spark.createDataFrame([(lock,)], "content string")).collect()] == [("jest", "28.1.3", True)]
+
+
+def test_structural_clusters_need_similar_contents(spark):
+    rows = [(1, "unrelated words here"), (2, "x"), (3, None), (4, "one two three four."), (5, "one two three five."), (6, "one two three four."), (7, "é é é é é é é é é é, a"), (8, "é é é é é é é é é é, b"), (9, "same; same"), (10, "same; same")]
+    rows += [(100 + i, "a (b) " + chr(97 + i // 26) + chr(97 + i % 26)) for i in range(150)] + [(500 + i, f"long common text of a large cluster ! {i:04d}") for i in range(150)]
+    df = spark.createDataFrame([(i, "f", t) for i, t in rows], "block_id long, file_path string, content string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    groups = {}
+    for i, t in rows:
+        if t is not None:
+            groups.setdefault("".join(c for c in t if c in ",.;()!?|"), []).append((i, t.encode()))
+    want = set()
+    for members in groups.values():
+        alike = [1 - distance(a, b) / max(len(a), len(b)) for k, (_, a) in enumerate(members) for _, b in members[:k]]
+        if alike and sum(alike) / len(alike) >= 0.85:
+            want.add((len(members), members[0][0], members[-1][0], round(sum(alike) / len(alike), 6)))
+    assert {(r.n, r.first_block, r.last_block, r.similarity) for r in duplication.similar_clusters(df).collect()} == want
+    assert {w[1] for w in want} == {4, 7, 9, 500}

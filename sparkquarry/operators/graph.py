@@ -47,19 +47,22 @@ def density(edges: DataFrame) -> DataFrame:
     return n.join(F.broadcast(e)).withColumn("density", F.round(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 6))  # one row each
 
 
-def bfs_depth(edges: DataFrame, shelf: Shelf, limit: int = 64, name: str = "bfs") -> DataFrame:
-    """node, depth: fewest steps from a node without incoming edges; nodes that none reaches stay at 0."""
+def bfs_depth(edges: DataFrame, shelf: Shelf, name: str = "bfs") -> DataFrame:
+    """node, depth: fewest steps from a node without incoming edges; nodes that none reaches stay at 0. Ends when a round reaches no new node."""
     e = shelf.put(f"{name}_edges", edges.select("src", "dst").distinct())
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     seen = shelf.put(f"{name}_0", nodes.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0).cast("long")))
-    front = seen
-    for k in range(1, limit + 1):
+    front, k = seen, 0
+    while True:
+        k += 1
         step = front.join(e, front.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         front = shelf.put(f"{name}_{k}", step.withColumn("depth", F.lit(k).cast("long")))
         if front.isEmpty():
-            break
+            return nodes.join(seen, "node", "left").select("node", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
         seen = seen.unionByName(front)
-    return nodes.join(seen, "node", "left").select("node", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+        if k % 16 == 0:  # so that plans stay short on long chains
+            seen = shelf.put(f"{name}_seen_{k}", seen)
+            shelf.drop(f"{name}_seen_{k - 16}", *(f"{name}_{i}" for i in range(k - 16, k)))
 
 
 def critical_nodes(edges: DataFrame, depths: DataFrame) -> DataFrame:

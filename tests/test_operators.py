@@ -41,6 +41,12 @@ def test_cycles_and_components(spark):
     assert {r.component for r in graph.connected_components(chain, Shelf(spark, "t")).collect()} == {0}
 
 
+def test_depth_of_long_chains(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (101, 100)], "src long, dst long")
+    got = {r.node: r.depth for r in graph.bfs_depth(chain, Shelf(spark, "t")).collect()}
+    assert got == {i: i for i in range(71)} | {100: 0, 101: 0}
+
+
 def test_imports(spark):
     src = "import { a, b } from './utils'\nimport * as x from 'react'\nimport d from '../config/app.js'\nimport 'side.css'\nconst q = require('lodash')"
     files = spark.createDataFrame([("/src/components/A.js", src), ("/src/components/utils.js", ""), ("/src/config/app.js", "")], "path string, content string")

@@ -4,11 +4,14 @@ Text and templates are normalised alike: A-Z lower-cased, words of letters, digi
 A bigram that text and template share places the template in the text; the passage of the
 template's length there is compared with it over the sets of bigrams. Sizes bound the coefficient,
 so templates too long for the text, and places with too few shared bigrams, are left out first.
+A version is reported only where the passage holds its number, and the opening that all BSD licences
+share as "BSD" only where no passage tells the clause count.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +22,28 @@ from sparkquarry.llm import kernels as K
 
 THRESHOLD = 0.8
 
-# Notices of public licences.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = _BSD + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+# Notices of public licences, and whole texts of short ones.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
     "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
     "LGPL-3.0": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "LGPL-2.0": ["under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2 of the License"],
+    "LGPL-2.1": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"],
+    "EPL-1.0": ["made available under the terms of the Eclipse Public License v1.0", "Eclipse Public License - v 1.0"],
+    "EPL-2.0": ["made available under the terms of the Eclipse Public License 2.0", "made available under the terms of the Eclipse Public License v2.0", "Eclipse Public License - v 2.0"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
     "AGPL-3.0": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License"],
+    "BSD": [_BSD],
+    "BSD-2-Clause": [_BSD_2 + _BSD_END, "Licensed under the BSD 2-Clause License"],
+    "BSD-3-Clause": [_BSD_2 + _BSD_3 + _BSD_END, _BSD_2 + _BSD_3, "Licensed under the BSD 3-Clause License"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -38,6 +53,24 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 
+_SPDX = ("BSD-2-Clause", "BSD-3-Clause", "0BSD", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "Apache-2.0", "MIT", "MPL-2.0", "EPL-1.0", "EPL-2.0", "ISC", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0")
+for _name in _SPDX:
+    TEMPLATES.setdefault(_name, []).append(f"SPDX-License-Identifier: {_name}")
+
+#: Names that count only where no other passage overlaps.
+GENERAL = frozenset({"BSD"})
+_VERSION = re.compile(r"-([0-9]+)\.([0-9]+)\Z")
+
+
+def version_at(name: str, text: str) -> list[int]:
+    """Bigrams (by their first word) of the template that hold the first mention of the licence's version, and the one that tells GNU licences apart (general, lesser, affero)."""
+    v, words = _VERSION.search(name), re.findall("[a-z0-9]+", text.lower())
+    if not v or v[1] not in words[1:]:
+        return []
+    i = words.index(v[1], 1)
+    kind = [words.index("gnu")] if "gnu" in words else []
+    return kind + ([i - 1, i] if words[i + 1 : i + 2] == [v[2]] else [i - 1])
+
 
 def dice(a: set, b: set) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
@@ -46,7 +79,7 @@ def dice(a: set, b: set) -> float:
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.names, self.sets, self.length, self.at = [], [], [], {}
+        self.names, self.sets, self.length, self.version, self.at = [], [], [], [], {}
         for name, texts in templates.items():
             for text in texts:
                 w = K.tokenize(*K.flat(pa.array([text])), K.ALNUM_WORDS)
@@ -57,6 +90,7 @@ class Scanner:
                 self.names.append(name)
                 self.sets.append(set(h.tolist()))
                 self.length.append(len(w.h))
+                self.version.append({int(h[i]) for i in version_at(name, text)})
                 for o, x in enumerate(h.tolist()):
                     self.at.setdefault(x, []).append((t, o))
         self.keys = np.array(sorted(self.at), np.uint64)
@@ -93,11 +127,12 @@ class Scanner:
                     inside = bisect.bisect_left(where, s + n - 1) - bisect.bisect_left(where, s)
                     if 2 * inside < self.threshold * size:
                         continue
-                    value = dice(set(h[of_word[s] : of_word[s] + n - 1].tolist()), self.sets[t])
-                    if value >= self.threshold:
-                        found.append((-value, -m, s, self.names[t], s + n))
+                    passage = set(h[of_word[s] : of_word[s] + n - 1].tolist())
+                    value = dice(passage, self.sets[t])
+                    if value >= self.threshold and self.version[t] <= passage:
+                        found.append((self.names[t] in GENERAL, -value, -m, s, self.names[t], s + n))
             kept = []
-            for value, _, s, name, e in sorted(found):
+            for _, value, _, s, name, e in sorted(found):
                 if all(e <= x[2] or s >= x[3] for x in kept):
                     kept.append((name, -value, s, e))
             if kept:

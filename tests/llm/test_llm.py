@@ -179,6 +179,19 @@ def test_licenses_equal_brute_force():
     assert found == {0: [("Apache-2.0", 1.0), ("CC-BY-NC-4.0", 1.0), ("MIT", 1.0)]}
 
 
+def test_licences_are_not_confused():
+    scanner = licenses.Scanner()
+    lesser = "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or any later version"
+    three = licenses._BSD_2 + licenses._BSD_3.replace("the copyright holder", "Example Works Limited") + licenses._BSD_END
+    cases = {licenses._BSD_2 + licenses._BSD_END: ["BSD-2-Clause"], three: ["BSD-3-Clause"], licenses._BSD + ":": ["BSD"], lesser.format("2.1"): ["LGPL-2.1"], lesser.format("3"): ["LGPL-3.0"], lesser.format("2"): ["LGPL-2.0"], lesser.format("4"): []}
+    cases |= {f"// SPDX-License-Identifier: {name}\nint x;": [name] for name in licenses._SPDX}
+    cases["This work is licensed under a Creative Commons Attribution 3.0 International License"] = []
+    w = K.tokenize(*K.flat(pa.array(list(cases))), K.ALNUM_WORDS)
+    found = {d: [x[0] for x in m] for d, m in scanner.scan(w)}
+    for d, (text, want) in enumerate(cases.items()):
+        assert found.get(d, []) == want, text
+
+
 def test_personal_data(spark):
     rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

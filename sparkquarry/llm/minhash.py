@@ -100,7 +100,8 @@ def _sets():
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, shelf: Shelf, name: str) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("cls"), "text").join(ids, "cls", "left_semi")
+    """Sets of the classes ids (cls, rep_id, rep_key), each from the row of its representative."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64("text").alias("rep_key"), "text").join(ids, ["rep_id", "rep_key"]).select("cls", "text")
     return shelf.put(f"{name}_sets", K.map_text(texts, _sets, "cls long, shingle_set array<long>"))
 
 
@@ -113,9 +114,10 @@ def _attach(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     return dealt.join(copies, [key, "salt"]).drop("copies", "salt")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shelf: Shelf, name: str) -> DataFrame:
     """Of the pairs (a, b) those that are similar on their full sets."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, shelf, name)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = _sets_of(ids.join(reps.select("cls", "rep_id", "rep_key"), "cls"), docs, shelf, name)
     both = _attach(_attach(pairs, sets, "a"), sets, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     links = both.withColumn("shared", shared).filter(100 * F.col("shared") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -241,11 +243,11 @@ def _search(members: DataFrame, labels: DataFrame, reps: DataFrame, shelf: Shelf
     return pairs.distinct(), blocks
 
 
-def _in_blocks(rows: DataFrame | None, docs: DataFrame, shelf: Shelf) -> DataFrame | None:
+def _in_blocks(rows: DataFrame | None, reps: DataFrame, docs: DataFrame, shelf: Shelf) -> DataFrame | None:
     """Links (src, dst) among the classes of each large node. A block holds BLOCK classes or BLOCK_SHINGLES shingles; every two blocks of a node meet."""
     if rows is None or rows.isEmpty():
         return None
-    sets = _sets_of(rows.select("cls").distinct(), docs, shelf, "dense")
+    sets = _sets_of(rows.select("cls").distinct().join(reps.select("cls", "rep_id", "rep_key"), "cls"), docs, shelf, "dense")
     blocks = rows.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = blocks.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("own", "to")).withColumn("hi", F.greatest("own", "to")).withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("own") == F.col("lo"), 0).otherwise(1))
@@ -258,13 +260,14 @@ def near_duplicates(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
 
     Null and empty texts and texts without a word have no shingles and are linked with nothing.
     Texts of fewer than five words have one shingle, the whole sequence. Rows that share a doc_id
-    are judged each by its own text. Rows without a doc_id are linked with nothing: component_id is
+    are judged each by its own text: classes of equal sets have ids made from the set's digests (63
+    bits), and the least doc_id of a component is taken at the end. Rows without a doc_id are linked with nothing: component_id is
     null and they are kept. Other columns are not looked at. An empty table gives an empty result.
     """
     shelf = shelf or Shelf(docs.sparkSession, "minhash")
     sk = shelf.put("sketches", sketches(docs))
     some = sk.filter("n_shingles > 0 and doc_id is not null")
-    reps = shelf.put("reps", some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("cls"), F.first("sig").alias("sig")))
+    reps = shelf.put("reps", some.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig")).select("d1", "d2", "n_shingles", "sig", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), F.shiftrightunsigned(F.xxhash64("d1", "d2", "n_shingles"), 1).alias("cls")))
     tokens = reps.select("cls", F.posexplode(F.array(*(_token(F.lit(t)) for t in range(TREES)))).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cls")
     sizes = tokens.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     members = shelf.put("members", tokens.join(sizes, "node"))
@@ -273,12 +276,12 @@ def near_duplicates(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     centre = ranked.groupBy("node").agg((-F.max("rank")["cls"]).alias("pivot"))
     star = ranked.join(centre, "node").filter("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("hits")).groupBy("cls").agg(F.max(F.struct("hits", "pivot")).alias("best")).filter(f"best.hits >= {TREES // 3}")
     star = shelf.put("star", star.select(F.col("best.pivot").alias("a"), F.col("cls").alias("b")))
-    labels = connected_components(_confirm(star, docs, shelf, "star"), shelf, "cc_star")
+    labels = connected_components(_confirm(star, reps, docs, shelf, "star"), shelf, "cc_star")
     pairs, blocks = _search(members.select("node", "cls"), labels, reps, shelf)
     pairs = shelf.put("pairs", pairs)
-    dense = _in_blocks(blocks, docs, shelf)
+    dense = _in_blocks(blocks, reps, docs, shelf)
     shelf.drop("ranked", "dense_sets", *(f"level_{k}" for k in range(1, LEVELS + 1)))
-    links = _confirm(pairs, docs, shelf, "search")
+    links = _confirm(pairs, reps, docs, shelf, "search")
     links = links if dense is None else links.unionByName(dense)
     if not links.isEmpty():
         at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"l_{side}"))
@@ -287,7 +290,8 @@ def near_duplicates(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
         upper = upper.select(F.col("node").alias("label"), F.col("component").alias("top"))
         nodes = reps.select("cls").join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         labels = nodes.join(upper, "label", "left").select(F.col("cls").alias("node"), F.coalesce("top", "label").alias("component"))
-    of = reps.join(labels, reps.cls == labels.node, "left").select("d1", "d2", F.col("n_shingles").alias("n"), F.coalesce("component", "cls").alias("found"))
+    of = reps.join(labels, reps.cls == labels.node, "left").select("d1", "d2", F.col("n_shingles").alias("n"), "rep_id", F.coalesce("component", "cls").alias("top"))
+    of = of.join(of.groupBy("top").agg(F.min("rep_id").alias("found")), "top").select("d1", "d2", "n", "found")
     at = sk.drop("sig")
     out = at.join(of, (at.d1 == of.d1) & (at.d2 == of.d2) & (at.n_shingles == of.n) & at.doc_id.isNotNull() & (at.n_shingles > 0), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"), "text_key")

@@ -63,6 +63,13 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == components(rows)
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, one), (5, two), (5, "c d e f g h"), (3, one + " x"), (7, two + " y"), (9, two + " y z"), (8, "c d e f g q r s t")]
+    out = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == [(3, 37, 3, True), (5, 2, 5, True), (5, 36, 3, False), (5, 36, 5, True), (7, 37, 5, False), (8, 5, 8, True), (9, 38, 5, False)]
+
+
 def test_dense_nodes_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 3)
     monkeypatch.setattr(minhash, "BLOCK", 7)

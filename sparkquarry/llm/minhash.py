@@ -2,15 +2,19 @@
 
 Documents with equal shingle sets form one class first. Each class then enters the root of TREES
 independent trees, where its minwise token under the tree's own hash function selects a child. A
-node with at most SMALL classes is compared exhaustively. A larger one branches again: two further
-minwise tokens, under hash functions that the path so far picks, select two children for each
-class. Nodes whose classes already belong to one component are done. Where the classes of a node
-are so alike that branching would not part them (the children's sizes tell their mean similarity:
-DENSE or more), and at LEVELS, the node is compared in blocks that carry the full sets, so nothing
-is capped. Comparisons use EQUALS minwise tokens of each class and let all pairs through that have a
-Jaccard coefficient of 0.75 with a chance over 1 - 1e-6; every pair let through is confirmed on the
-full sets. A pair at exactly 0.75 is missed by all trees with a chance of about 1e-5 (a tree finds
-it with 0.75 * 0.9375 ** (level - 1)); at 0.8 it is 1e-6.
+node with at most SMALL classes is compared exhaustively, and so is one with few pairs of different
+components (SMALL for each class at most). A larger one branches again: two further minwise tokens,
+under hash functions that root and level pick, select two children for each class; where one child
+holds all classes of its node, the other is not followed. Nodes whose classes already belong to one
+component are done. A node of at most LOCAL classes is searched with all its descendants in one
+task, depth first over arrays, so branching makes no rows; only larger nodes branch as rows of a
+table, level by level. Where the classes of a node are so alike that branching would not part them
+(the children's sizes tell their mean similarity: DENSE or more), and at LEVELS, the node is compared
+in blocks that carry the full sets, so nothing is capped. Comparisons use EQUALS minwise tokens of
+each class and let all pairs through that have a Jaccard coefficient of 0.75 with a chance over
+1 - 1e-6; every pair let through is confirmed on the full sets. A pair at exactly 0.75 is missed by
+all trees with a chance of about 1e-5 (a tree finds it with 0.75 * 0.9375 ** (level - 1)); at 0.8 it
+is 1e-6.
 
 Before the trees are searched, each class is compared with the class that most of its level-1 nodes
 have as their centre: the member whose tokens are the most common ones. That settles large groups of
@@ -33,8 +37,12 @@ WORDS, PERCENT = 5, 75
 TREES, HASHES, LEVELS, SMALL = 12, 44, 5, 32
 #: Tokens for comparisons, a byte each; as many are equal at least: 5 standard deviations below the mean at 0.75.
 EQUALS, LEAST_EQUAL = 240, 146
+#: Classes of a node that one task searches with all its descendants (some 0.5 KB each).
+LOCAL = 8192
 #: Mean similarity from which a node is compared in blocks; classes and shingles of a block.
-DENSE, BLOCK, BLOCK_SHINGLES = 0.3, 1024, 1 << 20
+DENSE, BLOCK, BLOCK_SHINGLES = 0.4, 1024, 1 << 20
+#: Shingles of one matrix product in a block.
+SLICE_SHINGLES = 4096
 #: Pairs joined with one copy of a hot set.
 HOT = 256
 
@@ -130,128 +138,198 @@ def _token(position) -> F.Column:
     return F.substring("sig", position * 4 + 1, 4)
 
 
-def _equals(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * HASHES + EQUALS)[:, 4 * HASHES :]
+def _shared(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets values[ends[i]:ends[i + 1]], by products of 0/1 matrices, a slice of the shingles at a time."""
+    m = len(ends) - 1
+    owner = np.repeat(np.arange(m), np.diff(ends))
+    keys, inverse, count = np.unique(values[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1  # only shingles of two sets or more count
+    on = count[inverse] > 1
+    owner, column = owner[on], number[inverse[on]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((m, m), np.float32)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, SLICE_SHINGLES):
+        i, j = np.searchsorted(column, (a, a + SLICE_SHINGLES))
+        x = np.zeros((m, SLICE_SHINGLES), np.float32)
+        x[owner[i:j], column[i:j] - a] = 1
+        out += x @ x.T
+    return out
+
+
+def _forest(link: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs that connect what the symmetric link matrix connects, one for each row that is reached."""
+    a, b, new = [], [], np.ones(len(link), bool)
+    for start in range(len(link)):
+        if not new[start]:
+            continue
+        new[start], front = False, [start]
+        while front:
+            x = front.pop()
+            reached = np.flatnonzero(link[x] & new).tolist()
+            new[reached] = False
+            a += [x] * len(reached)
+            b += reached
+            front += reached
+    return a, b
 
 
 def _blocks(batches):
-    """Links in each block: pairs of different components, most alike first, confirmed on the full sets unless their components are linked by then."""
+    """Links in each block: pairs of different components, by the sizes of the full sets' intersections, as many as connect what is similar."""
     for batch in batches:
         group = batch.column("members")
-        out: list[tuple[int, int]] = []
         for g in range(len(group)):
             rows = group.slice(g, 1).flatten()
             cls, label, n, side = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("cls", "label", "n", "side"))
-            sig = _equals(rows.field("sig"))
             sets = rows.field("shingle_set")
-            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
-            above: dict[int, int] = {}
-
-            def top(x):
-                while (y := above.get(x, x)) != x:
-                    above[x] = above.get(y, y)
-                    x = y
-                return x
-
-            found = []
-            step = max(1, (1 << 18) // max(1, len(cls)))
-            for a in range(0, len(cls), step):
-                i = np.arange(a, min(a + step, len(cls)))[:, None]
-                j = np.arange(len(cls))[None]
-                ok = (i < j) & (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2))
-                x, y = np.nonzero(ok)
-                for b in range(0, len(x), 1 << 16):
-                    p, q = x[b : b + (1 << 16)] + a, y[b : b + (1 << 16)]
-                    equal = (sig[p] == sig[q]).sum(1)
-                    on = equal >= LEAST_EQUAL
-                    found.append(np.column_stack([equal[on], p[on], q[on]]))
-            found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-            for _, p, q in found[np.argsort(-found[:, 0], kind="stable")].tolist():
-                a, b = top(int(label[p])), top(int(label[q]))
-                if a == b:
-                    continue
-                shared = len(np.intersect1d(values[ends[p] : ends[p + 1]], values[ends[q] : ends[q + 1]], assume_unique=True))
-                if 100 * shared >= PERCENT * (int(n[p]) + int(n[q]) - shared):
-                    above[max(a, b)] = min(a, b)
-                    out.append((int(cls[p]), int(cls[q])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
-
-
-def _compare(batches):
-    """Pairs of different components in each group that the minwise tokens and the set sizes let through."""
-    upper: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            shared = _shared(sets.values.to_numpy(), sets.offsets.to_numpy()).astype(np.int64)
+            link = 100 * shared >= PERCENT * (n[:, None] + n[None] - shared)
+            link &= (label[:, None] != label[None]) & ((side[:, None] != side[None]) | (side[:, None] == 2))
+            a, b = _forest(link)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(cls[a].astype(np.int64)), pa.array(cls[b].astype(np.int64))], names=["src", "dst"])
+
+
+def _alike(at: np.ndarray, other: np.ndarray, label, n, low) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (at[k], other[k]) those of different components that the minwise tokens and the set sizes let through."""
+    out = []
+    for k in range(0, len(at), 1 << 16):
+        i, j = at[k : k + (1 << 16)], other[k : k + (1 << 16)]
+        on = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        i, j = i[on], j[on]
+        on = (low[i] == low[j]).sum(1) >= LEAST_EQUAL
+        out.append((i[on], j[on]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _pick(root: int, level: int) -> int:
+    """The first of the two hash functions that part a node of this root at this level; no two levels of a path share one."""
+    pairs = (HASHES - TREES) // 2
+    return TREES + 2 * ((root + 5 * level) % pairs)
+
+
+def _descend(root: int, level: int, cls, label, n, sig, low):
+    """Candidate pairs (positions) below a node, and its leaves to be compared in blocks (arrays of positions)."""
+    pairs, leaves, stack = [], [], [(level, np.arange(len(cls)))]
+    while stack:
+        level, at = stack.pop()
+        m = len(at)
+        of, inverse, count = np.unique(label[at], return_inverse=True, return_counts=True)
+        if len(of) < 2:
+            continue
+        if m <= SMALL:
+            i, j = np.triu_indices(m, 1)
+            pairs.append(_alike(at[i], at[j], label, n, low))
+            continue
+        if m * m - int((count.astype(np.int64) ** 2).sum()) <= 2 * SMALL * m:
+            main = inverse == count.argmax()
+            few, many = at[~main], at[main]
+            i, j = np.triu_indices(len(few), 1)
+            pairs.append(_alike(np.concatenate([np.repeat(few, len(many)), few[i]]), np.concatenate([np.tile(many, len(few)), few[j]]), label, n, low))
+            continue
+        if level >= LEVELS:
+            leaves.append(at)
+            continue
+        parts, pick = [], _pick(root, level)
+        for token in (sig[at, pick], sig[at, pick + 1]):
+            order = np.argsort(token, kind="stable")
+            parts.append(np.split(at[order], np.flatnonzero(np.diff(token[order])) + 1))
+        full = [x for part in parts if len(part) == 1 for x in part]
+        if not full and sum(len(x) ** 2 for part in parts for x in part) >= DENSE * 2 * m * m:
+            leaves.append(at)
+            continue
+        stack += [(level + 1, x) for x in (full[:1] or parts[0] + parts[1]) if len(x) > 1]
+    return pairs, leaves
+
+
+def _subtrees(batches):
+    """Of each group of members the candidate pairs (0, a, b) and the rows (1, leaf, class) of its dense leaves, which are named by a digest of their classes."""
     for batch in batches:
-        group = batch.column("members")
-        flat = group.flatten()
-        cls, label, n, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("cls", "label", "n", "side"))
-        sig = _equals(flat.field("sig"))
-        lengths = group.value_lengths().to_numpy()
-        a_out, b_out, start = [], [], 0
-        for size in lengths.tolist():
-            if size not in upper:
-                upper[size] = np.triu_indices(size, 1)
-            for at in range(0, len(upper[size][0]), 1 << 16):
-                i, j = (x[at : at + (1 << 16)] + start for x in upper[size])
-                ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2))
-                i, j = i[ok], j[ok]
-                ok = (sig[i] == sig[j]).sum(1) >= LEAST_EQUAL
-                a_out.append(np.minimum(cls[i[ok]], cls[j[ok]]))
-                b_out.append(np.maximum(cls[i[ok]], cls[j[ok]]))
-            start += size
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a_out, b_out)], names=["a", "b"])
-
-
-def _grouped(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.collect_list(F.struct("cls", "label", "n", "sig", "side")).alias("members")).select("members").mapInArrow(_compare, "a long, b long")
+        out: list[list[np.ndarray]] = [[], [], []]
+        groups = batch.column("members")
+        for g in range(batch.num_rows):
+            rows = groups.slice(g, 1).flatten()
+            cls, label, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("cls", "label", "n"))
+            raw = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint8).reshape(-1, 4 * HASHES + EQUALS)
+            sig, low = np.ascontiguousarray(raw[:, : 4 * HASHES]).view(np.uint32), raw[:, 4 * HASHES :]
+            pairs, leaves = _descend(batch.column("root")[g].as_py(), batch.column("level")[g].as_py(), cls, label, n, sig, low)
+            for i, j in pairs:
+                out[0].append(np.zeros(len(i), np.int64))
+                out[1].append(np.minimum(cls[i], cls[j]))
+                out[2].append(np.maximum(cls[i], cls[j]))
+            for at in leaves:
+                name = K.mix(cls[at].astype(np.uint64)).sum(dtype=np.uint64).astype(np.int64)
+                out[0].append(np.ones(len(at), np.int64))
+                out[1].append(np.full(len(at), name))
+                out[2].append(cls[at])
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["kind", "a", "b"])
 
 
 def _search(members: DataFrame, labels: DataFrame, reps: DataFrame, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of different components from the small nodes of all trees; rows of the nodes to be compared in blocks."""
+    """Candidate pairs (a, b) of different components from all trees; rows (node, cls) of the nodes to be compared in blocks."""
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of nodes that hold more than one component, with the node's size and shingles."""
-        size = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").drop("lo", "hi")
+        """Rows of nodes that hold more than one component, with the node's size."""
+        size = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").drop("lo", "hi")
         return rows.join(size, "node")
 
     rows = members.join(labels.withColumnRenamed("node", "cls").withColumnRenamed("component", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rows = mixed(rows.join(reps.select("cls", F.col("n_shingles").alias("n")), "cls")).join(reps.select("cls", "sig"), "cls").withColumn("side", F.lit(2))
-    small, dense = [], []
+    rows = mixed(rows.withColumn("root", F.pmod("node", F.lit(1 << 20))))
+    local, dense = [], []
     for level in range(1, LEVELS + 1):
         rows = shelf.put(f"level_{level}", rows)
-        small.append(rows.filter(F.col("size") <= SMALL))
-        rows = rows.filter(F.col("size") > SMALL)
+        local.append(rows.filter(F.col("size") <= LOCAL).withColumn("level", F.lit(level)))
+        rows = rows.filter(F.col("size") > LOCAL)
         if rows.isEmpty():
             break
         if level == LEVELS:
             dense.append(rows)
             break
-        pick = TREES + 2 * F.pmod(F.xxhash64("node", F.lit(level)), F.lit((HASHES - TREES) // 2)).cast("int")
-        children = rows.withColumn("child", F.explode(F.array(*(F.xxhash64("node", F.lit(j), _token(pick + j)) for j in (0, 1)))))
-        alike = children.groupBy("node", "child").agg(F.count("*").alias("c"), F.first("size").alias("size")).groupBy("node").agg((F.sum(F.col("c") * F.col("c")) / (2.0 * F.first("size") * F.first("size"))).alias("alike"))
-        alike = shelf.put(f"alike_{level}", alike.filter(F.col("alike") >= DENSE).select("node"))
-        dense.append(rows.join(alike, "node", "left_semi"))
-        rows = mixed(children.join(alike, "node", "left_anti").withColumn("node", F.col("child")).drop("child", "size", "shingles"))
-    pairs = None
-    for part in small:
-        found = _grouped(part, "node")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    blocks = None
+        pick = TREES + 2 * F.pmod(F.col("root") + 5 * level, F.lit((HASHES - TREES) // 2)).cast("int")
+        tokens = rows.join(reps.select("cls", "sig"), "cls")
+        children = tokens.withColumn("child", F.explode(F.array(*(F.xxhash64("node", F.lit(j), _token(pick + j)) for j in (0, 1))))).drop("sig")
+        counts = children.groupBy("node", "child").agg(F.count("*").alias("c"), F.first("size").alias("size"))
+        shape = counts.groupBy("node").agg((F.sum(F.col("c") * F.col("c")) / (2.0 * F.first("size") * F.first("size"))).alias("alike"), F.max(F.when(F.col("c") == F.col("size"), F.col("child"))).alias("full"))
+        shape = shelf.put(f"shape_{level}", shape.select("node", "full", (F.col("full").isNull() & (F.col("alike") >= DENSE)).alias("is_dense")))
+        dense.append(rows.join(shape.filter("is_dense"), "node", "left_semi"))
+        followed = children.join(shape.filter("not is_dense"), "node").filter("full is null or child = full")
+        rows = mixed(followed.select("cls", F.col("child").alias("node"), "label", "root"))
+    found = None
+    for part in local:
+        found = part if found is None else found.unionByName(part)
+    wide = found.join(reps.select("cls", F.col("n_shingles").alias("n"), "sig"), "cls")
+    groups = wide.groupBy("node", "level").agg(F.first("root").alias("root"), F.collect_list(F.struct("cls", "label", "n", "sig")).alias("members"))
+    found = shelf.put("found", groups.select("root", "level", "members").mapInArrow(_subtrees, "kind long, a long, b long"))
+    blocks = found.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("cls")).distinct()
     for part in dense:
-        blocks = part if blocks is None else blocks.unionByName(part)
-    return pairs.distinct(), blocks
+        blocks = blocks.unionByName(part.select("node", "cls"))
+    return found.filter("kind = 0").select("a", "b").distinct(), blocks
+
 
+def _in_blocks(rows: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, shelf: Shelf) -> DataFrame | None:
+    """Links (src, dst) among the classes of each large node (node, cls).
 
-def _in_blocks(rows: DataFrame | None, reps: DataFrame, docs: DataFrame, shelf: Shelf) -> DataFrame | None:
-    """Links (src, dst) among the classes of each large node. A block holds BLOCK classes or BLOCK_SHINGLES shingles; every two blocks of a node meet."""
-    if rows is None or rows.isEmpty():
+    The classes of a node's largest component are not compared with each other; they are dealt over
+    blocks, and meet the blocks of the other classes; of these every two blocks meet. A block holds
+    BLOCK classes or BLOCK_SHINGLES shingles.
+    """
+    rows = shelf.put("dense", rows)
+    if rows.isEmpty():
         return None
+    rows = rows.join(labels.withColumnRenamed("node", "cls").withColumnRenamed("component", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(reps.select("cls", F.col("n_shingles").alias("n")), "cls")
+    per_label = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    main = per_label.groupBy("node").agg(F.max(F.struct("c", "label", "shingles")).alias("main"), F.sum("c").alias("all_c"), F.sum("shingles").alias("all_s")).filter("main.c < all_c")
+    parts = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES, F.lit(1.0)))
+    main = main.select("node", F.col("main.label").alias("main"), parts(F.col("main.c"), F.col("main.shingles")).alias("mains"), parts(F.col("all_c") - F.col("main.c"), F.col("all_s") - F.col("main.shingles")).alias("others"))
+    inside = F.col("label") == F.col("main")
+    dealt = rows.join(main, "node").withColumn("own", F.pmod(F.xxhash64("cls"), F.when(inside, F.col("mains")).otherwise(F.col("others"))))
+    # Blocks of other classes have the numbers from 0, those of the main component the negative ones.
+    many = F.when(inside, F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))
+    dealt = dealt.withColumn("own", F.when(inside, -1 - F.col("own")).otherwise(F.col("own"))).withColumn("to", F.explode(many))
+    dealt = dealt.select("node", "cls", "label", "n", F.least("own", "to").alias("lo"), F.greatest("own", "to").alias("hi"), F.when(F.col("own") == F.col("to"), 2).when(F.col("own") < F.col("to"), 0).otherwise(1).alias("side"))
     sets = _sets_of(rows.select("cls").distinct().join(reps.select("cls", "rep_id", "rep_key"), "cls"), docs, shelf, "dense")
-    blocks = rows.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    dealt = blocks.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("own", "to")).withColumn("hi", F.greatest("own", "to")).withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("own") == F.col("lo"), 0).otherwise(1))
-    groups = dealt.join(sets, "cls").groupBy("node", "lo", "hi").agg(F.collect_list(F.struct("cls", "label", "n", "sig", "side", "shingle_set")).alias("members"))
+    groups = dealt.join(sets, "cls").groupBy("node", "lo", "hi").agg(F.collect_list(F.struct("cls", "label", "n", "side", "shingle_set")).alias("members"))
     return shelf.put("dense_links", groups.select("members").mapInArrow(_blocks, "src long, dst long"))
 
 
@@ -279,8 +357,8 @@ def near_duplicates(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     labels = connected_components(_confirm(star, reps, docs, shelf, "star"), shelf, "cc_star")
     pairs, blocks = _search(members.select("node", "cls"), labels, reps, shelf)
     pairs = shelf.put("pairs", pairs)
-    dense = _in_blocks(blocks, reps, docs, shelf)
-    shelf.drop("ranked", "dense_sets", *(f"level_{k}" for k in range(1, LEVELS + 1)))
+    dense = _in_blocks(blocks, labels, reps, docs, shelf)
+    shelf.drop("ranked", "dense", "dense_sets", *(f"{x}_{k}" for x in ("level", "shape") for k in range(1, LEVELS + 1)))
     links = _confirm(pairs, reps, docs, shelf, "search")
     links = links if dense is None else links.unionByName(dense)
     if not links.isEmpty():

@@ -2,20 +2,23 @@
 
 The network reads windows of WINDOW characters and tags each character as outside or as begin or
 inside of a span; transition scores between tags are learned with it, and the Viterbi path is taken.
-Windows overlap by half; where two disagree, the tag counts that is further from its window's edge,
-and spans are read from the reconciled tags of the whole text. Windows are laid over all stretches
-within REACH characters of a digit, an `@` or a passage with the form of a written-out address
-(written()): a sound span has a digit or an `@`, or lies within such a passage, so no window
-elsewhere could add one. Spans that the patterns miss (written-out mail addresses, with or without
-digits, phone numbers without `+`) are added if their form is sound; pattern spans always stay.
+Windows are laid over the whole of every text and overlap by OVERLAP characters; where two disagree,
+the tag counts that is further from its window's edge, and spans are read from the reconciled tags of
+the whole text. Spans that the patterns miss (written-out mail addresses, with or without digits,
+phone numbers without `+`) are added if their form is sound; pattern spans always stay.
+
+Windows whose best path weighs as much as the one that is outside all along are not traced back, as
+that one is their path.
 
 Training is plain numpy, from labelled spans: sentences made up by labelled_text(), or any given
-list of (text, spans). It is done once for each driver process and model parameters.
+list of (text, spans). It is done once for each driver process and model parameters; a trained Tagger
+can be handed in instead.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from sparkquarry.llm.spans import detect, digest
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, REACH = 64, 40
-EMBED, HIDDEN, BATCH, STEPS, RATE = 12, 16, 48, 220, 0.02
+WINDOW, OVERLAP = 384, 48
+#: Characters of a training example; windows that are decoded at once.
+EXAMPLE, AT_ONCE = 64, 4096
+EMBED, HIDDEN, BATCH, STEPS, RATE = 12, 8, 64, 500, 0.02
 CHARS = {c: i + 2 for i, c in enumerate(map(chr, range(32, 127)))}  # 0: beyond the text, 1: any other
 TAGS = 1 + 2 * len(KINDS)  # 0: outside; 1 + 2 k, 2 + 2 k: begin, inside of kind k
 
@@ -111,7 +116,12 @@ def written(text: str) -> list[tuple[int, int]]:
 def labelled_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
     """A made-up sentence and its spans (kind, start, end)."""
     pick = lambda *a: a[rng.integers(len(a))]
-    word = lambda: "".join(rng.choice(list("eeetaaoinnshrdlucmfwypvbgkéüñó"), rng.integers(2, 9)))
+    letters = list("eeeeettttaaaaooooiiiinnnnssshhhrrrddllluuccmmffwwyyppvbbggkkxqjzéèàçêüñóäößíá")
+
+    def word() -> str:
+        w = "".join(rng.choice(letters, rng.integers(1, 13)))
+        return w.capitalize() if (r := rng.random()) < 0.12 else w.upper() if r < 0.16 else w
+
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     out, spans, n = "", [], rng.integers(6, 16)
     for _ in range(n):
@@ -143,12 +153,16 @@ def labelled_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, i
             out += pick("at", "dot", "at " + word() + ". " + word(), word() + " at " + word() + ".", "at the " + word(), "a " + word() + " dot on")
         else:
             out += word()
-        out += pick(" ", " ", " ", ", ", ". ", "\n")
+        out += pick(" ", " ", " ", " ", " ", ", ", ". ", "\n", "!! ", "### ", "; ")
     return out, spans
 
 
+_CODE = np.array([CHARS.get(chr(c), 1) for c in range(128)], np.int16)
+
+
 def coded(text: str) -> np.ndarray:
-    return np.array([CHARS.get(c, 1) for c in text], np.int16)
+    """The character codes of a text, one for each code point."""
+    return _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 127)]
 
 
 def _sigmoid(x):
@@ -244,7 +258,7 @@ class Tagger:
         """examples: function that gives the next (text, spans)."""
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in "mv")
         for t in range(1, steps + 1):
-            x, y = np.zeros((BATCH, WINDOW), np.int16), np.zeros((BATCH, WINDOW), np.int64)
+            x, y = np.zeros((BATCH, EXAMPLE), np.int16), np.zeros((BATCH, EXAMPLE), np.int64)
             for r in range(BATCH):
                 text, spans = examples()
                 tags = np.zeros(len(text), np.int64)
@@ -252,10 +266,10 @@ class Tagger:
                     tags[s:e] = 2 + 2 * kind
                     tags[s] = 1 + 2 * kind
                 # Windows begin anywhere, before the text too, but not inside a span.
-                at = (7919 * (t * BATCH + r)) % max(1, len(text) - WINDOW // 2)
+                at = (7919 * (t * BATCH + r)) % max(1, len(text) - EXAMPLE // 2)
                 at = next((s for _, s, e in spans if s < at < e), at)
-                part = coded(text)[at : at + WINDOW]
-                x[r, : len(part)], y[r, : len(part)] = part, tags[at : at + WINDOW]
+                part = coded(text)[at : at + EXAMPLE]
+                x[r, : len(part)], y[r, : len(part)] = part, tags[at : at + EXAMPLE]
             _, g = self.gradient(x, y)
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             for k in self.p:
@@ -266,19 +280,56 @@ class Tagger:
                 self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return self
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Emissions (time, tag, window) of windows (window, time): what emissions() gives, by look-up tables and over whole batches."""
+        p, h, (n, steps) = self.p, HIDDEN, x.shape
+        # sigmoid(z) = (1 + tanh(z / 2)) / 2: the halves inside are in the weights of the first three gates.
+        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)])
+        gates = lambda w: np.ascontiguousarray(np.split((w * half).astype(np.float32), 4, axis=-1))
+        em = np.empty((steps, TAGS, n), np.float32)
+        em[:] = p["bias"].astype(np.float32)[:, None]
+        at = np.ascontiguousarray(x.T).astype(np.intp)
+        for k, d in enumerate("fb"):
+            table, out = gates(p["emb"] @ p[f"x{d}"] + p[f"g{d}"]), np.ascontiguousarray(p["out"][k * h : k * h + h].T.astype(np.float32)) * np.float32(0.5)
+            u = gates(p[f"h{d}"]) * np.float32(0.5)  # state is twice the hidden state
+            state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+            z, more = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32)
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                for g in range(4):
+                    np.take(table[g], at[t], axis=0, out=z[g], mode="clip")
+                    np.matmul(state, u[g], out=more[g])
+                z += more
+                np.tanh(z, out=z)
+                z[:3] += 1
+                cell *= z[1]
+                np.multiply(z[0], z[3], out=state)
+                cell += state
+                cell *= 0.5
+                np.tanh(cell, out=state)
+                state *= z[2]
+                em[t] += out @ state.T
+        return em
+
     def tags(self, x: np.ndarray) -> np.ndarray:
-        """Viterbi paths of windows (batch, time)."""
-        em, _ = self.emissions(x)
-        steps, n, a = *em.shape[:2], self.p["trans"]
-        best, back = em[0], np.zeros((steps, n, TAGS), np.int8)
+        """The Viterbi paths of windows (window, time)."""
+        best, a = self.scores(x), self.p["trans"].astype(np.float32)  # emissions turn into the weights of the best paths
+        steps, _, n = best.shape
+        outside = best[0, 0].copy()
+        more, top = np.empty((TAGS, n), np.float32), np.empty((TAGS, n), np.float32)
         for t in range(1, steps):
-            s = best[:, :, None] + a
-            back[t] = s.argmax(1)
-            best = em[t] + s.max(1)
+            outside = best[t, 0] + (outside + a[0, 0])
+            for j in range(TAGS):
+                np.add(best[t - 1], a[:, j : j + 1], out=more)
+                np.max(more, axis=0, out=top[j])
+            best[t] += top
         out = np.zeros((n, steps), np.int8)
-        out[:, -1] = best.argmax(1)
-        for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = back[t, np.arange(n), out[:, t]]
+        rest = np.flatnonzero(best[-1].max(0) > outside)
+        best = best[:, :, rest]
+        tag = best[-1].argmax(0)
+        for t in range(steps - 1, -1, -1):
+            out[rest, t] = tag
+            if t:
+                tag = (best[t - 1] + a[:, tag]).argmax(0)
         return out
 
 
@@ -288,47 +339,41 @@ def trained(seed: int = 11, steps: int = STEPS) -> Tagger:
     return Tagger(seed).train(lambda: labelled_text(rng), steps)
 
 
-def stretches(code: np.ndarray, passages: list[tuple[int, int]] = []) -> list[tuple[int, int]]:
-    """Where windows are laid: within REACH characters of a digit, an @ or one of the passages."""
-    on = (code >= CHARS["0"]) & (code <= CHARS["9"]) | (code == CHARS["@"])
-    for a, b in passages:
-        on[a:b] = True
-    near = np.flatnonzero(on)
-    if not len(near):
-        return []
-    cut = np.flatnonzero(np.diff(near) > 2 * REACH)
-    lo, hi = near[np.concatenate([[0], cut + 1])], near[np.concatenate([cut, [len(near) - 1]])]
-    return [(max(0, int(a) - REACH), min(len(code), int(b) + REACH + 1)) for a, b in zip(lo, hi)]
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first character of each window."""
+    step = WINDOW - OVERLAP
+    count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // step)), 0)
+    text = np.repeat(np.arange(len(lengths)), count)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
 
 
-def find(texts: list[str], tagger: Tagger, batch: int = 512):
+def find(texts: list[str], tagger: Tagger, at_once: int = AT_ONCE):
     """The reconciled spans (kind, start, end) of each text."""
-    where, tags = [], [np.zeros(0, np.int8)] * len(texts)
     codes = [coded(t) for t in texts]
-    for d, code in enumerate(codes):
-        tags[d] = np.zeros(len(code), np.int8)
-        for a, b in stretches(code, written(texts[d])):
-            where += [(d, s) for s in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2)]
-    edge = [np.full(len(c), -1, np.int8) for c in codes]
-    centre = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.int8)
-    for k in range(0, len(where), batch):
-        part = where[k : k + batch]
-        x = np.zeros((len(part), WINDOW), np.int16)
-        for r, (d, s) in enumerate(part):
-            c = codes[d][s : s + WINDOW]
-            x[r, : len(c)] = c
-        for (d, s), path in zip(part, tagger.tags(x)):
-            n = min(WINDOW, len(codes[d]) - s)
-            # The window's own edge at the end of the text is no edge.
-            far = np.where(np.arange(n) >= WINDOW // 2, WINDOW, centre[:n]) if s + WINDOW >= len(codes[d]) else centre[:n].copy()
-            if s == 0:
-                far = np.where(np.arange(n) < WINDOW // 2, WINDOW, far)
-            better = far > edge[d][s : s + n]
-            tags[d][s : s + n][better] = path[:n][better]
-            edge[d][s : s + n][better] = far[better]
-    for tag in tags:
-        out, at = [], np.flatnonzero(tag).tolist()
-        for i in at:
+    lengths = np.array([len(c) for c in codes], np.int64)
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.concatenate([*codes, np.zeros(WINDOW, np.int16)])
+    text, start = windows(lengths)
+    paths: dict[int, np.ndarray] = {}
+    for k in range(0, len(text), at_once):
+        of, begin = text[k : k + at_once], start[k : k + at_once]
+        x = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[first[of] + begin].copy()
+        for r in np.flatnonzero(begin + WINDOW > lengths[of]).tolist():
+            x[r, lengths[of[r]] - begin[r] :] = 0
+        path = tagger.tags(x)
+        paths.update((k + r, path[r]) for r in np.flatnonzero(path.any(1)).tolist())
+    tags: dict[int, np.ndarray] = {}
+    for k, path in sorted(paths.items()):
+        d, s = int(text[k]), int(start[k])
+        whole = tags.setdefault(d, np.zeros(lengths[d], np.int8))
+        # Each character belongs to the window whose edge is further away; a text's own ends are no edges.
+        lo = 0 if s == 0 else OVERLAP // 2
+        hi = lengths[d] - s if s + WINDOW >= lengths[d] else WINDOW - OVERLAP + OVERLAP // 2
+        whole[s + lo : s + hi] = path[lo:hi]
+    for d in range(len(texts)):
+        out: list[list] = []
+        tag = tags.get(d)
+        for i in np.flatnonzero(tag).tolist() if tag is not None else ():
             kind = (tag[i] - 1) // 2
             if out and out[-1][2] == i and out[-1][0] == kind and tag[i] % 2 == 0:
                 out[-1][2] = i + 1
@@ -339,9 +384,16 @@ def find(texts: list[str], tagger: Tagger, batch: int = 512):
 
 def fitted(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """A tagged address begins where the passage of its form does and ends in it at a whole word; the tagger's own bounds may take in words before and after."""
-    passages, out = written(text), []
+    if not any(kind == "email" for kind, _, _ in found):
+        return found
+    passages, out, k = written(text), [], 0  # both by start
     for kind, s, e in found:
-        near = [x for x in passages if x[0] < e and s < x[1]] if kind == "email" else []
+        while k < len(passages) and passages[k][1] <= s:
+            k += 1
+        near, i = [], k
+        while kind == "email" and i < len(passages) and passages[i][0] < e:
+            near.append(passages[i])
+            i += 1
         for a, b in near:
             end = min(e, b)
             while end < b and text[end].isalnum():
@@ -355,35 +407,54 @@ def fitted(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return out
 
 
+class Taken:
+    """Spans that touch no other, by bisection."""
+
+    def __init__(self, spans):
+        self.at: list[tuple[int, int]] = []
+        for s, e in sorted(spans):  # base spans of different kinds may overlap: kept as their union
+            if self.at and s < self.at[-1][1]:
+                self.at[-1] = (self.at[-1][0], max(e, self.at[-1][1]))
+            else:
+                self.at.append((s, e))
+
+    def add(self, s: int, e: int) -> bool:
+        i = bisect_left(self.at, (s, e))
+        if i and self.at[i - 1][1] > s or i < len(self.at) and self.at[i][0] < e:
+            return False
+        self.at.insert(i, (s, e))
+        return True
+
+
 def spans(texts: list[str], tagger: Tagger):
     """All spans (kind, start, end, from the patterns) of each text, by kind as listed, then start. An added span touches no other."""
     for text, found in zip(texts, find(texts, tagger)):
         base = base_spans(text)
         out = [(*s, True) for s in base]
+        taken = Taken((s, e) for _, s, e in base)
         for kind, s, e in fitted(text, found):
             while s < e and text[s] in " .,;:\n":
                 s += 1
             while s < e and text[e - 1] in " .,;:\n":
                 e -= 1
             whole = (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum())
-            if whole and e > s and all(e <= x[1] or s >= x[2] for x in out) and sound(kind, text[s:e]):
+            if whole and e > s and sound(kind, text[s:e]) and taken.add(s, e):
                 out.append((kind, s, e, False))
         yield sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Texts with a digit, an @, or an `at` on its own or in brackets; no others can hold a span."""
-    from sparkquarry.llm.kernels import LOWER, sums
-
-    on, low = (buf >= 48) & (buf <= 57) | (buf == 64), LOWER[buf]
-    if len(buf) >= 4:
-        before, after = low[:-3], low[3:]
-        on[1:-2] |= (low[1:-2] == 97) & (low[2:-1] == 116) & ((before == 32) | (before == 40) | (before == 91)) & ((after == 32) | (after == 41) | (after == 93))
-    return sums(on, offs) > 0
+    """All texts that are not empty."""
+    return np.diff(offs) > 0
 
 
 def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """doc_id, spans for each row of docs. Null and empty texts have none. Repeated rows are searched each."""
+    """doc_id, spans for each row of docs.
+
+    Null and empty texts have none. Repeated rows are searched each. Long texts take time in
+    proportion. Of added spans that overlap, the first counts. Columns other than doc_id and text are
+    not looked at. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tagger or trained())
     return detect(docs, lambda: (anchors, lambda texts: spans(texts, shared.value)))
 

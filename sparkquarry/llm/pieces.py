@@ -7,20 +7,24 @@ one path of weight 0 in a max-plus lattice whose states are pieces and whose ste
 compatible pieces and minus infinity otherwise. A prefix of a text has one such path, so one piece
 per position is remembered.
 
-Texts of more than CHUNK characters are split into chunks that are rows of their own. A boundary
-state is a piece that covers the boundary; each chunk yields the max-plus matrix from the states at
-its begin to those at its end. The matrices of a document, a few bytes each, are multiplied along the
-document, which fixes the state at each boundary, and each chunk is then traced back by itself. Where
-a boundary falls before a space (no piece holds a space after another character) the matrix is 1 x 1.
-
-Within a chunk, spaces and line ends split the lattice in the same way, so words are solved once
-(depth first, as there is only one path) for each Python worker and remembered (MEMO words at most).
+Texts of more than CHUNK characters are split into chunks of CHUNK characters that are rows of their
+own; cuts fall where they fall, inside words too. A boundary state is a piece that covers the
+boundary; each chunk yields the max-plus matrix from the states at its begin to those at its end.
+The matrices of a document are multiplied as a tree, FAN neighbours at a time in tasks of their own
+(the product is associative), up to one matrix for the document; then, downwards, the states at the
+ends of each product fix those between its factors, and each chunk is traced back by itself.
+
+No piece holds a space after another character, so the lattice has a single state before each space.
+A chunk's matrix is thus the product of the one of its first, cut word, a column, and of the one of
+its last, cut word, a row; words between are solved once (depth first, as there is only one path) for
+each Python worker and remembered (MEMO words at most). A chunk without a space is swept whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from sparkquarry.llm.kernels import bound_batches, free_name, map_text
 from sparkquarry.store import Shelf
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, SNAP, MEMO, LONG_WORD = 32_768, 512, 150_000, 48
+CHUNK, SNAP, FAN, MEMO, LONG_WORD = 32_768, 0, 32, 150_000, 48
 MARK = "▁"
 
 
@@ -210,19 +214,74 @@ class Lattice:
         """The states at a boundary: pieces (start, end) with start < at <= end."""
         return [(i, j) for i in range(max(0, at - self.longest), at) for j in range(at, min(len(s), i + self.longest) + 1) if s[i:j] in self.id or j == i + 1]
 
+    def sweep(self, s: str, enter: list[tuple[int, int]], stop: int) -> list[dict]:
+        """For each position the pieces that end there on a path of weight 0, with the set (as bits) of the states enter that such paths come from. Pieces begin before stop."""
+        compatible, fits = self.compatible, self.fits
+        at: list[dict] = [{} for _ in range(len(s) + 1)]
+        for r, (i, j) in enumerate(enter):
+            key = s[i:j] if j > i else None
+            at[j][key] = at[j].get(key, 0) | 1 << r
+        for p in range(min((j for _, j in enter), default=stop), stop):
+            if not at[p]:
+                continue
+            pieces = self.pieces_at(s, p)
+            for before, bits in at[p].items():
+                after = fits.get(before) or {}
+                for t in pieces:
+                    ok = after.get(t)
+                    if compatible(before, t) if ok is None else ok:
+                        to = at[p + len(t)]
+                        to[t] = to.get(t, 0) | bits
+        return at
+
+    def breaks(self, s: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """The first and the last space in s[lo:hi] that follows another character, where the lattice has one state; None: there is none."""
+        if not self.space_safe:
+            return None
+        first, last = s.find(MARK, lo + 1, hi), s.rfind(MARK, lo + 1, hi)
+        while first > 0 and s[first - 1] == MARK:
+            first = s.find(MARK, first + 1, hi)
+        while last > lo and s[last - 1] == MARK:
+            last = s.rfind(MARK, lo + 1, last)
+        return (first, last) if lo < first <= last else None
+
     def matrix(self, s: str, lo: int, hi: int, open_lo: bool, open_hi: bool) -> tuple[list, list, list]:
         """States at lo and hi, and the entries of weight 0 of the matrix between them, as (row, column)."""
         enter = self.covering(s, lo) if open_lo else [(lo, lo)]
         leave = self.covering(s, hi) if open_hi else [(hi, hi)]
-        entries = []
+        through, inner = [], []
         for r, (i, j) in enumerate(enter):
-            if j > hi or j == hi and open_hi and lo != hi:
-                entries += [(r, c) for c, x in enumerate(leave) if x == (i, j)]  # one piece covers both boundaries
-                continue
-            ending = self.forward(s, j, s[i:j] if j > i else None, hi)
-            entries += [(r, c) for c, (a, b) in enumerate(leave) if (ending[b] == s[a:b] if open_hi else b == j or ending[b] is not None)]
+            (through if j > hi or j == hi and open_hi and lo != hi else inner).append(r)
+        entries = [(r, c) for r in through for c, x in enumerate(leave) if x == enter[r]]  # one piece covers both boundaries
+        starts = [enter[r] for r in inner]
+        if inner and (cut := self.breaks(s, lo, hi)):
+            at = self.sweep(s[: cut[0]], starts, cut[0])
+            begin = 0
+            for bits in at[cut[0]].values():
+                begin |= bits
+            at = self.sweep(s, [(cut[1], cut[1])], hi)
+            ends = [c for c, (a, b) in enumerate(leave) if (s[a:b] in at[b] and a >= cut[1] if open_hi else at[b])]
+            return enter, leave, entries + [(r, c) for k, r in enumerate(inner) if begin >> k & 1 for c in ends]
+        at = self.sweep(s, starts, hi)
+        for c, (a, b) in enumerate(leave):
+            bits = at[b].get(s[a:b], 0) if open_hi else 0
+            if not open_hi:
+                for more in at[b].values():
+                    bits |= more
+            entries += [(r, c) for k, r in enumerate(inner) if bits >> k & 1]
         return enter, leave, entries
 
+    def between(self, s: str, enter: tuple[int, int], leave: tuple[int, int], lo: int, hi: int) -> bytes:
+        """Ids of the one path from the end of the piece enter to the end of the piece leave."""
+        (i, j), (a, b) = enter, leave
+        last = s[i:j] if j > i else None
+        cut = self.breaks(s, lo, hi)
+        if cut is None or cut[0] < j or cut[1] > b:
+            return self.trace(self.forward(s, j, last, hi), j, b)
+        f, g = cut
+        head = self.trace(self.forward(s[:f], j, last, f), j, f)
+        return head + self.encode(s[f:g].replace(MARK, " "), first=False) + self.trace(self.forward(s, g, None, hi), g, b)
+
 
 class _Memo(dict):
     """Two generations of MEMO words each at most; words used again move to the young one."""
@@ -280,7 +339,7 @@ def _ids(parts: list[bytes]) -> pa.ListArray:
 
 
 def split(text: str, lattice: Lattice, chunk: int, snap: int) -> list[tuple[int, int, bool, bool]]:
-    """(begin, end, open at begin, open at end) of each chunk: cut before a space if one is near, else anywhere."""
+    """(begin, end, open at begin, open at end) of each chunk: cut after chunk characters, or before a space in the last snap of them."""
     out, lo, open_lo = [], 0, False
     while lo < len(text):
         hi = lo + chunk
@@ -288,7 +347,7 @@ def split(text: str, lattice: Lattice, chunk: int, snap: int) -> list[tuple[int,
             out.append((lo, len(text), open_lo, False))
             break
         cut, open_hi = hi, True
-        if lattice.space_safe:
+        if snap and lattice.space_safe:
             p = text.rfind(" ", max(lo + 1, hi - snap), hi)
             while p > lo and text[p - 1] in f" {MARK}":
                 p -= 1
@@ -303,8 +362,11 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, snap: int =
     """The columns keep of docs (default: doc_id), piece_ids array<int>, mark_positions array<int>, equal to the model's own encoding.
 
     Null texts give null arrays, empty ones empty arrays. mark_positions says where the text itself
-    has U+2581, which the model can't tell from a space. With check, a column of that name says
-    whether decoding the ids gives the text back; null texts do. Rows are encoded each, repeated or not.
+    has U+2581, which the model can't tell from a space. snap: a chunk's cut is moved before a space
+    in its last snap characters (off by default). With check, a column of that name says
+    whether decoding the ids gives the text back; null texts do. Rows are encoded each, repeated or
+    not, by one path (there are no ties). Other columns may have any names. An empty table gives an
+    empty result.
     """
     keep = ["doc_id"] if keep is None else keep
     shared = _share(docs.sparkSession, model)
@@ -373,10 +435,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, snap: int =
 
         return kernel
 
-    per_chunk = map_text(dealt, matrices, "row string, k long, enter array<array<int>>, leave array<array<int>>, entries array<array<int>>", text="piece")
-    per_doc = per_chunk.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "enter", "leave", "entries"))).alias("m"))
-    states = "row string, k long, enter array<int>, leave array<int>"
-    chosen = per_doc.mapInArrow(_multiply, states)
+    per_chunk = shelf.put("matrices_0", map_text(dealt, matrices, MATRIX, text="piece"))
+    chosen = _scan(per_chunk, shelf)
 
     def backtrace():
         lattice = _lattice(shared)
@@ -385,14 +445,9 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, snap: int =
             parts = []
             for r in part.to_pylist():
                 s, lo, hi = r["piece"], r["lo"], r["hi"]
-                if not r["open_lo"] and not r["open_hi"]:
-                    parts.append(lattice.encode(s[lo:hi].replace(MARK, " "), first=False))
-                    continue
-                (i, j), (a, b) = (x + lo for x in r["enter"]), (x + hi for x in r["leave"])
-                if (i, j) == (a, b) and r["open_lo"] and r["open_hi"]:
-                    parts.append(b"")
-                    continue
-                parts.append(lattice.trace(lattice.forward(s, j, s[i:j] if j > i else None, hi), j, b))
+                enter, leave = tuple(x + lo for x in r["enter"]), tuple(x + hi for x in r["leave"])
+                same = enter == leave and r["open_lo"] and r["open_hi"]  # one piece covers the chunk
+                parts.append(b"" if same else lattice.between(s, enter, leave, lo, hi))
             return {"row": part.column("row"), "k": part.column("k"), "ids": _ids(parts)}
 
         return kernel
@@ -414,30 +469,83 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, snap: int =
     return short.unionByName(done.select(*short.columns))
 
 
-def _multiply(batches):
-    """Fixes the boundary states of each document: products of its matrices forward, then the one path that reaches the end."""
+MATRIX = "row string, k long, enter array<array<int>>, leave array<array<int>>, entries array<array<int>>"
+STATES = "row string, k long, enter array<int>, leave array<int>"
+
+
+def product(a: dict, b: dict) -> dict:
+    """The max-plus product of two neighbours; entries of weight 0 only. A state is a piece's offsets from the boundary."""
+    row = {tuple(x): n for n, x in enumerate(b["enter"])}
+    after: dict[int, list[int]] = {}
+    for i, j in b["entries"]:
+        after.setdefault(i, []).append(j)
+    entries = {(i, k) for i, j in a["entries"] if (n := row.get(tuple(a["leave"][j]))) is not None for k in after.get(n, ())}
+    return {"enter": a["enter"], "leave": b["leave"], "entries": sorted(entries)}
+
+
+def resolved(factors: list[dict], enter: tuple, leave: tuple) -> list[tuple[tuple, tuple]]:
+    """The states at the begin and the end of each factor on the one path from enter to leave."""
+    back, states = [], {enter}
+    for x in factors:
+        names = [tuple(e) for e in x["enter"]]
+        step = {}
+        for i, j in x["entries"]:
+            if names[i] in states:
+                step.setdefault(tuple(x["leave"][j]), names[i])
+        back.append(step)
+        states = set(step)
+    out, at = [], leave
+    for step in reversed(back):
+        out.append((step[at], at))
+        at = step[at]
+    return out[::-1]
+
+
+_STATE = pa.list_(pa.int32())
+_MATRIX = pa.schema([("row", pa.string()), ("k", pa.int64()), *((c, pa.list_(_STATE)) for c in ("enter", "leave", "entries"))])
+_STATES = pa.schema([("row", pa.string()), ("k", pa.int64()), ("enter", _STATE), ("leave", _STATE)])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _products(batches):
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            m = r["m"]
-            reach, state = [], {(0, 0)}  # a state is the piece's offsets from the boundary; a closed boundary has one
-            for x in m:
-                enter = {tuple(e): n for n, e in enumerate(x["enter"])}
-                live = {enter[s] for s in state if s in enter}
-                step = {}
-                for a, b in x["entries"]:
-                    if a in live:
-                        step.setdefault(b, a)
-                reach.append(step)
-                state = {tuple(x["leave"][b]) for b in step}
-            at = next(iter(reach[-1]))
-            for x, step in zip(reversed(m), reversed(reach)):
-                enter = x["enter"][step[at]]
-                out.append((r["row"], x["k"], enter, x["leave"][at]))
-                if x["k"]:
-                    at = m[x["k"] - 1]["leave"].index(enter)
+            m = reduce(product, r["m"])
+            out.append((r["row"], r["k"], m["enter"], m["leave"], [list(e) for e in m["entries"]]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32())), pa.array([o[3] for o in out], pa.list_(pa.int32()))], names=["row", "k", "enter", "leave"])
+            yield _table(out, _MATRIX)
+
+
+def _resolve(batches):
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            for x, (enter, leave) in zip(r["m"], resolved(r["m"], tuple(r["enter"]), tuple(r["leave"]))):
+                out.append((r["row"], x["k"], list(enter), list(leave)))
+        if out:
+            yield _table(out, _STATES)
+
+
+def _scan(matrices: DataFrame, shelf: Shelf, fan: int | None = None) -> DataFrame:
+    """The states at both ends of each chunk (STATES): products of fan neighbours upwards to one matrix for each document, then the states downwards."""
+    fan = fan or FAN
+    most = (matrices.agg(F.max("k")).first()[0] or 0) + 1
+    grouped = lambda m: m.groupBy("row", F.floor(F.col("k") / fan).alias("g")).agg(F.sort_array(F.collect_list(F.struct("k", "enter", "leave", "entries"))).alias("m")).withColumnRenamed("g", "k")
+    levels = [matrices]
+    while True:
+        levels.append(shelf.put(f"matrices_{len(levels)}", grouped(levels[-1]).mapInArrow(_products, MATRIX)))
+        most = -(-most // fan)
+        if most <= 1:
+            break
+    end = F.array(F.lit(0), F.lit(0))  # before and after the text there is one state
+    states = levels[-1].select("row", "k", end.alias("enter"), end.alias("leave"))
+    for m in reversed(levels[:-1]):
+        states = grouped(m).join(states, ["row", "k"]).mapInArrow(_resolve, STATES)
+    return states
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "piece_ids", marks: str = "mark_positions", into: str = "decoded") -> DataFrame:

@@ -4,8 +4,12 @@ A word's score is its log-odds between toxic and other labelled texts (those tha
 that is significant, less a small constant, so that scores drift down in ordinary text. One linear
 scan finds all maximal scoring segments of a text. The distribution of the best segment of a random
 text of n words is an extreme-value one, 1 - exp(-K n exp(-lambda S)); lambda solves
-sum p exp(lambda s) = 1 over the words of the other texts. The significances of a text's segments
-are added up, and a one-variable logistic fit turns the sum into a score.
+sum p exp(lambda s) = 1 over the words of the other texts, and K is the likeliest value for the best
+segments of other texts. The significances of a text's segments are added up, and a one-variable
+logistic fit turns the sum into a score.
+
+K and the logistic fit see no text by a table that was learned from it: the sample is halved, and
+the texts of each half are scored by the log-odds of the other half. The final table is of all.
 """
 
 from __future__ import annotations
@@ -45,18 +49,29 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - l)) for a, b, l, r, _ in stack]
 
 
+def _part(w: K.Words, docs: np.ndarray) -> K.Words:
+    """The words of some documents."""
+    at = np.concatenate([np.arange(w.first[d], w.first[d + 1]) for d in docs.tolist()] or [np.zeros(0, np.int64)])
+    return K.Words(w.h[at], None, None, np.concatenate([[0], np.cumsum(w.counts[docs])]))
+
+
 class Model:
-    def __init__(self, w: K.Words, toxic: np.ndarray):
+    def __init__(self, w: K.Words, toxic: np.ndarray, calibrate: bool = True):
+        self.background, self.k = -DRIFT, 1.0
+        self.keys, self.values, self.lam = np.zeros(0, np.uint64), np.zeros(0), 1.0
+        self.a, self.b = 0.0, 3.0 if len(toxic) and toxic.all() else -3.0
+        if toxic.any() and not toxic.all() and len(w.h):
+            self._learn(w, toxic)
+            if calibrate:
+                self._calibrate(w, toxic)
+
+    def _learn(self, w: K.Words, toxic: np.ndarray) -> None:
+        """The table of word scores, and lambda."""
         keys, inverse = np.unique(w.h, return_inverse=True)
-        once = np.unique(w.doc * max(1, len(keys)) + inverse)  # a word counts once for each text
-        label, word = toxic[once // max(1, len(keys))], once % max(1, len(keys))
+        once = np.unique(w.doc * len(keys) + inverse)  # a word counts once for each text
+        label, word = toxic[once // len(keys)], once % len(keys)
         y1 = np.bincount(word, label, len(keys))
         y0 = np.bincount(word, ~label, len(keys))
-        self.background = -DRIFT
-        if not y1.sum() or not y0.sum():
-            self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
-            self.lam, self.k, self.a, self.b = 1.0, 0.1, 0.0, -3.0 if y0.sum() or not len(keys) else 3.0
-            return
         prior = PRIOR + PRIOR_TOTAL * (y1 + y0) / (y1 + y0).sum()
         n1, n0 = (y.sum() + prior.sum() for y in (y1, y0))
         odds = lambda y, n: np.log((y + prior) / (n - y - prior))
@@ -70,8 +85,32 @@ class Model:
         s[use] = self.values
         p = (y0 + PRIOR / len(keys)) / (y0 + PRIOR / len(keys)).sum()
         self.lam = self._root(p, s)
-        self.k = 0.1
-        strength = self.strengths(w)
+
+    def best(self, w: K.Words) -> np.ndarray:
+        """The best segment's score of each text; 0 where none is positive."""
+        out, s = np.zeros(len(w.counts)), self.word_scores(w)
+        for d in np.flatnonzero(K.sums(s > 0, w.first)).tolist():
+            total = np.concatenate([[0.0], np.cumsum(s[w.first[d] : w.first[d + 1]])])
+            out[d] = (total - np.minimum.accumulate(total)).max()
+        return out
+
+    def _calibrate(self, w: K.Words, toxic: np.ndarray) -> None:
+        """K and the logistic fit, of each half by the table of the other."""
+        half = np.arange(len(toxic)) % 2 == 0
+        parts = [(Model(_part(w, np.flatnonzero(~on)), toxic[~on], calibrate=False), np.flatnonzero(on)) for on in (half, ~half)]
+        if not all(len(m.keys) for m, _ in parts):
+            parts = [(self, np.arange(len(toxic)))]
+        exposed = n = 0.0
+        for m, docs in parts:
+            of = _part(w, docs[~toxic[docs]])
+            exposed += float((of.counts * np.exp(-m.lam * m.best(of))).sum())
+            n += int((of.counts > 0).sum())
+        # Chance of a best segment of at most x: exp(-K n exp(-lambda x)); likelihood is largest at this K.
+        self.k = n / exposed if exposed > 0 else 1.0
+        strength = np.zeros(len(toxic))
+        for m, docs in parts:
+            m.k = self.k
+            strength[docs] = m.strengths(_part(w, docs))
         self.a, self.b = self._logistic(np.log1p(strength), toxic)
 
     @staticmethod
@@ -142,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, strength, passages array<struct<start, end, score, log_chance>> (UTF-8 byte offsets) for each row of docs.
 
-    Null and empty texts have no passages and strength 0. Repeated rows are searched each.
+    Null and empty texts have no passages and strength 0. Repeated rows are searched each. Long texts
+    take time in proportion. Columns other than doc_id and text are not looked at. An empty table
+    gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -5,23 +5,32 @@ brute-force stretches so that an attacker's guesses for all of them are fewest (
 over the value's positions, costs in decimal logarithms). A value that still costs THRESHOLD or more
 is a secret; weak ones, such as a plain word, are not. After a mere blank or `is`, where prose goes on as
 often as a value follows, a single word in ordinary spelling is taken for prose, whatever its cost.
+
+Words have ranks: COMMON first, then the RANKS most frequent words of all texts, counted over the
+whole table (values in credential context are left out, so that no secret makes itself a word).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkquarry.llm import kernels as K
 from sparkquarry.llm.spans import detect, digest
-from sparkquarry.llm.words import WORDS
+from sparkquarry.store import Shelf
 
 KINDS = ("assign", "access", "hex")
 #: Log10 of the guesses that make a value a secret.
 THRESHOLD = 8.0
+#: Words that are ranked at most, how often they occur at least, their longest, and distinct words that a task holds.
+RANKS, LEAST, LONGEST, HELD = 50_000, 3, 24, 200_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
@@ -30,19 +39,25 @@ _CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|se
 _WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"authorization", b"bearer")
 
 # Frequent words in passwords, most frequent first, and keyboard rows.
-COMMON = "password the and for you love admin welcome login master dragon monkey letmein sunshine princess football shadow secret token test user guest hello world summer winter spring autumn access private public server client default change example sample demo root mysql oracle money happy house music baby angel star super power magic freedom family flower computer internet google apple company office manager london paris berlin madrid monday friday january december".split()
+COMMON = "password the and for you love admin welcome login master dragon monkey letmein sunshine princess football shadow secret token test user guest hello world summer winter spring autumn access private public server client default change example sample demo root mysql oracle money happy house music baby angel star super power magic freedom family flower computer internet google apple company office manager london paris berlin madrid monday friday january december bearer basic digest credential credentials authorization passphrase passcode".split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "0987654321", "poiuytrewq", "lkjhgfdsa", "mnbvcxz", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
 _LEET = str.maketrans("@4310$5!7", "aaeiossit")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-_RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys([*COMMON, *WORDS]))}
-_LONGEST_WORD = max(map(len, _RANK))
+
+
+def ranked(words=()) -> dict[str, int]:
+    """Ranks of COMMON and then of words, from 1."""
+    return {w: k + 1 for k, w in enumerate(dict.fromkeys([*COMMON, *words]))}
+
+
+_RANK = ranked()
 
 
 def _alphabet(c: str) -> float:
     return 1.0 if c.isdigit() else log10(26) if c.isalpha() and c.isascii() else log10(33) if c.isascii() else 2.0
 
 
-def segmentation(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def segmentation(value: str, ranks: dict[str, int] = _RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """Log10 of the guesses, and the (kind, start, end) segments of the cheapest cut.
 
     brute costs each character's alphabet; a word its rank, doubled for capitals or look-alike
@@ -55,10 +70,10 @@ def segmentation(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     plain = low.translate(_LEET)
     ways: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]  # by end: start, cost, kind
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
-                if form in _RANK:
-                    ways[j].append((i, log10(_RANK[form] + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0), "word"))
+                if form in ranks:
+                    ways[j].append((i, log10(ranks[form] + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0), "word"))
                     break
         if m := _DATE.match(value, i):
             ways[m.end()].append((i, log10(36500) if m.end() - i > 4 else 2.0, "date"))
@@ -96,8 +111,8 @@ def segmentation(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return cost[n], out[::-1]
 
 
-def guess_cost(value: str) -> float:
-    return segmentation(value)[0]
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
+    return segmentation(value, ranks)[0]
 
 
 _JOINT = re.compile(r"[-'’/.]")
@@ -115,18 +130,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def spans(text: str) -> list[tuple[str, int, int, bool]]:
-    """All spans (kind, start, end, from the base patterns) by start, then kind as listed. A value that a base span touches is not added."""
+def spans(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[str, int, int, bool]]:
+    """All spans (kind, start, end, from the base patterns) by start, then kind as listed. A value that a base span touches is not added. Linear in the text but for sorting."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
+    by_start = sorted((s, e) for _, s, e in base)
+    starts, ends = [s for s, _ in by_start], list(accumulate((e for _, e in by_start), max))
     at = 0
     while m := _CONTEXT.search(text, at):
         value, start = m[2].rstrip(".:!?)]}"), m.start(2)
         end = start + len(value)
         at = m.end()
-        if len(value) >= 6 and (m[1] or not looks_plain(value)) and not any(s < end and start < e for _, s, e in base) and guess_cost(value) >= THRESHOLD:
+        before = bisect_left(starts, end)  # base spans that begin before the value ends; does one end after its start?
+        if len(value) >= 6 and (m[1] or not looks_plain(value)) and not (before and ends[before - 1] > start) and guess_cost(value, ranks) >= THRESHOLD:
             out.append(("credential", start, end, False))
-        elif len(m[2]) <= _LONGEST_WORD:
+        elif len(m[2]) <= LONGEST:
             at = start  # the value may itself be a credential word: "authorization: bearer ..."
     order = {k: i for i, k in enumerate((*KINDS, "credential"))}
     return sorted(out, key=lambda s: (s[1], order[s[0]]))
@@ -154,9 +172,71 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return hit
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, spans for each row of docs. Null and empty texts have none. Repeated rows are scanned each."""
-    return detect(docs, lambda: (anchors, lambda texts: map(spans, texts)))
+_LETTERS = K.table([b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122)])
+_CONTEXT_BYTES = re.compile(_CONTEXT.pattern.encode(), re.I)
+
+
+def _counted(batches):
+    """Words and how often they occur in the texts of a task; a task holds HELD distinct words at most and hands them on beyond that."""
+    held: dict[bytes, int] = {}
+
+    def flush():
+        rows = list(held.items())
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for part in K.slices(batch, "text"):
+            buf, offs = K.flat(part.column("text"))
+            buf = K.LOWER[buf]
+            for d in np.flatnonzero(anchors(buf, offs)).tolist():
+                for m in _CONTEXT_BYTES.finditer(buf[offs[d] : offs[d + 1]].tobytes()):
+                    buf[offs[d] + m.start(2) : offs[d] + m.end(2)] = 32
+            w = K.tokenize(buf, offs, _LETTERS, lower=False)
+            size = w.e - w.s
+            use = np.flatnonzero((size >= 3) & (size <= LONGEST))
+            _, at, count = np.unique(w.h[use], return_index=True, return_counts=True)
+            data = buf.tobytes()
+            for s, e, n in zip(w.s[use[at]].tolist(), w.e[use[at]].tolist(), count.tolist()):
+                word = data[s:e]
+                held[word] = held.get(word, 0) + n
+            if len(held) > HELD:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def common_words(docs: DataFrame, limit: int = RANKS) -> list[str]:
+    """The most frequent words (3 to LONGEST letters A-Z, lower-cased, LEAST occurrences) of all texts, the most frequent first; ties by spelling.
+
+    Counts are combined in each task before they are dealt by word. How many words have which count
+    (in steps of a sixteenth of a power of e, so some hundred rows) tells the least count that gives
+    limit words at most; only those go to the driver.
+    """
+    K.bound_batches(docs.sparkSession)
+    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counted, "word string, n long")
+    shelf = Shelf(docs.sparkSession, "words")
+    counts = shelf.put("counts", counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).withColumn("step", F.floor(16 * F.log("n"))))
+    total, least = 0, None
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        total += r["count"]
+        if total > limit:
+            break
+        least = r.step
+    top = [] if least is None else counts.filter(F.col("step") >= least).collect()
+    shelf.drop("counts")
+    return [r.word for r in sorted(top, key=lambda r: (-r.n, r.word))]
+
+
+def secrets(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """doc_id, spans for each row of docs; words: ranked words (None: those of docs).
+
+    Null and empty texts have none. Repeated rows are scanned each, and count each for the words.
+    Long texts take time in proportion. Ties between cuts of a value have one cost. Columns other
+    than doc_id and text are not looked at. An empty table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranked(common_words(docs) if words is None else words))
+    return detect(docs, lambda: (anchors, lambda texts: [spans(t, shared.value) for t in texts]))
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, limit: int = LABELLED, folds: bool = True) -> Net:
+def fit(docs: DataFrame, limit: int = LABELLED) -> Net:
     """From text and non-null lang of the documents outside the held-out fold."""
     t = sample(docs, docs, "lang", limit, bucket("doc_id", FOLDS) != HELD)
     names = sorted(set(t.column("label").to_pylist()))
@@ -151,7 +151,9 @@ def identified(docs: DataFrame, limit: int = LABELLED) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs.
 
     Null texts and texts without a letter are `und` with score 0, and so are all if no text has a
-    lang to learn from. held_out of a null doc_id is null. Repeated rows are identified each.
+    lang to learn from. held_out of a null doc_id is null. Repeated rows are identified each. Of equal
+    probabilities the first language by name counts. Long texts take time in proportion. Other columns
+    are not looked at. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, limit))
 

@@ -340,7 +340,8 @@ def near_duplicates(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     Texts of fewer than five words have one shingle, the whole sequence. Rows that share a doc_id
     are judged each by its own text: classes of equal sets have ids made from the set's digests (63
     bits), and the least doc_id of a component is taken at the end. Rows without a doc_id are linked with nothing: component_id is
-    null and they are kept. Other columns are not looked at. An empty table gives an empty result.
+    null and they are kept. Texts of any length are read whole. Of pairs exactly at the line the link
+    counts. Other columns are not looked at. An empty table gives an empty result.
     """
     shelf = shelf or Shelf(docs.sparkSession, "minhash")
     sk = shelf.put("sketches", sketches(docs))

@@ -217,8 +217,10 @@ def _with_statistics(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
 def judged(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs.
 
-    Null and empty texts have no words, so they fail the base rules. Repeated rows are judged each.
-    Without labels only the base rules judge. An empty table gives an empty result.
+    Null and empty texts have no words, so they fail the base rules. Repeated rows are judged each,
+    ties alike. Long texts take time in proportion (but for sorting). Without labels only the base
+    rules judge. Other columns of docs are not looked at, whatever their names. An empty table gives
+    an empty result.
     """
     rows, name = _with_statistics(docs, ["doc_id"])
     stat = F.col(name)
@@ -250,6 +252,3 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGI
 FROM t LEFT JOIN dup ON dup.doc_id = t.doc_id LEFT JOIN rep ON rep.doc_id = t.doc_id
 """
 
-
-def base_only(spark, sf_dir):
-    return op2_quality_rules(spark, sf_dir).drop("kept")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,31 +11,47 @@ from sparkquarry.functions.rules import above, first_of, six
 BASE = {"critical": 10.0, "severe": 10.0, "high": 6.0, "medium": 3.0, "low": 1.0}
 
 
+def _item(kind: str, category: str, severity, hours):
+    return F.struct(F.lit(kind).alias("item"), F.lit(category).alias("category"), severity.alias("severity"), hours.cast("double").alias("hours"))
+
+
+def _holding(rows: DataFrame, keep: list, rules) -> DataFrame:
+    """A row for each rule that holds, in one pass over rows."""
+    return rows.select(*keep, F.explode(F.array_compact(F.array(*(F.when(when, item) for when, item in rules)))).alias("x")).select("file_path", "name", "x.*")
+
+
 def function_items(scored: DataFrame) -> DataFrame:
-    """Items of single functions, one filter and projection for each rule."""
+    """Items of single functions."""
     lines, params = F.col("lines"), F.col("params")
-    item = lambda when, kind, category, severity, hours: scored.filter(when).select("file_path", "name", F.lit(kind).alias("item"), F.lit(category).alias("category"), severity.alias("severity"), hours.cast("double").alias("hours"))
-    rules = [
-        item(lines > 30, "long_method", "smell", above(lines, (100, "high"), (50, "medium"), default="low"), 2 + lines / 50),
-        item(params > 5, "too_many_parameters", "smell", above(params, (10, "high"), (7, "medium"), default="low"), 0.25 * params),
-        item((lines > 20) & (params > 2), "nested_loops", "performance", above(lines, (50, "high"), (25, "medium"), default="low"), F.lit(2.0)),
-        item(F.col("is_async") & (lines > 15), "sync_in_async", "performance", F.lit("high"), F.lit(1.5)),
-        item((lines > 30) & (params > 3), "memory_leak_risk", "performance", F.lit("medium"), F.lit(1.0)),
-        item(F.col("level").isin("high", "severe"), "high_complexity", "complexity", F.col("level"), 1 + F.col("weighted") / 10 * 2),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    rules = (
+        (lines > 30, _item("long_method", "smell", above(lines, (100, "high"), (50, "medium"), default="low"), 2 + lines / 50)), (params > 5, _item("too_many_parameters", "smell", above(params, (10, "high"), (7, "medium"), default="low"), 0.25 * params)),
+        ((lines > 20) & (params > 2), _item("nested_loops", "performance", above(lines, (50, "high"), (25, "medium"), default="low"), F.lit(2.0))), (F.col("is_async") & (lines > 15), _item("sync_in_async", "performance", F.lit("high"), F.lit(1.5))),
+        ((lines > 30) & (params > 3), _item("memory_leak_risk", "performance", F.lit("medium"), F.lit(1.0))), (F.col("level").isin("high", "severe"), _item("high_complexity", "complexity", F.col("level"), 1 + F.col("weighted") / 10 * 2)),
+    )
+    return _holding(scored, ["file_path", "name"], rules)
 
 
 def file_items(files: DataFrame) -> DataFrame:
     """Items of files(file_path, imports, exports, functions, classes)."""
-    item = lambda when, kind, severity, hours: files.filter(when).select("file_path", F.lit(None).cast("string").alias("name"), F.lit(kind).alias("item"), F.lit("architecture").alias("category"), F.lit(severity).alias("severity"), F.lit(hours).alias("hours"))
-    rules = [
-        item((F.col("imports") > 10) & (F.col("exports") > 5), "circular_dependency", "high", 4.0),
-        item(F.col("functions") + 3 * F.col("classes") > 50, "god_object", "high", 6.0),
-        item(F.col("imports") > 15, "tight_coupling", "medium", 3.0),
-        item(F.col("imports") > 20, "excessive_imports", "low", 0.5),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    rules = (
+        ((F.col("imports") > 10) & (F.col("exports") > 5), _item("circular_dependency", "architecture", F.lit("high"), F.lit(4.0))), (F.col("functions") + 3 * F.col("classes") > 50, _item("god_object", "architecture", F.lit("high"), F.lit(6.0))),
+        (F.col("imports") > 15, _item("tight_coupling", "architecture", F.lit("medium"), F.lit(3.0))), (F.col("imports") > 20, _item("excessive_imports", "architecture", F.lit("low"), F.lit(0.5))),
+    )
+    return _holding(files, ["file_path", F.lit(None).cast("string").alias("name")], rules)
+
+
+def class_items(classes: DataFrame) -> DataFrame:
+    """Items of classes(file_path, name, methods, lines)."""
+    m, n = F.col("methods"), F.col("lines")
+    severity = first_of(((m > 50) | (n > 1000), "high"), ((m > 30) | (n > 750), "medium"), default="low")
+    rules = (((m > 20) | (n > 500), _item("large_class", "smell", severity, 4 + 2 * m / 10)), (m > 15, _item("too_many_methods", "smell", F.lit("medium"), 0.5 * m)))
+    return _holding(classes, ["file_path", "name"], rules)
+
+
+def duplication_items(clusters: DataFrame) -> DataFrame:
+    """Items of exact clusters (cluster, burden, priority)."""
+    rules = ((F.col("priority").isin("critical", "high"), _item("exact_duplication", "duplication", F.lit("high"), 0.1 * F.col("burden"))),)
+    return _holding(clusters, [F.lit(None).cast("string").alias("file_path"), F.col("cluster").alias("name")], rules)
 
 
 def scored_items(items: DataFrame) -> DataFrame:
@@ -46,7 +60,7 @@ def scored_items(items: DataFrame) -> DataFrame:
     out = items.withColumn("score", base * (1 + F.least(F.col("hours") / 10, F.lit(2.0))))
     confidence = 0.7 + first_of((F.col("item").isin("high_complexity", "exact_duplication"), 0.2), (F.col("item").isin("memory_leak_risk", "circular_dependency"), -0.1), default=0.0)
     out = out.withColumn("confidence", F.round(F.least(confidence, F.lit(1.0)), 2)).withColumn("impact", F.col("score") * F.col("confidence"))
-    path = F.lower("file_path")
+    path = F.coalesce(F.lower("file_path"), F.lit(""))
     frequency = 0.3 + F.when(path.contains("service") | path.contains("controller"), 0.3).otherwise(0.0) + F.when(path.contains("component"), 0.2).otherwise(0.0) - F.when(path.contains("util") | path.contains("helper"), 0.1).otherwise(0.0)
     out = out.withColumn("change_frequency", F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), frequency)), 2))
     return out.withColumn("priority", above(0.4 * F.col("impact") + 0.3 * F.col("change_frequency"), (8, "critical"), (6, "high"), (3, "medium"), default="low"))

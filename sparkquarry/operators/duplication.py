@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions.rules import above, six
 
-#: Structure of a text: its punctuation.
-SKELETON = r"[,.;()!?|]"
+# Fixed value: what makes up the structure of a text, keywords (not inside words of ASCII letters) and brackets.
+SKELETON = r"(?<![A-Za-z0-9_])(?:if|else|for|while|function|class|return|var|let|const)(?![A-Za-z0-9_])|[{}\[\]();,.]"
+
+
+def skeleton(content: str = "content"):
+    return F.md5(F.array_join(F.regexp_extract_all(content, F.lit(SKELETON), F.lit(0)), ""))
 
 
 def exact_clusters(blocks: DataFrame) -> DataFrame:
@@ -27,7 +31,7 @@ def members(blocks: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def structural_clusters(blocks: DataFrame) -> DataFrame:
     """Blocks of one skeleton digest."""
-    key = F.md5(F.array_join(F.regexp_extract_all("content", F.lit(f"({SKELETON})"), 1), ""))
+    key = skeleton()
     return blocks.filter("content is not null").groupBy(key.alias("skeleton")).agg(F.count("*").alias("n"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block")).filter("n > 1")
 
 
@@ -47,7 +51,7 @@ def similar_clusters(blocks: DataFrame, least: float = 0.85) -> DataFrame:
     Equal contents are compared once and count as often as they occur. A pair is at most as similar
     as its lengths allow; clusters that these bounds rule out are not compared.
     """
-    key = F.md5(F.array_join(F.regexp_extract_all("content", F.lit(f"({SKELETON})"), 1), ""))
+    key = skeleton()
     rows = blocks.filter("content is not null").select(key.alias("skeleton"), F.sha2("content", 256).alias("digest"), "block_id", F.octet_length("content").alias("size"), F.decode(F.encode("content", "UTF-8"), "ISO-8859-1").alias("bytes"))
     kinds = rows.groupBy("skeleton", "digest").agg(F.count("*").alias("copies"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"), F.first("size").alias("size"))
     half = lambda n: n * (n - 1) / 2
@@ -85,18 +89,39 @@ def file_hotspots(found: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def token_pairs(blocks: DataFrame, percent: int = 75) -> DataFrame:
-    """Pairs of one file with Jaccard of their token sets at or above percent. Exact: two such sets share one of their rarest tokens (prefix filter); pairs are confirmed by the full sets."""
-    sets = blocks.filter("content is not null").select("block_id", "file_path", F.array_distinct(F.filter(F.split("content", "[ \n]+"), lambda t: t != "")).alias("tokens")).filter("size(tokens) > 0").dropDuplicates(["file_path", "block_id"])
-    tokens = sets.select("block_id", "file_path", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("file_path", "token").agg(F.count("*").alias("often")).filter("often > 1")
-    size = sets.select("block_id", "file_path", F.size("tokens").alias("size"))
-    shared = tokens.join(often, ["file_path", "token"], "left").fillna(1, ["often"])
-    ranked = shared.groupBy("block_id", "file_path").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"), F.count("*").alias("size"))
-    prefix = ranked.withColumn("keep", (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int")).select("block_id", "file_path", "size", F.explode(F.slice("ranked", F.lit(1), F.col("keep"))).alias("t")).filter("t.often > 1")
-    a = prefix.select("file_path", F.col("t.token").alias("token"), F.col("block_id").alias("a"), F.col("size").alias("size_a"))
-    b = prefix.select("file_path", F.col("t.token").alias("token"), F.col("block_id").alias("b"), F.col("size").alias("size_b"))
-    pairs = a.join(b, ["file_path", "token"]).filter((F.col("a") < F.col("b")) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))).select("file_path", "a", "b").distinct()
-    full = lambda k: sets.select(F.col("block_id").alias(k), "file_path", F.col("tokens").alias(f"t_{k}"))
-    both = pairs.join(full("a"), ["file_path", "a"]).join(full("b"), ["file_path", "b"]).withColumn("shared", F.size(F.array_intersect("t_a", "t_b")))
+    """a, b, copies_a, copies_b, jaccard: pairs of different token sets, of all files, with a Jaccard coefficient at or above percent.
+
+    Blocks with equal sets are one class, named by its least id, so copies make no pairs; blocks
+    without tokens are in none. Exact: two such sets share one of their rarest tokens (prefix
+    filter); pairs are confirmed by the full sets.
+    """
+    split = F.array_sort(F.array_distinct(F.filter(F.split("content", "[ \n]+"), lambda t: t != "")))
+    rows = blocks.filter("content is not null").select("block_id", split.alias("tokens")).filter("size(tokens) > 0")
+    sets = rows.groupBy("tokens").agg(F.min("block_id").alias("block_id"), F.count("*").alias("copies"))
+    tokens = sets.select("block_id", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = tokens.join(often, "token", "left").fillna(1, ["often"]).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"), F.count("*").alias("size"))
+    prefix = ranked.withColumn("keep", (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int")).select("block_id", "size", F.posexplode(F.slice("ranked", F.lit(1), F.col("keep"))).alias("at", "t")).filter("t.often > 1")
+    side = lambda k: prefix.select(F.col("t.token").alias("token"), F.col("block_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("at").alias(f"at_{k}"))
+    # What may still be shared from these places on must reach the overlap that percent asks for.
+    need = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / (100 + percent))
+    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    fit = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (F.least("at_a", "at_b") + rest >= need)
+    pairs = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
+    full = lambda k: sets.select(F.col("block_id").alias(k), F.col("copies").alias(f"copies_{k}"), F.col("tokens").alias(f"t_{k}"))
+    both = pairs.join(full("a"), "a").join(full("b"), "b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")))
     union = F.size("t_a") + F.size("t_b") - F.col("shared")
-    return both.filter(100 * F.col("shared") >= percent * union).select("file_path", "a", "b", six(F.col("shared") / union).alias("jaccard"))
+    return both.filter(100 * F.col("shared") >= percent * union).select("a", "b", "copies_a", "copies_b", six(F.col("shared") / union).alias("jaccard"))
+
+
+def consolidation(clusters: DataFrame) -> DataFrame:
+    """cluster, hours (2 for each instance), saved_lines, roi of the clusters of critical and high priority."""
+    hours = 2.0 * F.col("n")
+    return clusters.filter(F.col("priority").isin("critical", "high")).select("cluster", hours.alias("hours"), (F.col("lines") * (F.col("n") - 1)).alias("saved_lines"), six(0.2 * F.col("burden") / hours).alias("roi"), F.when(F.col("n_files") > 1, "new_utility_file").otherwise("same_file").alias("target"))
+
+
+def impact(clusters: DataFrame) -> DataFrame:
+    """One row: clusters, instances, multiplier, debt and health above 50, 30, 15."""
+    out = clusters.agg(F.count("*").alias("n_clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_instances"), six(F.coalesce(F.sum("burden"), F.lit(0.0)) / 100).alias("debt"))
+    out = out.withColumn("multiplier", F.when(F.col("n_clusters") > 0, six(F.col("n_instances") / F.col("n_clusters"))).otherwise(0.0))
+    return out.withColumn("health", above(F.col("debt"), (50, "critical"), (30, "poor"), (15, "fair"), default="good"))

@@ -100,6 +100,55 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return found.withColumn("severity", F.when(F.col("length") >= 5, "critical").when(F.col("length") >= 3, "high").otherwise("medium"))
 
 
+def core(edges: DataFrame, shelf: Shelf, name: str = "core") -> DataFrame:
+    """The edges whose both ends have edges in and out, repeated until none falls away: no others can lie on a cycle."""
+    e, k = shelf.put(f"{name}_0", edges.select("src", "dst").filter("src <> dst").distinct()), 0
+    n = e.count()
+    while True:
+        k += 1
+        left = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = shelf.put(f"{name}_{k}", left.select("src", "dst"))
+        shelf.drop(f"{name}_{k - 1}")
+        before, n, e = n, left.count(), left
+        if n == before:
+            return e
+
+
+def shortest_cycles(edges: DataFrame, shelf: Shelf, name: str = "short") -> DataFrame:
+    """path, length, severity: a shortest cycle through each node that lies on one, of any length, once each, from its smallest node; of equal ones the least path.
+
+    The search goes breadth first from all nodes of the core at once and keeps one path for each
+    start and node reached, so rows are bounded by the square of the core's nodes.
+    """
+    e = core(edges, shelf, f"{name}_core")
+    front = shelf.put(f"{name}_0", e.select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")))
+    seen, found, k = front.select("start", "last"), [], 0
+    while not front.isEmpty():
+        k += 1
+        closed = front.join(e, (front.last == e.src) & (front.start == e.dst), "left_semi").groupBy("start").agg(F.min("path").alias("path"))
+        closed = shelf.put(f"{name}_closed_{k}", closed)
+        found.append(closed)
+        live = front.join(closed.select("start"), "start", "left_anti").join(e, F.col("last") == e.src).select("start", e.dst.alias("next"), F.concat("path", F.array(e.dst)).alias("path")).filter("next <> start")
+        live = live.groupBy("start", "next").agg(F.min("path").alias("path")).join(seen.withColumnRenamed("last", "next"), ["start", "next"], "left_anti")
+        front = shelf.put(f"{name}_{k}", live.withColumnRenamed("next", "last").select("start", "last", "path"))
+        seen = seen.unionByName(front.select("start", "last"))
+    out = None
+    for part in found:
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = front.select("start", "path")
+    least = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", least, F.size("path") - least + 1), F.slice("path", 1, least - 1))
+    out = out.select(turned.alias("path")).distinct().withColumn("length", F.size("path").cast("long"))
+    return out.withColumn("severity", F.when(F.col("length") >= 5, "critical").when(F.col("length") >= 3, "high").otherwise("medium"))
+
+
+def cycle_type(path) -> F.Column:
+    """By words of the members, in order of weight: type, component, service, utility, import."""
+    has = lambda *words: F.exists(path, lambda p: F.greatest(*(F.lower(p).contains(w).cast("int") for w in (*words, "\0"))) == 1)
+    return F.when(has("/types/", ".d.ts"), "type").when(has("component"), "component").when(has("service"), "service").when(has("util", "helper"), "utility").otherwise("import")
+
+
 def cycle_stats(found: DataFrame) -> DataFrame:
     """Counts by severity, mean length and the score (25, 15, 8, 3 for each cycle; 100 at most)."""
     weight = F.when(F.col("severity") == "critical", 25).when(F.col("severity") == "high", 15).when(F.col("severity") == "medium", 8).otherwise(3)

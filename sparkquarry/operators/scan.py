@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions.rules import contains_any, first_of, occurrences
 
-# Words of each detector, in order.
-INTEGRATIONS = {
-    "mongodb": ("mongodb://", "mongodb+srv://", "MongoClient", "mongoose.connect"), "postgresql": ("postgresql://", "postgres://", "pg.Client", "new Pool"), "mysql": ("mysql://", "mysql.createConnection", "mysql2"), "redis": ("redis://", "createClient", "new Redis"),
-    "aws": ("aws-sdk", ".amazonaws.com", "AWS.", "S3", "DynamoDB", "Lambda"), "gcp": ("google-cloud", ".googleapis.com", "firebase", "firestore"), "payment": ("stripe", "paypal", "payment", "checkout"), "analytics": ("analytics", "gtag", "mixpanel", "amplitude"),
-    "messaging": ("kafka", "rabbitmq", "sqs", "pubsub"), "jwt": ("jwt", "jsonwebtoken", "bearer"), "environment": ("process.env", "os.Getenv"),
-}
 #: Weights in tenths and thresholds in tenths, compared strictly.
 PATTERNS = {
     "mvc": (((("controller", "model", "view"), 4), (("Controller", "Model", "View"), 3), (("router",), 2), (("req",), 1)), 6),
@@ -20,7 +14,8 @@ PATTERNS = {
     "observer": (((("addEventListener", ".on("), 3), (("onclick", "onClick", "onChange"), 3), (("subscribe", "observer"), 2), (("callback", "=>"), 2)), 6),
     "page": (((("<html",), 4), (("<script",), 3), (("href=",), 2), (("<div",), 1)), 6),
 }
-BAD_URL = ("javascript:", "data:", "../", "<script", "`", "$(", ";")
+# What a URL must not hold, in any case of letters.
+BAD_URL = ("javascript:", "data:", "file:", "ftp:", "../", "..\\\\", "<script", "${", "$(")
 
 
 def lines(texts: DataFrame, column: str) -> DataFrame:
@@ -29,13 +24,6 @@ def lines(texts: DataFrame, column: str) -> DataFrame:
     return out.withColumn("line_no", (F.col("line_no") + 1).cast("long")).withColumn("line", F.trim("line")).filter("line <> ''")
 
 
-def integrations(rows: DataFrame) -> DataFrame:
-    """(.., kind) for each line and detector that it has a word of."""
-    hit = F.array_compact(F.array(*(F.when(contains_any(F.col("line"), *words), F.lit(kind)) for kind, words in INTEGRATIONS.items())))
-    risk = first_of((F.col("kind") == "payment", "critical"), (F.col("kind") == "jwt", "high"), (F.col("kind").isin("aws", "gcp", "analytics", "messaging"), "medium"), (contains_any(F.lower("line"), "localhost"), "low"), default="medium")
-    return rows.withColumn("kind", F.explode(hit)).withColumn("risk", risk)
-
-
 def credentials(texts: DataFrame, column: str) -> DataFrame:
     """Flags of whole texts and the risk: hard-coded values are critical."""
     t = F.col(column)
@@ -67,7 +55,7 @@ def url_check(urls: DataFrame, column: str = "url", schemes=("https", "http", "g
     """scheme, host, reason (first failing rule) and valid."""
     u = F.trim(F.col(column))
     out = urls.withColumn("scheme", F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))).withColumn("host", F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    reason = first_of((u == "", "empty"), (F.length(u) > 2048, "too long"), (contains_any(u, *BAD_URL), "malicious"), (~F.col("scheme").isin(*schemes), "scheme"), (F.col("host") == "", "host"))
+    reason = first_of((u == "", "empty"), (F.length(u) > 2048, "too long"), (contains_any(F.lower(u), *BAD_URL), "malicious"), (~F.col("scheme").isin(*schemes), "scheme"), (F.col("host") == "", "host"))
     return out.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
@@ -99,30 +87,3 @@ def bracket_balance(texts: DataFrame, column: str, opening: str = "<", closing:
         return F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))
     out = texts.withColumn("b", F.aggregate(marks, zero, step))
     return out.select("*", F.size(marks).cast("long").alias("n_brackets"), F.col("b.now").cast("long").alias("balance"), F.col("b.least").cast("long").alias("lowest")).drop("b", column)
-
-
-#: Extraction of import statements from source lines, first match counts.
-IMPORT = r"""^\s*import\s+(?:\{([^}]*)\}|\*\s+as\s+(\w+)|(\w+))\s+from\s+['"]([^'"]+)['"]"""
-REQUIRE = r"""require\(\s*['"]([^'"]+)['"]\s*\)"""
-
-
-def imports(files: DataFrame) -> DataFrame:
-    """files(path, content) -> path, line_no, source, import_type, is_external."""
-    rows = lines(files, "content")
-    es = F.regexp_extract("line", IMPORT, 4)
-    bare = F.regexp_extract("line", r"""^\s*import\s+['"]([^'"]+)['"]""", 1)
-    req = F.regexp_extract("line", REQUIRE, 1)
-    source = F.when(es != "", es).when(bare != "", bare).otherwise(req)
-    kind = F.when(F.regexp_extract("line", IMPORT, 1) != "", "named").when(F.regexp_extract("line", IMPORT, 2) != "", "namespace").when(es != "", "default").when(bare != "", "side-effect").otherwise("default")
-    return rows.select("path", "line_no", source.alias("source"), kind.alias("import_type")).filter("source <> ''").withColumn("is_external", ~F.col("source").startswith(".") & ~F.col("source").startswith("/"))
-
-
-def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
-    """Internal imports with the first existing candidate of seven, in order."""
-    folder = F.regexp_replace("path", r"/[^/]*$", "")
-    joined = F.concat(folder, F.lit("/"), F.regexp_replace("source", r"^\./", ""))
-    up = F.regexp_replace(joined, r"/[^/.]+/\.\./", "/")
-    ends = ["", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts"]
-    tried = imported.filter(~F.col("is_external")).select("path", "line_no", "source", F.posexplode(F.array(*(F.concat(up, F.lit(e)) for e in ends))).alias("order", "target"))
-    found = tried.join(files.select(F.col("path").alias("target")), "target")
-    return found.groupBy("path", "line_no", "source").agg(F.min_by("target", "order").alias("target"))

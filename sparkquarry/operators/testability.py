@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +22,12 @@ def testability(functions: DataFrame) -> DataFrame:
 
 def untested_paths(functions: DataFrame) -> DataFrame:
     """Row expansion: conditional paths, a loop, an exception, two async paths."""
-    n = (F.col("params") + F.floor(F.col("lines") / 10)).cast("int")
-    one = lambda when, kind, risk: functions.filter(when).select("file_path", "name", F.lit(kind).alias("path_type"), F.lit(0).cast("long").alias("path_no"), F.lit(risk).alias("risk"))
-    conditional = functions.filter(n > 0).select("file_path", "name", F.lit("conditional").alias("path_type"), F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("path_no"), F.when(F.col("lines") > 50, "high").otherwise("medium").alias("risk"))
-    asynchronous = functions.filter("is_async").select("file_path", "name", F.lit("async").alias("path_type"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("path_no"), F.lit("high").alias("risk"))
-    return reduce(DataFrame.unionByName, [conditional, one(F.col("lines") > 20, "loop", "medium"), one(F.lit(True), "exception", "high"), asynchronous])
+    n = (F.col("params") + F.floor(F.col("lines") / 10)).cast("long")
+    numbers = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    path = lambda kind, no, risk: F.struct(F.lit(kind).alias("path_type"), no.cast("long").alias("path_no"), risk.alias("risk"))
+    conditional = F.transform(numbers, lambda k: path("conditional", k, F.when(F.col("lines") > 50, "high").otherwise("medium")))
+    fixed = F.array_compact(F.array(F.when(F.col("lines") > 20, path("loop", F.lit(0), F.lit("medium"))), path("exception", F.lit(0), F.lit("high")), *(F.when(F.col("is_async"), path("async", F.lit(k), F.lit("high"))) for k in (0, 1))))
+    return functions.select("file_path", "name", F.explode(F.concat(conditional, fixed)).alias("x")).select("file_path", "name", "x.*")
 
 
 def gaps(paths: DataFrame, more_than: int = 2) -> DataFrame:

@@ -16,6 +16,14 @@ def ewma(events: DataFrame, keep: float = 0.9) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * weight), 4).alias("ewma"))
 
 
+def halving(events: DataFrame) -> DataFrame:
+    """Each user's mean by (old + new) / 2 in order of (ts, event_id)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = events.filter("value is not null").withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    weight = F.pow(F.lit(0.5), F.col("n") - F.col("k") + F.when(F.col("k") == 1, 0).otherwise(1))
+    return rows.groupBy("user_id").agg(six(F.sum(F.col("value") * weight)).alias("mean"))
+
+
 def trend(events: DataFrame, last: int = 10) -> DataFrame:
     """Slope of the last values of each user over their order, and the direction (over 1 % of the mean)."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

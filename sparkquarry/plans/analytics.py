@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import semver
 from sparkquarry.functions.rules import six
-from sparkquarry.operators import enrich, graph, scan
+from sparkquarry.operators import enrich, graph, reports, scan
 from sparkquarry.operators import timeseries as ts
 from sparkquarry.plans.quality import table
 from sparkquarry.sources import exports, manifests
@@ -216,9 +216,9 @@ def budget_violations(spark, d):
 @query("""WITH p AS (SELECT p_partkey AS package, p_size * 10240::BIGINT AS size FROM part), v AS (
  SELECT package, size, n AS profile, (size / 1024.0::DOUBLE / bw * 1000 + lat) * (1 + 5 * loss) + 3 * (size / 1048576.0::DOUBLE * 10) AS ms FROM p, (VALUES ('3g', 400.0::DOUBLE, 400.0::DOUBLE, 0.02::DOUBLE), ('4g', 1500, 150, 0.005), ('wifi', 5000, 50, 0.001), ('cable', 10000, 20, 0.0005)) v(n, bw, lat, loss)
  UNION ALL SELECT package, size, n, size / 1048576.0::DOUBLE * 10 * (pm + 2.5 * cpu) FROM p, (VALUES ('low', 3.0::DOUBLE, 4.0::DOUBLE), ('mid', 1.5, 2.0), ('high', 1.0, 1.0)) v(n, cpu, pm))
-SELECT package, floor(size * 0.7::DOUBLE)::BIGINT AS min_size, floor(floor(size * 0.7::DOUBLE) * 0.7::DOUBLE)::BIGINT AS gzip_size, profile, round(ms, 6) AS ms FROM v""")
+SELECT package, floor(size * 0.7::DOUBLE)::BIGINT AS min_size, floor(floor(size * 0.7::DOUBLE) * 0.7::DOUBLE)::BIGINT AS gzip_size, profile, round(ms, 4) AS ms FROM v""")
 def load_time_matrix(spark, d):
-    return enrich.load_times(table(spark, d, "part").select(F.col("p_partkey").alias("package"), (F.col("p_size").cast("long") * 10240).alias("size")))
+    return enrich.load_times(table(spark, d, "part").select(F.col("p_partkey").alias("package"), (F.col("p_size").cast("long") * 10240).alias("size"))).withColumn("ms", F.round("ms", 4))
 
 
 # --- scans ------------------------------------------------------------------------------------
@@ -228,12 +228,6 @@ def _any(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-@query("WITH li AS (SELECT trim(unnest(string_split(html, chr(10)))) AS line FROM pages UNION ALL SELECT trim(unnest(string_split(text, chr(10)))) FROM documents), k AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind FROM li WHERE {_any('line', w)}" for k, w in scan.INTEGRATIONS.items()) + ") SELECT kind, count(*) AS n FROM k GROUP BY 1")
-def line_scan_integrations(spark, d):
-    rows = scan.lines(table(spark, d, "pages").select(F.col("html").alias("text")).unionByName(table(spark, d, "documents").select("text")), "text")
-    return scan.integrations(rows).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query("""WITH f AS (SELECT doc_id, regexp_matches(text, '(password|passwd)[ ]*[:=]') AS has_password, regexp_matches(text, 'token[ ]*[:=]') AS has_token, regexp_matches(text, 'AKIA[A-Z0-9]{16}') AS has_key, contains(text, 'process.env') AS has_env FROM documents)
 SELECT *, CASE WHEN has_password OR has_key THEN 'critical' WHEN has_token THEN 'high' WHEN has_env THEN 'medium' ELSE 'low' END AS risk FROM f""")
 def credential_scan(spark, d):
@@ -259,7 +253,7 @@ URL = r"""WITH u AS (SELECT page_id, trim(url) AS url, lower(regexp_extract(trim
 """
 
 
-@query(URL + f"SELECT page_id, scheme, host, CASE WHEN url = '' THEN 'empty' WHEN length(url) > 2048 THEN 'too long' WHEN {_any('url', scan.BAD_URL)} THEN 'malicious' WHEN scheme NOT IN ('https', 'http', 'git', 'ssh') THEN 'scheme' WHEN host = '' THEN 'host' END AS reason FROM u")
+@query(URL + f"SELECT page_id, scheme, host, CASE WHEN url = '' THEN 'empty' WHEN length(url) > 2048 THEN 'too long' WHEN {_any('lower(url)', scan.BAD_URL)} THEN 'malicious' WHEN scheme NOT IN ('https', 'http', 'git', 'ssh') THEN 'scheme' WHEN host = '' THEN 'host' END AS reason FROM u")
 def url_validate(spark, d):
     return scan.url_check(table(spark, d, "pages").select("page_id", "url")).select("page_id", "scheme", "host", "reason")
 
@@ -287,7 +281,7 @@ def context_window(spark, d):
 
 
 @query("SELECT event_type, count(*) AS n, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
-def manifest_parse(spark, d):
+def event_props(spark, d):
     return manifests.props(events(spark, d)).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
@@ -331,17 +325,36 @@ def ring_buffer(spark, d):
     return ts.latest(events(spark, d).select("event_id", "ts", "event_type", "value")).drop("ts")
 
 
-@query("WITH c AS (SELECT count(*) FILTER (quality = 0) AS low, count(*) FILTER (toxic = 1) AS toxic, count(*) AS n FROM labels) SELECT low, toxic, n, CASE WHEN toxic > 20 THEN 'blocked: toxic' WHEN low > 100 THEN 'blocked: low' ELSE 'passed' END AS gate FROM c")
-def image_policy_gate(spark, d):
-    c = table(spark, d, "labels").agg(F.count_if(F.col("quality") == 0).alias("low"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("*").alias("n"))
-    return c.withColumn("gate", F.when(F.col("toxic") > 20, "blocked: toxic").when(F.col("low") > 100, "blocked: low").otherwise("passed"))
+WINDOWS = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2"
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+@query(WINDOWS)
 def pressure_windows(spark, d):
     return stream.windowed(events(spark, d))
 
 
-@query()
+@query(WINDOWS)
 def streaming_pressure(spark, d):
     return stream.run_available(spark, f"{d}/events.parquet")
+
+
+@query("WITH g AS (SELECT user_id, count(*) AS processed, epoch(max(ts)) - epoch(min(ts)) AS elapsed FROM events GROUP BY 1) SELECT user_id, processed, round(coalesce(CASE WHEN elapsed > 0 THEN processed / elapsed END, 0), 9) AS throughput, round(coalesce(CASE WHEN elapsed > 0 THEN greatest(200 - processed, 0) / (processed / elapsed) END, -1), 3)::DOUBLE AS eta_seconds, round(least(1.0, processed / 200), 6)::DOUBLE AS share FROM g")
+def progress_eta(spark, d):
+    return reports.progress(events(spark, d), 200, "user_id")
+
+
+@query("WITH t AS (SELECT event_id AS id, event_type AS kind, ts, CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END::BIGINT AS priority FROM events), a AS (SELECT *, round((epoch(TIMESTAMP '2024-06-01') - epoch(ts)) / 3600, 6) AS age_hours FROM t) SELECT id, kind, priority, age_hours, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, ts, id) AS place FROM a WHERE age_hours > 24")
+def cleanup_queue(spark, d):
+    tasks = events(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "ts", F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1).cast("long").alias("priority"))
+    return reports.cleanup_queue(tasks, "2024-06-01 00:00:00")
+
+
+@query("WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL) SELECT user_id, round(sum(value * pow(0.5::DOUBLE, n - k + CASE WHEN k = 1 THEN 0 ELSE 1 END)), 6) AS mean FROM r GROUP BY 1")
+def halving_mean(spark, d):
+    return ts.halving(events(spark, d))
+
+
+@query("""WITH e AS (SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey)
+SELECT 0::BIGINT AS part, '<node id="' || n || '"/>' AS line FROM (SELECT src AS n FROM e UNION SELECT dst FROM e) UNION ALL SELECT 1, '<edge source="' || src || '" target="' || dst || '"/>' FROM e""")
+def graph_export_graphml(spark, d):
+    return exports.graphml_lines(nation_edges(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions.rules import six
 from sparkquarry.operators import complexity as cx
-from sparkquarry.operators import debt, duplication, testability
+from sparkquarry.operators import debt, duplication, reports, testability
 
 Q, SQL = {}, {}
 
@@ -141,12 +141,12 @@ def dup_exact_clusters(spark, d):
     return duplication.exact_clusters(blocks(spark, d))
 
 
-@query("SELECT md5(array_to_string(regexp_extract_all(text, '[,.;()!?|]'), '')) AS skeleton, count(*) AS n, min(doc_id) AS first_block, max(doc_id) AS last_block FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT md5(array_to_string(regexp_extract_all(text, '\\b(if|else|for|while|function|class|return|var|let|const)\\b|[{}\\[\\]();,.]'), '')) AS skeleton, count(*) AS n, min(doc_id) AS first_block, max(doc_id) AS last_block FROM documents GROUP BY 1 HAVING count(*) > 1")
 def dup_structural_hash(spark, d):
     return duplication.structural_clusters(blocks(spark, d))
 
 
-@query("""WITH s AS (SELECT md5(array_to_string(regexp_extract_all(text, '[,.;()!?|]'), '')) AS skeleton, doc_id, text FROM documents WHERE text IS NOT NULL),
+@query("""WITH s AS (SELECT md5(array_to_string(regexp_extract_all(text, '\\b(if|else|for|while|function|class|return|var|let|const)\\b|[{}\\[\\]();,.]'), '')) AS skeleton, doc_id, text FROM documents WHERE text IS NOT NULL),
 k AS (SELECT skeleton, text, count(*) AS c, min(doc_id) AS lo, max(doc_id) AS hi FROM s GROUP BY 1, 2), g AS (SELECT skeleton, sum(c)::BIGINT AS n, min(lo) AS first_block, max(hi) AS last_block, sum(c * (c - 1) / 2) AS same FROM k GROUP BY 1 HAVING sum(c) > 1),
 p AS (SELECT a.skeleton, sum(a.c * b.c * (1 - levenshtein(a.text, b.text) / greatest(strlen(a.text), strlen(b.text)))) AS unlike FROM k a JOIN k b ON a.skeleton = b.skeleton AND a.text < b.text GROUP BY 1)
 SELECT skeleton, n, first_block, last_block, round((same + coalesce(unlike, 0)) / (n * (n - 1) / 2), 6)::DOUBLE AS similarity FROM g LEFT JOIN p USING (skeleton) WHERE (same + coalesce(unlike, 0)) / (n * (n - 1) / 2) >= 0.85""")
@@ -166,14 +166,24 @@ def dup_file_hotspots(spark, d):
     return duplication.file_hotspots(duplication.members(b, duplication.exact_clusters(b)), b)
 
 
-@query("""WITH s AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda t: t <> '')) AS t FROM documents),
-u AS (SELECT doc_id, source, len(t) AS n, unnest(t) AS tok FROM s),
-p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.source = b.source AND a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT source AS file_path, a, b, round(c / (na + nb - c), 6)::DOUBLE AS jaccard FROM p WHERE 100 * c >= 75 * (na + nb - c)""")
+@query("""WITH s AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda t: t <> ''))) AS t FROM documents WHERE text IS NOT NULL),
+k AS (SELECT t, min(doc_id) AS id, count(*) AS copies, len(t) AS n FROM s WHERE len(t) > 0 GROUP BY t), u AS (SELECT id, copies, n, unnest(t) AS tok FROM k),
+p AS (SELECT a.id AS a, b.id AS b, a.copies AS copies_a, b.copies AS copies_b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.tok = b.tok AND a.id < b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT a, b, copies_a, copies_b, round(c / (na + nb - c), 6)::DOUBLE AS jaccard FROM p WHERE 100 * c >= 75 * (na + nb - c)""")
 def dup_token_jaccard(spark, d):
     return duplication.token_pairs(blocks(spark, d))
 
 
+@query(EXACT + ", c AS (SELECT *, n * lines * 0.9 AS burden FROM cl) SELECT cluster, (2.0 * n)::DOUBLE AS hours, (lines * (n - 1))::BIGINT AS saved_lines, round(0.2 * burden / (2.0 * n), 6)::DOUBLE AS roi, CASE WHEN n_files > 1 THEN 'new_utility_file' ELSE 'same_file' END AS target FROM c WHERE burden > 50")
+def dup_consolidation(spark, d):
+    return duplication.consolidation(duplication.exact_clusters(blocks(spark, d)))
+
+
+@query(EXACT + ", c AS (SELECT count(*) AS n_clusters, sum(n)::BIGINT AS n_instances, round(sum(round(n * lines * 0.9, 6)) / 100, 6)::DOUBLE AS debt FROM cl) SELECT *, round(n_instances / n_clusters, 6) AS multiplier, CASE WHEN debt > 50 THEN 'critical' WHEN debt > 30 THEN 'poor' WHEN debt > 15 THEN 'fair' ELSE 'good' END AS health FROM c")
+def dup_impact(spark, d):
+    return duplication.impact(duplication.exact_clusters(blocks(spark, d)))
+
+
 def items(spark, d):
     f = functions(spark, d)
     files = f.groupBy("file_path").agg(F.sum("external").alias("imports"), F.sum("internal").alias("exports"), F.count("*").alias("functions"), F.count_distinct("class_name").alias("classes"))
@@ -243,14 +253,44 @@ def priority_matrix(spark, d):
     return testability.priority_matrix(testability.testability(cx.complexity(functions(spark, d)))).select("name", "impact", "roi", "band")
 
 
-@query(TEST + """, a AS (SELECT greatest(0.0, 100 - 5 * avg(cyclomatic)) AS complexity, avg(score) AS testability FROM ts), b AS (SELECT greatest(0.0, 100 * (1 - 2.0 * coalesce(sum(n - 1), 0) / (SELECT count(*) FROM documents))) AS duplication FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(regexp_replace(text, '[ \\t]', '', 'g')) HAVING count(*) > 1))
-SELECT round(complexity, 6) AS complexity, round(duplication, 6)::DOUBLE AS duplication, round(testability, 6) AS testability, round((0.35 * complexity + 0.3 * duplication + 0.35 * testability)::DOUBLE, 6) AS overall, CASE WHEN 0.35 * complexity + 0.3 * duplication + 0.35 * testability >= 90 THEN 'excellent' WHEN 0.35 * complexity + 0.3 * duplication + 0.35 * testability >= 75 THEN 'good' WHEN 0.35 * complexity + 0.3 * duplication + 0.35 * testability >= 60 THEN 'fair' ELSE 'poor' END AS grade FROM a, b""")
+@query(ITEMS + HALSTEAD[len(FN):].rstrip() + TEST[len(FN):].rstrip() + """, c AS (SELECT
+  (SELECT greatest(0.0, 100 - 5 * avg(cyclomatic)) FROM cx) AS complexity, (SELECT greatest(0.0, 100 * (1 - 2.0 * coalesce(sum(n - 1), 0) / (SELECT count(*) FROM documents))) FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(regexp_replace(text, '[ \\t]', '', 'g')) HAVING count(*) > 1)) AS duplication,
+  (SELECT 100 - least(5 * avg(score), 100.0) FROM sc) AS debt, (SELECT avg(score) FROM ts) AS coverage, (SELECT 100.0 * (1 - (SELECT count(DISTINCT name) FROM sc WHERE category = 'performance') / count(*)) FROM fn) AS performance, (SELECT sum(mi * lines) / sum(lines) FROM h) AS maintainability
+), o AS (SELECT *, 0.20 * complexity + 0.15 * duplication + 0.25 * debt + 0.20 * coverage + 0.10 * performance + 0.10 * maintainability AS overall FROM c)
+SELECT round(complexity, 4) AS complexity, round(duplication, 4)::DOUBLE AS duplication, round(debt, 4) AS debt, round(coverage, 4) AS coverage, round(performance, 4)::DOUBLE AS performance, round(maintainability, 4) AS maintainability, round(overall, 4) AS overall, CASE WHEN overall >= 90 THEN 'excellent' WHEN overall >= 75 THEN 'good' WHEN overall >= 60 THEN 'fair' ELSE 'poor' END AS grade FROM o""")
 def quality_overall(spark, d):
-    from sparkquarry.functions.rules import at_least
-
+    """Six components and their weighted sum. Performance is the share of functions without performance items."""
     scored = testability.testability(cx.complexity(functions(spark, d)))
-    a = scored.agg(F.greatest(F.lit(0.0), 100 - 5 * F.avg("cyclomatic")).alias("complexity"), F.avg("score").alias("testability"), F.count("*").alias("all"))
-    b = duplication.exact_clusters(blocks(spark, d)).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
-    one = a.join(F.broadcast(b)).withColumn("duplication", F.greatest(F.lit(0.0), 100 * (1 - 2.0 * F.col("extra") / F.col("all"))))  # one row each
-    total = 0.35 * F.col("complexity") + 0.3 * F.col("duplication") + 0.35 * F.col("testability")
-    return one.select(six(F.col("complexity")).alias("complexity"), six(F.col("duplication")).alias("duplication"), six(F.col("testability")).alias("testability"), six(total).alias("overall"), at_least(total, (90, "excellent"), (75, "good"), (60, "fair"), default="poor").alias("grade"))
+    found = items(spark, d)
+    parts = (
+        scored.agg(F.greatest(F.lit(0.0), 100 - 5 * F.avg("cyclomatic")).alias("complexity"), F.avg("score").alias("coverage"), F.count("*").alias("all")), duplication.exact_clusters(blocks(spark, d)).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra")),
+        found.agg((100 - F.least(5 * F.avg("score"), F.lit(100.0))).alias("debt"), F.count_distinct(F.when(F.col("category") == "performance", F.col("name"))).alias("slow")), _halstead(spark, d).agg((F.sum(F.col("mi") * F.col("lines")) / F.sum("lines")).alias("maintainability")),
+    )
+    one = parts[0]
+    for part in parts[1:]:
+        one = one.join(F.broadcast(part))  # one row each
+    one = one.withColumn("duplication", F.greatest(F.lit(0.0), 100 * (1 - 2.0 * F.col("extra") / F.col("all")))).withColumn("performance", 100 * (1 - F.col("slow") / F.col("all")))
+    return reports.overall(one)
+
+
+def _recommended(spark, d):
+    return reports.recommendations(duplication.exact_clusters(blocks(spark, d)), testability.testability(cx.complexity(functions(spark, d))), _halstead(spark, d))
+
+
+RECS = HALSTEAD.rstrip() + TEST[len(FN):].rstrip() + ", " + EXACT[len("WITH "):].rstrip() + """, r0 AS (
+  SELECT 'duplication' AS kind, cluster AS target, least(24.0, greatest(1.0, 0.1 * lines * greatest(1.0, 0.3 * n)))::DOUBLE AS effort, (lines * n)::DOUBLE AS benefit FROM cl WHERE n * lines * 0.9 > 50
+  UNION ALL SELECT 'testing', name, least(32.0, CASE WHEN score < 40 THEN 8 WHEN score < 60 THEN 4 ELSE 2 END * (1 + 0.5 * mocks))::DOUBLE, (2 * (100 - score))::DOUBLE FROM ts WHERE score < 65
+  UNION ALL SELECT 'maintainability', name, least(20.0, greatest(2.0, 0.3 * (80 - mi)))::DOUBLE, (1.2 * (100 - mi))::DOUBLE FROM h WHERE mi < 40
+), r1 AS (SELECT kind, target, round(effort * 4) / 4 AS effort, round(benefit, 6) AS benefit FROM r0), r2 AS (SELECT *, round(benefit / effort, 2) AS roi FROM r1
+), recs AS (SELECT *, CASE WHEN roi >= 40 THEN 'critical' WHEN roi >= 20 THEN 'high' WHEN roi >= 10 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN effort >= 16 THEN 'high' WHEN effort >= 4 THEN 'medium' ELSE 'low' END AS effort_band FROM r2)"""
+
+
+@query(RECS + " SELECT * FROM recs ORDER BY roi DESC, benefit DESC, kind, target LIMIT 20")
+def quality_recommendations(spark, d):
+    """The top 20, a limit of the report itself."""
+    return reports.ranked(_recommended(spark, d))
+
+
+@query(RECS + ", g AS (SELECT kind, count(*) AS n, round(sum(effort), 6) AS hours, avg(roi) AS r FROM recs GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY r DESC, kind) AS phase, sum(ceil(hours / 40)) OVER (ORDER BY r DESC, kind) AS until_week FROM g) SELECT kind, n, hours, phase, until_week::BIGINT AS until_week, round(0.7 * hours, 6)::DOUBLE AS work_hours, round(0.2 * hours, 6)::DOUBLE AS test_hours, round(0.1 * hours, 6)::DOUBLE AS review_hours, greatest(2, ceil(hours / (40.0 * ceil(hours / 40))))::BIGINT AS team, round(100.0 * hours, 6)::DOUBLE AS cost FROM o")
+def quality_roadmap(spark, d):
+    return reports.roadmap(_recommended(spark, d))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkquarry.plans import analytics, quality
+from sparkquarry.plans import analytics, packages, quality, repo
 
-QUERIES = quality.Q | analytics.Q
-SQL = quality.SQL | analytics.SQL
+QUERIES = quality.Q | analytics.Q | repo.Q | packages.Q
+SQL = quality.SQL | analytics.SQL | repo.SQL | packages.SQL
 FLAGSHIP = "dup_exact_clusters"

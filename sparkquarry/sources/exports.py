@@ -24,3 +24,15 @@ def node_link(edges: DataFrame) -> DataFrame:
 def markdown(rows: DataFrame) -> DataFrame:
     """Table rows."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in rows.columns)), F.lit(" |")).alias("line"))
+
+
+def graphml_lines(edges: DataFrame) -> DataFrame:
+    """GraphML elements of nodes and edges as rows (part 0 and 1, to be written in order between head and foot); names are escaped."""
+    def escaped(c):
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(char), F.lit(name))
+        return c
+
+    e = edges.select(escaped(F.col("src").cast("string")).alias("src"), escaped(F.col("dst").cast("string")).alias("dst"))
+    nodes = e.select("src").union(e.select("dst")).distinct().select(F.lit(0).cast("long").alias("part"), F.concat(F.lit('<node id="'), F.col("src"), F.lit('"/>')).alias("line"))
+    return nodes.unionByName(e.select(F.lit(1).cast("long").alias("part"), F.concat(F.lit('<edge source="'), F.col("src"), F.lit('" target="'), F.col("dst"), F.lit('"/>')).alias("line")))

@@ -30,13 +30,6 @@ def declared(parsed: DataFrame) -> DataFrame:
     return rows.groupBy("name", "package").agg(F.max_by(F.struct("range", "kind", "weight"), "order").alias("d")).select("name", "package", "d.range", "d.kind", "d.weight")
 
 
-def lock_v2(texts: DataFrame, column: str = "content") -> DataFrame:
-    """package, version, dev, requires of an npm lock of version 2: keys are node_modules paths, the root is skipped."""
-    entry = f"map<string,struct<version:string,dev:boolean,optional:boolean,dependencies:{MAP}>>"
-    rows = texts.select(F.explode(F.from_json(column, f"packages {entry}")["packages"]).alias("path", "e")).filter("path <> ''")
-    return rows.select(F.regexp_replace("path", r"^.*node_modules/", "").alias("package"), F.col("e.version").alias("version"), F.coalesce("e.dev", F.lit(False)).alias("dev"), F.col("e.dependencies").alias("requires"))
-
-
 def props(events: DataFrame) -> DataFrame:
     """The numeric field k of events.props."""
     return events.withColumn("k", F.from_json("props", "k long")["k"])

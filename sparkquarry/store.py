@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; where none is named (local tests), a temporary one is set as checkpoint folder."""
+    """The shared folder. Where none is named, one is made for a session that runs in this process alone; on a cluster that is an error, as executors would not see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="sparkquarry-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import semver
-from sparkquarry.operators import complexity, duplication, enrich, graph, scan
+from sparkquarry.operators import complexity, debt, duplication, enrich, graph, packages, scan, source
 from sparkquarry.sources import manifests
 from sparkquarry.store import Shelf
 
@@ -15,7 +15,7 @@ def test_cyclomatic(spark):
 
 
 def test_ranges(spark):
-    rows = [("1.0.0", "1.0.0", "exact"), ("1.5.0", ">1.0.0", "range"), ("0.5.0", ">1.0.0", "none"), ("1.2.3", "^1.2.0", "range"), ("2.0.0", "^1.2.0", "none"), ("1.2.5", "~1.2.0", "range"), ("1.5.3", "1.*", "wildcard"), ("2.0.0", "1.0.0", "none")]
+    rows = [("3.2.1", "3.2.1", "exact"), ("4.0.0", ">3.9.9", "range"), ("3.9.9", ">3.9.9", "none"), ("3.2.1", ">=3.2.1", "range"), ("0.4.7", "^0.4.2", "range"), ("5.0.0", "^4.8.0", "none"), ("2.6.9", "~2.6.1", "range"), ("2.7.0", "~2.6.1", "none"), ("10.4.2", "10.*", "wildcard"), ("1.9.0", "<1.10.0", "range"), ("6.0.0", "7.0.0", "none")]
     df = spark.createDataFrame(rows, "v string, r string, want string").withColumn("got", semver.matches(F.col("v"), F.col("r")))
     assert [r.got for r in df.collect()] == [x[2] for x in rows]
 
@@ -26,8 +26,8 @@ def test_prerelease_order(spark):
 
 
 def test_advisories(spark):
-    p = spark.createDataFrame([("lodash", "4.17.20"), ("left", "1.0.0")], "package string, version string")
-    a = spark.createDataFrame([("A1", "lodash", "<4.17.21", 9.0)], "id string, package string, affected string, cvss double")
+    p = spark.createDataFrame([("parser", "2.3.9"), ("left", "1.0.0")], "package string, version string")
+    a = spark.createDataFrame([("A1", "parser", "<2.4.0", 9.0)], "id string, package string, affected string, cvss double")
     (r,) = enrich.match_advisories(p, a).collect()
     assert (r.match, r.confidence, r.severity, r.priority) == ("range", 0.8, "critical", "urgent")
 
@@ -47,25 +47,59 @@ def test_depth_of_long_chains(spark):
     assert got == {i: i for i in range(71)} | {100: 0, 101: 0}
 
 
-def test_imports(spark):
-    src = "import { a, b } from './utils'\nimport * as x from 'react'\nimport d from '../config/app.js'\nimport 'side.css'\nconst q = require('lodash')"
-    files = spark.createDataFrame([("/src/components/A.js", src), ("/src/components/utils.js", ""), ("/src/config/app.js", "")], "path string, content string")
-    rows = scan.imports(files)
-    assert [(r.source, r.import_type, r.is_external) for r in rows.orderBy("line_no").collect()] == [("./utils", "named", False), ("react", "namespace", True), ("../config/app.js", "default", False), ("side.css", "side-effect", True), ("lodash", "default", True)]
-    assert {r.target for r in scan.resolved(rows, files).collect()} == {"/src/components/utils.js", "/src/config/app.js"}
+def test_resolution_of_any_depth(spark):
+    src = "import a from '../../z'\nimport b from './../sib.v2/deep'\nconst c = import('./lazy')\nimport q from '/abs'\nimport e from '../../../../../top'\nimport gone from './gone'"
+    files = spark.createDataFrame([("/a/b/c/x.js", src), ("/a/z.ts", ""), ("/a/b/sib.v2/deep/index.js", ""), ("/abs.jsx", ""), ("/top.js", "")], "path string, content string")
+    got = {r.source: r.target for r in source.resolved(source.imports(files).select("path", "source"), files).collect()}
+    assert got == {"../../z": "/a/z.ts", "./../sib.v2/deep": "/a/b/sib.v2/deep/index.js", "/abs": "/abs.jsx", "../../../../../top": "/top.js"}
+    assert ("import()", "./lazy") in {(r.how, r.source) for r in source.loads(files).collect()}
+
+
+def test_functions_end_where_their_braces_close(spark):
+    text = "export async function f(a, b = {x: 1}, c: T) {\n  if (a) {\n  }\n}\nconst g = (x) => x;\nconst open = function() {\n  y\n"
+    rows = source.functions(spark.createDataFrame([("p", text), ("q", ""), ("r", None)], "path string, content string")).orderBy("start_line").collect()
+    assert [(r.name, r.params, r.is_async, r.is_exported, r.start_line, r.end_line) for r in rows] == [("f", ["a", "b", "c"], True, True, 1, 4), ("g", ["x"], False, False, 5, 5), ("open", [], False, False, 6, 6)]
+
+
+def test_cycles_of_any_length(spark):
+    ring = spark.createDataFrame([(k, (k + 1) % 12) for k in range(12)] + [(50, 51), (51, 50), (51, 3), (9, 60)], "src long, dst long")
+    got = sorted((tuple(r.path), r.severity) for r in graph.shortest_cycles(ring, Shelf(spark, "t")).collect())
+    assert got == [(tuple(range(12)), "critical"), ((50, 51), "medium")]
+    assert graph.shortest_cycles(ring.filter("src = 9"), Shelf(spark, "t")).count() == 0
+
+
+def test_tokens_pair_over_all_files(spark):
+    rows = [(1, "f", "a b c d"), (2, "g", "a b c d"), (3, "g", "a b c x"), (4, "h", "a  b c\nd e"), (5, "h", None), (6, "h", " "), (7, "k", "q r")]
+    out = duplication.token_pairs(spark.createDataFrame(rows, "block_id long, file_path string, content string")).collect()
+    assert [(r.a, r.b, r.copies_a, r.copies_b, r.jaccard) for r in out] == [(1, 4, 2, 1, 0.8)]
+
+
+def test_urls_with_bad_words(spark):
+    rows = [(1, "JavaScript:alert(1)"), (2, "https://x.org/a;b`c"), (3, "ftp://x.org"), (4, "https://x.org/${y}"), (5, "https://x.org/ok"), (6, None)]
+    got = {r.id: r.reason for r in scan.url_check(spark.createDataFrame(rows, "id long, url string")).collect()}
+    assert got == {1: "malicious", 2: None, 3: "malicious", 4: "malicious", 5: None, 6: None}
+
+
+def test_debt_depends_on_the_path(spark):
+    rows = [(p, "f", 60, 0, False, "low", 1.0) for p in ("/x/service/a.js", "/x/component/b.js", "/x/util/c.js", "/x/d.js", None)]
+    df = spark.createDataFrame(rows, "file_path string, name string, lines long, params long, is_async boolean, level string, weighted double")
+    got = {r.file_path: r.change_frequency for r in debt.scored_items(debt.function_items(df)).collect()}
+    assert got == {"/x/service/a.js": 0.6, "/x/component/b.js": 0.5, "/x/util/c.js": 0.2, "/x/d.js": 0.3, None: 0.3}
+    classes = spark.createDataFrame([("f", "A", 55, 10), ("f", "B", 16, 10), ("f", "C", 1, 800), ("f", "D", 1, 1)], "file_path string, name string, methods long, lines long")
+    assert sorted((r.name, r.item, r.severity) for r in debt.class_items(classes).collect()) == [("A", "large_class", "high"), ("A", "too_many_methods", "medium"), ("B", "too_many_methods", "medium"), ("C", "large_class", "medium")]
 
 
 def test_manifest(spark):
     text = '{"name": "app", "dependencies": {"a": "^1.0.0", "b": "1"}, "devDependencies": {"b": "2"}}'
     rows = manifests.declared(manifests.manifests(spark.createDataFrame([(text,), ("broken",)], "content string")))
     assert sorted((r.package, r["range"], r.kind, r.weight) for r in rows.collect()) == [("a", "^1.0.0", "dependencies", 1.0), ("b", "2", "devDependencies", 0.5)]
-    lock = '{"packages": {"": {"version": "0"}, "node_modules/jest": {"version": "28.1.3", "dev": true}}}'
-    assert [(r.package, r.version, r.dev) for r in manifests.lock_v2(spark.createDataFrame([(lock,)], "content string")).collect()] == [("jest", "28.1.3", True)]
+    lock = '{"packages": {"": {"version": "0"}, "node_modules/runner": {"version": "5.0.2", "dev": true}}}'
+    assert [(r.package, r.version, r.dev) for r in packages.lock_v2(spark.createDataFrame([(lock,)], "content string")).collect()] == [("runner", "5.0.2", True)]
 
 
 def test_structural_clusters_need_similar_contents(spark):
     rows = [(1, "unrelated words here"), (2, "x"), (3, None), (4, "one two three four."), (5, "one two three five."), (6, "one two three four."), (7, "é é é é é é é é é é, a"), (8, "é é é é é é é é é é, b"), (9, "same; same"), (10, "same; same")]
-    rows += [(100 + i, "a (b) " + chr(97 + i // 26) + chr(97 + i % 26)) for i in range(150)] + [(500 + i, f"long common text of a large cluster ! {i:04d}") for i in range(150)]
+    rows += [(100 + i, "a (b) " + chr(97 + i // 26) + chr(97 + i % 26)) for i in range(150)] + [(500 + i, f"long common text of a large cluster ; {i:04d} ;") for i in range(150)]
     df = spark.createDataFrame([(i, "f", t) for i, t in rows], "block_id long, file_path string, content string")
 
     def distance(a, b):
@@ -79,7 +113,7 @@ def test_structural_clusters_need_similar_contents(spark):
     groups = {}
     for i, t in rows:
         if t is not None:
-            groups.setdefault("".join(c for c in t if c in ",.;()!?|"), []).append((i, t.encode()))
+            groups.setdefault("".join(c for c in t if c in "{}[]();,."), []).append((i, t.encode()))
     want = set()
     for members in groups.values():
         alike = [1 - distance(a, b) / max(len(a), len(b)) for k, (_, a) in enumerate(members) for _, b in members[:k]]

@@ -310,9 +310,9 @@ def _search(members: DataFrame, labels: DataFrame, reps: DataFrame, shelf: Shelf
 def _in_blocks(rows: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, shelf: Shelf) -> DataFrame | None:
     """Links (src, dst) among the classes of each large node (node, cls).
 
-    The classes of a node's largest component are not compared with each other; they are dealt over
-    blocks, and meet the blocks of the other classes; of these every two blocks meet. A block holds
-    BLOCK classes or BLOCK_SHINGLES shingles.
+    A block holds BLOCK classes or BLOCK_SHINGLES shingles; a node that fits is one block. Of larger
+    ones, the classes of the largest component are not compared with each other; they are dealt over
+    blocks, and meet the blocks of the other classes; of these every two blocks meet.
     """
     rows = shelf.put("dense", rows)
     if rows.isEmpty():
@@ -321,8 +321,10 @@ def _in_blocks(rows: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFr
     per_label = rows.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
     main = per_label.groupBy("node").agg(F.max(F.struct("c", "label", "shingles")).alias("main"), F.sum("c").alias("all_c"), F.sum("shingles").alias("all_s")).filter("main.c < all_c")
     parts = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES, F.lit(1.0)))
-    main = main.select("node", F.col("main.label").alias("main"), parts(F.col("main.c"), F.col("main.shingles")).alias("mains"), parts(F.col("all_c") - F.col("main.c"), F.col("all_s") - F.col("main.shingles")).alias("others"))
-    inside = F.col("label") == F.col("main")
+    fits = parts(F.col("all_c"), F.col("all_s")) == 1
+    main = main.withColumn("main", F.when(fits, F.lit(None)).otherwise(F.col("main")))
+    main = main.select("node", F.col("main.label").alias("main"), F.when(F.col("main").isNull(), 0).otherwise(parts(F.col("main.c"), F.col("main.shingles"))).alias("mains"), F.when(F.col("main").isNull(), 1).otherwise(parts(F.col("all_c") - F.col("main.c"), F.col("all_s") - F.col("main.shingles"))).alias("others"))
+    inside = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
     dealt = rows.join(main, "node").withColumn("own", F.pmod(F.xxhash64("cls"), F.when(inside, F.col("mains")).otherwise(F.col("others"))))
     # Blocks of other classes have the numbers from 0, those of the main component the negative ones.
     many = F.when(inside, F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))

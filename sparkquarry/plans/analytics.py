@@ -216,9 +216,9 @@ def budget_violations(spark, d):
 @query("""WITH p AS (SELECT p_partkey AS package, p_size * 10240::BIGINT AS size FROM part), v AS (
  SELECT package, size, n AS profile, (size / 1024.0::DOUBLE / bw * 1000 + lat) * (1 + 5 * loss) + 3 * (size / 1048576.0::DOUBLE * 10) AS ms FROM p, (VALUES ('3g', 400.0::DOUBLE, 400.0::DOUBLE, 0.02::DOUBLE), ('4g', 1500, 150, 0.005), ('wifi', 5000, 50, 0.001), ('cable', 10000, 20, 0.0005)) v(n, bw, lat, loss)
  UNION ALL SELECT package, size, n, size / 1048576.0::DOUBLE * 10 * (pm + 2.5 * cpu) FROM p, (VALUES ('low', 3.0::DOUBLE, 4.0::DOUBLE), ('mid', 1.5, 2.0), ('high', 1.0, 1.0)) v(n, cpu, pm))
-SELECT package, floor(size * 0.7::DOUBLE)::BIGINT AS min_size, floor(floor(size * 0.7::DOUBLE) * 0.7::DOUBLE)::BIGINT AS gzip_size, profile, round(ms, 4) AS ms FROM v""")
+SELECT package, floor(size * 0.7::DOUBLE)::BIGINT AS min_size, floor(floor(size * 0.7::DOUBLE) * 0.7::DOUBLE)::BIGINT AS gzip_size, profile, round(ms + 1e-7, 4)::DOUBLE AS ms FROM v""")
 def load_time_matrix(spark, d):
-    return enrich.load_times(table(spark, d, "part").select(F.col("p_partkey").alias("package"), (F.col("p_size").cast("long") * 10240).alias("size"))).withColumn("ms", F.round("ms", 4))
+    return enrich.load_times(table(spark, d, "part").select(F.col("p_partkey").alias("package"), (F.col("p_size").cast("long") * 10240).alias("size"))).withColumn("ms", F.round(F.col("ms") + 1e-7, 4))
 
 
 # --- scans ------------------------------------------------------------------------------------

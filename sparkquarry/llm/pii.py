@@ -113,13 +113,16 @@ def written(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Letters of made-up prose, as often as they shall occur.
+_PROSE = "eeeeettttaaaaooooiiiinnnnssshhhrrrddllluuccmmffwwyyppvbbggkkxqjzéèàçêüñóäößíá"
+
+
 def labelled_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
     """A made-up sentence and its spans (kind, start, end)."""
     pick = lambda *a: a[rng.integers(len(a))]
-    letters = list("eeeeettttaaaaooooiiiinnnnssshhhrrrddllluuccmmffwwyyppvbbggkkxqjzéèàçêüñóäößíá")
 
     def word() -> str:
-        w = "".join(rng.choice(letters, rng.integers(1, 13)))
+        w = "".join([_PROSE[i] for i in rng.integers(0, len(_PROSE), rng.integers(1, 13)).tolist()])
         return w.capitalize() if (r := rng.random()) < 0.12 else w.upper() if r < 0.16 else w
 
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))

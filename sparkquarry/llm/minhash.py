@@ -42,7 +42,7 @@ LOCAL = 8192
 #: Mean similarity from which a node is compared in blocks; classes and shingles of a block.
 DENSE, BLOCK, BLOCK_SHINGLES = 0.4, 1024, 1 << 20
 #: Shingles of one matrix product in a block.
-SLICE_SHINGLES = 4096
+SLICE_SHINGLES = 1024
 #: Pairs joined with one copy of a hot set.
 HOT = 256
 
@@ -148,12 +148,12 @@ def _shared(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     owner, column = owner[on], number[inverse[on]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((m, m), np.float32)
+    out, part = np.zeros((m, m), np.float32), np.empty((m, m), np.float32)
     for a in range(0, int(number[-1]) + 1 if len(number) else 0, SLICE_SHINGLES):
         i, j = np.searchsorted(column, (a, a + SLICE_SHINGLES))
         x = np.zeros((m, SLICE_SHINGLES), np.float32)
         x[owner[i:j], column[i:j] - a] = 1
-        out += x @ x.T
+        out += np.matmul(x, x.T, out=part)
     return out
 
 
@@ -182,9 +182,11 @@ def _blocks(batches):
             rows = group.slice(g, 1).flatten()
             cls, label, n, side = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("cls", "label", "n", "side"))
             sets = rows.field("shingle_set")
-            shared = _shared(sets.values.to_numpy(), sets.offsets.to_numpy()).astype(np.int64)
-            link = 100 * shared >= PERCENT * (n[:, None] + n[None] - shared)
-            link &= (label[:, None] != label[None]) & ((side[:, None] != side[None]) | (side[:, None] == 2))
+            shared = _shared(sets.values.to_numpy(), sets.offsets.to_numpy())
+            link = np.empty(shared.shape, bool)
+            for i in range(len(cls)):
+                both = shared[i].astype(np.int64)
+                link[i] = (100 * both >= PERCENT * (n[i] + n - both)) & (label != label[i]) & ((side != side[i]) | (side[i] == 2))
             a, b = _forest(link)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(cls[a].astype(np.int64)), pa.array(cls[b].astype(np.int64))], names=["src", "dst"])
@@ -193,8 +195,8 @@ def _blocks(batches):
 def _alike(at: np.ndarray, other: np.ndarray, label, n, low) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (at[k], other[k]) those of different components that the minwise tokens and the set sizes let through."""
     out = []
-    for k in range(0, len(at), 1 << 16):
-        i, j = at[k : k + (1 << 16)], other[k : k + (1 << 16)]
+    for k in range(0, len(at), 1 << 14):
+        i, j = at[k : k + (1 << 14)], other[k : k + (1 << 14)]
         on = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
         i, j = i[on], j[on]
         on = (low[i] == low[j]).sum(1) >= LEAST_EQUAL

@@ -64,7 +64,8 @@ def counts(buf: np.ndarray, offs: np.ndarray, word: np.ndarray) -> Counts:
         coded = w.dictionary_encode()
         size = max(1, len(coded.dictionary))
         key = np.repeat(np.arange(len(each)), each) * size + coded.indices.to_numpy(zero_copy_only=False)
-        key, n = np.unique(key, return_counts=True)
+        key.sort()
+        key, n = runs(key)
         found.append(Counts(key // size, key % size, n, coded.dictionary, totals))
     if len(found) == 1:
         return found[0]
@@ -73,10 +74,15 @@ def counts(buf: np.ndarray, offs: np.ndarray, word: np.ndarray) -> Counts:
     return Counts(np.zeros(size, np.int64), np.arange(size), together["n_sum"].to_numpy(), together["term"].combine_chunks(), totals)
 
 
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each occurs."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key)))
+
+
 def grouped(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, how often each occurs, and the sums of the values over each."""
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sums = [np.add.reduceat(v[order], first) if len(first) else np.zeros(0, np.int64) for v in values]
-    return key[first], np.diff(np.append(first, len(key))), *sums
+    distinct, n = runs(key[order])
+    first = np.cumsum(n) - n
+    return distinct, n, *(np.add.reduceat(v[order], first) if len(first) else np.zeros(0, np.int64) for v in values)

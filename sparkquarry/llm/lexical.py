@@ -32,7 +32,7 @@ from sparkquarry.llm import kernels as K
 from sparkquarry.llm import terms as T
 from sparkquarry.store import Shelf
 
-SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 15
+SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 15
 TOP = 50
 #: Bytes of query texts that are searched for in one pass over the index; states that are opened together; queries walked together.
 PART_BYTES, STEP, TOGETHER = 4 << 20, 2048, 8

@@ -172,8 +172,8 @@ def budget(packages: DataFrame, total_kb: int, initial_kb: int) -> DataFrame:
 
 
 def cvss_of(vector: Column) -> Column:
-    """Network attacks of low complexity count 7.5, others 5.0."""
-    return F.when(vector.contains("AV:N") & vector.contains("AC:L"), 7.5).otherwise(5.0)
+    """Of a vector that names its CVSS version: network attacks of low complexity count 7.5, others 5.0. Anything else, null too, counts 0."""
+    return F.when(~F.coalesce(vector.contains("CVSS:"), F.lit(False)), 0.0).when(vector.contains("AV:N") & vector.contains("AC:L"), 7.5).otherwise(5.0)
 
 
 def bytes_of(size: Column) -> Column:

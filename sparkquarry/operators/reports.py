@@ -29,11 +29,33 @@ def recommendations(clusters: DataFrame, tested: DataFrame, measured: DataFrame)
         row(tested.filter("score < 65"), "testing", F.col("name"), F.least(F.lit(32.0), base * (1 + 0.5 * F.col("mocks"))), 2 * (100 - F.col("score"))),
         row(measured.filter("mi < 40"), "maintainability", F.col("name"), clamp(0.3 * (80 - F.col("mi")), 2.0, 20.0), 1.2 * (100 - F.col("mi"))),
     ])
+    return _weighed(rows)
+
+
+def _weighed(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("effort", F.round(F.col("effort") * 4) / 4).withColumn("benefit", six(F.col("benefit")))
     out = out.withColumn("roi", F.round(F.col("benefit") / F.col("effort"), 2))
     return out.withColumn("priority", at_least(F.col("roi"), (40, "critical"), (20, "high"), (10, "medium"), default="low")).withColumn("effort_band", at_least(F.col("effort"), (16, "high"), (4, "medium"), default="low"))
 
 
+# Hours of a performance fix by kind of finding.
+FIX_HOURS = {"nested_loops": 6.0, "sync_in_async": 6.0, "memory_leak_risk": 8.0}
+
+
+def six_sources(clusters: DataFrame, tested: DataFrame, measured: DataFrame, scored: DataFrame, files: DataFrame, items: DataFrame, worst: int = 10) -> DataFrame:
+    """recommendations() and those of the other three sources: functions of a cyclomatic complexity above 15; the `worst` files by debt whose health (100 less the debt score) is 60 or below; performance items of high or critical severity."""
+    row = lambda df, kind, target, effort, benefit: df.select(F.lit(kind).alias("kind"), target.alias("target"), effort.cast("double").alias("effort"), benefit.cast("double").alias("benefit"))
+    health = F.greatest(F.lit(0.0), 100 - F.col("score"))
+    indebted = files.withColumn("health", health).filter("health <= 60").orderBy("health", "file_path").limit(worst)
+    hours = first_of(*((F.col("item") == k, h) for k, h in FIX_HOURS.items()), default=5.0)
+    rows = reduce(DataFrame.unionByName, [
+        row(scored.filter("cyclomatic > 15"), "complexity", F.col("name"), clamp((F.col("cyclomatic") - 10) * 0.5 * F.greatest(F.lit(1.0), F.col("lines") / 100), 2.0, 40.0), F.col("cyclomatic")),
+        row(indebted, "debt", F.col("file_path"), F.greatest(F.col("hours"), F.lit(0.25)), 100 - F.col("health")),
+        row(items.filter((F.col("category") == "performance") & F.col("severity").isin("high", "critical")), "performance", F.concat_ws("/", "name", "item"), F.least(F.lit(24.0), hours * (1 + F.col("impact") / 100)), 1.5 * F.col("impact")),
+    ])
+    return recommendations(clusters, tested, measured).unionByName(_weighed(rows))
+
+
 def ranked(rows: DataFrame, top: int = 20) -> DataFrame:
     return rows.orderBy(F.desc("roi"), F.desc("benefit"), "kind", "target").limit(top)
 

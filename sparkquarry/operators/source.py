@@ -6,10 +6,14 @@ line counts. A function ends on the line where its braces close (its own line if
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions.rules import above, contains_any, first_of, occurrences, six
+from sparkquarry.operators.components import strong_components
+from sparkquarry.store import Shelf
 
 # Excluded names, extensions, extraction patterns, ladders.
 EXCLUDED = ("node_modules", ".git", ".vscode", "dist", "build", "coverage", ".nyc_output")
@@ -23,6 +27,9 @@ EXPORTS = (("named", r"export\s*\{\s*([^}]+)\s*\}"), ("default", r"export\s+defa
 FUNCTIONS = (r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)", r"(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?function\s*\(([^)]*)\)", r"(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)\s*=>", r"(?:export\s+)?const\s+(\w+)\s*=\s*async\s*\(([^)]*)\)\s*=>")
 CLASS = r"(?:export\s+)?class\s+(\w+)(?:\s+extends\s+(\w+))?"
 VARIABLES = (r"(?:export\s+)?(const|let|var)\s+(\w+)(?:\s*:\s*([^=]+))?\s*=", r"(?:export\s+)?(const|let|var)\s+(\w+)\s*:\s*([^;,\n]+)")
+CHUNK = 1 << 20
+_STEP = np.zeros(256, np.int8)
+_STEP[list(b"([{")], _STEP[list(b")]}")] = 1, -1
 CANDIDATES = ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")
 
 
@@ -101,25 +108,47 @@ def functions(files: DataFrame) -> DataFrame:
     listed = F.filter(F.transform(F.split(_first(FUNCTIONS, 2), ","), lambda x: F.trim(F.regexp_replace(x, "[:=].*$", ""))), lambda x: x != "")
     found = rows.select("path", "line_no", _first(FUNCTIONS, 1).alias("name"), listed.alias("params"), F.col("line").contains("async").alias("is_async"), F.col("line").contains("export").alias("is_exported"), net.alias("net"), F.col("line").contains("{").alias("opens")).filter("name is not null")
     own = found.join(depth, ["path", "line_no"]).withColumn("before", F.col("depth") - F.col("net")).drop("depth")
-    ends = own.filter("opens").select("path", F.col("line_no").alias("start_line"), "before").join(depth, "path").filter("line_no >= start_line and depth <= before").groupBy("path", "start_line").agg(F.min("line_no").alias("closed"))
+    # A line closes each depth from its own up to the one before it; a function ends where its own is closed next.
+    fell = depth.withColumn("above", F.lag("depth").over(Window.partitionBy("path").orderBy("line_no"))).filter("depth < above")
+    marks = fell.select("path", F.explode(F.expr("sequence(depth, above - 1)")).alias("before"), "line_no", F.col("line_no").alias("closed"))
+    starts = own.filter("opens").select("path", "before", "line_no", F.when(F.col("net") <= 0, F.col("line_no")).alias("here"))
+    nearest = F.last("closed", ignorenulls=True).over(Window.partitionBy("path", "before").orderBy(F.desc("line_no"), F.col("closed").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = starts.withColumn("closed", F.lit(None).cast("int")).unionByName(marks.withColumn("here", F.lit(None).cast("int")).withColumn("closed", F.col("closed").cast("int")), allowMissingColumns=True)
+    ends = both.withColumn("next", nearest).filter("closed is null").select("path", F.col("line_no").alias("start_line"), F.coalesce("here", "next").alias("closed"))
     out = own.withColumnRenamed("line_no", "start_line").join(ends, ["path", "start_line"], "left").withColumn("end_line", F.coalesce("closed", "start_line"))
     return out.select("path", "name", "params", "is_async", "is_exported", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
 
 
 def imbalance(files: DataFrame) -> DataFrame:
-    """path, line, col of the first closing bracket without an opening one, else the end of the text where some stay open; balanced files give no row. Kinds of brackets are not told apart."""
-    size = F.length("content")
-    zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("at"), F.lit(0).alias("i"))
-
-    def step(acc, c):
-        opened = acc["open"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)
-        return F.struct(F.when(acc["at"] > 0, acc["open"]).otherwise(opened).alias("open"), F.when((acc["at"] == 0) & (opened < 0), acc["i"] + 1).otherwise(acc["at"]).alias("at"), (acc["i"] + 1).alias("i"))
-
-    walked = files.withColumn("w", F.aggregate(F.split("content", ""), zero, step))
-    at = F.when(F.col("w.at") > 0, F.col("w.at")).when(F.col("w.open") > 0, size)
-    out = walked.withColumn("at", at).filter("at is not null")
-    before = F.substring(F.col("content"), F.lit(1), F.col("at") - 1)
-    return out.select("path", (occurrences(before, "\n") + 1).alias("line"), (F.col("at") - F.length(F.regexp_extract(before, r"(?s)^(.*\n)?", 0))).cast("long").alias("col"), F.when(F.col("w.at") > 0, "unexpected closing").otherwise("never closed").alias("problem"))
+    """path, line, col of the first closing bracket without an opening one, else the end of the text where some stay open; balanced files give no row. Kinds of brackets are not told apart.
+
+    A text goes through in chunks of CHUNK bytes; of each one only the running depth, its lowest point and the lines are kept.
+    """
+
+    def first_fault(text: bytes):
+        depth, at, line, start = 0, 0, 1, 0  # depth, characters, line and its first character before the chunk
+        for a in range(0, len(text), CHUNK):
+            buf = np.frombuffer(text, np.uint8, min(CHUNK, len(text) - a), a)
+            run = depth + np.cumsum(_STEP[buf], dtype=np.int64)
+            chars = at + np.cumsum((buf & 0xC0) != 0x80)  # number of the character from 1
+            low = int(np.argmax(run < 0)) if (run < 0).any() else -1
+            ends = np.flatnonzero(buf == 10)
+            # For an end of text that is a newline, the place is on the line that it ends.
+            stop = low if low >= 0 else len(buf) - 1
+            ends = ends[ends < stop] if low >= 0 or a + len(buf) == len(text) else ends
+            if len(ends):
+                line, start = line + len(ends), int(chars[ends[-1]])
+            if low >= 0:
+                return line, int(chars[low]) - start, "unexpected closing"
+            depth, at = int(run[-1]), int(chars[-1])
+        return (line, at - start, "never closed") if depth > 0 else None
+
+    def run(batches):
+        for batch in batches:
+            found = [(p, *f) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c and (f := first_fault(c.encode()))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else ((),) * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["path", "line", "col", "problem"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, line long, col long, problem string")
 
 
 def context(files: DataFrame, at: DataFrame, radius: int = 2) -> DataFrame:
@@ -213,10 +242,28 @@ def component_map(counts: DataFrame) -> DataFrame:
     return out.select("component", component_type(F.col("first")).alias("type"), component_layer(F.col("first")).alias("layer"), "n_files", "complexity")
 
 
-def structural_score(counts: DataFrame, n_cycles: Column | int, n_unused: int = 0, documented: float = 0.0) -> DataFrame:
-    """100 - 5 for each cycle - 2 for each unused export + 5 if documented above 0.8, and the mean functions and classes of a file."""
-    score = 100 - 5 * (F.lit(n_cycles) if isinstance(n_cycles, int) else n_cycles) - 2 * n_unused + (5 if documented > 0.8 else 0)
-    return counts.agg(six(F.avg("n_functions")).alias("functions_per_file"), six(F.avg("n_classes")).alias("classes_per_file"), F.count("*").alias("n_files")).withColumn("score", score.cast("long"))
+def unused_exports(files: DataFrame) -> DataFrame:
+    """path, export_type, name of exports that no file imports: by name, by a default import, or with all others by a namespace import. Imports that resolve to no file use nothing."""
+    out = exports(files).select("path", "export_type", "name").distinct()
+    found = imports(files)
+    at = resolved(found.select("path", "line_no", "source"), files)
+    used = found.join(at, ["path", "line_no", "source"]).select(F.col("target").alias("path"), "import_type", F.explode_outer("names").alias("name"))
+    named = used.filter("import_type = 'named'").select("path", "name").distinct()
+    whole = used.filter("import_type = 'namespace'").select("path").distinct()
+    default = used.filter("import_type = 'default'").select("path", F.lit("default").alias("export_type")).distinct()
+    return out.join(named, ["path", "name"], "left_anti").join(whole, "path", "left_anti").join(default, ["path", "export_type"], "left_anti").select("path", "export_type", "name")
+
+
+def structural_score(counts: DataFrame, edges: DataFrame, unused: DataFrame, shelf: Shelf, documented: float = 0.0) -> DataFrame:
+    """Mean functions and classes of a file, files, import cycles (components of several files, or a file that imports itself), unused exports, and the score: 100 - 5 for each cycle - 2 for each unused export + 5 if documented above 0.8, from 0 to 100."""
+    inner = shelf.put("inner", edges.filter("not is_external").select("src", "dst"))
+    many = strong_components(inner, shelf).filter("size > 1").select("node", "component")
+    loops = inner.filter("src = dst").select(F.col("src").alias("node")).join(many, "node", "left_anti").select(F.col("node").alias("component"))
+    n_cycles = many.select("component").unionByName(loops).distinct().agg(F.count("*").alias("n_cycles"))
+    means = counts.agg(six(F.avg("n_functions")).alias("functions_per_file"), six(F.avg("n_classes")).alias("classes_per_file"), F.count("*").alias("n_files"))
+    out = means.join(F.broadcast(n_cycles)).join(F.broadcast(unused.agg(F.count("*").alias("n_unused"))))  # one row each
+    score = 100 - 5 * F.col("n_cycles") - 2 * F.col("n_unused") + (5 if documented > 0.8 else 0)
+    return out.withColumn("score", F.greatest(F.least(score, F.lit(100)), F.lit(0)).cast("long"))
 
 
 # Words of function names, impacts and severities of anti-patterns.

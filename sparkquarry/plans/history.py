@@ -49,10 +49,10 @@ def audit_log_links(spark, d):
     return audit.run_available(spark, f"{d}/events.parquet").links()
 
 
-PAYLOADS = """WITH p AS (SELECT user_id, event_id, event_type, try_cast(props AS JSON) AS props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS at FROM events WHERE user_id IS NOT NULL),
+PAYLOADS = """WITH p AS (SELECT user_id, event_id, event_type, try_cast(props AS JSON) AS props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events WHERE user_id IS NOT NULL),
 t AS (SELECT user_id, event_type AS type, count(*) AS n, coalesce(sum(json_extract(props, '$.k')::BIGINT), 0)::BIGINT AS k FROM p GROUP BY 1, 2), b AS (SELECT user_id, sum(n)::BIGINT AS n, list({'type': type, 'n': n, 'k': k} ORDER BY type) AS types FROM t GROUP BY 1),
-pl AS (SELECT user_id, 'full' AS level, at // 100 AS page, to_json({'user': user_id, 'events': list({'id': event_id, 'type': event_type, 'props': props} ORDER BY at)})::VARCHAR AS payload FROM p GROUP BY user_id, at // 100
-UNION ALL SELECT user_id, 'truncated', 0, to_json({'user': user_id, 'events': l, 'more': n - len(l)})::VARCHAR FROM (SELECT user_id, list({'id': event_id, 'type': event_type, 'props': props} ORDER BY at) AS l FROM p WHERE at < 5 GROUP BY 1) JOIN b USING (user_id)
+pl AS (SELECT user_id, 'full' AS level, pos // 100 AS page, to_json({'user': user_id, 'page': pos // 100, 'events': list({'id': event_id, 'type': event_type, 'props': props} ORDER BY pos)})::VARCHAR AS payload FROM p GROUP BY user_id, pos // 100
+UNION ALL SELECT user_id, 'truncated', 0, to_json({'user': user_id, 'events': l, 'more': n - len(l)})::VARCHAR FROM (SELECT user_id, list({'id': event_id, 'type': event_type, 'props': props} ORDER BY pos) AS l FROM p WHERE pos < 5 GROUP BY 1) JOIN b USING (user_id)
 UNION ALL SELECT user_id, 'summary', 0, to_json({'user': user_id, 'n': n, 'types': types})::VARCHAR FROM b UNION ALL SELECT user_id, 'dropped', 0, to_json({'user': user_id, 'n': n})::VARCHAR FROM b),
 py AS (SELECT *, octet_length(payload::BLOB) AS bytes FROM pl)"""
 

@@ -65,7 +65,7 @@ def workspace_cross(spark, d):
     return pk.cross_package(pk.workspaces(MANIFESTS.df(spark)))
 
 
-DIRECT = Table("direct", "package string", [("lodash",), ("express",), ("jest",), ("fsevents",), ("absent",)])
+DIRECT = Table("direct", "package string", [("orbit",), ("sail",), ("lamp",), ("tide",), ("absent",)])
 TREE = V1.replace("WITH ", "WITH RECURSIVE ", 1) + f", {DIRECT.sql}, req AS (SELECT package AS parent, unnest(map_keys(requires)) AS package FROM lock WHERE requires IS NOT NULL), walk AS (SELECT package, 0 AS depth FROM direct UNION SELECT r.package, w.depth + 1 FROM walk w JOIN req r ON r.parent = w.package WHERE w.depth < 10), tree AS (SELECT w.package, version, min(depth)::BIGINT AS depth FROM walk w JOIN lock USING (package) GROUP BY 1, 2)"
 
 
@@ -204,7 +204,7 @@ def image_gate(spark, d):
 VECTORS = Table("vectors", "id long, vector string, spec string", [(1, "CVSS:3.1/AV:N/AC:L/PR:N", "lodash@^4.0.0"), (2, "CVSS:3.1/AV:L/AC:L", "@scope/pkg@1.2.3"), (3, None, "bare"), (4, "AC:L/AV:N", "@scope/pkg")])
 
 
-@query(f"WITH {VECTORS.sql} SELECT id, CASE WHEN contains(vector, 'AV:N') AND contains(vector, 'AC:L') THEN 7.5 ELSE 5.0 END::DOUBLE AS cvss, regexp_extract(spec, '^(@?[^@]+)', 1) AS package, regexp_extract(spec, '^@?[^@]+@(.*)$', 1) AS range FROM vectors")
+@query(f"WITH {VECTORS.sql} SELECT id, CASE WHEN NOT coalesce(contains(vector, 'CVSS:'), FALSE) THEN 0.0 WHEN contains(vector, 'AV:N') AND contains(vector, 'AC:L') THEN 7.5 ELSE 5.0 END::DOUBLE AS cvss, regexp_extract(spec, '^(@?[^@]+)', 1) AS package, regexp_extract(spec, '^@?[^@]+@(.*)$', 1) AS range FROM vectors")
 def package_specs(spark, d):
     spec = pk.spec_of(F.col("spec"))
     return VECTORS.df(spark).select("id", pk.cvss_of(F.col("vector")).alias("cvss"), spec["package"].alias("package"), spec["range"].alias("range"))

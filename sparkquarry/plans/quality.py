@@ -294,3 +294,60 @@ def quality_recommendations(spark, d):
 @query(RECS + ", g AS (SELECT kind, count(*) AS n, round(sum(effort), 6) AS hours, avg(roi) AS r FROM recs GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY r DESC, kind) AS phase, sum(ceil(hours / 40)) OVER (ORDER BY r DESC, kind) AS until_week FROM g) SELECT kind, n, hours, phase, until_week::BIGINT AS until_week, round(0.7 * hours, 6)::DOUBLE AS work_hours, round(0.2 * hours, 6)::DOUBLE AS test_hours, round(0.1 * hours, 6)::DOUBLE AS review_hours, greatest(2, ceil(hours / (40.0 * ceil(hours / 40))))::BIGINT AS team, round(100.0 * hours, 6)::DOUBLE AS cost FROM o")
 def quality_roadmap(spark, d):
     return reports.roadmap(_recommended(spark, d))
+
+
+LOOK = TEST.rstrip() + """, lk0 AS (SELECT *, 2 * is_async::INT + 2 * (params > 3)::INT AS open_paths, is_async::INT + CASE WHEN params > 0 THEN 2 ELSE 0 END AS open_gaps FROM ts),
+lk AS (SELECT *, round(greatest(0.0, least(100.0, score - 5 * open_paths - 8 * mocks)), 6)::DOUBLE AS coverage, CASE WHEN score < 40 THEN 'critical' WHEN score < 60 THEN 'high' WHEN score < 80 THEN 'medium' ELSE 'low' END AS risk,
+  2 + CASE WHEN score < 40 THEN 6 WHEN score < 60 THEN 4 WHEN score < 80 THEN 2 ELSE 0 END + mocks + open_paths + open_gaps AS hours, CASE WHEN mocks > 3 THEN 'integration_testing_with_test_doubles' WHEN score < 40 THEN 'refactor_then_unit_test' WHEN mocks > 0 THEN 'unit_testing_with_mocks' ELSE 'pure_unit_testing' END AS approach FROM lk0)"""
+
+
+def _looked(spark, d):
+    return testability.outlook(testability.testability(cx.complexity(functions(spark, d))))
+
+
+@query(LOOK + " SELECT name, coverage, risk, hours::BIGINT AS hours, approach FROM lk")
+def testability_outlook(spark, d):
+    return _looked(spark, d).select("name", "coverage", "risk", "hours", "approach")
+
+
+@query(LOOK + """, g AS (SELECT file_path, round(avg(score), 6) AS score, count(*) FILTER (score >= 60) AS tested, count(*) FILTER (score < 60) AS untested, least(100, 10 * count(*) + 15 * count(DISTINCT class_name) + 5 * sum(external))::BIGINT AS complexity, sum(mocks)::BIGINT AS mocks, sum(hours)::BIGINT AS hours, count(*) FILTER (is_async) + count(*) FILTER (params > 3) AS gaps FROM lk GROUP BY 1)
+SELECT *, CASE WHEN score < 40 OR untested > 3 OR mocks > 5 THEN 'critical' WHEN score < 60 OR untested > 1 OR mocks > 2 THEN 'high' WHEN score < 80 OR untested > 0 THEN 'medium' ELSE 'low' END AS priority FROM g""")
+def testability_by_file(spark, d):
+    return testability.by_file(_looked(spark, d))
+
+
+@query(LOOK + """, q AS (SELECT *, round((CASE WHEN score < 40 THEN 8.0 WHEN score < 60 THEN 4.0 WHEN score < 80 THEN 3.0 ELSE 2.0 END * (1 + 0.5 * mocks)) * 4) AS qh FROM ts), r AS (SELECT round(100 - score + 2 * cyclomatic, 6) AS impact, round((100 - score + 2 * cyclomatic) / greatest(qh / 4, 0.25), 6)::DOUBLE AS roi FROM q), bands AS (SELECT CASE WHEN impact >= 80 AND roi >= 8 THEN 'critical' WHEN impact >= 60 AND roi >= 4 THEN 'high' WHEN impact >= 40 AND roi >= 2 THEN 'medium' ELSE 'low' END AS band FROM r),
+b AS (SELECT count(*) FILTER (band = 'critical') AS critical, count(*) FILTER (band = 'high') AS high, count(*) FILTER (band = 'medium') AS medium, count(*) FILTER (band = 'low') AS low FROM bands),
+t AS (SELECT count(*) AS n, count(*) FILTER (score >= 60) AS tested, count(*) FILTER (risk IN ('high', 'critical')) AS high_risk, round(avg(score), 6) AS score, round(avg(coverage), 6) AS coverage, sum(mocks)::BIGINT AS mocks, sum(hours)::BIGINT AS net FROM lk), u AS (SELECT *, net + net * 3 // 10 AS hours FROM t)
+SELECT n, tested, high_risk, score, coverage, mocks, hours, ceil(hours / 40)::BIGINT AS weeks, CASE WHEN mocks > 2 * n THEN 'very_high' WHEN mocks > n THEN 'high' WHEN mocks > n // 2 THEN 'medium' ELSE 'low' END AS mocking, CASE WHEN high_risk > n // 3 THEN 'high_risk_functions' WHEN mocks > n THEN 'integration_testing' WHEN score < 60 THEN 'refactoring_for_testability' ELSE 'balanced_coverage' END AS focus,
+  CASE WHEN n = 0 THEN 'pass' WHEN score < 40 OR high_risk > n // 2 THEN 'fail' WHEN score < 60 OR high_risk > n // 4 THEN 'warning' ELSE 'pass' END AS gate, CASE WHEN critical > n // 4 THEN 'risk_driven_testing_with_immediate_critical_focus' WHEN high > n // 3 THEN 'balanced_testing_with_priority_focus' ELSE 'comprehensive_coverage_driven_testing' END AS approach, CASE WHEN mocks > n THEN 60 ELSE 70 END::BIGINT AS unit_share,
+  CASE WHEN critical = 0 THEN 1 ELSE greatest(2, ceil(critical / 5)) END::BIGINT AS immediate_weeks, CASE WHEN high + medium = 0 THEN 1 ELSE greatest(2, ceil((high + medium) / 5)) END::BIGINT AS short_weeks, CASE WHEN low = 0 THEN 1 ELSE greatest(2, ceil(low / 5)) END::BIGINT AS long_weeks FROM u, b""")
+def testing_strategy(spark, d):
+    scored = testability.testability(cx.complexity(functions(spark, d)))
+    return testability.strategy(testability.outlook(scored), testability.priority_matrix(scored))
+
+
+#: The six sources, over the items of debt beside what the three have.
+RECS6 = RECS[: RECS.index("), r1 AS")] + """
+  UNION ALL SELECT 'complexity', name, least(40.0, greatest(2.0, (cyclomatic - 10) * 0.5 * greatest(1.0, lines / 100.0)))::DOUBLE, cyclomatic::DOUBLE FROM cx WHERE cyclomatic > 15
+  UNION ALL SELECT * FROM (SELECT 'debt', file_path, greatest(hours, 0.25)::DOUBLE, (100 - health)::DOUBLE FROM (SELECT file_path, round(sum(hours::DOUBLE), 6) AS hours, greatest(0.0, 100 - round(sum(score), 6)) AS health FROM sc GROUP BY 1) WHERE health <= 60 ORDER BY health, file_path LIMIT 10)
+  UNION ALL SELECT 'performance', concat_ws('/', name, item), least(24.0, CASE item WHEN 'nested_loops' THEN 6.0 WHEN 'sync_in_async' THEN 6.0 WHEN 'memory_leak_risk' THEN 8.0 ELSE 5.0 END * (1 + impact / 100))::DOUBLE, 1.5 * impact FROM sc WHERE category = 'performance' AND severity IN ('high', 'critical')
+""" + RECS[RECS.index("), r1 AS") :]
+RECS6 = ITEMS.rstrip() + RECS6[len(FN) :] if RECS6.startswith(FN) else RECS6
+
+
+def _six(spark, d):
+    scored, found = cx.complexity(functions(spark, d)), items(spark, d)
+    return reports.six_sources(duplication.exact_clusters(blocks(spark, d)), testability.testability(scored), _halstead(spark, d), scored, debt.by_file(found), found)
+
+
+@query(RECS6 + " SELECT kind, priority, count(*) AS n, round(sum(effort), 6) AS hours, round(avg(roi), 6) AS roi FROM recs GROUP BY 1, 2")
+def quality_recommendations_by_source(spark, d):
+    """All recommendations of the six sources, by source and priority."""
+    return _six(spark, d).groupBy("kind", "priority").agg(F.count("*").alias("n"), six(F.sum("effort")).alias("hours"), six(F.avg("roi")).alias("roi"))
+
+
+@query(RECS6 + " SELECT kind, target, effort, benefit, roi, priority FROM recs WHERE kind <> 'duplication' AND kind <> 'testing' AND kind <> 'maintainability'")
+def quality_recommendations_more(spark, d):
+    """Each recommendation of the sources complexity, debt and performance."""
+    return _six(spark, d).filter(F.col("kind").isin("complexity", "debt", "performance")).select("kind", "target", "effort", "benefit", "roi", "priority")

@@ -1,4 +1,4 @@
-"""Queries on source files: the made-up tree of fixture.py and the text of every document, as files of their own."""
+"""Queries on source files: every page with its markup and scripts, and the made-up tree of fixture.py, which has the forms that no page has."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from sparkquarry.operators import complexity as cx
 from sparkquarry.operators import source as so
 from sparkquarry.plans.fixture import FILES, PATHS, Table, literal
 from sparkquarry.plans.quality import table
+from sparkquarry.store import Shelf
 
 Q, SQL = {}, {}
 
@@ -25,12 +26,12 @@ def query(sql: str | None = None):
 
 
 def sources(spark, d) -> DataFrame:
-    texts = table(spark, d, "documents").filter("text is not null").select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    return FILES.df(spark).unionByName(texts)
+    pages = table(spark, d, "pages").filter("html is not null").select(F.concat(F.lit("/pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    return FILES.df(spark).unionByName(pages)
 
 
 LIT = FILES.sql.replace("files AS", "lit AS", 1)
-SRC = f"WITH {LIT}, files AS (SELECT * FROM lit UNION ALL SELECT '/docs/' || doc_id || '.txt', text FROM documents WHERE text IS NOT NULL), parts AS (SELECT path, string_split(content, chr(10)) AS p FROM files), lines AS (SELECT path, unnest(range(1, len(p) + 1))::BIGINT AS line_no, trim(unnest(p), ' ') AS line FROM parts)"
+SRC = f"WITH {LIT}, files AS (SELECT * FROM lit UNION ALL SELECT '/pages/' || page_id || '.html', html FROM pages WHERE html IS NOT NULL), parts AS (SELECT path, string_split(content, chr(10)) AS p FROM files), lines AS (SELECT path, unnest(range(1, len(p) + 1))::BIGINT AS line_no, trim(unnest(p), ' ') AS line FROM parts)"
 
 
 def _case(patterns, value) -> str:
@@ -189,9 +190,17 @@ def component_stats(spark, d):
     return so.component_map(so.per_file(sources(spark, d))).groupBy("layer").agg(F.count("*").alias("n"), six(F.avg("complexity")).alias("mean_complexity"))
 
 
-@query(COUNTS + " SELECT round(avg(n_functions), 6) AS functions_per_file, round(avg(n_classes), 6) AS classes_per_file, count(*) AS n_files, 91::BIGINT AS score FROM n")
+EXPORTED = f"x0 AS (SELECT path, line_no, {_case(so.EXPORTS, lambda k, _: literal(k))} AS export_type, {_group([p for _, p in so.EXPORTS], 1)} AS listed FROM lines), ex AS (SELECT DISTINCT path, export_type, unnest({NAMES.format('listed')}) AS name FROM x0 WHERE export_type IS NOT NULL)"
+
+
+@query(EDGES + f""", {EXPORTED}, used AS (SELECT i.dst AS path, import_type, unnest(CASE WHEN len(names) = 0 THEN [NULL] ELSE names END) AS name FROM imp JOIN inner_ i USING (path, line_no, source)),
+unused AS (SELECT count(*) AS n FROM ex WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.path = ex.path AND (u.import_type = 'namespace' OR (u.import_type = 'default' AND ex.export_type = 'default') OR (u.import_type = 'named' AND u.name = ex.name)))),
+reach AS (SELECT src AS a, dst AS b FROM edges WHERE NOT is_external UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON r.b = e.src WHERE NOT e.is_external), cyc AS (SELECT count(DISTINCT c) AS n FROM (SELECT x.a, least(x.a, min(x.b)) AS c FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)),
+fn AS ({FNS.replace("WITH ", "WITH ", 1)} SELECT path, count(*) AS n FROM fn1 GROUP BY 1), cl AS (SELECT path, count(*) AS n FROM lines WHERE regexp_matches(line, {literal(so.CLASS)}) GROUP BY 1)
+SELECT round(avg(coalesce(fn.n, 0)), 6) AS functions_per_file, round(avg(coalesce(cl.n, 0)), 6) AS classes_per_file, count(*) AS n_files, (SELECT n FROM cyc) AS n_cycles, (SELECT n FROM unused) AS n_unused, greatest(100 - 5 * (SELECT n FROM cyc) - 2 * (SELECT n FROM unused), 0)::BIGINT AS score FROM files LEFT JOIN fn ON fn.path = files.path LEFT JOIN cl ON cl.path = files.path""")
 def structural_metrics(spark, d):
-    return so.structural_score(so.per_file(sources(spark, d)), 1, 2)
+    f = sources(spark, d)
+    return so.structural_score(so.per_file(f), so.module_edges(f), so.unused_exports(f), Shelf(spark, "structure"))
 
 
 ANTI = CX + """, a0 AS (SELECT *, lower(name) AS l, lower(params[1]) AS p1 FROM c2

@@ -11,8 +11,8 @@ Windows whose best path weighs as much as the one that is outside all along are
 that one is their path.
 
 Training is plain numpy, from labelled spans: sentences made up by labelled_text(), or any given
-list of (text, spans). It is done once for each driver process and model parameters; a trained Tagger
-can be handed in instead.
+list of (text, spans). The weights are stored beside this module; another trained Tagger can be handed
+in instead.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, OVERLAP = 384, 48
 #: Characters of a training example; windows that are decoded at once.
 EXAMPLE, AT_ONCE = 64, 4096
-EMBED, HIDDEN, BATCH, STEPS, RATE = 12, 8, 64, 500, 0.02
+EMBED, HIDDEN, BATCH, STEPS, RATE = 12, 8, 64, 4000, 0.02
 CHARS = {c: i + 2 for i, c in enumerate(map(chr, range(32, 127)))}  # 0: beyond the text, 1: any other
 TAGS = 1 + 2 * len(KINDS)  # 0: outside; 1 + 2 k, 2 + 2 k: begin, inside of kind k
 
@@ -49,7 +50,10 @@ _WRITTEN = re.compile(rf"{_SIGN}(?={_HOST})", re.I | re.A)
 _WRITTEN_HOST = re.compile(_HOST, re.I | re.A)
 _BEFORE = re.compile(rf"{_NAME_DOT}\Z", re.I | re.A)
 _SENTENCE = re.compile(r"\. ")
-_GROUPED = re.compile(r"\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}\Z")
+_GROUPED = re.compile(r"(?:\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}|0[0-9]{9,10}|[2-9][0-9]{9})\Z")
+#: A plain `at` before a host with plain full stops: what prose says of any host ("hosted at github.com"), unless the part before it has the marks of an address.
+_PROSE_HOST = re.compile(r"([A-Za-z0-9._%+-]+) {1,2}at {1,2}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\Z", re.I | re.A)
+_MARKED = re.compile(r"[A-Za-z0-9][._%+-][A-Za-z0-9]|[A-Za-z][0-9]", re.A)
 
 
 def luhn(digits: str) -> bool:
@@ -86,6 +90,8 @@ def sound(kind: str, s: str) -> bool:
     d = _digits(s)
     if kind == "email":
         # Without digit or @, a full stop and a blank end a sentence: "look at home. Then" is no address.
+        if (m := _PROSE_HOST.match(s)) and not _MARKED.search(m[1]):
+            return False
         return bool(_AT.match(s)) and bool(d or "@" in s or not _SENTENCE.search(s))
     if kind == "ip":
         return (m := _IP.fullmatch(s)) is not None and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())
@@ -132,6 +138,7 @@ def labelled_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, i
         if r < 0.16:
             kind = int(rng.integers(len(KINDS)))
             if kind == 0:
+                out += pick("", "", "mail ", "mail me: ", "contact ", "write to ", "or ")
                 plain = lambda: word().encode("ascii", "ignore").decode() or "a"
                 digits, dot = rng.random() < 0.5, pick(".", " dot ", " dot ", " (dot) ", "(dot)", " [dot] ", "[dot]")
                 name = plain() + pick("", ".", "_", dot) + plain() + (pick("", num(2)) if digits else "")
@@ -147,13 +154,16 @@ def labelled_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, i
                 s = body if rng.random() < 0.6 else pick(" ", "-").join(body[i : i + 4] for i in range(0, 16, 4))
             else:
                 a, b, c = num(3), num(3), num(4)
-                s = pick(f"+{num(1)} ({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}")
+                trunk = pick("0", "0", "2", "4", "7") + num(9)
+                s = pick(f"+{num(1)} ({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a} {b} {c}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)} {b} {a}", trunk, trunk)
+                if s == trunk:  # digits in one run are a phone after a word that says so
+                    out += pick("call", "phone", "tel", "tel.", "mobile", "fax", "Phone:", "ring", "number is", "Tel:", "text") + " "
             spans.append((kind, len(out), len(out) + len(s)))
             out += s
         elif r < 0.24:
-            out += pick(num(1), num(2), str(1900 + rng.integers(130)), "$" + num(3), num(2) + "." + num(1), "version " + num(1) + "." + num(1), num(6), "AKIA" + num(6), "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 30))), num(2) + ":" + num(2), num(20))
+            out += pick(num(1), num(2), str(1900 + rng.integers(130)), "$" + num(3), num(2) + "." + num(1), "version " + num(1) + "." + num(1), num(6), "AKIA" + num(6), "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 30))), num(2) + ":" + num(2), num(20), pick("order", "id", "no.", "item", "ref", "total") + " " + num(10), num(4) + " " + num(4), num(3) + " " + word() + " " + num(4), str(1900 + rng.integers(130)) + " " + str(1900 + rng.integers(130)))
         elif r < 0.32:
-            out += pick("at", "dot", "at " + word() + ". " + word(), word() + " at " + word() + ".", "at the " + word(), "a " + word() + " dot on")
+            out += pick("at", "dot", "at " + word() + ". " + word(), word() + " at " + word() + ".", "at the " + word(), "a " + word() + " dot on", pick("us", "more", "it", "hosted", "look", word()) + " at " + pick("", "", "www.", "news.", "shop.") + (word().encode("ascii", "ignore").decode() or "a").lower() + pick(".com", ".org", ".co.uk", ".net", ".example.com"), pick("contact", "mail", "write to", "mail me:") + " " + word())
         else:
             out += word()
         out += pick(" ", " ", " ", " ", " ", ", ", ". ", "\n", "!! ", "### ", "; ")
@@ -336,12 +346,30 @@ class Tagger:
         return out
 
 
-@lru_cache(2)
-def trained(seed: int = 11, steps: int = STEPS) -> Tagger:
+def train_anew(seed: int = 11, steps: int = STEPS) -> Tagger:
     rng = np.random.default_rng(seed)
     return Tagger(seed).train(lambda: labelled_text(rng), steps)
 
 
+#: What train_anew() gave, some 2,700 numbers; `python -m sparkquarry.llm.pii` writes it.
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
+
+
+#: How much more easily a span of an address begins than training alone would have it: the check of its form comes after, so a miss costs more than a false start.
+LEAN = 2.0
+
+
+@lru_cache(1)
+def trained() -> Tagger:
+    """The tagger with the stored weights and LEAN."""
+    tagger = Tagger()
+    with np.load(WEIGHTS) as stored:
+        tagger.p = {k: stored[k] for k in tagger.p}
+    tagger.p["trans"][0, 1] += LEAN
+    tagger.p["bias"][1:3] += LEAN / 4
+    return tagger
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and first character of each window."""
     step = WINDOW - OVERLAP
@@ -496,3 +524,7 @@ def masked(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     return digest(personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")), KINDS)
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, **train_anew().p)

@@ -345,6 +345,44 @@ def test_written_out_addresses_without_digits(spark):
     assert pii.written("say " + long + " now") == [(4, 4 + len(long))]
 
 
+def _made(seed=5):
+    """Held-out sentences of plain English words with one piece of personal data of each form, and others that only look so."""
+    r = random.Random(seed)
+    words = "the a report was sent to our office last week and they will review it before next meeting please see notes for details about project budget team with client on friday morning we need plan because schedule changed again".split()
+    names, hosts, ends = "bob alice maria john sven lukas anna peter jane wei".split(), "gmail mailbox example company outlook webpost acme".split(), "com org net de io edu".split()
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    some = lambda a, b: " ".join(r.choice(words) for _ in range(r.randint(a, b)))
+    forms = {
+        "name at host dot com": lambda: f"{r.choice(names)} at {r.choice(hosts)} dot {r.choice(ends)}", "a.b at host dot org": lambda: f"{r.choice(names)}.{r.choice(names)} at {r.choice(hosts)} dot {r.choice(ends)}",
+        "a (at) host.com": lambda: f"{r.choice(names)} (at) {r.choice(hosts)}.{r.choice(ends)}", "a7 at host.com": lambda: f"{r.choice(names)}{num(2)} at {r.choice(hosts)}.{r.choice(ends)}",
+        "(ddd) ddd-dddd": lambda: f"({num(3)}) {num(3)}-{num(4)}", "ddd-ddd-dddd": lambda: f"{num(3)}-{num(3)}-{num(4)}", "ddd ddd dddd": lambda: f"{num(3)} {num(3)} {num(4)}", "0dd dddd dddd": lambda: f"0{num(2)} {num(4)} {num(4)}",
+    }
+    found = [(name, f"{some(3, 12).capitalize()} ", form(), f"{r.choice([' ', '. ', ', '])}{some(2, 10)}.") for name, form in forms.items() for _ in range(150)]
+    like = lambda: r.choice([f"hosted at {r.choice(hosts)}.{r.choice(ends)}", "see us at www.example.org for more", "read more at news.bbc.co.uk now", "find it at shop.example.com today", f"in {1900 + r.randint(0, 130)} and {1900 + r.randint(0, 130)}", f"at {r.randint(1, 12)}:{num(2)}", f"order {num(10)}", f"{num(3)} items and {num(4)} parts", "was at home. Then", "look at dot matrix", f"total ${num(3)}.{num(2)}", f"{num(4)} {num(4)}"])
+    return found, [f"{some(4, 10)} {like()} {some(2, 8)}." for _ in range(500)]
+
+
+def test_forms_are_found_and_prose_is_spared():
+    found, prose = _made()
+    hits: dict = {}
+    for (name, a, x, b), got in zip(found, pii.spans([a + x + b for _, a, x, b in found], pii.trained())):
+        hits.setdefault(name, []).append(any((s, e) == (len(a), len(a) + len(x)) for _, s, e, _ in got))
+    assert min(sum(h) / len(h) for h in hits.values()) >= 0.95, {n: sum(h) / len(h) for n, h in hits.items()}
+    assert not [p[s:e] for p, got in zip(prose, pii.spans(prose, pii.trained())) for _, s, e, base in got if not base]
+
+
+def test_training_lowers_the_loss_and_is_repeatable():
+    a, b = pii.train_anew(steps=12), pii.train_anew(steps=12)
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p) and {k: v.shape for k, v in a.p.items()} == {k: v.shape for k, v in pii.trained().p.items()}
+    rng = np.random.default_rng(99)
+    text, marks = pii.labelled_text(rng)
+    x, y = pii.coded(text)[None], np.zeros((1, len(text)), np.int64)
+    for kind, s, e in marks:
+        y[0, s:e] = 2 + 2 * kind
+        y[0, s] = 1 + 2 * kind
+    assert pii.trained().gradient(x, y)[0] < a.gradient(x, y)[0] < pii.Tagger().gradient(x, y)[0]
+
+
 def test_windows_are_decoded_and_reconciled(spark, monkeypatch):
     """All windows against plain recurrences and a plain Viterbi search; each character by the window whose edge is further away."""
     monkeypatch.setattr(pii, "WINDOW", 40)

@@ -129,6 +129,16 @@ def scan(patterns: list[Patterns], buf: np.ndarray, offs: np.ndarray) -> tuple[n
     return w.counts, where, [sorted(doc_of.get(d, ())) for d in range(n_docs)]
 
 
+def hit_documents(patterns: list[Patterns], buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """bool for each document: whether any pattern occurs in it. Keeps no places."""
+    w = K.tokenize(buf, offs, K.ALNUM_WORDS)
+    out = np.zeros(len(offs) - 1, bool)
+    for p in patterns:
+        for start, _ in p.search(buf, w):
+            out[np.searchsorted(w.first, start, "right") - 1] = True
+    return out
+
+
 def _parts(benchmark: DataFrame):
     """The benchmark's rows in lists of at most PART_BYTES of text (or one row); one list at a time is on the driver."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -210,8 +220,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
             patterns = shared.value
 
             def kernel(buf, offs, part):
-                _, where, _ = scan(patterns, buf, offs)
-                return {c: part.column(c) for c in columns} | {flag: pa.array([len(x) > 0 for x in where])}
+                return {c: part.column(c) for c in columns} | {flag: pa.array(hit_documents(patterns, buf, offs))}
 
             return kernel
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquarry.functions.rules import above, first_of, six
+from sparkquarry.operators.layout import ranked
+from sparkquarry.store import Shelf
 
 # Base score of each severity.
 BASE = {"critical": 10.0, "severe": 10.0, "high": 6.0, "medium": 3.0, "low": 1.0}
@@ -72,10 +74,11 @@ def by_category(scored: DataFrame) -> DataFrame:
     return out.withColumn("trend", above(F.col("high_share"), (0.5, "worsening"), (0.2, "stable"), default="improving")).withColumn("effort", above(F.col("hours"), (40, "large"), (16, "medium"), default="small"))
 
 
-def by_file(scored: DataFrame, categories=("smell", "architecture", "performance", "complexity")) -> DataFrame:
-    """Pivot of scores by category, priority, and rank. The ranking window holds one row for each file."""
+def by_file(scored: DataFrame, shelf: Shelf, categories=("smell", "architecture", "performance", "complexity")) -> DataFrame:
+    """Pivot of scores by category, priority, and rank, which is counted over ranges. Items of no file are one row."""
     out = scored.groupBy("file_path").agg(F.count("*").alias("n_items"), six(F.sum("score")).alias("score"), six(F.sum("hours")).alias("hours"), *(six(F.coalesce(F.sum(F.when(F.col("category") == c, F.col("score"))), F.lit(0.0))).alias(c) for c in categories))
-    return out.withColumn("priority", above(F.col("score"), (50, "critical"), (30, "high"), (15, "medium"), default="low")).withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "file_path")).cast("long"))
+    out = out.withColumn("priority", above(F.col("score"), (50, "critical"), (30, "high"), (15, "medium"), default="low"))
+    return ranked(out, [F.desc("score"), F.asc_nulls_last("file_path")], shelf, "by_file", "position")
 
 
 def quick_wins(scored: DataFrame) -> DataFrame:

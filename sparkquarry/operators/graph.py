@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkquarry.operators.layout import ranked
 from sparkquarry.store import Shelf
 
 
@@ -65,21 +66,22 @@ def bfs_depth(edges: DataFrame, shelf: Shelf, name: str = "bfs") -> DataFrame:
             shelf.drop(f"{name}_seen_{k - 16}", *(f"{name}_{i}" for i in range(k - 16, k)))
 
 
-def critical_nodes(edges: DataFrame, depths: DataFrame) -> DataFrame:
-    """Score of each node, and the top tenth (5 at least). The ranking runs over node rows."""
+def critical_nodes(edges: DataFrame, depths: DataFrame, shelf: Shelf) -> DataFrame:
+    """Score of each node, and the top tenth (5 at least), ranked over ranges of scores."""
     d = degrees(edges).join(depths, "node")
     most = depths.agg(F.max("depth").alias("most"))
     score = F.least(F.col("in_degree"), F.lit(5)) + F.least(0.1 * F.col("out_degree"), F.lit(3.0)) + F.when(F.col("most") > 0, 2.0 * (F.col("most") - F.col("depth")) / F.col("most")).otherwise(0.0)
     out = d.join(F.broadcast(most)).withColumn("score", F.round(score.cast("double"), 6))
+    out = ranked(out, [F.desc("score"), F.col("node")], shelf, "scores", "position")
     keep = out.agg(F.greatest(F.floor(F.count("*") * 0.1), F.lit(5)).alias("keep"))
-    ranked = out.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "node")))
-    return ranked.join(F.broadcast(keep)).filter("position <= keep").select("node", "score", F.col("position").cast("long").alias("position"))
+    return out.join(F.broadcast(keep)).filter("position <= keep").select("node", "score", "position")  # keep is one row
 
 
 def target_clusters(edges: DataFrame) -> DataFrame:
     """Nodes with the same set of targets: cluster, size, main, cohesion (inner edges of the possible ones), coupling (outer edges of all)."""
     key = edges.groupBy("src").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("dst").cast("string"))), ","), 256).alias("cluster"), F.count("*").alias("out_degree"))
-    size = key.groupBy("cluster").agg(F.count("*").alias("size"), F.min("src").alias("main"), F.sum("out_degree").alias("edges")).filter("size > 1")
+    key = key.join(degrees(edges).select(F.col("node").alias("src"), "weight"), "src")
+    size = key.groupBy("cluster").agg(F.count("*").alias("size"), F.min_by("src", F.struct(-F.col("weight"), F.col("src"))).alias("main"), F.sum("out_degree").alias("edges")).filter("size > 1")
     member = key.select("src", "cluster")
     inner = edges.join(member, "src").join(member.select(F.col("src").alias("dst"), F.col("cluster").alias("to")), "dst").filter("cluster = to").groupBy("cluster").agg(F.count("*").alias("inner"))
     out = size.join(inner, "cluster", "left").fillna(0, ["inner"])
@@ -100,6 +102,20 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return found.withColumn("severity", F.when(F.col("length") >= 5, "critical").when(F.col("length") >= 3, "high").otherwise("medium"))
 
 
+def cycle_impact(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """path, length, severity, impact of cycles() by the rule for packages, with nodes(node, weight): up to 2 critical, 4 high, 6 medium, counted with the closing node, which is the first one again; ten times the mean weight over that count."""
+    steps = found.select("path", F.explode(F.concat("path", F.slice("path", 1, 1))).alias("node"))
+    mean = steps.join(nodes.select("node", "weight"), "node").groupBy("path").agg(F.avg("weight").alias("mean"))
+    n = F.size("path") + 1
+    severity = F.when(n <= 2, "critical").when(n <= 4, "high").when(n <= 6, "medium").otherwise("low")
+    return mean.select("path", F.size("path").cast("long").alias("length"), severity.alias("severity"), F.round(10 * F.col("mean") / n, 6).alias("impact"))
+
+
+def cycle_hotspots(found: DataFrame, top: int = 5) -> DataFrame:
+    """node, n: the nodes that occur most in cycles() (the first node of a cycle counts twice, as it closes it)."""
+    return found.select(F.explode(F.concat("path", F.slice("path", 1, 1))).alias("node")).groupBy("node").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(top)
+
+
 def core(edges: DataFrame, shelf: Shelf, name: str = "core") -> DataFrame:
     """The edges whose both ends have edges in and out, repeated until none falls away: no others can lie on a cycle."""
     e, k = shelf.put(f"{name}_0", edges.select("src", "dst").filter("src <> dst").distinct()), 0

@@ -46,7 +46,7 @@ def six_sources(clusters: DataFrame, tested: DataFrame, measured: DataFrame, sco
     """recommendations() and those of the other three sources: functions of a cyclomatic complexity above 15; the `worst` files by debt whose health (100 less the debt score) is 60 or below; performance items of high or critical severity."""
     row = lambda df, kind, target, effort, benefit: df.select(F.lit(kind).alias("kind"), target.alias("target"), effort.cast("double").alias("effort"), benefit.cast("double").alias("benefit"))
     health = F.greatest(F.lit(0.0), 100 - F.col("score"))
-    indebted = files.withColumn("health", health).filter("health <= 60").orderBy("health", "file_path").limit(worst)
+    indebted = files.withColumn("health", health).filter("health <= 60 and file_path is not null").orderBy("health", "file_path").limit(worst)
     hours = first_of(*((F.col("item") == k, h) for k, h in FIX_HOURS.items()), default=5.0)
     rows = reduce(DataFrame.unionByName, [
         row(scored.filter("cyclomatic > 15"), "complexity", F.col("name"), clamp((F.col("cyclomatic") - 10) * 0.5 * F.greatest(F.lit(1.0), F.col("lines") / 100), 2.0, 40.0), F.col("cyclomatic")),

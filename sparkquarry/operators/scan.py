@@ -14,6 +14,8 @@ PATTERNS = {
     "observer": (((("addEventListener", ".on("), 3), (("onclick", "onClick", "onChange"), 3), (("subscribe", "observer"), 2), (("callback", "=>"), 2)), 6),
     "page": (((("<html",), 4), (("<script",), 3), (("href=",), 2), (("<div",), 1)), 6),
 }
+URL = r"https?://[^\s\"'<>()]+"
+PATH = r"(?:href|src|action)=[\"'](/[^\"']*)[\"']"
 # What a URL must not hold, in any case of letters.
 BAD_URL = ("javascript:", "data:", "file:", "ftp:", "../", "..\\\\", "<script", "${", "$(")
 
@@ -87,3 +89,35 @@ def bracket_balance(texts: DataFrame, column: str, opening: str = "<", closing:
         return F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))
     out = texts.withColumn("b", F.aggregate(marks, zero, step))
     return out.select("*", F.size(marks).cast("long").alias("n_brackets"), F.col("b.now").cast("long").alias("balance"), F.col("b.least").cast("long").alias("lowest")).drop("b", column)
+
+
+def bare(text: Column) -> Column:
+    """A text without comments (`//` to the end of the line, then `/* */`), blanks made one and trimmed."""
+    out = F.regexp_replace(text, r"//[^\n]*", "")
+    out = F.regexp_replace(out, r"(?s)/\*.*?\*/", "")
+    return F.trim(F.regexp_replace(out, r"[ \t\n\f\r]+", " "))
+
+
+def tokenised(text: Column) -> Column:
+    """bare() with identifiers, then quoted strings, then numbers replaced by the name of their kind."""
+    out = F.regexp_replace(bare(text), r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]*", "IDENTIFIER")
+    out = F.regexp_replace(out, "[\"'][^\"']*[\"']", "STRING_LITERAL")
+    return F.regexp_replace(out, r"(?<![A-Za-z0-9_])[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_])", "NUMBER_LITERAL")
+
+
+def token_count(text: Column) -> Column:
+    """Tokens of bare(); 0 for null, empty and mere comments."""
+    return F.when(F.coalesce(bare(text), F.lit("")) == "", 0).otherwise(F.size(F.split(bare(text), " "))).cast("long")
+
+
+def endpoints(texts: DataFrame, column: str) -> DataFrame:
+    """The other columns, kind (url, endpoint), value, n: addresses with a scheme anywhere in a text, and quoted paths of href, src and action; equal ones of a text count together. Null texts have none."""
+    named = lambda kind, pattern, group: F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+    keys = [c for c in texts.columns if c != column]
+    return texts.select(*keys, F.explode(F.concat(named("url", URL, 0), named("endpoint", PATH, 1))).alias("x")).groupBy(*keys, "x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+def primary_pattern(scores: DataFrame, key: str) -> DataFrame:
+    """key, pattern, tenths, n_patterns, clarity of pattern_scores(): the one with most tenths (the first by name of equal ones); one pattern is clear, two are mixed, more are unclear."""
+    out = scores.groupBy(key).agg(F.min_by("pattern", F.struct(-F.col("tenths"), F.col("pattern"))).alias("pattern"), F.max("tenths").alias("tenths"), F.count("*").alias("n_patterns"))
+    return out.withColumn("clarity", first_of((F.col("n_patterns") == 1, "clear"), (F.col("n_patterns") == 2, "mixed"), default="unclear"))

@@ -25,12 +25,23 @@ def halving(events: DataFrame) -> DataFrame:
 
 
 def trend(events: DataFrame, last: int = 10) -> DataFrame:
-    """Slope of the last values of each user over their order, and the direction (over 1 % of the mean)."""
+    """Slope of the last values of each user over their order, the direction (over 1 % of the mean), and how sure it is: ten times the slope over the mean, 1 at most; for a stable one what is left to 1; 0 for a single value."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     rows = events.filter("value is not null").withColumn("back", F.row_number().over(w)).filter(F.col("back") <= last)
     out = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.regr_slope("value", -F.col("back")).alias("s"), F.avg("value").alias("m"))
     direction = first_of((F.abs("s") <= 0.01 * F.abs("m"), "stable"), (F.col("s") > 0, "increasing"), (F.col("s") < 0, "decreasing"), default="stable")
-    return out.select("user_id", "n", F.round("s", 4).alias("slope"), direction.alias("direction"))
+    sure = F.least(10 * F.abs("s") / F.nullif(F.abs("m"), F.lit(0.0)), F.lit(1.0))
+    sure = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce(F.when(direction == "stable", 1 - sure).otherwise(sure), F.lit(0.0)))
+    return out.select("user_id", "n", F.round("s", 4).alias("slope"), direction.alias("direction"), six(sure).alias("confidence"))
+
+
+def health(events: DataFrame, limit_us: int = 3_600_000_000, healthy: float = 0.10) -> DataFrame:
+    """event_type, operations, timeouts, rate, healthy, mean_seconds, longest_seconds: an event is an operation that the user's next event ends, a timeout if that takes longer than the limit; rates below `healthy` are healthy. A user's last event is still running and counts for neither."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = events.withColumn("took", F.lead(F.unix_micros("ts")).over(w) - F.unix_micros("ts")).filter("took is not null")
+    out = rows.groupBy("event_type").agg(F.count("*").alias("operations"), F.count_if(F.col("took") > limit_us).alias("timeouts"), F.round(F.avg(F.col("took") / 1e6), 4).alias("mean_seconds"), F.round(F.max("took") / 1e6, 4).alias("longest_seconds"))
+    rate = F.col("timeouts") / F.col("operations")
+    return out.withColumn("rate", six(rate)).withColumn("healthy", rate < healthy)
 
 
 def pressure(events: DataFrame, capacity: float) -> DataFrame:

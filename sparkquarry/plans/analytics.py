@@ -84,7 +84,7 @@ rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, node) AS position FROM
 SELECT node, score, position FROM rk WHERE position <= greatest(floor((SELECT count(*) FROM sc) * 0.1), 5)""")
 def graph_critical_nodes(spark, d):
     e = tree_edges(spark, d)
-    return graph.critical_nodes(e, graph.bfs_depth(e, Shelf(spark, "bfs")))
+    return graph.critical_nodes(e, graph.bfs_depth(e, Shelf(spark, "bfs")), Shelf(spark, "critical"))
 
 
 def part_edges(spark, d) -> DataFrame:
@@ -100,7 +100,7 @@ def graph_components(spark, d):
 
 
 @query("""WITH e AS (SELECT DISTINCT c_mktsegment AS seg, c_nationkey AS n FROM customer), x AS (SELECT n_nationkey AS src, n_regionkey AS dst FROM nation), k AS (SELECT src, string_agg(DISTINCT dst::VARCHAR, ',') AS key, count(*) AS od FROM x GROUP BY 1),
-s AS (SELECT key, count(*) AS size, min(src) AS main, sum(od) AS edges FROM k GROUP BY 1 HAVING count(*) > 1), i AS (SELECT a.key, count(*) AS c FROM x JOIN k a ON x.src = a.src JOIN k b ON x.dst = b.src AND a.key = b.key GROUP BY 1)
+s AS (SELECT key, count(*) AS size, arg_min(src, {'w': -greatest(od / 2, 1.0), 's': src}) AS main, sum(od) AS edges FROM k GROUP BY 1 HAVING count(*) > 1), i AS (SELECT a.key, count(*) AS c FROM x JOIN k a ON x.src = a.src JOIN k b ON x.dst = b.src AND a.key = b.key GROUP BY 1)
 SELECT main, size, round(coalesce(c, 0) / (size * (size - 1)), 6)::DOUBLE AS cohesion, round((edges - coalesce(c, 0)) / edges, 6)::DOUBLE AS coupling FROM s LEFT JOIN i ON s.key = i.key""")
 def graph_clusters(spark, d):
     return graph.target_clusters(table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")))
@@ -124,6 +124,19 @@ def cycle_stats(spark, d):
     return graph.cycle_stats(graph.cycles(transition_edges(spark, d)))
 
 
+@query(CY + """, g AS (SELECT node, greatest(count(*) / 2, 1.0) AS weight FROM (SELECT src AS node FROM tr UNION ALL SELECT dst FROM tr) GROUP BY 1), n AS (SELECT path, unnest(list_append(path, path[1])) AS node FROM cy), w AS (SELECT path, avg(weight) AS mean FROM n JOIN g USING (node) GROUP BY 1)
+SELECT array_to_string(path, '>') AS path, len(path) AS length, CASE WHEN len(path) + 1 <= 2 THEN 'critical' WHEN len(path) + 1 <= 4 THEN 'high' WHEN len(path) + 1 <= 6 THEN 'medium' ELSE 'low' END AS severity, round(10 * mean / (len(path) + 1), 6)::DOUBLE AS impact FROM w""")
+def graph_cycle_impact(spark, d):
+    e = transition_edges(spark, d)
+    return graph.cycle_impact(graph.cycles(e), graph.degrees(e)).withColumn("path", F.array_join("path", ">"))
+
+
+@query(CY + " SELECT node, count(*) AS n FROM (SELECT unnest(list_append(path, path[1])) AS node FROM cy) GROUP BY 1 ORDER BY n DESC, node LIMIT 5")
+def graph_cycle_hotspots(spark, d):
+    """The five nodes that lie on most cycles, a limit of the report itself."""
+    return graph.cycle_hotspots(graph.cycles(transition_edges(spark, d)))
+
+
 @query(NE + """ SELECT 'digraph g {' || chr(10) || string_agg('  "' || src || '" -> "' || dst || '";', chr(10) ORDER BY '  "' || src || '" -> "' || dst || '";') || chr(10) || '}' AS dot FROM ne""")
 def graph_export_dot(spark, d):
     return exports.dot(nation_edges(spark, d))
@@ -134,6 +147,16 @@ def graph_export_links(spark, d):
     return exports.node_link(nation_edges(spark, d))
 
 
+@query(NE + DEG + """ SELECT '{"id":' || node || ',"in":' || in_degree || ',"out":' || out_degree || '}' AS node FROM dg""")
+def graph_export_nodes(spark, d):
+    return exports.node_objects(graph.degrees(nation_edges(spark, d)))
+
+
+@query(NE + DEG + """ SELECT '{"nodes":' || (SELECT count(*) FROM dg) || ',"edges":' || count(*) || ',"most":' || (SELECT max(in_degree + out_degree) FROM dg) || ',"loops":' || count(*) FILTER (src = dst) || ',"sources":' || (SELECT count(*) FROM dg WHERE in_degree = 0) || ',"sinks":' || (SELECT count(*) FROM dg WHERE out_degree = 0) || '}' AS summary FROM ne""")
+def graph_export_summary(spark, d):
+    return exports.graph_summary(nation_edges(spark, d), graph.degrees(nation_edges(spark, d)))
+
+
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS direct FROM customer")
 def dep_direct_indirect(spark, d):
     c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -228,6 +251,24 @@ def _any(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
+BARE = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '//[^\n]*', '', 'g'), '(?s)/\*.*?\*/', '', 'g'), '[ \t\n\f\r]+', ' ', 'g'), ' ')"
+
+
+@query(f"WITH b AS (SELECT page_id, {BARE.format('html')} AS bare FROM pages), t AS (SELECT *, " + r"""regexp_replace(regexp_replace(regexp_replace(bare, '\b[A-Za-z_][A-Za-z0-9_]*', 'IDENTIFIER', 'g'), '["''][^"'']*["'']', 'STRING_LITERAL', 'g'), '\b[0-9]+(?:\.[0-9]+)?\b', 'NUMBER_LITERAL', 'g') AS tokens FROM b)
+SELECT page_id, CASE WHEN coalesce(bare, '') = '' THEN 0 ELSE len(string_split(bare, ' ')) END::BIGINT AS n_tokens, md5(tokens) AS form, length(tokens) AS form_chars FROM t""")
+def page_tokens(spark, d):
+    """Token count and tokenised form of each page without comments."""
+    form = scan.tokenised(F.col("html"))
+    return table(spark, d, "pages").select("page_id", scan.token_count(F.col("html")).alias("n_tokens"), F.md5(form).alias("form"), F.length(form).cast("long").alias("form_chars"))
+
+
+@query(r"""WITH t AS (SELECT page_id, html || ' ' || url AS t FROM pages), x AS (SELECT page_id, 'url' AS kind, unnest(regexp_extract_all(t, 'https?://[^\s"''<>()]+')) AS value FROM t UNION ALL SELECT page_id, 'endpoint', unnest(regexp_extract_all(t, '(?:href|src|action)=["''](/[^"'']*)["'']', 1)) FROM t)
+SELECT page_id, kind, value, count(*) AS n FROM x GROUP BY 1, 2, 3""")
+def page_endpoints(spark, d):
+    """Addresses and paths in the markup and the URL of each page."""
+    return scan.endpoints(table(spark, d, "pages").select("page_id", F.concat_ws(" ", "html", "url").alias("t")), "t")
+
+
 @query("""WITH f AS (SELECT doc_id, regexp_matches(text, '(password|passwd)[ ]*[:=]') AS has_password, regexp_matches(text, 'token[ ]*[:=]') AS has_token, regexp_matches(text, 'AKIA[A-Z0-9]{16}') AS has_key, contains(text, 'process.env') AS has_env FROM documents)
 SELECT *, CASE WHEN has_password OR has_key THEN 'critical' WHEN has_token THEN 'high' WHEN has_env THEN 'medium' ELSE 'low' END AS risk FROM f""")
 def credential_scan(spark, d):
@@ -239,6 +280,11 @@ def _pattern_sql() -> str:
     return "SELECT page_id, pattern, tenths::BIGINT AS tenths FROM (" + " UNION ALL ".join(parts) + ") WHERE tenths > least"
 
 
+@query(f"WITH ps AS ({_pattern_sql()}) SELECT page_id, arg_min(pattern, {{'w': -tenths, 'p': pattern}}) AS pattern, max(tenths) AS tenths, count(*) AS n_patterns, CASE count(*) WHEN 1 THEN 'clear' WHEN 2 THEN 'mixed' ELSE 'unclear' END AS clarity FROM ps GROUP BY 1")
+def page_primary_pattern(spark, d):
+    return scan.primary_pattern(scan.pattern_scores(table(spark, d, "pages").select("page_id", "html"), "html"), "page_id")
+
+
 @query(_pattern_sql())
 def pattern_scores(spark, d):
     return scan.pattern_scores(table(spark, d, "pages").select("page_id", "html"), "html")
@@ -295,7 +341,7 @@ def mem_ewma(spark, d):
 
 
 @query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events WHERE value IS NOT NULL), g AS (SELECT user_id, count(*) AS n, CASE WHEN count(*) > 1 THEN regr_slope(value, -b) END AS s, avg(value) AS m FROM r WHERE b <= 10 GROUP BY 1)
-SELECT user_id, n, round(s, 4) AS slope, CASE WHEN abs(s) <= 0.01 * abs(m) THEN 'stable' WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM g""")
+SELECT user_id, n, round(s, 4) AS slope, CASE WHEN abs(s) <= 0.01 * abs(m) THEN 'stable' WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'stable' END AS direction, round(CASE WHEN n < 2 THEN 0 ELSE coalesce(CASE WHEN abs(s) <= 0.01 * abs(m) OR s = 0 THEN 1 - least(10 * abs(s) / nullif(abs(m), 0), 1) ELSE least(10 * abs(s) / nullif(abs(m), 0), 1) END, 0) END, 6)::DOUBLE AS confidence FROM g""")
 def mem_trend(spark, d):
     return ts.trend(events(spark, d))
 
@@ -315,6 +361,12 @@ def timeout_histogram(spark, d):
     return ts.gap_histogram(events(spark, d))
 
 
+@query("""WITH g AS (SELECT event_type, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts) AS took FROM events)
+SELECT event_type, count(*) AS operations, count(*) FILTER (took > 3600000000) AS timeouts, round(avg(took / 1e6), 4) AS mean_seconds, round(max(took) / 1e6, 4) AS longest_seconds, round(count(*) FILTER (took > 3600000000) / count(*), 6)::DOUBLE AS rate, count(*) FILTER (took > 3600000000) / count(*) < 0.1 AS healthy FROM g WHERE took IS NOT NULL GROUP BY 1""")
+def timeout_health(spark, d):
+    return ts.health(events(spark, d))
+
+
 @query(f"WITH {TR} SELECT src, dst, n FROM tr")
 def state_transitions(spark, d):
     return transition_edges(spark, d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkquarry.functions.rules import six
 from sparkquarry.operators import complexity as cx
 from sparkquarry.operators import debt, duplication, reports, testability
+from sparkquarry.store import Shelf
 
 Q, SQL = {}, {}
 
@@ -60,9 +61,12 @@ ITEMS = FN + """, items AS (
   UNION ALL SELECT file_path, NULL, item, 'architecture', sev, h FROM (SELECT file_path, sum(external) AS imports, sum(internal) AS exports, count(*) AS functions, count(DISTINCT class_name) AS classes FROM fn GROUP BY 1) f,
     (VALUES ('circular_dependency', 'high', 4.0), ('god_object', 'high', 6.0), ('tight_coupling', 'medium', 3.0), ('excessive_imports', 'low', 0.5)) v(item, sev, h)
     WHERE CASE item WHEN 'circular_dependency' THEN imports > 10 AND exports > 5 WHEN 'god_object' THEN functions + 3 * classes > 50 WHEN 'tight_coupling' THEN imports > 15 ELSE imports > 20 END
+  UNION ALL SELECT file_path, class_name, 'large_class', 'smell', CASE WHEN m > 50 OR l > 1000 THEN 'high' WHEN m > 30 OR l > 750 THEN 'medium' ELSE 'low' END, 4 + 2 * m / 10.0 FROM (SELECT file_path, class_name, count(*) AS m, sum(lines) AS l FROM fn GROUP BY 1, 2) WHERE m > 20 OR l > 500
+  UNION ALL SELECT file_path, class_name, 'too_many_methods', 'smell', 'medium', 0.5 * m FROM (SELECT file_path, class_name, count(*) AS m FROM fn GROUP BY 1, 2) WHERE m > 15
+  UNION ALL SELECT NULL, same, 'exact_duplication', 'duplication', 'high', 0.1 * burden FROM (SELECT sha256(regexp_replace(text, '[ \\t]', '', 'g')) AS same, round(count(*) * min(length(text) - length(replace(text, chr(10), '')) + 1) * 0.9, 6) AS burden FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) WHERE burden > 50
 ), s0 AS (
   SELECT *, CASE severity WHEN 'critical' THEN 10.0 WHEN 'severe' THEN 10.0 WHEN 'high' THEN 6.0 WHEN 'medium' THEN 3.0 ELSE 1.0 END * (1 + least(hours::DOUBLE / 10, 2.0)) AS score,
-    CASE WHEN item = 'high_complexity' THEN 0.9 WHEN item IN ('memory_leak_risk', 'circular_dependency') THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence FROM items
+    CASE WHEN item IN ('high_complexity', 'exact_duplication') THEN 0.9 WHEN item IN ('memory_leak_risk', 'circular_dependency') THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence FROM items
 ), sc AS (SELECT *, score * confidence AS impact, 0.3::DOUBLE AS change_frequency, CASE WHEN 0.4 * score * confidence + 0.09 > 8 THEN 'critical' WHEN 0.4 * score * confidence + 0.09 > 6 THEN 'high' WHEN 0.4 * score * confidence + 0.09 > 3 THEN 'medium' ELSE 'low' END AS priority FROM s0)
 """
 
@@ -187,7 +191,9 @@ def dup_impact(spark, d):
 def items(spark, d):
     f = functions(spark, d)
     files = f.groupBy("file_path").agg(F.sum("external").alias("imports"), F.sum("internal").alias("exports"), F.count("*").alias("functions"), F.count_distinct("class_name").alias("classes"))
-    return debt.scored_items(debt.function_items(cx.complexity(f)).unionByName(debt.file_items(files)))
+    classes = f.groupBy("file_path", F.col("class_name").alias("name")).agg(F.count("*").alias("methods"), F.sum("lines").alias("lines"))
+    found = debt.function_items(cx.complexity(f)).unionByName(debt.file_items(files)).unionByName(debt.class_items(classes)).unionByName(debt.duplication_items(duplication.exact_clusters(blocks(spark, d))))
+    return debt.scored_items(found)
 
 
 @query(ITEMS + "SELECT file_path, name, item, category, severity, round(hours::DOUBLE, 6) AS hours, round(score, 6) AS score, round(impact, 6) AS impact, priority FROM sc")
@@ -202,7 +208,7 @@ def debt_category_rollup(spark, d):
 
 @query(ITEMS + ", g AS (SELECT file_path, count(*) AS n_items, round(sum(score), 6) AS score, round(sum(hours::DOUBLE), 6) AS hours, round(coalesce(sum(score) FILTER (category = 'smell'), 0), 6) AS smell, round(coalesce(sum(score) FILTER (category = 'architecture'), 0), 6) AS architecture, round(coalesce(sum(score) FILTER (category = 'performance'), 0), 6) AS performance, round(coalesce(sum(score) FILTER (category = 'complexity'), 0), 6) AS complexity FROM sc GROUP BY 1) SELECT *, CASE WHEN score > 50 THEN 'critical' WHEN score > 30 THEN 'high' WHEN score > 15 THEN 'medium' ELSE 'low' END AS priority, row_number() OVER (ORDER BY score DESC, file_path) AS position FROM g")
 def debt_file_pivot(spark, d):
-    return debt.by_file(items(spark, d))
+    return debt.by_file(items(spark, d), Shelf(spark, "debt"))
 
 
 @query(ITEMS + "SELECT file_path, name, item, round(impact, 6) AS impact FROM sc WHERE hours <= 2 AND impact > 5")
@@ -330,7 +336,7 @@ def testing_strategy(spark, d):
 #: The six sources, over the items of debt beside what the three have.
 RECS6 = RECS[: RECS.index("), r1 AS")] + """
   UNION ALL SELECT 'complexity', name, least(40.0, greatest(2.0, (cyclomatic - 10) * 0.5 * greatest(1.0, lines / 100.0)))::DOUBLE, cyclomatic::DOUBLE FROM cx WHERE cyclomatic > 15
-  UNION ALL SELECT * FROM (SELECT 'debt', file_path, greatest(hours, 0.25)::DOUBLE, (100 - health)::DOUBLE FROM (SELECT file_path, round(sum(hours::DOUBLE), 6) AS hours, greatest(0.0, 100 - round(sum(score), 6)) AS health FROM sc GROUP BY 1) WHERE health <= 60 ORDER BY health, file_path LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 'debt', file_path, greatest(hours, 0.25)::DOUBLE, (100 - health)::DOUBLE FROM (SELECT file_path, round(sum(hours::DOUBLE), 6) AS hours, greatest(0.0, 100 - round(sum(score), 6)) AS health FROM sc GROUP BY 1) WHERE health <= 60 AND file_path IS NOT NULL ORDER BY health, file_path LIMIT 10)
   UNION ALL SELECT 'performance', concat_ws('/', name, item), least(24.0, CASE item WHEN 'nested_loops' THEN 6.0 WHEN 'sync_in_async' THEN 6.0 WHEN 'memory_leak_risk' THEN 8.0 ELSE 5.0 END * (1 + impact / 100))::DOUBLE, 1.5 * impact FROM sc WHERE category = 'performance' AND severity IN ('high', 'critical')
 """ + RECS[RECS.index("), r1 AS") :]
 RECS6 = ITEMS.rstrip() + RECS6[len(FN) :] if RECS6.startswith(FN) else RECS6
@@ -338,7 +344,7 @@ RECS6 = ITEMS.rstrip() + RECS6[len(FN) :] if RECS6.startswith(FN) else RECS6
 
 def _six(spark, d):
     scored, found = cx.complexity(functions(spark, d)), items(spark, d)
-    return reports.six_sources(duplication.exact_clusters(blocks(spark, d)), testability.testability(scored), _halstead(spark, d), scored, debt.by_file(found), found)
+    return reports.six_sources(duplication.exact_clusters(blocks(spark, d)), testability.testability(scored), _halstead(spark, d), scored, debt.by_file(found, Shelf(spark, "debt")), found)
 
 
 @query(RECS6 + " SELECT kind, priority, count(*) AS n, round(sum(effort), 6) AS hours, round(avg(roi), 6) AS roi FROM recs GROUP BY 1, 2")

@@ -21,6 +21,18 @@ def node_link(edges: DataFrame) -> DataFrame:
     return edges.select(F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"))).alias("link"))
 
 
+def node_objects(nodes: DataFrame) -> DataFrame:
+    """JSON objects of nodes(node, in_degree, out_degree)."""
+    return nodes.select(F.to_json(F.struct(F.col("node").alias("id"), F.col("in_degree").alias("in"), F.col("out_degree").alias("out"))).alias("node"))
+
+
+def graph_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One JSON object of totals: nodes, edges, the most neighbours, self-loops, nodes without incoming and without outgoing edges."""
+    e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
+    n = nodes.agg(F.count("*").alias("nodes"), F.max("centrality").alias("most"), F.count_if(F.col("in_degree") == 0).alias("sources"), F.count_if(F.col("out_degree") == 0).alias("sinks"))
+    return e.join(F.broadcast(n)).select(F.to_json(F.struct("nodes", "edges", "most", "loops", "sources", "sinks")).alias("summary"))  # one row each
+
+
 def markdown(rows: DataFrame) -> DataFrame:
     """Table rows."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in rows.columns)), F.lit(" |")).alias("line"))

@@ -121,3 +121,42 @@ def test_structural_clusters_need_similar_contents(spark):
             want.add((len(members), members[0][0], members[-1][0], round(sum(alike) / len(alike), 6)))
     assert {(r.n, r.first_block, r.last_block, r.similarity) for r in duplication.similar_clusters(df).collect()} == want
     assert {w[1] for w in want} == {4, 7, 9, 500}
+
+
+def test_tokens_without_comments(spark):
+    from sparkquarry.operators import scan
+
+    rows = [(1, "let x1 = 'a b' + 3.14; // y\n/* z\n z */ f(2)"), (2, "// only"), (3, ""), (4, None), (5, "a/*b*/c"), (6, "http://x.y/z w")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: (r.n, r.f) for r in df.select("id", scan.token_count(df.t).alias("n"), scan.tokenised(df.t).alias("f")).collect()}
+    assert got[1] == (7, "IDENTIFIER IDENTIFIER = STRING_LITERAL + NUMBER_LITERAL; IDENTIFIER(NUMBER_LITERAL)")
+    assert [got[k][0] for k in (2, 3, 4, 5, 6)] == [0, 0, 0, 1, 1] and got[4][1] is None
+
+
+def test_endpoints(spark):
+    from sparkquarry.operators import scan
+
+    df = spark.createDataFrame([(1, "see https://a.b/c?d=1 and <a href='/x'> <img src=\"/x\"><form action=\"rel\"> https://a.b/c?d=1"), (2, None), (3, "none")], "id long, t string")
+    assert sorted(tuple(r) for r in scan.endpoints(df, "t").collect()) == [(1, "endpoint", "/x", 2), (1, "url", "https://a.b/c?d=1", 2)]
+
+
+def test_outlook_and_files(spark):
+    from sparkquarry.operators import testability
+
+    rows = [("f", "c", "a", 55.0, 4, True, 2, 1, 5), ("f", "c", "b", 85.0, 0, False, 0, 2, 5), ("g", None, "d", 30.0, 1, False, 4, 0, 5)]
+    df = spark.createDataFrame(rows, "file_path string, class_name string, name string, score double, params long, is_async boolean, mocks long, external long, cyclomatic long")
+    looked = testability.outlook(df)
+    got = {r.name: (r.coverage, r.risk, r.hours, r.approach) for r in looked.collect()}
+    assert got == {"a": (19.0, "high", 15, "unit_testing_with_mocks"), "b": (85.0, "low", 2, "pure_unit_testing"), "d": (0.0, "critical", 14, "integration_testing_with_test_doubles")}
+    files = {r.file_path: (r.score, r.tested, r.untested, r.complexity, r.mocks, r.gaps, r.priority) for r in testability.by_file(looked).collect()}
+    assert files == {"f": (70.0, 1, 1, 50, 2, 2, "medium"), "g": (30.0, 0, 1, 10, 4, 0, "critical")}
+    plan = testability.strategy(looked, spark.createDataFrame([("critical",), ("low",), ("low",)], "band string")).first()
+    assert (plan.n, plan.gate, plan.hours, plan.weeks, plan.approach, plan.immediate_weeks, plan.short_weeks) == (3, "fail", 40, 1, "risk_driven_testing_with_immediate_critical_focus", 2, 1)
+
+
+def test_unused_exports(spark):
+    from sparkquarry.operators import source
+
+    files = [("/a.js", "import { used } from './b';\nimport * as all from './c.js';\nimport D from './d';"), ("/b.js", "export const used = 1;\nexport const idle = 2;"), ("/c.js", "export const any = 1;"), ("/d.js", "export default D\nexport const named = 1;"), ("/e.js", None)]
+    got = {(r.path, r.name) for r in source.unused_exports(spark.createDataFrame(files, "path string, content string").filter("content is not null")).collect()}
+    assert got == {("/b.js", "idle"), ("/d.js", "named")}

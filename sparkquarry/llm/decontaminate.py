@@ -181,7 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     Null and empty texts have no words and no hits. Items that are null, empty or without words
     match nothing; items with equal texts all count; repeated items count once by item_id. Repeated
-    document rows each get their own result. An empty benchmark leaves every document clean.
+    document rows each get their own result. Long texts are searched whole, a slice or one text at a
+    time. Columns other than doc_id, item_id and text are not looked at. An empty benchmark leaves
+    every document clean, an empty table of documents gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit("").alias("row"))
     parts = _parts(benchmark)
@@ -209,7 +211,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without a hit, with all their columns."""
+    """The rows of docs without a hit, with all their columns.
+
+    Null and empty texts have no hit and stay. Repeated rows stay or go together, whatever their
+    doc_id; long texts are searched whole. Columns may have any other names. An empty benchmark keeps
+    all rows, an empty table gives an empty result.
+    """
     flag, text = K.free_name(docs, "contaminated"), K.free_name(docs, "searched_text")
     out = docs.withColumn(flag, F.lit(False))
     schema, columns = out.schema, docs.columns

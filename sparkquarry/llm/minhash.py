@@ -382,7 +382,13 @@ def near_duplicates(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; of rows with one doc_id and one text, one stays."""
+    """The rows of docs that are kept, with all their columns; of rows with one doc_id and one text, one stays.
+
+    Of each group of near copies the document with the smallest doc_id stays. Null and empty texts are
+    linked with nothing and stay; so do rows without a doc_id.
+    Rows that share a doc_id but not the text are judged each by their own. Long texts count with all
+    their shingles. Columns may have any other names. An empty table gives an empty result.
+    """
     found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
     key = K.free_name(docs, "text_key")
     rows = docs.withColumn(key, F.xxhash64("text"))

@@ -549,7 +549,12 @@ def _scan(matrices: DataFrame, shelf: Shelf, fan: int | None = None) -> DataFram
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "piece_ids", marks: str = "mark_positions", into: str = "decoded") -> DataFrame:
-    """rows with the texts of their piece ids in column into; null ids give null."""
+    """rows with the texts of their piece ids in column into; null ids give null.
+
+    Empty ids give an empty text. U+2581 comes back where marks says so, elsewhere it is a space. Bytes
+    that are no UTF-8 become U+FFFD. Rows are decoded each, repeated or not, long ones whole; other
+    columns stay as they are. An empty table gives an empty result.
+    """
     shared = _share(rows.sparkSession, model)
     schema = rows.withColumn(into, F.lit(None).cast("string")).schema
     bound_batches(rows.sparkSession)

@@ -491,7 +491,12 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
 
 def masked(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """docs with all spans of text replaced by [KIND] (spans that meet become one, named after the first); n_chars, where docs has it, is the new length. Null texts stay null."""
+    """docs with all spans of text replaced by [KIND] (spans that meet become one, named after the first); n_chars, where docs has it, is the new length. Null texts stay null.
+
+    Empty texts stay empty; repeated rows are masked alike; long texts are read in windows, all of
+    them, in time in proportion. Other columns stay as they are, whatever their names. An empty table
+    gives an empty result.
+    """
     import pyarrow as pa
 
     from sparkquarry.llm.kernels import map_text

@@ -229,7 +229,13 @@ def judged(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns.
+
+    Null and empty texts have no words, so they fail the base rules and go. Repeated rows are judged
+    each and stay or go together; long texts are judged whole, in time in proportion; documents
+    without a label, or without a doc_id, are judged like others. Columns may have any other names,
+    those of the statistics too. An empty table gives an empty result.
+    """
     rows, name = _with_statistics(docs, docs.columns)
     stat = F.col(name)
     return rows.filter(~base_failed(stat["n_words"], stat["n_repeat_words"]) & verdict(fit(docs, labels, limit), stat)).drop(name)

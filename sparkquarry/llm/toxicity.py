@@ -208,7 +208,10 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFra
     """doc_id, held_out, score, predicted, n_passages for each row of docs.
 
     Null texts count as empty and get the score of a text without passages. held_out of a null
-    doc_id is null. Without labels of both kinds all texts get one score.
+    doc_id is null. Without labels of both kinds all texts get one score. Equal texts get equal
+    scores, so repeated rows do; of segments of one sum the first counts. Long texts are scanned
+    whole, in linear time. Columns other than doc_id and text are not looked at. An empty table gives
+    an empty result.
     """
     model = fit(docs, labels, limit)
     score = 1 / (1 + F.exp(-(F.lit(model.a) * F.log1p("strength") + F.lit(model.b))))

@@ -602,6 +602,14 @@ def test_stages_take_odd_rows(spark, k):
     rows = out.collect()
     if k == 3:
         assert len(rows) == len(ODD) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+    texts = [t for _, t, *_ in ODD]
+    if k == 0:
+        assert rows == [] or all(r.text and len(r.text.split()) >= 10 for r in rows)
+    if k == 2:
+        assert len(rows) == len(ODD)
+    if k == 4:
+        assert len(rows) == len(ODD) and all(r.round_trip for r in rows)
+        assert sum(r.piece_ids is None for r in rows) == texts.count(None) and sum(r.piece_ids == [] for r in rows) == texts.count("") and all(len(r.piece_ids or []) == (r.n_pieces or 0) for r in rows if r.piece_ids is not None)
     if k == 1:
         assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i in (None, 1, 2, 3, 4, 5, 7, 8))
     assert stage(spark, d.limit(0), SF).count() == 0

@@ -48,7 +48,7 @@ def trimmed(edges: DataFrame, shelf: Shelf, name: str, rounds: int) -> DataFrame
     return edges
 
 
-def strong_components(edges: DataFrame, shelf: Shelf, name: str = "scc", trims: int = 3) -> DataFrame:
+def strong_components(edges: DataFrame, shelf: Shelf, name: str = "scc", trims: int = 1) -> DataFrame:
     """(node, component, size) of all nodes of edges (src, dst): component is the smallest node that reaches the node and is reached by it.
 
     Forward-backward colouring: the colour of a node is the smallest node that reaches it; of the nodes
@@ -107,7 +107,7 @@ def cut_edges(edges: DataFrame, shelf: Shelf, name: str = "cut") -> DataFrame:
     cut, k, live = [e.filter("src = dst").withColumn("round", F.lit(0))], 0, e.filter("src <> dst")
     while True:
         k += 1
-        inner = shelf.put(f"{name}_inner_{k}", inner_edges(live, strong_components(live, shelf, f"{name}_scc_{k}", 3 if k == 1 else 0), "weight"))
+        inner = shelf.put(f"{name}_inner_{k}", inner_edges(live, strong_components(live, shelf, f"{name}_scc_{k}", 1 if k == 1 else 0), "weight"))
         if inner.isEmpty():
             break
         ends = inner.select(F.col("src").alias("node"), F.col("weight").alias("w"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(inner.select(F.col("dst").alias("node"), (-F.col("weight")).alias("w"), F.lit(0).alias("o"), F.lit(1).alias("i")))

@@ -33,6 +33,8 @@ from sparkquarry.llm import terms as T
 from sparkquarry.store import Shelf
 
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 15
+#: Row groups of the index; writer and reader hold one of them.
+BLOCK_BYTES = 16 << 20
 TOP = 50
 #: Bytes of query texts that are searched for in one pass over the index; states that are opened together; queries walked together.
 PART_BYTES, STEP, TOGETHER = 4 << 20, 2048, 8
@@ -149,6 +151,11 @@ def build(docs: DataFrame, n_docs: int, n_words: int) -> DataFrame:
     return rows.mapInArrow(run, _INDEX_DDL)
 
 
+def shelved(spark, index: DataFrame) -> DataFrame:
+    """The index as a table. A task writes, and reads back, any number of shards but holds BLOCK_BYTES of them (or one shard) at a time."""
+    return Shelf(spark, "treaps").put("index", index, BLOCK_BYTES)
+
+
 # --- search -----------------------------------------------------------------------------------
 
 
@@ -343,7 +350,7 @@ def search(index: DataFrame, n_docs: int, items: DataFrame, k: int = TOP) -> Dat
 def op13_ranked_search(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     n_docs, n_words = statistics(docs)
-    index = Shelf(spark, "treaps").put("index", build(docs, n_docs, n_words))
+    index = shelved(spark, build(docs, n_docs, n_words))
     return search(index, n_docs, items)
 
 

@@ -266,3 +266,20 @@ def test_words_are_those_of_the_pattern():
     w, n = T.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lexical.K.ALNUM_WORDS)
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     assert w.to_pylist() == re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.translate(lower)) and n.tolist() == [len(w)]
+
+
+def test_a_table_of_large_rows_has_small_row_groups(spark):
+    """Writer and reader of an index hold a row group whole, so it may not grow with the rows of a task."""
+
+    def rows(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(k).bytes(4 << 20)], pa.binary())], ["raw"])
+
+    kept = Shelf(spark, "large").put("rows", spark.range(0, 48, 1, 1).mapInArrow(rows, "raw binary"))
+    import pyarrow.parquet as pq
+
+    (file,) = kept.inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file:")).metadata
+    assert groups.num_rows == 48 and groups.num_row_groups > 1
+    assert max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 160 << 20

@@ -160,3 +160,33 @@ def test_unused_exports(spark):
     files = [("/a.js", "import { used } from './b';\nimport * as all from './c.js';\nimport D from './d';"), ("/b.js", "export const used = 1;\nexport const idle = 2;"), ("/c.js", "export const any = 1;"), ("/d.js", "export default D\nexport const named = 1;"), ("/e.js", None)]
     got = {(r.path, r.name) for r in source.unused_exports(spark.createDataFrame(files, "path string, content string").filter("content is not null")).collect()}
     assert got == {("/b.js", "idle"), ("/d.js", "named")}
+
+
+def _shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_near_copies_send_their_tokens_once(spark):
+    """Token pairs equal plain counting; near copies neither meet once for each token nor send their sets once for each pair."""
+    import random
+
+    r = random.Random(3)
+    base = [f"token{k:04d}{r.random()}" for k in range(300)]
+    texts = [" ".join(r.sample(base, 270) + [f"own{k}x{j}" for j in range(k % 12)]) for k in range(240)] + [f"a b c{k % 3}" for k in range(9)] + ["x", "x y", " \n "]
+    rows = spark.createDataFrame([(k, "f", t) for k, t in enumerate(texts)] + [(300, "f", None), (None, "f", "x y z")], "block_id long, file_path string, content string").repartition(4)
+    before = _shuffled(spark)
+    found = {(p.a, p.b): (p.copies_a, p.copies_b, p.jaccard) for p in duplication.token_pairs(rows).collect()}
+    sent = _shuffled(spark) - before
+    sets = {}
+    for k, t in enumerate(texts):
+        sets.setdefault(frozenset(t.split()), []).append(k)
+    sets = {min(ks): (s, len(ks)) for s, ks in sets.items() if s}
+    want = {}
+    for a in sets:
+        for b in sets:
+            n, u = len(sets[a][0] & sets[b][0]), len(sets[a][0] | sets[b][0])
+            if a < b and 100 * n >= 75 * u:
+                want[a, b] = (sets[a][1], sets[b][1], round(n / u, 6))
+    assert found == want and len(want) > 7_000
+    assert sent < 4 << 20, sent

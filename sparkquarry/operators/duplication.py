@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -42,25 +43,75 @@ def structural_clusters(blocks: DataFrame) -> DataFrame:
     return blocks.filter("content is not null").groupBy(key.alias("skeleton")).agg(F.count("*").alias("n"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block")).filter("n > 1")
 
 
-def _dealt_pairs(rows: DataFrame, order: str, block: int = 64) -> DataFrame:
+def _dealt_pairs(rows: DataFrame, order: str, block: int = 64, parts: int | None = None) -> DataFrame:
     """All pairs (a, b: structs of the row) of the rows of one skeleton, a before b by order, unique in it; large skeletons are dealt in blocks, every two of which meet in a group of their own."""
     size = rows.groupBy("skeleton").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     part = rows.join(size, "skeleton").withColumn("at", F.pmod(F.xxhash64(order), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = part.select("skeleton", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", F.struct(*rows.columns).alias("row"))
+    if parts:
+        part = part.repartition(parts, "skeleton", "i", "j")
     a, b = part.withColumnsRenamed({"row": "a", "at": "at_a"}), part.withColumnsRenamed({"row": "b", "at": "at_b"})
     both = a.join(b, ["skeleton", "i", "j"]).filter((F.col(f"a.{order}") < F.col(f"b.{order}")) & ((F.col("i") == F.col("j")) | (F.col("at_a") != F.col("at_b"))))
     return both.select("skeleton", "a", "b")
 
 
+def levenshtein(a: bytes, b: bytes) -> int:
+    """The Levenshtein distance; a column of its table is two bit vectors (Myers), so a step takes a few operations on whole numbers."""
+    n, lo = min(len(a), len(b)), 0
+    while lo < n and a[lo] == b[lo]:  # common start
+        step = 1
+        while lo + step <= n and a[lo : lo + step] == b[lo : lo + step]:
+            lo, step = lo + step, 2 * step
+    a, b = a[lo:], b[lo:]
+    n, end = min(len(a), len(b)), 0
+    while end < n and a[-1 - end] == b[-1 - end]:  # common end
+        step = 1
+        while end + step <= n and a[len(a) - end - step : len(a) - end] == b[len(b) - end - step : len(b) - end]:
+            end, step = end + step, 2 * step
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a or not b:
+        return len(a) or len(b)
+    holds = dict.fromkeys(a)
+    for c in holds:
+        # Bit k: a[k] is c.
+        holds[c] = int(a[::-1].translate(bytes(48 + (x == c) for x in range(256))), 2)
+    mask, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = mask, 0, len(a)
+    for c in b:
+        eq = holds.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | (mask & ~(diagonal | up)), diagonal & up
+        if more & high:
+            score += 1
+        elif less & high:
+            score -= 1
+        more, less = (more << 1) | 1, less << 1
+        up, down = mask & (less | ~(diagonal | more)), mask & more & diagonal
+    return score
+
+
+def distance():
+    """levenshtein as a function of two binary columns, without nulls."""
+
+    @F.pandas_udf("long")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([levenshtein(bytes(x), bytes(y)) for x, y in zip(a, b)], dtype="int64")
+
+    return of
+
+
 def similar_clusters(blocks: DataFrame, least: float = 0.85) -> DataFrame:
     """Structural clusters whose mean pairwise similarity (1 - Levenshtein distance / longer length, in bytes) is at least `least`.
 
     Equal contents are compared once and count as often as they occur. A pair is at most as similar
-    as its lengths allow; clusters that these bounds rule out are not compared.
+    as its lengths allow; clusters that these bounds rule out are not compared. Contents are cut up and
+    hashed once; those to compare are fetched by one block each. Pairs are dealt over fixed partitions,
+    as few bytes of them are much work.
     """
+    shelf = Shelf(blocks.sparkSession, "similar")
     key = skeleton()
-    rows = blocks.filter("content is not null").select(key.alias("skeleton"), F.sha2("content", 256).alias("digest"), "block_id", F.octet_length("content").alias("size"), F.decode(F.encode("content", "UTF-8"), "ISO-8859-1").alias("bytes"))
-    kinds = rows.groupBy("skeleton", "digest").agg(F.count("*").alias("copies"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"), F.first("size").alias("size"))
+    rows = blocks.filter("content is not null").select(key.alias("skeleton"), F.sha2("content", 256).alias("digest"), "block_id", F.octet_length("content").alias("size"))
+    kinds = shelf.put("kinds", rows.groupBy("skeleton", "digest").agg(F.count("*").alias("copies"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"), F.first("size").alias("size")))
     half = lambda n: n * (n - 1) / 2
     found = kinds.groupBy("skeleton").agg(F.sum("copies").alias("n"), F.count("*").alias("kinds"), F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"), F.sum(half(F.col("copies"))).alias("same")).filter("n > 1")
     pairs_of = half(F.col("n"))
@@ -70,9 +121,13 @@ def similar_clusters(blocks: DataFrame, least: float = 0.85) -> DataFrame:
     alike = lengths.groupBy("skeleton").agg(F.sum(half(F.col("copies"))).alias("alike"))
     apart = _dealt_pairs(lengths, "size", 1024).groupBy("skeleton").agg(F.sum(weight * F.least("a.size", "b.size") / F.greatest("a.size", "b.size")).alias("apart"))
     open_ = found.filter("kinds > 1").join(alike, "skeleton").join(apart, "skeleton", "left").fillna(0.0, ["apart"]).filter((F.col("alike") + F.col("apart")) / pairs_of >= least - 1e-9).select("skeleton")
-    texts = rows.join(open_, "skeleton", "left_semi").groupBy("skeleton", "digest").agg(F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bytes").alias("bytes"))
-    similarity = 1 - F.levenshtein("a.bytes", "b.bytes") / F.greatest("a.size", "b.size")
-    sums = _dealt_pairs(texts, "digest").groupBy("skeleton").agg(F.sum(weight * similarity).alias("unlike"))
+    wanted = kinds.join(open_, "skeleton", "left_semi").select("skeleton", "digest", "copies", "size", "first_block")
+    texts = blocks.filter("content is not null").join(wanted, F.col("block_id").eqNullSafe(F.col("first_block"))).filter(F.sha2("content", 256) == F.col("digest"))
+    texts = texts.groupBy("skeleton", "digest").agg(F.first("copies").alias("copies"), F.first("size").alias("size"), F.first(F.encode("content", "UTF-8")).alias("bytes"))
+    similarity = 1 - distance()("a.bytes", "b.bytes") / F.greatest("a.size", "b.size")
+    session = blocks.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 16 * session.sparkContext.defaultParallelism)
+    sums = _dealt_pairs(texts, "digest", 16, parts).groupBy("skeleton").agg(F.sum(weight * similarity).alias("unlike"))
     out = found.filter("kinds = 1").withColumn("unlike", F.lit(0.0)).unionByName(found.filter("kinds > 1").join(sums, "skeleton"))
     mean = (F.col("same") + F.col("unlike")) / pairs_of
     return out.filter(mean >= least).select("skeleton", "n", "first_block", "last_block", six(mean).alias("similarity"))

@@ -196,3 +196,21 @@ def test_near_copies_send_their_tokens_once(spark):
                 want[a, b] = (sets[a][1], sets[b][1], round(n / u, 6))
     assert found == want and len(want) > 7_000
     assert sent < 16 << 20, sent
+
+
+def test_distances_by_bit_vectors_equal_the_table():
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(1)
+    for _ in range(500):
+        a, b = (bytes(r.choices(b"abc\xc3\x00", k=r.randint(0, 90))) for _ in range(2))
+        near = a[: len(a) // 3] + b[:4] + a[len(a) // 2 :]
+        assert duplication.levenshtein(a, b) == plain(a, b) and duplication.levenshtein(a, near) == plain(a, near)

@@ -666,3 +666,12 @@ def test_sample_takes_one_row_of_an_id(spark):
     d = spark.createDataFrame([(1, "b"), (1, "a")] * 50 + [(2, None), (None, "x"), (3, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None), (4, 1)], "doc_id long, quality int")
     assert sample(d, labels, "quality", 10).to_pylist() == [{"doc_id": 1, "text": "a", "label": 1}, {"doc_id": 2, "text": "", "label": 0}]
+
+
+def test_every_labelled_text_teaches_the_ranking(spark):
+    """Long texts are examples too: here the bad ones are all longer than 64 KB."""
+    good = lambda k: f"The reader finds a plain sentence number {k} about rivers, towns and weather in every season of the year."
+    rows = [(k, good(k) if k % 2 else "# $ % & " * 9_000 + f"{k}") for k in range(90)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.predicted for r in quality_rank.scored(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got == {k: k % 2 for k, _ in rows}

@@ -187,6 +187,13 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
 
 
+def _squash(z: np.ndarray) -> None:
+    """1 / (1 + exp(z)), in place."""
+    np.exp(z, out=z)
+    z += 1
+    np.reciprocal(z, out=z)
+
+
 class Tagger:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -296,31 +303,35 @@ class Tagger:
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Emissions (time, tag, window) of windows (window, time): what emissions() gives, by look-up tables and over whole batches."""
         p, h, (n, steps) = self.p, HIDDEN, x.shape
-        # sigmoid(z) = (1 + tanh(z / 2)) / 2: the halves inside are in the weights of the first three gates.
-        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)])
-        gates = lambda w: np.ascontiguousarray(np.split((w * half).astype(np.float32), 4, axis=-1))
+        # sigmoid(z) = 1 / (1 + exp(-z)) and tanh(z) = 2 sigmoid(2 z) - 1: the factors inside are in the weights, as numpy's exp is many times faster than its tanh.
+        inside = np.concatenate([np.full(3 * h, -1.0), np.full(h, -2.0)])
+        gates = lambda w: np.ascontiguousarray(np.split((w * inside).astype(np.float32), 4, axis=-1))
         em = np.empty((steps, TAGS, n), np.float32)
         em[:] = p["bias"].astype(np.float32)[:, None]
         at = np.ascontiguousarray(x.T).astype(np.intp)
         for k, d in enumerate("fb"):
-            table, out = gates(p["emb"] @ p[f"x{d}"] + p[f"g{d}"]), np.ascontiguousarray(p["out"][k * h : k * h + h].T.astype(np.float32)) * np.float32(0.5)
-            u = gates(p[f"h{d}"]) * np.float32(0.5)  # state is twice the hidden state
+            table, out = gates(p["emb"] @ p[f"x{d}"] + p[f"g{d}"]), np.ascontiguousarray(p["out"][k * h : k * h + h].T.astype(np.float32))
+            u = gates(p[f"h{d}"])
             state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
             z, more = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32)
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                for g in range(4):
-                    np.take(table[g], at[t], axis=0, out=z[g], mode="clip")
-                    np.matmul(state, u[g], out=more[g])
-                z += more
-                np.tanh(z, out=z)
-                z[:3] += 1
-                cell *= z[1]
-                np.multiply(z[0], z[3], out=state)
-                cell += state
-                cell *= 0.5
-                np.tanh(cell, out=state)
-                state *= z[2]
-                em[t] += out @ state.T
+            with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
+                for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                    for g in range(4):
+                        np.take(table[g], at[t], axis=0, out=z[g], mode="clip")
+                        np.matmul(state, u[g], out=more[g])
+                    z += more
+                    _squash(z)
+                    z[3] *= 2
+                    z[3] -= 1
+                    cell *= z[1]
+                    np.multiply(z[0], z[3], out=state)
+                    cell += state
+                    np.multiply(cell, -2, out=state)
+                    _squash(state)
+                    state *= 2
+                    state -= 1
+                    state *= z[2]
+                    em[t] += out @ state.T
         return em
 
     def tags(self, x: np.ndarray) -> np.ndarray:
@@ -329,21 +340,26 @@ class Tagger:
         steps, _, n = best.shape
         outside = best[0, 0].copy()
         more, top = np.empty((TAGS, n), np.float32), np.empty((TAGS, n), np.float32)
+        entered = np.zeros((steps, n), bool)  # outside, after a span
         for t in range(1, steps):
             outside = best[t, 0] + (outside + a[0, 0])
-            for j in range(TAGS):
-                np.add(best[t - 1], a[:, j : j + 1], out=more)
-                np.max(more, axis=0, out=top[j])
+            np.add(best[t - 1, 0], a[0, :, None], out=top)
+            stay = top[0].copy()
+            for i in range(1, TAGS):
+                np.add(best[t - 1, i], a[i, :, None], out=more)
+                np.maximum(top, more, out=top)
+            np.greater(top[0], stay, out=entered[t])
             best[t] += top
-        out = np.zeros((n, steps), np.int8)
-        rest = np.flatnonzero(best[-1].max(0) > outside)
-        best = best[:, :, rest]
-        tag = best[-1].argmax(0)
+        out = np.zeros((steps, n), np.int8)
+        inside = best[-1].max(0) > outside
+        tag = np.where(inside, best[-1].argmax(0), 0)
         for t in range(steps - 1, -1, -1):
-            out[rest, t] = tag
+            out[t] = tag
             if t:
-                tag = (best[t - 1] + a[:, tag]).argmax(0)
-        return out
+                # From outside the path mostly goes on outside: only the others need a look at all tags.
+                at = np.flatnonzero(((tag != 0) | entered[t]) & inside)
+                tag[at] = (best[t - 1][:, at] + a[:, tag[at]]).argmax(0)
+        return np.ascontiguousarray(out.T)
 
 
 def train_anew(seed: int = 11, steps: int = STEPS) -> Tagger:
@@ -402,15 +418,15 @@ def find(texts: list[str], tagger: Tagger, at_once: int = AT_ONCE):
         hi = lengths[d] - s if s + WINDOW >= lengths[d] else WINDOW - OVERLAP + OVERLAP // 2
         whole[s + lo : s + hi] = path[lo:hi]
     for d in range(len(texts)):
-        out: list[list] = []
-        tag = tags.get(d)
-        for i in np.flatnonzero(tag).tolist() if tag is not None else ():
-            kind = (tag[i] - 1) // 2
-            if out and out[-1][2] == i and out[-1][0] == kind and tag[i] % 2 == 0:
-                out[-1][2] = i + 1
-            else:
-                out.append([int(kind), i, i + 1])
-        yield [(KINDS[k], s, e) for k, s, e in out]
+        if d not in tags:
+            yield []
+            continue
+        at = np.flatnonzero(tags[d])
+        tag = tags[d][at]
+        kind = (tag - 1) // 2
+        begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (kind[1:] != kind[:-1]) | (tag[1:] % 2 == 1)])[: len(at)])
+        ends = at[np.append(begin[1:], len(at)) - 1] + 1 if len(at) else at
+        yield [(KINDS[k], s, e) for k, s, e in zip(kind[begin].tolist(), at[begin].tolist(), ends.tolist())]
 
 
 def fitted(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

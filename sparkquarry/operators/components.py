@@ -132,17 +132,35 @@ def peel(edges: DataFrame, shelf: Shelf, name: str = "peel") -> tuple[DataFrame,
     """(node, layer) by topological peeling, and whether all nodes went: then the edges have no cycle. The layer of a node is the length of the longest path to it."""
     e = shelf.put(f"{name}_edges", clean_edges(edges))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    layers, k = [], 0
+    layers, rest = peeled(nodes, e, shelf, name)
+    return layers, rest is None
+
+
+def peeled(nodes: DataFrame, edges: DataFrame, shelf: Shelf, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """(node, layer) of the nodes that go, and the edges between the others (None if all go). Edges are on the shelf, distinct and without nulls.
+
+    A node goes once its count of edges from nodes that stay is 0, so a round joins the edges with the
+    nodes that went in the round before and rewrites only the counts; edges are rewritten when half of
+    them have done their part, so all rewriting together is no more than their number.
+    """
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("into"))
+    left = shelf.put(f"{name}_nodes_0", nodes.join(into, "node", "left").select("node", F.coalesce("into", F.lit(0).cast("long")).alias("into")))
+    kept, written, layers, k = edges, None, [], 0
     while True:
-        free = nodes.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-        layer = shelf.put(f"{name}_layer_{k}", free.select("node", F.lit(k).cast("long").alias("layer")))
+        free, live = left.agg(F.count_if(F.col("into") == 0), F.coalesce(F.sum("into"), F.lit(0))).first()
+        layer = shelf.put(f"{name}_layer_{k}", left.filter("into = 0").select("node", F.lit(k).cast("long").alias("layer")))
         layers.append(layer)
-        if layer.isEmpty():
+        if not free or not live:
             break
-        nodes = shelf.put(f"{name}_nodes_{k}", nodes.join(layer.select("node"), "node", "left_anti"))
-        e = shelf.put(f"{name}_left_{k}", e.join(layer.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
+        if written is None:
+            written = live
+        elif 2 * live <= written:
+            kept, written = shelf.put(f"{name}_left_{k}", kept.join(left.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")), live
+        gone = kept.join(layer.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("gone"))
         k += 1
+        left = shelf.put(f"{name}_nodes_{k}", left.filter("into > 0").join(gone, "node", "left").select("node", (F.col("into") - F.coalesce("gone", F.lit(0))).alias("into")))
+        shelf.drop(f"{name}_nodes_{k - 1}")
     out = layers[0]
     for part in layers[1:]:
         out = out.unionByName(part)
-    return out, nodes.isEmpty()
+    return out, kept.join(left.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst") if live else None

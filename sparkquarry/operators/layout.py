@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquarry.operators.components import clean_edges, peel, strong_components
+from sparkquarry.operators.components import clean_edges, peel, peeled, strong_components
 from sparkquarry.store import Shelf
 
 
@@ -24,14 +24,22 @@ def layered(edges: DataFrame, shelf: Shelf, sweeps: int = 2, name: str = "layout
     The nodes of a strong component share a layer: the length of the longest path to the component over
     the others. Positions in a layer count from 1, first by node; each sweep orders every layer by the
     mean position of a node's predecessors in other layers (its own position without any), equal ones by
-    node. There are as many peeling rounds as layers. Edges with a null end are ignored; an empty table gives no row.
+    node. There are as many peeling rounds as layers; what no cycle reaches is peeled first, and only where
+    something is left are components looked for, in it. Edges with a null end are ignored; an empty table gives no row.
     """
     e = shelf.put(f"{name}_edges", clean_edges(edges))
-    c = strong_components(e, shelf, f"{name}_scc").select("node", "component")
-    a, b = (c.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in ("src", "dst"))
-    across = shelf.put(f"{name}_across", e.join(a, "src").join(b, "dst").filter("src_c <> dst_c"))
-    layer, _ = peel(across.select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")), shelf, f"{name}_peel")
-    nodes = shelf.put(f"{name}_nodes", c.join(layer.withColumnRenamed("node", "component"), "component", "left").select("node", "component", F.coalesce("layer", F.lit(0).cast("long")).alias("layer")))
+    all_ = shelf.put(f"{name}_all", e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    across = e.filter("src <> dst")
+    nodes, rest = peeled(all_, across, shelf, f"{name}_first")
+    if rest is None:
+        nodes = nodes.select("node", F.col("node").alias("component"), "layer")
+    else:
+        c = strong_components(shelf.put(f"{name}_rest", rest), shelf, f"{name}_scc").select("node", "component")
+        c = shelf.put(f"{name}_components", all_.join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        a, b = (c.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in ("src", "dst"))
+        across = shelf.put(f"{name}_across", e.join(a, "src").join(b, "dst").filter("src_c <> dst_c"))
+        layer, _ = peel(across.select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")), shelf, f"{name}_peel")
+        nodes = shelf.put(f"{name}_nodes", c.join(layer.withColumnRenamed("node", "component"), "component", "left").select("node", "component", F.coalesce("layer", F.lit(0).cast("long")).alias("layer")))
     at = _in_layers(nodes, [F.col("node")], shelf, f"{name}_at_0")
     for k in range(1, sweeps + 1):
         pull = across.join(at.select(F.col("node").alias("src"), "position"), "src").groupBy(F.col("dst").alias("node")).agg((F.sum("position") / F.count("*")).alias("pull"))

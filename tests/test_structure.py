@@ -112,6 +112,33 @@ def test_layers_of_a_graph_with_a_cycle(spark):
     assert got == {"a": ("a", 0), "x": ("x", 0), "b": ("b", 1), "c": ("b", 1), "d": ("d", 2)}
 
 
+def test_layers_look_for_components_only_where_peeling_leaves_edges(spark, monkeypatch):
+    """Random graphs of chains, rings and self-loops against plain layers; a graph without cycles is peeled once, and components get only what cycles reach."""
+    seen, plain = [], components.strong_components
+
+    def watched(edges, *a, **k):
+        seen.append({(r.src, r.dst) for r in edges.collect()})
+        return plain(edges, *a, **k)
+
+    monkeypatch.setattr(layout, "strong_components", watched)
+    r = random.Random(5)
+    down = [tuple(sorted(r.sample(range(40), 2))) for _ in range(90)] + [(k, k + 1) for k in range(100, 112)]
+    rings = [(50, 51), (51, 52), (52, 50), (39, 50), (52, 53), (53, 54), (54, 53), (112, 60), (60, 61), (54, 61), (61, 61)]
+    for edges in (down, down + rings):
+        nodes, reach = closure(edges)
+        comp = {n: min([n, *(m for m in reach[n] if n in reach[m])]) for n in nodes}
+        layer = dict.fromkeys(nodes, 0)
+        for _ in nodes:
+            for a, b in edges:
+                if comp[a] != comp[b]:
+                    layer[b] = max(layer[b], layer[a] + 1)
+            for n in nodes:
+                layer[n] = max(layer[m] for m in nodes if comp[m] == comp[n])
+        got = {x.node: (x.component, x.layer) for x in layout.layered(graph(spark, edges), Shelf(spark, "t"), sweeps=1).collect()}
+        assert got == {n: (comp[n], layer[n]) for n in nodes}
+    assert len(seen) == 1 and (50, 51) in seen[0] and not seen[0] & set(down) and (39, 50) not in seen[0]
+
+
 # --- clusters and passages --------------------------------------------------------------------
 
 

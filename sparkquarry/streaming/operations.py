@@ -15,11 +15,18 @@ FAILS, STARTS = "error", "view"
 DELAY_MS, LIMIT_MS = 600_000, 86_400_000
 FIELDS = ("n", "failures", "recoveries", "failed_recoveries", "timeouts", "active", "longest_us")
 SCHEMA = "user_id long, state string, since_us long, " + ", ".join(f"{f} long" for f in FIELDS)
+#: Events in one element of the list of waiting ones; each element is one message to the state store.
+CHUNK = 4096
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def chunks(events: list[tuple]) -> list[tuple[list, list, list]]:
+    """(us, event_id, event_type) of up to CHUNK events each, as three lists."""
+    return [tuple(map(list, zip(*events[k : k + CHUNK]))) for k in range(0, len(events), CHUNK)]
+
+
 class Lifecycle(StatefulProcessor):
-    """One user. Events wait in a list until the watermark has passed them, so late and disordered ones are taken in order of (ts, event_id); what comes after the watermark is dropped by the engine.
+    """One user. Events wait in a list, many to an element, until the watermark has passed them, so late and disordered ones are taken in order of (ts, event_id); what comes after the watermark is dropped by the engine.
 
     The state of a user is the last event's type. An error is a failure; the event after an error is a
     recovery, or a failed one if it is an error too. A view starts an operation that the next event
@@ -29,24 +36,24 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long, event_type string")
+        self.waiting = handle.getListState("waiting", "us array<long>, event_id array<long>, event_type array<string>")
         self.summary = handle.getValueState("summary", SCHEMA.replace("user_id long, ", "") + ", timed boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new = [(r.us, r.event_id, r.event_type) for r in rows]
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendList(chunks(new))
             # Fires once the watermark is past the first of them, for all it has passed.
             self.handle.registerTimer(max(min(r[0] for r in new) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        all_ = sorted((r[0], r[1] is not None, r[1] or 0, r[2]) for r in self.waiting.get()) if self.waiting.exists() else []
+        all_ = sorted((us, event_id is not None, event_id or 0, kind) for part in self.waiting.get() for us, event_id, kind in zip(*part))
         ready = [r for r in all_ if r[0] // 1000 < mark]
-        rest = [r for r in all_ if r[0] // 1000 >= mark]
-        if self.summary.exists():
-            state, since, *counts, timed = self.summary.get()
+        rest = all_[len(ready) :]
+        if (held := self.summary.get()) is not None:
+            state, since, *counts, timed = held
             s = dict(zip(FIELDS, counts))
         else:
             state, since, timed, s = None, None, False, dict.fromkeys(FIELDS, 0)
@@ -68,7 +75,7 @@ class Lifecycle(StatefulProcessor):
         s["active"] = int(state == STARTS and not timed)
         if ready:
             if rest:
-                self.waiting.put([(us, event_id if known else None, kind) for us, known, event_id, kind in rest])
+                self.waiting.put(chunks([(us, event_id if known else None, kind) for us, known, event_id, kind in rest]))
             else:
                 self.waiting.clear()
         if state is not None:

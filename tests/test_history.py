@@ -186,3 +186,75 @@ def test_trend_and_changes(spark):
     moved = {(r.kind, (r.week - BEGIN).days // 7): r.change for r in history.changes(s).collect()}
     assert moved == {("a", 1): -25.0, ("b", 1): 25.0, ("a", 2): 75.0, ("b", 2): -75.0}
     assert history.changes(s.limit(0)).count() == 0 and history.trend(s.limit(0)).count() == 0
+
+
+def test_waiting_events_are_few_messages_to_the_state_store():
+    """10,000 events of one user: three elements, two questions and two answers; the same summary as event by event."""
+    from pyspark.sql import Row
+
+    from sparkquarry.streaming import operations
+
+    class State:
+        def __init__(self):
+            self.held, self.calls, self.elements = None, 0, 0
+
+        def _call(self, values=()):
+            self.calls += 1
+            self.elements += len(values)
+
+        def exists(self):
+            self._call()
+            return self.held is not None
+
+        def get(self):
+            self._call()
+            return iter(self.held or ()) if self.listed else self.held
+
+        def appendList(self, values):
+            self._call(values)
+            self.held = (self.held or []) + list(values)
+
+        def put(self, values):
+            self._call(values)
+            self.held = list(values)
+
+        def update(self, value):
+            self._call()
+            self.held = value
+
+        def clear(self):
+            self._call()
+            self.held = None
+
+    class Handle:
+        def getListState(self, *_):
+            self.waiting = State()
+            self.waiting.listed = True
+            return self.waiting
+
+        def getValueState(self, *_):
+            self.summary = State()
+            self.summary.listed = False
+            return self.summary
+
+        def registerTimer(self, _):
+            pass
+
+    class Timers:
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    handle, one = Handle(), operations.Lifecycle()
+    one.init(handle)
+    kinds = ("view", "error", "error", "click")
+    rows = [Row(us=k * 1000, event_id=None if k == 7 else k, event_type=kinds[k % 4]) for k in range(10_000)]
+    list(one.handleInputRows((1,), iter(rows[::-1]), Timers(0)))
+    assert handle.waiting.calls == 1 and handle.waiting.elements == 3
+    (out,) = one.handleExpiredTimer((1,), Timers(9_000), None)
+    assert (out.state, out.since_us, out.n, out.failures, out.recoveries, out.failed_recoveries, out.longest_us) == ("click", 8_999_000, 9_000, 4_500, 2_250, 2_250, 1_000)
+    assert sum(len(part[0]) for part in handle.waiting.held) == 1_000 and handle.waiting.calls <= 3 and handle.summary.calls <= 2
+    (out,) = one.handleExpiredTimer((1,), Timers(10_000), None)
+    assert out.n == 10_000 and handle.waiting.held is None

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from sparkquarry.store import bound_batches
+
 SLICE = 1 << 20
 SEGMENT = 1 << 18
 _P = 0x9E3779B97F4A7C15
@@ -193,14 +195,6 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[np.ndarray, np.ndarray,
     return df.mapInArrow(run, fields)
 
 
-def bound_batches(spark) -> None:
-    """Rows that go to Python at once: few, as texts may be long. Smaller settings of the session stay; plans read them only when they run, so they can't be set back here."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 * SLICE)):
-        now = spark.conf.get(key, None)
-        if not (now and now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(key, str(most))
-
-
 def sliced(table: pa.Table, text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes and offsets of a table's texts, a slice at a time."""
     for batch in table.to_batches():

@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquarry.store import Shelf
+from sparkquarry.store import Shelf, bound_batches
 
 PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 CHUNK = 1 << 20
 #: Elements without contents (fixed values of the HTML standard), and elements whose contents are no markup.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 RAW = ("script", "style", "textarea", "title")
+#: Rows of results and pages of input that a Python worker holds at once, whatever the size of Arrow's batches.
+ROWS, PAGES = 1 << 14, 64
 _MARK = re.compile(rb"[()\[\]{}<>]")
 _OPEN = {a.encode(): b.encode() for a, b in PAIRS.items()}
 _RESIDUE = "id long, chunk long, at long, line long, col long, kind string, opens boolean, pairs long, crossed long, crossed_at long, crossed_line long, crossed_col long, crossed_kind string"
@@ -70,22 +72,46 @@ def _reduce(raw: bytes, at: int, line: int, col: int):
     return [(*where(i), c.decode(), False) for i, c in closers] + [(*where(i), c.decode(), True) for i, c in stack], pairs, crossed, first, (at + n, line + total, end_col)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
+    """The rows (id, text) of a batch, few of them as Python values at a time."""
+    for k in range(0, len(batch), PAGES):
+        part = batch.slice(k, PAGES)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
+def _flushed(rows: Iterator[list[tuple]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Record batches of about ROWS rows."""
+    held: list[tuple] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held) if held else [()] * len(names), types)], names)
+
+    for part in rows:
+        for k in range(0, len(part), ROWS):
+            held += part[k : k + ROWS]
+            if len(held) >= ROWS:
+                yield batch()
+                held = []
+    if held:
+        yield batch()
+
+
 def residues(texts: DataFrame, id_: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """One row for each bracket without a partner in its chunk, and one row (kind null) for each chunk with the counts of its pairs."""
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
-            out = {n: [] for n in _RESIDUE_NAMES}
-            for doc, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, s in _texts(batch):
                 place = (0, 1, 1)
                 for k, raw in enumerate(_chunks((s or "").encode(), chunk)):
                     left, pairs, crossed, first, place = _reduce(raw, *place)
-                    rows = [(doc, k, None, None, None, None, None, pairs, crossed, *(first or (None,) * 4))]
-                    rows += [(doc, k, a, l, c, kind, opens, None, None, None, None, None, None) for a, l, c, kind, opens in left]
-                    for name, values in zip(out, zip(*rows)):
-                        out[name] += values
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), _RESIDUE_TYPES)], _RESIDUE_NAMES)
+                    yield [(doc, k, None, None, None, None, None, pairs, crossed, *(first or (None,) * 4))]
+                    yield [(doc, k, a, l, c, kind, opens, None, None, None, None, None, None) for a, l, c, kind, opens in left]
 
+    def run(batches):
+        yield from _flushed(rows(batches), _RESIDUE_NAMES, _RESIDUE_TYPES)
+
+    bound_batches(texts.sparkSession)
     return texts.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, _RESIDUE)
 
 
@@ -170,15 +196,10 @@ def elements(pages: DataFrame, id_: str = "page_id", html: str = "html") -> Data
     """
 
     def run(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for page, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = _elements(s or "")
-                out[0] += [page] * len(found)
-                for column, values in zip(out[1:], zip(*found)):
-                    column += values
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["page_id", "node", "parent", "tag", "depth", "size"])
+        rows = ([(page, *r) for r in _elements(s or "")] for batch in batches for page, s in _texts(batch))
+        yield from _flushed(rows, ["page_id", "node", "parent", "tag", "depth", "size"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()])
 
+    bound_batches(pages.sparkSession)
     return pages.select(F.col(id_).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(run, "page_id long, node long, parent long, tag string, depth long, size long")
 
 

@@ -280,3 +280,26 @@ def test_elements_of_malformed_pages(spark):
     assert set(got) == {1, 2, 5, 6, 7}
     links = sorted((x.ancestor, x.node) for x in markup.walk(nodes.filter("page_id = 6"), "nav", "a").collect())
     assert links == [(0, 3), (0, 6), (5, 6)]
+
+
+def test_markup_workers_hold_few_rows(spark):
+    """A batch of 3,000 pages of 40 elements, as Arrow may hand it over: results leave in parts, all of them, in order; the session's batches are bounded."""
+    import pyarrow as pa
+
+    class Pages:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    html = "<div>" + "<p>(a [b</p>" * 39 + "</div>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([html] * 3000)], ["a", "b"])
+    for make, n in ((markup.elements, 40), (lambda p: markup.residues(p, "a", "b"), 79)):
+        out = list(make(Pages())(iter([batch])))
+        assert max(map(len, out)) < 2 * (1 << 14) and sum(map(len, out)) == 3000 * n
+        assert [x for b in out for x in b.column(0).to_pylist()] == [k for k in range(3000) for _ in range(n)]
+    assert list(markup.elements(Pages())(iter([batch.slice(0, 0)]))) == []
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000

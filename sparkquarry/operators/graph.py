@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, shelf: Shelf, name: str = "cc") -> Da
 
     Neighbour minimum and pointer jumping in turn, so that paths halve each round; each round is
     written to the shelf. Rows are two numbers wide and minima are combined before the shuffle, so
-    a hub with many edges costs one row for each task. Self-loops make a node its own component;
+    a hub with many edges costs one row for each task. Joins are by shuffle whatever their size, so no
+    labels pass through the driver. Self-loops make a node its own component;
     edges with a null end are ignored.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src is not null and dst is not null").distinct()
@@ -23,10 +24,10 @@ def connected_components(edges: DataFrame, shelf: Shelf, name: str = "cc") -> Da
     k = 0
     while True:
         k += 1
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("component").alias("near"))
-        lowered = labels.join(near, labels.node == near.src, "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
+        near = both.join(labels.hint("merge"), both.dst == labels.node).groupBy("src").agg(F.min("component").alias("near"))
+        lowered = labels.join(near.hint("merge"), labels.node == near.src, "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("root"))
-        jumped = lowered.join(up, "low", "left").select("node", F.least("low", F.coalesce("root", "low")).alias("component"), (F.least("low", F.coalesce("root", "low")) < F.col("component")).alias("moved"))
+        jumped = lowered.join(up.hint("merge"), "low", "left").select("node", F.least("low", F.coalesce("root", "low")).alias("component"), (F.least("low", F.coalesce("root", "low")) < F.col("component")).alias("moved"))
         written = shelf.put(f"{name}_{k}", jumped)
         shelf.drop(f"{name}_{k - 1}")
         labels = written.select("node", "component")

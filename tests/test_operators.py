@@ -214,3 +214,17 @@ def test_distances_by_bit_vectors_equal_the_table():
         a, b = (bytes(r.choices(b"abc\xc3\x00", k=r.randint(0, 90))) for _ in range(2))
         near = a[: len(a) // 3] + b[:4] + a[len(a) // 2 :]
         assert duplication.levenshtein(a, b) == plain(a, b) and duplication.levenshtein(a, near) == plain(a, near)
+
+
+def test_components_send_no_labels_through_the_driver(spark):
+    """Small tables too are joined by shuffle: what Spark takes for small at size would be broadcast from the driver in each round."""
+    plans = []
+
+    class Watched(Shelf):
+        def put(self, name, df, *a):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().put(name, df, *a)
+
+    e = spark.createDataFrame([(k, k + 1) for k in range(20)], "src long, dst long")
+    assert {r.component for r in graph.connected_components(e, Watched(spark, "t")).collect()} == {0}
+    assert sum("SortMergeJoin" in p for p in plans) > 1 and not any("Broadcast" in p for p in plans)

@@ -106,10 +106,11 @@ def complexity_overall(spark, d):
 
 def _halstead(spark, d):
     t = F.col("text")
-    count = lambda p: F.size(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)))
-    distinct = lambda p: F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1))))
-    ops, words = "[,.;!?|]", "[A-Za-z]+"
-    rows = cx.complexity(functions(spark, d)).withColumn("n1", distinct(ops)).withColumn("n2", distinct(words)).withColumn("t1", count(ops)).withColumn("t2", count(words)).withColumn("comment_ratio", F.lit(0.0))
+    found = lambda p: F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1))
+    count, distinct = F.size, lambda c: F.size(F.array_distinct(c))
+    # One search of the text for each kind; a projection of its own, so that sizes are taken of what it found.
+    rows = cx.complexity(functions(spark, d)).withColumn("_ops", found("[,.;!?|]")).withColumn("_words", found("[A-Za-z]+"))
+    rows = rows.withColumn("n1", distinct("_ops")).withColumn("n2", distinct("_words")).withColumn("t1", count("_ops")).withColumn("t2", count("_words")).withColumn("comment_ratio", F.lit(0.0)).drop("_ops", "_words")
     return cx.halstead(rows)
 
 
@@ -188,11 +189,13 @@ def dup_impact(spark, d):
     return duplication.impact(duplication.exact_clusters(blocks(spark, d)))
 
 
-def items(spark, d):
-    f = functions(spark, d)
+def items(spark, d, f=None, clusters=None):
+    """f, clusters: functions and exact clusters, where the caller has them as tables."""
+    f = functions(spark, d) if f is None else f
+    clusters = duplication.exact_clusters(blocks(spark, d)) if clusters is None else clusters
     files = f.groupBy("file_path").agg(F.sum("external").alias("imports"), F.sum("internal").alias("exports"), F.count("*").alias("functions"), F.count_distinct("class_name").alias("classes"))
     classes = f.groupBy("file_path", F.col("class_name").alias("name")).agg(F.count("*").alias("methods"), F.sum("lines").alias("lines"))
-    found = debt.function_items(cx.complexity(f)).unionByName(debt.file_items(files)).unionByName(debt.class_items(classes)).unionByName(debt.duplication_items(duplication.exact_clusters(blocks(spark, d))))
+    found = debt.function_items(cx.complexity(f)).unionByName(debt.file_items(files)).unionByName(debt.class_items(classes)).unionByName(debt.duplication_items(clusters))
     return debt.scored_items(found)
 
 
@@ -343,8 +346,12 @@ RECS6 = ITEMS.rstrip() + RECS6[len(FN) :] if RECS6.startswith(FN) else RECS6
 
 
 def _six(spark, d):
-    scored, found = cx.complexity(functions(spark, d)), items(spark, d)
-    return reports.six_sources(duplication.exact_clusters(blocks(spark, d)), testability.testability(scored), _halstead(spark, d), scored, debt.by_file(found, Shelf(spark, "debt")), found)
+    """Texts are read once for the functions and their measures, once for the clusters; the six sources read those narrow tables."""
+    shelf = Shelf(spark, "debt")
+    measured = shelf.put("measured", _halstead(spark, d).drop("text"))
+    clusters = shelf.put("clusters", duplication.exact_clusters(blocks(spark, d)))
+    found = items(spark, d, measured.select(*functions(spark, d).drop("text").columns), clusters)
+    return reports.six_sources(clusters, testability.testability(measured), measured, measured, debt.by_file(found, shelf), found)
 
 
 @query(RECS6 + " SELECT kind, priority, count(*) AS n, round(sum(effort), 6) AS hours, round(avg(roi), 6) AS roi FROM recs GROUP BY 1, 2")

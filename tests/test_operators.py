@@ -228,3 +228,11 @@ def test_components_send_no_labels_through_the_driver(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(20)], "src long, dst long")
     assert {r.component for r in graph.connected_components(e, Watched(spark, "t")).collect()} == {0}
     assert sum("SortMergeJoin" in p for p in plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_six_sources_read_texts_only_for_their_tables(spark):
+    """Once for the functions and their measures, once for the clusters; all else reads tables without texts."""
+    from sparkquarry.plans import quality
+
+    text = quality.Q["quality_recommendations_by_source"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in text and "documents.parquet" not in text

@@ -29,6 +29,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ from sparkquarry.store import Shelf
 
 MAGIC, SAMPLE, END = b"SQTOKEF1", 64, 0
 _HEADER = struct.Struct("<12q")
-#: Ids in a file (a longer document has a file of its own), chunks that a worker remembers.
-SHARD_IDS, MEMO = 4 << 20, 500_000
+#: Ids in a file (a longer document has a file of its own), chunks that a worker remembers, bytes of them and their ids.
+SHARD_IDS, MEMO, MEMO_BYTES = 4 << 20, 500_000, 16 << 20
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Place of set bit number r of a byte.
 _PLACE = np.array([[([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
@@ -204,9 +205,9 @@ class Encoder:
     """Token ids of texts with one tokenizer file, in one worker.
 
     With a byte-level tokenizer a text is cut where words surely end; equal chunks are encoded once by
-    the tokenizers library and remembered (MEMO at most, then anew). A chunk that is one word goes to the
-    library's model at once, any other through the whole tokenizer. With another kind of tokenizer whole
-    texts go to the library. Strings of special tokens in a text are ordinary text.
+    the tokenizers library and remembered (about MEMO or MEMO_BYTES, then anew). A chunk that is one word
+    goes to the library's model at once, any other through the whole tokenizer. With another kind of
+    tokenizer whole texts go to the library. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -230,7 +231,7 @@ class Encoder:
 
     def _places(self, chunks: pa.Array) -> np.ndarray:
         """Numbers of distinct chunks among the known ones; those that were not are encoded first."""
-        if len(self.known) > MEMO:
+        if len(self.known) > MEMO or self.known.nbytes + self.flat.nbytes > MEMO_BYTES:
             self._forget()
         at = pc.index_in(chunks, value_set=self.known)
         new = chunks.filter(pc.is_null(at))
@@ -253,8 +254,8 @@ class Encoder:
         begin[order] = len(self.flat) + np.cumsum(length[order]) - length[order]
         out = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         out[out < 0] = len(self.known) + np.arange(len(new))
-        self.known = pa.concat_arrays([self.known, new])
-        self.begin, self.length, self.flat = np.concatenate([self.begin, begin]), np.concatenate([self.length, length]), np.concatenate([self.flat, np.array(flat, self.dtype)])
+        # All four at once: a task that fails leaves nothing half done to the next one.
+        self.known, self.begin, self.length, self.flat = pa.concat_arrays([self.known, new]), np.concatenate([self.begin, begin]), np.concatenate([self.length, length]), np.concatenate([self.flat, np.array(flat, self.dtype)])
         return out
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,6 +283,12 @@ class Encoder:
         return out, tokens
 
 
+@lru_cache(1)
+def worker_encoder(tokenizer_json: str) -> Encoder:
+    """The encoder of all tasks of a worker. The library keeps some 4 MB of each tokenizer that has encoded for good, so with an encoder for each task a worker would grow with its tasks."""
+    return Encoder(tokenizer_json)
+
+
 def _portions(batch: pa.RecordBatch, by_chunk: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
     """(first row, bytes, offsets, whether the last document ends here) of at most about a slice each; a long text comes in parts that are cut where words surely end."""
     row = 0
@@ -319,7 +326,7 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, shard_ids: int = SHAR
     shared = spark.sparkContext.broadcast(tokenizer_json)  # one tokenizer file: bounded by its vocabulary
 
     def run(batches):
-        encoder, partition, number = Encoder(shared.value), TaskContext.get().partitionId(), 0
+        encoder, partition, number = worker_encoder(shared.value), TaskContext.get().partitionId(), 0
         doc_ids, sizes, held, size, open_size, open_ids = [], [], [], 0, 0, []
 
         def shard():

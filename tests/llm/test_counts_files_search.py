@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkquarry.llm import divergence, lexical, token_files
 from sparkquarry.llm import terms as T
@@ -189,6 +191,48 @@ def test_files_are_checked_and_read_alone(spark, spec, library):
         token_files.TokenFile(b"")
 
 
+def test_memory_of_a_worker_does_not_grow_with_its_tasks(spark, spec):
+    """60 tasks, each with the same 8,000 words; the workers' own memory after them and after a first round."""
+    r = random.Random(8)
+    text = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(8000))
+    docs = spark.range(0, 240, 1, 4).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+
+    def held():
+        def run(batches):
+            for _ in batches:
+                pass
+            time.sleep(1)  # each task in a worker of its own
+            with open("/proc/self/smaps_rollup") as f:
+                kb = int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1])
+            yield pa.RecordBatch.from_pydict({"mb": pa.array([kb / 1024])})
+
+        return max(row.mb for row in spark.range(0, 4, 1, 4).mapInArrow(run, "mb double").collect())
+
+    was = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        after = []
+        for tasks in (8, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+            token_files.write(docs, f"{Shelf(spark, 'w').root}/files", spec)
+            after.append(held())
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
+    assert after[1] < after[0] + 20, after
+
+
+def test_remembered_chunks_are_bounded_in_bytes(monkeypatch, spec, library):
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 20_000, raising=False)
+    encoder = token_files.Encoder(spec)
+    for k in range(20):  # few chunks, all long
+        texts = [f"{k}{n}" + "日本" * 500 for n in range(5)]
+        raw = [t.encode() for t in texts]
+        ids, _ = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert ids.tolist() == [i for x in library(texts) for i in x]
+        assert encoder.known.nbytes < 20_000 + sum(map(len, raw)) + 100
+
+
 def test_empty_table_of_documents(spark, spec):
     assert contents(spark, [], spec, 10, "v")[0].count() == 0
 

@@ -198,6 +198,41 @@ def test_near_copies_send_their_tokens_once(spark):
     assert sent < 16 << 20, sent
 
 
+def _long_texts(spark):
+    """Rows of long texts that share many tokens, the least frequent too, but are alike only in families of eight; and their sets."""
+    import random
+
+    r = random.Random(5)
+    base = [f"token{k:04d}{r.random()}" for k in range(4000)]
+    sets = []
+    for _ in range(15):
+        first = r.sample(base, 2000)
+        sets += [set(first[:1900]) | set(r.sample(base, 10 + 90 * (k % 2))) for k in range(8)]
+    rows = [(k, "f", " ".join(sorted(x))) for k, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "block_id long, file_path string, content string").repartition(4), sets
+
+
+def _sent(spark, act):
+    """What act returns, and the bytes shuffled by it where nothing is broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    small = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    before = _shuffled(spark)
+    try:
+        return act(), _shuffled(spark) - before
+    finally:
+        spark.conf.set(key, small)
+
+
+def test_greedy_clusters_of_long_texts_send_no_sets(spark):
+    from sparkquarry.operators import passages
+
+    rows, sets = _long_texts(spark)
+    found, sent = _sent(spark, lambda: {(r.cluster, r.member) for r in passages.greedy_clusters(duplication.token_pairs(rows), Shelf(spark, "t")).collect()})
+    assert found == {(8 * k, 8 * k + x) for k in range(15) for x in range(8)}
+    assert sent < 16 << 20, sent
+
+
 def test_distances_by_bit_vectors_equal_the_table():
     import random
 

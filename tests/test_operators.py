@@ -224,6 +224,30 @@ def _sent(spark, act):
         spark.conf.set(key, small)
 
 
+def test_long_unlike_texts_send_no_sets(spark):
+    """Sketches grow with the sets, so pairs of long texts that only share rare tokens are ruled out before sets are sent."""
+    rows, sets = _long_texts(spark)
+    found, sent = _sent(spark, lambda: {(p.a, p.b): p.jaccard for p in duplication.token_pairs(rows).collect()})
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and 100 * len(x & y) >= 75 * len(x | y)}
+    assert found == want and len(want) == 15 * 28
+    assert sent < 16 << 20, sent
+
+
+def test_sketches_of_different_widths_lose_no_pair(spark):
+    """Sets on both sides of a width of sketches, and parts of sketches and cells of sets that are small, give the pairs of plain counting."""
+    sets = [set(range(k)) for k in range(470, 560, 6)] + [{-1 - x for x in range(k)} for k in range(1000, 1060, 9)] + [set(range(2000, 2000 + k)) for k in (3, 4, 5, 2030, 2060, 2700)]
+    rows = spark.createDataFrame([(k, "f", " ".join(map(str, x))) for k, x in enumerate(sets)], "block_id long, file_path string, content string")
+    want = {(a, b): len(x & y) / len(x | y) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and 100 * len(x & y) >= 75 * len(x | y)}
+    now = duplication.CELL, duplication.CELL_BYTES, duplication.SKETCHED
+    duplication.CELL, duplication.CELL_BYTES, duplication.SKETCHED = 4, 1 << 10, 10
+    try:
+        found = {(p.a, p.b): p.jaccard for p in duplication.token_pairs(rows).collect()}
+    finally:
+        duplication.CELL, duplication.CELL_BYTES, duplication.SKETCHED = now
+    assert found.keys() == want.keys() and len(want) > 100
+    assert all(abs(found[p] - want[p]) < 1e-6 for p in want)
+
+
 def test_greedy_clusters_of_long_texts_send_no_sets(spark):
     from sparkquarry.operators import passages
 

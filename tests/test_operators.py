@@ -275,6 +275,55 @@ def test_distances_by_bit_vectors_equal_the_table():
         assert duplication.levenshtein(a, b) == plain(a, b) and duplication.levenshtein(a, near) == plain(a, near)
 
 
+def test_distances_of_many_pairs_equal_the_vectors():
+    import random
+
+    r = random.Random(4)
+    a = [bytes(r.choices(b"abc\0", k=r.randint(0, 120))) for _ in range(1500)] + [b"", b"", b"x" * 900]
+    b = [x[: r.randint(0, 40)] + bytes(r.choices(b"abc\0", k=r.randint(0, 9))) + x[r.randint(20, 50) :] if r.random() < 0.7 else bytes(r.choices(b"abc\0", k=r.randint(0, 120))) for x in a[:1500]] + [b"", b"abc", b"x" * 450 + b"y" + b"x" * 449]
+    assert duplication.distances(a, b).tolist() == [duplication.levenshtein(x, y) for x, y in zip(a, b)]
+    assert duplication.distances([], []).tolist() == []
+
+
+def test_unlike_contents_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """A cluster of unlike contents is ruled out by half as many distances as it has contents; clusters near the limit keep their exact means, with copies."""
+    import random
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    word = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    groups = [[word(80) for _ in range(200)]]
+    for g in range(1, 7):  # from like to unlike around the limit
+        first = word(70)
+        groups.append([";" * g + first[: r.randint(0, 10)] + word(g * 5) + first[10 + g :] for _ in range(10 + g)] + [";" * g + first] * g)
+    rows = [(k, "f", t) for k, t in enumerate(t for g in groups for t in g)]
+    seen = spark.sparkContext.accumulator(0)
+    plain = duplication.levenshtein
+
+    def counted():
+        @F.pandas_udf("long")
+        def of(a: pd.Series, b: pd.Series) -> pd.Series:
+            seen.add(len(a))
+            return pd.Series([plain(bytes(x), bytes(y)) for x, y in zip(a, b)], dtype="int64")
+
+        return of
+
+    monkeypatch.setattr(duplication, "distance", counted)
+    df = spark.createDataFrame(rows, "block_id long, file_path string, content string")
+    found = {(p.n, p.first_block): p.similarity for p in duplication.similar_clusters(df).collect()}
+    want, at = {}, 0
+    for g in groups:
+        b = [x.encode() for x in g]
+        sims = [1 - plain(x, y) / max(len(x), len(y)) for k, x in enumerate(b) for y in b[:k]]
+        if sum(sims) / len(sims) >= 0.85:
+            want[len(g), at] = sum(sims) / len(sims)
+        at += len(g)
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in want) and 0 < len(want) < 6
+    assert seen.value < 2000, seen.value
+
+
 def test_components_send_no_labels_through_the_driver(spark):
     """Small tables too are joined by shuffle: what Spark takes for small at size would be broadcast from the driver in each round."""
     plans = []

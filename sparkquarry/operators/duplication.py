@@ -76,7 +76,8 @@ def _few_edits(a: list[bytes], b: list[bytes], most: np.ndarray) -> np.ndarray:
     top, out, open_ = int(most.max(initial=0)), np.full(len(a), -1, np.int64), np.arange(len(a))
     reach = np.full((len(a), 2 * top + 3), -2, np.int64)  # column k + top + 1: diagonal k
     for e in range(top + 1):
-        open_, reach = open_[(ok := most[open_] >= e)], reach[ok]
+        if not (ok := most[open_] >= e).all():
+            open_, reach = open_[ok], reach[ok]
         if not len(open_):
             break
         k, x, y = np.arange(-e, e + 1), top + 1 - e, top + 2 + e
@@ -99,7 +100,8 @@ def _few_edits(a: list[bytes], b: list[bytes], most: np.ndarray) -> np.ndarray:
         goal = m - n
         done = (np.abs(goal) <= e) & (reach[np.arange(len(open_)), np.clip(goal, -e, e) + top + 1] == n)
         out[open_[done]] = e
-        open_, reach = open_[~done], reach[~done]
+        if done.any():
+            open_, reach = open_[~done], reach[~done]
     return out
 
 
